@@ -51,10 +51,10 @@ def rule_sentiment(text: Column, rating: Column) -> Column:
 
 def severity(label: Column) -> Column:
     """Complaint rank of a sentiment label."""
-    rank = F.lit(None).cast("int")
-    for name, value in K.SEVERITY.items():
-        rank = F.coalesce(rank, F.when(label == name, F.lit(value)))
-    return F.coalesce(rank, F.lit(1))
+    chain = F
+    for name, rank in K.SEVERITY.items():
+        chain = chain.when(label == name, rank)
+    return chain.otherwise(1)
 
 
 def json_flag(json: Column, path: str) -> Column:

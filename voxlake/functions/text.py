@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from voxlake import constants as K
 
@@ -28,13 +28,14 @@ def clean_whitespace(c: Column) -> Column:
 
 
 def is_deleted(c: Column) -> Column:
-    return F.lower(clean_whitespace(c)).isin("", *K.DELETED_TEXTS)
+    """Empty, or nothing but one of the marks of removed content."""
+    marks = "|".join("\\Q" + t + "\\E" for t in K.DELETED_TEXTS)
+    return F.coalesce(c, F.lit("")).rlike(rf"(?iU)\A{_SPACE}*(?:{marks})?{_SPACE}*\z")
 
 
 def tagging_text(c: Column) -> Column:
     """Lower-case single-spaced text; the empty text where the content was deleted."""
-    text = F.lower(clean_whitespace(c))
-    return F.when(text.isin(*K.DELETED_TEXTS), F.lit("")).otherwise(text)
+    return F.when(is_deleted(c), F.lit("")).otherwise(F.lower(clean_whitespace(c)))
 
 
 def contains_any(c: Column, words: Sequence[str]) -> Column:
@@ -69,7 +70,7 @@ def drop_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_entities(texts: pd.Series) -> pd.Series:
     """All named and numeric HTML entities; used for feed texts only."""
     import html
@@ -84,8 +85,12 @@ def feed_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Search tokens: case and accents folded, runs of letters and digits."""
-    folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), K.ACCENTED, K.UNACCENTED)
-    return F.regexp_extract_all(folded, F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
+    lowered = F.lower(F.coalesce(c, F.lit("")))
+    # Plain ASCII texts need no accent table.
+    folded = F.when(
+        F.octet_length(lowered) > F.length(lowered), F.translate(lowered, K.ACCENTED, K.UNACCENTED)
+    ).otherwise(lowered)
+    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def fold(text: str) -> list[str]:
