@@ -9,6 +9,7 @@ of a hot group are sorted by many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -35,19 +36,29 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return full if rank else full.drop("_rank")
 
 
+def spread_key(keys: Sequence[str], row_id: str | None) -> Column:
+    """0 for rows whose keys are all known; else a number that differs from row to row.
+
+    Rows with a NULL key are no copies of each other. As part of a partitioning this keeps them from
+    meeting in one task.
+    """
+    if row_id is None:
+        return F.lit(0).cast("long")
+    complete = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    return F.when(complete, F.lit(0).cast("long")).otherwise(F.xxhash64(row_id))
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
-               keep_null_keys: bool = True) -> DataFrame:
+               row_id: str | None = None) -> DataFrame:
     """The first row of each key in the given order.
 
-    Rows with a NULL key are no copies of each other: all stay, and they bypass the shuffle. Pass
-    `keep_null_keys=False` only where keys are never NULL, to read the input once.
+    With a unique `row_id`, rows with a NULL key all stay. Leave it out where keys are never NULL.
     """
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-    keyed = df.where(present) if keep_null_keys else df
-    first = _first_n(keyed, [F.col(k) for k in keys], order, 1, "_rank").drop("_rank")
-    return first.unionByName(df.where(~present)) if keep_null_keys else first
+    groups = [F.col(k) for k in keys]
+    if row_id is not None:
+        incomplete = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+        groups += [F.when(incomplete, F.col(row_id))]
+    return _first_n(df, groups, order, 1, "_rank").drop("_rank")
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
