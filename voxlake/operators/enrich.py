@@ -113,10 +113,12 @@ def score(rows: DataFrame, scorer: Scorer, *, batch_size: int = BATCH_SIZE) -> D
             out = ids.merge(usable.reindex(columns=_REPLY_COLUMNS).assign(status="enriched"),
                             on="document_id", how="left")
             out["status"] = out["status"].fillna("no_reply")
-            return out.assign(failed_batch=False)
+            failed = [False] * len(out)
         except Exception:  # any failure of the caller's scorer costs this batch only
             out = ids.reindex(columns=_REPLY_COLUMNS).assign(status="failed")
-            return out.assign(failed_batch=[True] + [False] * (len(out) - 1))
+            failed = [True] + [False] * (len(out) - 1)
+        # Fields without a value are NULL, whatever their type.
+        return out.astype(object).where(out.notna(), None).assign(failed_batch=failed)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

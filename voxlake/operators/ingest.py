@@ -67,10 +67,10 @@ def comments_of(comments: DataFrame, posts: DataFrame, *, per_post: int = K.COMM
 
 def newest_reviews(reviews: DataFrame, keywords: Sequence[str], *, now: Column, days_back: int,
                    per_app: int = K.REVIEWS_PER_APP) -> DataFrame:
-    """The newest reviews of each app; the cap comes before window and keywords."""
+    """The newest reviews of each app, first arrivals among equals; the cap comes before window and keywords."""
     newest = top_n_per_group(
         reviews.withColumn("_at", review_time()), ["app_id"],
-        [F.desc_nulls_last("_at"), F.asc("reviewId")], max(per_app, 1), spread_by=["reviewId", "userName"],
+        [F.desc_nulls_last("_at"), F.asc("arrival")], max(per_app, 1), spread_by=["arrival"],
     )
     words = normalize_keywords(keywords)
     kept = newest.where(F.coalesce(recent(F.col("_at"), now, days_back), F.lit(True))).drop("_at")

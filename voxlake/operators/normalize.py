@@ -14,7 +14,7 @@ from voxlake.schemas import CANONICAL_DOC
 
 def _payload(df: DataFrame) -> Column:
     """The landed record as JSON."""
-    return F.to_json(F.struct(*[c for c in df.columns if not c.startswith("_")]))
+    return F.to_json(F.struct(*[c for c in df.columns if c != "arrival"]))
 
 
 def _metadata(**values: Column) -> Column:

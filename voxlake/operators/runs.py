@@ -43,15 +43,16 @@ def recent_runs(runs: DataFrame, order: str = "run_id") -> DataFrame:
 
 
 def parse_diagnostics(text: Column) -> Column:
-    """Run diagnostics; NULL where the text is no JSON object."""
-    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, _DIAGNOSTICS))
+    """Run diagnostics; NULL where the text is no JSON object or an empty one."""
+    is_object = text.rlike(r"^\s*\{\s*[^}\s]") & F.try_parse_json(text).isNotNull()
+    return F.when(is_object, F.from_json(text, _DIAGNOSTICS))
 
 
 def stage_rows(runs: DataFrame) -> DataFrame:
     """One row per run and stage, for runs with readable diagnostics."""
-    parsed = runs.select("run_id", parse_diagnostics(F.col("error_message")).alias("d")).where(
-        F.col("d").isNotNull() & F.coalesce(F.get_json_object(F.to_json("d"), "$") != "{}", F.lit(False))
-    )
+    parsed = runs.select(
+        "run_id", F.inline(F.array(F.struct(parse_diagnostics(F.col("error_message")).alias("d"))))
+    ).where(F.col("d").isNotNull())
     stages = F.array(
         *[
             F.struct(

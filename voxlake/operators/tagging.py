@@ -60,9 +60,13 @@ def _quote(alias: str) -> str:
     return "\\Q" + alias.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def _claim_pattern(alias: str) -> str:
     # The literal comes first, so that the search skips ahead; word borders are checked after a hit.
-    return rf"(?U){_quote(alias)}(?<!\w{_quote(alias)})(?!\w)"
+    literal = _quote(alias)
+    return f"{literal}(?<!{_WORD}{literal})(?!{_WORD})"
 
 
 def matched_values(text: Column, taxonomy: Taxonomy, tag_type: str) -> Column:
