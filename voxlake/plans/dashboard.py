@@ -85,27 +85,31 @@ def date_bounds(documents: DataFrame) -> DataFrame:
 
 
 def facets(corpus: Corpus) -> DataFrame:
-    """Distinct values per filter, one row each: (kind, value)."""
-    docs, sources = corpus.documents, corpus.sources
-    by_source = docs.join(
+    """Distinct values per filter, one row each: (kind, value).
+
+    One scan of the documents serves all their kinds, and values are made distinct before the
+    shuffle.
+    """
+    sources = corpus.sources
+    docs = corpus.documents.select("source_id", "subreddit", "community_or_channel", "rating").join(
         sources.select(F.col("id").alias("source_id"), F.col("name").alias("_name"), F.col("platform").alias("_platform")),
-        "source_id",
+        "source_id", "left",
     )
-    store = by_source.where(F.col("_platform") == K.GOOGLE_PLAY)
+    in_store = F.col("_platform") == K.GOOGLE_PLAY
+    community = F.col("community_or_channel")
+    values = {
+        "subreddit": F.col("subreddit"),
+        "web_domain": F.when(F.col("_name") == K.WEB_REVIEWS, community),
+        "google_play_app": F.when(in_store, community),
+        "rating": F.when(in_store & F.col("rating").between(1, 5), F.col("rating").cast("string")),
+    }
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])
     parts = [
         sources.select(F.lit("source").alias("kind"), F.coalesce("name", "platform").alias("value")),
-        docs.select(F.lit("subreddit").alias("kind"), F.col("subreddit").alias("value")),
-        by_source.where(F.col("_name") == K.WEB_REVIEWS).select(
-            F.lit("web_domain").alias("kind"), F.col("community_or_channel").alias("value")
-        ),
-        store.select(F.lit("google_play_app").alias("kind"), F.col("community_or_channel").alias("value")),
-        store.where(F.col("rating").between(1, 5)).select(
-            F.lit("rating").alias("kind"), F.col("rating").cast("string").alias("value")
-        ),
+        docs.select(F.inline(pairs)),
     ]
     if corpus.tags is not None:
         parts.append(corpus.tags.select(F.col("tag_type").alias("kind"), F.col("tag_value").alias("value")))
-    # One aggregate over all kinds: values are made distinct before the shuffle.
     return (
         reduce(DataFrame.unionByName, parts)
         .where(F.coalesce(F.col("value"), F.lit("")) != "")

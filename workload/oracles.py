@@ -338,7 +338,7 @@ UNION ALL SELECT 'feature_requests', printf('Feature request insight: %d feature
     "browse_page": _with(_DOCS) + f"SELECT {_SHOWN} FROM docs_t WHERE platform = 'reddit' ORDER BY event_time DESC, id DESC LIMIT 50 OFFSET 20",
     "fetch_by_ids": _with(_DOCS) + """SELECT id, title, url, position FROM documents_c
 JOIN (SELECT conv_id AS id, min(turn * 1000000 - conv_id) AS position FROM conversations GROUP BY 1) USING (id)""",
-    "search_all": _search([word("anble"), word("einble")], "f0 > 0 AND f1 > 0"),
+    "search_all": _search([word("anble"), word("inble")], "f0 > 0 AND f1 > 0"),
     "search_any": _search([word("anble"), word("inble"), word("reble")], "f0 > 0 OR f1 > 0 OR f2 > 0"),
     "search_not": _search([word("anble"), word("inble")], "f0 > 0 AND NOT f1 > 0"),
     "search_prefix": _search([prefix("anb")], "f0 > 0"),

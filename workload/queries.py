@@ -22,7 +22,7 @@ from voxlake.operators.tagging import tag_documents
 from voxlake.plans import answers, dashboard, explore, insights, jobs, snapshots
 from voxlake.session import apply_runtime_conf
 from voxlake.sources import landing
-from voxlake.sources.tables import Store, spread
+from voxlake.sources.tables import Store
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,7 +103,7 @@ def feature_total(spark, sf):
 
 @query
 def top_features(spark, sf):
-    return insights.top_features(views.corpus(spark, sf), period())
+    return insights.top_features(views.corpus(spark, sf, with_tags=True), period())
 
 
 @query
@@ -131,7 +131,7 @@ def evidence_features(spark, sf):
 
 @query
 def insight_summaries(spark, sf):
-    parts = [report(views.corpus(spark, sf), period())["summary"] for report in insights.INSIGHTS.values()]
+    parts = [report(views.corpus(spark, sf, with_tags=True), period())["summary"] for report in insights.INSIGHTS.values()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -185,12 +185,12 @@ def date_bounds(spark, sf):
 
 @query
 def facets(spark, sf):
-    return dashboard.facets(views.corpus(spark, sf))
+    return dashboard.facets(views.corpus(spark, sf, with_tags=True))
 
 
 # Filters -------------------------------------------------------------------------------------
 def _filtered(spark, sf, raw: dict, mode: DateMode = DateMode.STRICT_INSTANT) -> DataFrame:
-    rows = apply_filters(views.corpus(spark, sf), Filters.of(raw), mode)
+    rows = apply_filters(views.corpus(spark, sf, with_tags=True), Filters.of(raw), mode)
     return rows.select("id", "source_id", "title", "url", "published_at")
 
 
@@ -257,7 +257,7 @@ def _hits(rows: DataFrame) -> DataFrame:
 
 
 def _search(spark, sf, match: fulltext.Match, *, filters: dict | None = None, limit: int = 200, offset: int = 0):
-    docs = spread(views.documents(spark, sf), "id")
+    docs = views.documents(spark, sf, wide=True)
     corpus = Corpus(docs, views.sources(spark), None, views.enrichments(spark, sf))
     return _hits(explore.search_documents(corpus, match, filters, limit=limit, offset=offset))
 
@@ -280,7 +280,7 @@ def fetch_by_ids(spark, sf):
 
 @query
 def search_all(spark, sf):
-    return _search(spark, sf, fulltext.match_all("Anble éinble"))
+    return _search(spark, sf, fulltext.match_all("Ànble inblé"))
 
 
 @query
@@ -318,7 +318,7 @@ def search_filtered_page(spark, sf):
 
 @query
 def search_indexed(spark, sf):
-    docs = spread(views.documents(spark, sf), "id")
+    docs = views.documents(spark, sf, wide=True)
     match = fulltext.match_any("anble reble") & fulltext.match_none("inble")
     return _hits(fulltext.search_index(fulltext.build_index(docs), docs, match, limit=200))
 
@@ -326,7 +326,7 @@ def search_indexed(spark, sf):
 @query
 def index_terms(spark, sf):
     """Documents and occurrences per term of the index."""
-    index = fulltext.build_index(spread(views.documents(spark, sf), "id"))
+    index = fulltext.build_index(views.documents(spark, sf, wide=True))
     return index.postings.groupBy("term").agg(
         F.count_distinct("doc_id").alias("n_docs"), F.sum("tf").alias("occurrences"),
         F.min(F.col("positions")[0]).alias("first_position"),
@@ -336,7 +336,7 @@ def index_terms(spark, sf):
 # Answers -------------------------------------------------------------------------------------
 @query
 def answer_evidence(spark, sf):
-    docs = spread(views.documents(spark, sf), "id")
+    docs = views.documents(spark, sf, wide=True)
     found = answers.retrieve(docs, docs, "anble reble?", top_n=40)
     # One source row is missing, so that its documents are of an unknown source.
     return answers.compact_evidence(found, views.sources(spark).where("name <> 'reddit'"))
@@ -362,12 +362,12 @@ def cited_evidence(spark, sf):
 # Tagging -------------------------------------------------------------------------------------
 @query
 def tag_all(spark, sf):
-    return tag_documents(spread(views.documents(spark, sf), "id"), views.TAXONOMY)
+    return tag_documents(views.documents(spark, sf, wide=True), views.TAXONOMY)
 
 
 @query
 def tag_competitors(spark, sf):
-    rows = spread(views.table(spark, sf, "conversations"), "conv_id")
+    rows = views.table(spark, sf, "conversations", wide=True)
     turns = rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     return tag_documents(turns, views.TAXONOMY, types=["competitor"], text=F.col("text"), confidence=None)
 
@@ -378,7 +378,7 @@ _MIN_CHARS = 400
 
 def _waiting(spark, sf) -> DataFrame:
     return enrich.candidates(
-        views.documents(spark, sf).drop("platform"), views.enrichments(spark, sf), views.sources(spark), limit=None
+        views.documents(spark, sf, wide=True).drop("platform"), views.enrichments(spark, sf), views.sources(spark), limit=None
     )
 
 
@@ -402,14 +402,14 @@ def rule_enrichment(spark, sf):
 
 @query
 def scored_by_plugin(spark, sf):
-    rows = enrich.prepare(spread(_waiting(spark, sf), "id"), min_chars=_MIN_CHARS)
+    rows = enrich.prepare(_waiting(spark, sf), min_chars=_MIN_CHARS)
     replies = enrich.score(rows.where("NOT is_short"), enrich.rule_scorer, batch_size=200)
     return replies.select("document_id", *enrich.clean_reply("rules"), "status")
 
 
 @query
 def enrichment_stats(spark, sf):
-    rows = enrich.prepare(spread(_waiting(spark, sf), "id"), min_chars=_MIN_CHARS)
+    rows = enrich.prepare(_waiting(spark, sf), min_chars=_MIN_CHARS)
     replies = enrich.score(rows.where("NOT is_short"), enrich.rule_scorer, batch_size=200)
     short = rows.where("is_short").select(F.lit("short").alias("status"), F.lit(False).alias("failed_batch"))
     return enrich.statistics(short.unionByName(replies.select("status", "failed_batch")))
@@ -431,7 +431,7 @@ def classifier_reply_clean(spark, sf):
         F.to_json(F.struct(F.array(F.struct(earlier["document_id"].alias("document_id"), earlier["sentiment_label"].alias("sentiment_label"),
                                             *[F.lit(None).cast(t).alias(n) for n, t in (("primary_issue_category", "string"), ("feature_request_flag", "boolean"), ("competitor_mentions", "array<string>"), ("summary_snippet", "string"))]), item).alias("documents")))
     )
-    replies = views.table(spark, sf, "documents").select(i.alias("batch_id"), reply.alias("reply"))
+    replies = views.table(spark, sf, "documents", wide=True).select(i.alias("batch_id"), reply.alias("reply"))
     parsed = enrich.last_reply(enrich.parse_replies(replies), "batch_id", "position")
     return parsed.select("document_id", *enrich.clean_reply("model-a"))
 
@@ -439,7 +439,7 @@ def classifier_reply_clean(spark, sf):
 # Dedupe and URLs -----------------------------------------------------------------------------
 @query
 def dedupe_fallback_key(spark, sf):
-    docs = views.documents(spark, sf)
+    docs = views.documents(spark, sf, wide=True)
     external = F.when(F.col("source_id") == 1, F.col("external_id")).when(F.col("source_id") == 2, "")
     return docs.select(
         "id",
@@ -507,7 +507,7 @@ def blocked_pages(spark, sf):
 
 # Pages ---------------------------------------------------------------------------------------
 def _pages(spark, sf) -> DataFrame:
-    return spread(views.table(spark, sf, "pages"), "page_id")
+    return views.table(spark, sf, "pages", wide=True)
 
 
 def _linked_pages(spark, sf) -> DataFrame:
@@ -592,7 +592,7 @@ def conversation_comments(spark, sf) -> DataFrame:
 
 def document_submissions(spark, sf) -> DataFrame:
     """Documents as posts of the community of their source column."""
-    return views.documents(spark, sf).select(
+    return views.documents(spark, sf, wide=True).select(
         F.col("external_id").alias("id"), "title", F.col("body").alias("selftext"),
         F.col("community_or_channel").alias("subreddit"), "author",
         F.unix_timestamp("published_at").cast("double").alias("created_utc"),
@@ -741,7 +741,7 @@ def _xml(tag: str, body: Column, attributes: str = "") -> Column:
 
 @query
 def atom_entries(spark, sf):
-    d = views.documents(spark, sf)
+    d = views.documents(spark, sf, wide=True)
     i = F.col("external_id")
     day = F.date_format(F.coalesce("published_at", "created_at"), "yyyy-MM-dd'T'HH:mm:ss")
     entry = _xml("entry", F.concat(
@@ -762,7 +762,7 @@ def atom_entries(spark, sf):
 
 @query
 def rss_items(spark, sf):
-    d = views.documents(spark, sf)
+    d = views.documents(spark, sf, wide=True)
     i = F.col("external_id")
     item = _xml("item", F.concat(
         F.when(F.col("id") % 3 == 0, _xml("guid", F.concat(F.lit("https://x.example.com/g/"), i, F.lit("/")))).otherwise(""),
@@ -787,7 +787,7 @@ def _date_texts(spark, sf) -> DataFrame:
         F.unix_timestamp(t).cast("string"), F.lit("not a date"), F.lit(""),
     ]
     form = F.element_at(F.array(*forms), (F.col("id") % 7 + 1).cast("int"))
-    return views.documents(spark, sf).select("id", form.alias("date_text"))
+    return views.documents(spark, sf, wide=True).select("id", form.alias("date_text"))
 
 
 @query
@@ -805,8 +805,8 @@ def ingest_window(spark, sf):
 
 @query
 def clean_text(spark, sf):
-    docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    turns = views.table(spark, sf, "conversations").select((-F.col("conv_id") * 100 - F.col("turn") - 1).alias("id"),
+    docs = views.table(spark, sf, "documents", wide=True).select(F.col("doc_id").alias("id"), "text")
+    turns = views.table(spark, sf, "conversations", wide=True).select((-F.col("conv_id") * 100 - F.col("turn") - 1).alias("id"),
         F.when(F.col("turn") == 3, F.lit(" [Removed]\n")).when(F.col("turn") == 4, "N/A").otherwise(F.col("text")).alias("text"))
     c = F.col("text")
     return docs.unionByName(turns).select(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxlake import constants as K
 from voxlake.operators.filters import Corpus
 from voxlake.operators.tagging import Taxonomy, tag_documents
+from voxlake.sources.tables import spread
 
 PLATFORMS = (K.REDDIT, K.GOOGLE_PLAY, K.WEB_REVIEWS)
 
@@ -25,8 +26,20 @@ TAXONOMY = Taxonomy.of(
 )
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "benchmark": "item_id long, text string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
+def table(spark: SparkSession, sf: str, name: str, *, wide: bool = False) -> DataFrame:
+    """A driver table. `wide` is for work that is heavy per row: see `spread`."""
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
+    return spread(rows, SCHEMAS[name].split()[0]) if wide else rows
 
 
 def sources(spark: SparkSession) -> DataFrame:
@@ -34,11 +47,11 @@ def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id long, platform string, external_id string, name string")
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
+def documents(spark: SparkSession, sf: str, *, wide: bool = False) -> DataFrame:
     i = F.col("doc_id")
     platform = F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]), (i % 3 + 1).cast("int"))
     rating = F.when(i % 6 != 0, i % 6)
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", wide=wide).select(
         i.alias("id"),
         (1 + i % 3).alias("source_id"),
         i.cast("string").alias("external_id"),
@@ -95,11 +108,14 @@ def enrichments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def corpus(spark: SparkSession, sf: str) -> Corpus:
-    docs = documents(spark, sf)
+def tags(spark: SparkSession, sf: str) -> DataFrame:
+    return tag_documents(documents(spark, sf, wide=True), TAXONOMY)
+
+
+def corpus(spark: SparkSession, sf: str, *, with_tags: bool = False) -> Corpus:
     return Corpus(
-        documents=docs,
+        documents=documents(spark, sf),
         sources=sources(spark),
-        tags=tag_documents(docs, TAXONOMY),
+        tags=tags(spark, sf) if with_tags else None,
         enrichments=enrichments(spark, sf),
     )
