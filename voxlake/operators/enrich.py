@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voxlake import constants as K
 from voxlake.functions import labels
 from voxlake.functions.text import prepared_text, strip
+from voxlake.operators.ranking import add_columns, narrow
 
 MIN_TEXT_CHARS = 15
 MAX_TEXT_CHARS = 3500
@@ -35,12 +36,11 @@ def candidates(documents: DataFrame, enrichments: DataFrame, sources: DataFrame,
                limit: int | None = 100) -> DataFrame:
     """Documents without enrichment, oldest first; `limit=None` takes all of them in one run."""
     names = sources.select(F.col("id").alias("source_id"), F.col("platform").alias("source_platform"))
-    rows = (
-        without_enrichment(documents, enrichments)
-        .join(names, "source_id")
-        .select("id", "title", "body", F.col("source_platform").alias("platform"), "rating")
-    )
-    return rows if limit is None else rows.orderBy("id").limit(max(1, limit))
+    rows = without_enrichment(documents, enrichments).join(names, "source_id")
+    if limit is not None:
+        few = rows.select(*narrow(rows, "id", "source_platform", "rating")).orderBy("id").limit(max(1, limit))
+        rows = add_columns(few, documents, ["title", "body"]).orderBy("id")
+    return rows.select("id", "title", "body", F.col("source_platform").alias("platform"), "rating")
 
 
 def prepare(rows: DataFrame, *, min_chars: int = MIN_TEXT_CHARS, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:

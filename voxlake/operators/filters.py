@@ -96,9 +96,24 @@ def date_predicates(filters: Filters, mode: DateMode) -> list[Column]:
     return out
 
 
-def column_predicates(filters: Filters, mode: DateMode) -> list[Column]:
-    """Predicates on the documents table alone."""
+def month_predicates(filters: Filters) -> list[Column]:
+    """The same range on the partition column, so that whole months are left out of the scan."""
+    def month(text: str) -> Column:
+        return F.date_format(F.try_to_timestamp(F.lit(text)), "yyyy-MM")
+
     out = []
+    if filters.date_from:
+        out.append(F.col("event_month") >= month(filters.date_from))
+    if filters.date_to:
+        out.append(F.col("event_month") <= month(filters.date_to))
+    return out
+
+
+def apply_column_filters(documents: DataFrame, filters: Filters, mode: DateMode) -> DataFrame:
+    """Filters on the documents table alone."""
+    predicates = date_predicates(filters, mode)
+    if "event_month" in documents.columns:
+        predicates += month_predicates(filters)
     for column, wanted in (
         ("subreddit", filters.subreddit),
         ("community_or_channel", filters.web_domain),
@@ -106,8 +121,10 @@ def column_predicates(filters: Filters, mode: DateMode) -> list[Column]:
         ("rating", filters.rating),
     ):
         if wanted:
-            out.append(F.col(column) == F.lit(wanted))
-    return out + date_predicates(filters, mode)
+            predicates.append(F.col(column) == F.lit(wanted))
+    for predicate in predicates:
+        documents = documents.where(predicate)
+    return documents
 
 
 def with_sources(documents: DataFrame, sources: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -131,17 +148,19 @@ def with_sentiment(documents: DataFrame, enrichments: DataFrame, label: str) ->
     return documents.join(wanted, "id", "left_semi")
 
 
-def apply_filters(corpus: Corpus, filters: Filters, mode: DateMode) -> DataFrame:
-    docs = corpus.documents
-    for predicate in column_predicates(filters, mode):
-        docs = docs.where(predicate)
+def apply_semi_joins(documents: DataFrame, corpus: Corpus, filters: Filters) -> DataFrame:
+    """Filters on other tables. Large texts are best left out of `documents` here."""
     if filters.sources:
-        docs = with_sources(docs, corpus.sources, filters.sources)
+        documents = with_sources(documents, corpus.sources, filters.sources)
     for tag_type, values in filters.tags.items():
-        docs = with_tags(docs, corpus.tags, tag_type, values)
+        documents = with_tags(documents, corpus.tags, tag_type, values)
     if filters.sentiment_label:
-        docs = with_sentiment(docs, corpus.enrichments, filters.sentiment_label)
-    return docs
+        documents = with_sentiment(documents, corpus.enrichments, filters.sentiment_label)
+    return documents
+
+
+def apply_filters(corpus: Corpus, filters: Filters, mode: DateMode) -> DataFrame:
+    return apply_semi_joins(apply_column_filters(corpus.documents, filters, mode), corpus, filters)
 
 
 def issue_category() -> Column:

@@ -4,10 +4,9 @@ The body counts twice, as the index of the feedback store holds it in two column
 (documents, mean length, documents per search unit) always cover the whole corpus; metadata filters
 only narrow what is ranked.
 
-There are two ways to the same scores. `search` reads the texts: one pass for the corpus figures, one
-over the filtered documents, no shuffle but the final top-k. `search_index` reads an index written
-once by `build_index`: only the buckets of the query's terms are scanned, and only their postings are
-shuffled, by document.
+There are two ways to the same scores. `score_texts` reads the texts: one pass for the corpus figures,
+one over the candidates, no shuffle. `score_index` reads an index written once by `build_index`: only
+the buckets of the query's terms are scanned, and only their postings are shuffled, by document.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from voxlake import constants as K
 from voxlake.functions.dates import event_time
 from voxlake.functions.text import fold, tokens
-from voxlake.operators.ranking import page
+from voxlake.operators.ranking import add_columns, narrow, page
 
 BUCKETS = 256
 BUCKET_SALTS = 16
@@ -182,23 +181,24 @@ def score_texts(documents: DataFrame, candidates: DataFrame, match: Match) -> Da
     )
 
 
-def ordered_page(scored: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Best score first, then latest, then highest id; 1 to 200 rows."""
-    order = [F.asc("fts_score"), F.desc_nulls_last(event_time()), F.desc("id")]
-    rows = page(scored, order, max(1, min(limit, K.MAX_PAGE_ROWS)), max(0, offset))
-    return rows.select(*[c for c in RESULT_COLUMNS if c in rows.columns], "fts_score")
+_ORDER = (F.asc_nulls_first, "fts_score"), (F.desc_nulls_last, "_time"), (F.desc, "id")
 
 
-def browse(candidates: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """No query: latest first, without a score."""
-    return ordered_page(candidates.withColumn("fts_score", F.lit(None).cast("double")), limit, offset)
+def ranked_page(scored: DataFrame, documents: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """Best score first, then latest, then highest id; 1 to 200 rows.
+
+    `scored` needs no more than id, times and `fts_score`; the page gets its other columns last.
+    """
+    order = [direction(name) for direction, name in _ORDER]
+    rows = scored.withColumn("_time", event_time()).select(*narrow(scored, "id", "_time", "fts_score"))
+    top = page(rows, order, max(1, min(limit, K.MAX_PAGE_ROWS)), max(0, offset))
+    wide = [c for c in RESULT_COLUMNS if c != "id"]
+    return add_columns(top, documents, wide).orderBy(*order).select(*RESULT_COLUMNS, "fts_score")
 
 
-def search(documents: DataFrame, candidates: DataFrame, match: Match, *, limit: int = 20,
-           offset: int = 0) -> DataFrame:
-    if not match.units:
-        return browse(candidates, limit, offset)
-    return ordered_page(score_texts(documents, candidates, match), limit, offset)
+def unscored(candidates: DataFrame) -> DataFrame:
+    """No query: every candidate, without a score."""
+    return candidates.withColumn("fts_score", F.lit(None).cast("double"))
 
 
 # Search over a written index -----------------------------------------------------------------------
@@ -291,10 +291,8 @@ def _phrase_count(unit: Unit, places: dict[str, Column], tail: Column) -> Column
     return F.size(F.filter(places[first], starts_here))
 
 
-def search_index(index: Index, candidates: DataFrame, match: Match, *, limit: int = 20,
-                 offset: int = 0) -> DataFrame:
-    if not match.units:
-        return browse(candidates, limit, offset)
+def score_index(index: Index, match: Match) -> DataFrame:
+    """(id, fts_score) of all matching documents."""
     none = F.array().cast("array<int>")
     terms = sorted({w for u in match.units for w in (u.words[:-1] if u.prefix else u.words)})
     names = {w: f"_w{i}" for i, w in enumerate(terms)}
@@ -323,11 +321,10 @@ def search_index(index: Index, candidates: DataFrame, match: Match, *, limit: in
     weighted = _unit_columns(len(match.units))
     found = hits.agg(*_found_per_unit(weighted)).select(F.struct("*")).scalar()
     whole = index.corpus.select(F.struct("*")).scalar()
-    scored = (
+    return (
         hits.where(_matches(match, weighted))
         .join(index.doc_stats.withColumnRenamed("doc_id", "id"), "id")
         .withColumns({"_found": found, "_whole": whole})
         .withColumn("_figures", F.struct("_whole.*", "_found.*"))
         .select("id", _bm25(weighted, F.col("dl"), F.col("_figures")).alias("fts_score"))
     )
-    return ordered_page(candidates.join(scored, "id"), limit, offset)

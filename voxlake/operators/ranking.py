@@ -65,3 +65,19 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
     """One page of an ordered result."""
     ordered = df.orderBy(*order)
     return (ordered.offset(offset) if offset > 0 else ordered).limit(limit)
+
+
+def add_columns(top: DataFrame, documents: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Wide columns for the few rows of a finished report, by document id.
+
+    Reports rank narrow rows first, so that texts never travel through their joins. `top` ends in a
+    limit of at most some hundred rows, which bounds what is broadcast; its months, where known,
+    prune the second scan.
+    """
+    keys = [k for k in ("id", "event_month") if k in top.columns and k in documents.columns]
+    return documents.select(*keys, *columns).join(F.broadcast(top), keys)
+
+
+def narrow(df: DataFrame, *columns: str) -> list[str]:
+    """The given columns and the partition column, where there is one."""
+    return [*columns, *[c for c in ("event_month",) if c in df.columns]]

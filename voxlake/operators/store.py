@@ -61,27 +61,36 @@ def number_rows(rows: DataFrame, order: str, start: int) -> tuple[DataFrame, int
     starts = rows.sparkSession.createDataFrame(
         [(part, start + offset) for (part, _), offset in zip(counts, offsets)], "_part int, _start long"
     )
-    numbered = placed.join(starts, "_part").withColumn("id", F.col("_start") + F.col("_row"))
+    # One row per partition of the sort: small enough to broadcast whatever the table holds.
+    numbered = placed.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_row"))
     return numbered.drop("_part", "_row", "_start"), offsets[-1]
 
 
 def insert_documents(store: Store, docs: DataFrame, source_id: int, *, now: datetime,
-                     taxonomy: Taxonomy | None = None, order: str = "arrival") -> int:
+                     taxonomy: Taxonomy | None = None, stage: bool = False) -> int:
     """Insert canonical documents, ignoring known ones; the first arrival wins. Tags them as well.
 
-    A rerun after a failure inserts nothing twice; `retag` fills in tags a failed run left out.
+    Copies are found and ids given on keys alone; the texts are joined to their ids at the end, in
+    one shuffle. That reads the input twice: `stage` writes it to the shared folder first, where
+    making it is dear. A rerun after a failure inserts nothing twice; `retag` fills in tags a failed
+    run left out.
     """
-    stored = store.read("documents")
     incoming = stored_columns(docs).withColumn("source_id", F.lit(source_id).cast("long"))
+    if stage:
+        incoming = cut_lineage(incoming)
+    stored = store.read("documents")
+    keys = ["source_id", "external_id", "dedupe_key"]
     new = new_documents(
-        incoming, stored.select("dedupe_key", "source_id", "external_id"), [F.asc(order)], row_id=order
+        incoming.select("arrival", *keys), stored.select(*keys), [F.asc("arrival")], row_id="arrival"
     )
     last = stored.agg(F.max("id")).first()[0] or 0
-    numbered, inserted = number_rows(new.withColumn("created_at", F.lit(now)), order, last + 1)
+    numbered, inserted = number_rows(new.select("arrival"), "arrival", last + 1)
     if inserted:
-        store.append("documents", numbered)
+        rows = incoming.join(numbered, "arrival").withColumn("created_at", F.lit(now))
+        store.append("documents", rows)
         if taxonomy is not None:
-            insert_tags(store, tag_documents(numbered, taxonomy), now=now)
+            own = store.read("documents").where(F.col("id").between(last + 1, last + inserted))
+            insert_tags(store, tag_documents(own, taxonomy), now=now)
     return inserted
 
 

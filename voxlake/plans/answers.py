@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake import constants as K
 from voxlake.functions.dates import event_time
 from voxlake.functions.text import blank_to_null, strip
 from voxlake.operators import fulltext
+from voxlake.operators.filters import Corpus
+from voxlake.plans.explore import search_documents
 
 
-def retrieve(documents: DataFrame, candidates: DataFrame, question: str, *,
-             top_n: int | None = None) -> DataFrame:
+def retrieve(corpus: Corpus, question: str, filters: Mapping[str, Any] | None = None, *,
+             top_n: int | None = None, index: fulltext.Index | None = None) -> DataFrame:
     """First page of a search for all words of the question, 1 to 25 rows."""
     limit = max(1, min(top_n or K.EVIDENCE_ROWS, K.MAX_ANSWER_EVIDENCE))
-    return fulltext.search(documents, candidates, fulltext.match_all(question), limit=limit)
+    return search_documents(corpus, question, filters, limit=limit, index=index)
 
 
 def compact_evidence(rows: DataFrame, sources: DataFrame) -> DataFrame:

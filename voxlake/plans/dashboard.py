@@ -10,7 +10,7 @@ from voxlake import constants as K
 from voxlake.functions.dates import event_day, event_time
 from voxlake.functions.labels import severity
 from voxlake.operators.filters import Corpus, DateMode, Filters, apply_filters, issue_category
-from voxlake.operators.ranking import page
+from voxlake.operators.ranking import add_columns, narrow, page
 from voxlake.plans.insights import enriched
 
 _DAY = DateMode.COALESCED_DAY
@@ -51,21 +51,20 @@ def sentiment_split(corpus: Corpus, filters: Filters | None = None) -> DataFrame
 def ranked_complaints(corpus: Corpus, filters: Filters | None = None) -> DataFrame:
     """The hundred gravest documents, latest first among equals."""
     filters = filters or Filters()
-    rows = enriched(corpus, filters, _DAY).select(
-        "id",
-        event_time().alias("published_at"),
-        "title",
-        "body",
-        "url",
-        issue_category().alias("issue_category"),
-        F.coalesce("sentiment_label", F.lit("neutral")).alias("sentiment_label"),
-    )
+    rows = enriched(corpus, filters, _DAY)
+    ranked = rows.withColumns(
+        {
+            "published_at": event_time(),
+            "issue_category": issue_category(),
+            "sentiment_label": F.coalesce("sentiment_label", F.lit("neutral")),
+        }
+    ).select(*narrow(rows, "id", "published_at", "issue_category", "sentiment_label"))
     if filters.issue_category:
-        rows = rows.where(F.col("issue_category") == filters.issue_category)
-    return page(
-        rows.withColumn("severity_rank", severity(F.col("sentiment_label"))),
-        [F.desc("severity_rank"), F.desc_nulls_last("published_at"), F.desc("id")],
-        K.RANKED_COMPLAINTS,
+        ranked = ranked.where(F.col("issue_category") == filters.issue_category)
+    order = [F.desc("severity_rank"), F.desc_nulls_last("published_at"), F.desc("id")]
+    top = page(ranked.withColumn("severity_rank", severity(F.col("sentiment_label"))), order, K.RANKED_COMPLAINTS)
+    return add_columns(top, corpus.documents, ["title", "body", "url"]).orderBy(*order).select(
+        "id", "published_at", "title", "body", "url", "issue_category", "sentiment_label", "severity_rank"
     )
 
 

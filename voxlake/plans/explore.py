@@ -8,17 +8,30 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from voxlake.operators import fulltext
-from voxlake.operators.filters import Corpus, DateMode, Filters, apply_filters
+from voxlake.operators.filters import (
+    Corpus, DateMode, Filters, apply_column_filters, apply_semi_joins,
+)
+from voxlake.operators.ranking import narrow
 
 
 def search_documents(corpus: Corpus, query: str | fulltext.Match, filters: Mapping[str, Any] | None = None, *,
                      limit: int = 20, offset: int = 0, index: fulltext.Index | None = None) -> DataFrame:
-    """One page of ranked search; without any word in the query, the latest documents."""
-    match = fulltext.match_all(query or "") if not isinstance(query, fulltext.Match) else query
-    found = apply_filters(corpus, Filters.of(filters), DateMode.STRICT_INSTANT)
-    if index is not None:
-        return fulltext.search_index(index, found, match, limit=limit, offset=offset)
-    return fulltext.search(corpus.documents, found, match, limit=limit, offset=offset)
+    """One page of ranked search; without any word in the query, the latest documents.
+
+    Column filters reach the scan; scoring follows where the texts lie; joins and ranking then handle
+    ids, times and scores only.
+    """
+    match = query if isinstance(query, fulltext.Match) else fulltext.match_all(query or "")
+    chosen = Filters.of(filters)
+    found = apply_column_filters(corpus.documents, chosen, DateMode.STRICT_INSTANT)
+    slim = narrow(found, "id", "source_id", "published_at", "created_at")
+    if not match.units:
+        scored = fulltext.unscored(found.select(*slim))
+    elif index is None:
+        scored = fulltext.score_texts(corpus.documents, found, match).select(*slim, "fts_score")
+    else:
+        scored = found.select(*slim).join(fulltext.score_index(index, match), "id")
+    return fulltext.ranked_page(apply_semi_joins(scored, corpus, chosen), corpus.documents, limit, offset)
 
 
 def documents_by_ids(documents: DataFrame, ids: Sequence[int]) -> DataFrame:

@@ -14,7 +14,7 @@ from voxlake.functions.dates import event_day, event_time
 from voxlake.operators.filters import (
     Corpus, DateMode, Filters, apply_filters, issue_category, link_or_anchor,
 )
-from voxlake.operators.ranking import page
+from voxlake.operators.ranking import add_columns, narrow, page
 
 _LABEL = "sentiment_label"
 
@@ -107,15 +107,13 @@ def daily_metrics(rows: DataFrame) -> DataFrame:
 
 
 # Evidence ------------------------------------------------------------------------------------
-def evidence(rows: DataFrame, sources: DataFrame, limit: int = K.EVIDENCE_ROWS) -> DataFrame:
+def evidence(rows: DataFrame, corpus: Corpus, limit: int = K.EVIDENCE_ROWS) -> DataFrame:
     """The latest rows behind a report."""
-    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
-    top = page(
-        rows.join(names, "source_id").withColumn("date", event_time()),
-        [F.desc_nulls_last("date"), F.desc("id")],
-        max(1, limit),
-    )
-    return top.select(
+    names = corpus.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
+    order = [F.desc_nulls_last("date"), F.desc("id")]
+    dated = rows.withColumn("date", event_time()).select(*narrow(rows, "id", "source_id", "date", "summary"))
+    top = page(dated.join(names, "source_id"), order, max(1, limit)).drop("source_id")
+    return add_columns(top, corpus.documents, ["title", "url", "body"]).orderBy(*order).select(
         F.col("id").alias("doc_id"),
         "title",
         "url",
@@ -179,7 +177,7 @@ def sentiment_insight(corpus: Corpus, filters: Filters | None = None) -> dict[st
         "summary": sentiment_summary(totals),
         "totals": totals,
         "daily_sentiment_trend": sentiment_trend(rows),
-        "evidence": evidence(unhappy(rows), corpus.sources),
+        "evidence": evidence(unhappy(rows), corpus),
     }
 
 
@@ -192,7 +190,7 @@ def complaints_insight(corpus: Corpus, filters: Filters | None = None) -> dict[s
         "totals": count,
         "top_issue_categories": categories,
         "daily_complaint_trend": count_trend(rows, "complaint_count"),
-        "evidence": evidence(rows, corpus.sources),
+        "evidence": evidence(rows, corpus),
     }
 
 
@@ -204,7 +202,7 @@ def feature_requests_insight(corpus: Corpus, filters: Filters | None = None) ->
         "totals": count,
         "top_requested_features": features,
         "daily_feature_request_trend": count_trend(rows, "feature_request_count"),
-        "evidence": evidence(rows, corpus.sources),
+        "evidence": evidence(rows, corpus),
     }
 
 

@@ -35,12 +35,15 @@ def grid_documents(raw: DataFrame, communities: Sequence[str], keywords: Sequenc
     """
     known = raw.where(F.col("subreddit").isin(*communities))
     window = ingest.in_epoch_window(known, start, end)
-    hits = ingest.capped_hits(ingest.grid_hits(window, keywords))
+    slim = ["id", "subreddit", "created_utc", "arrival"]
+    hits = ingest.capped_hits(ingest.grid_hits(window, keywords).select(*slim, "keyword"))
     quiet = window.join(hits.select("subreddit").distinct(), "subreddit", "left_anti")
     recents = ingest.keyword_or_recent(quiet, keywords, include_recent=include_recent)
-    found = hits.drop("keyword").unionByName(recents.select(*[c for c in hits.columns if c != "keyword"]))
-    once = keep_first(found, ["id", "arrival"], [F.asc("arrival")])
-    return normalize.submissions(keep_first(once, ["id"], [F.asc("arrival")], row_id="arrival"), keep=("arrival",))
+    found = hits.select(*slim).unionByName(recents.select(*slim)).dropDuplicates(["arrival"])
+    once = keep_first(found, ["id"], [F.asc("arrival")], row_id="arrival")
+    # Posts were chosen on keys; their texts are read for the chosen ones alone.
+    chosen = known.join(once.select("arrival"), "arrival", "left_semi")
+    return normalize.submissions(chosen, keep=("arrival",))
 
 
 def post_and_comment_documents(posts: DataFrame, comments: DataFrame, keywords: Sequence[str], *,
@@ -178,10 +181,12 @@ def first_available(chain: Sequence[tuple[str, Reader]], diagnostics: Diagnostic
 def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], *,
                      clock: Callable[[], datetime], taxonomy: Taxonomy | None = None,
                      config: Mapping[str, Any] | None = None,
-                     fetch_diagnostics: Callable[[], Mapping[str, Any]] | None = None) -> dict[str, int]:
+                     fetch_diagnostics: Callable[[], Mapping[str, Any]] | None = None,
+                     stage: bool = False) -> dict[str, int]:
     """Fetch, dedupe, insert and record one platform's documents.
 
-    Each reader of the chain returns canonical documents with their `arrival`.
+    Each reader of the chain returns canonical documents with their `arrival`; `stage` is for
+    documents that are dear to make, see `insert_documents`.
     """
     started = clock()
     report = Diagnostics(platform, backend_requested=chain[0][0] if chain else None, config=config or {})
@@ -189,16 +194,17 @@ def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Rea
     run_id = start_run(store, "ingestion_runs", now=started, source_name=platform,
                        records_fetched=0, records_inserted=0)
     fetched = inserted = 0
-    stage = "fetch"
+    step = "fetch"
     try:
         docs = first_available(chain, report)
         if fetch_diagnostics is not None:
             report.fetch = dict(fetch_diagnostics())
-        stage = "insert"
+        step = "insert"
         # The count rides along with the insert instead of reading the source once more.
         seen = Observation()
         inserted = insert_documents(
-            store, docs.observe(seen, F.count("*").alias("docs")), source_id, now=started, taxonomy=taxonomy
+            store, docs.observe(seen, F.count("*").alias("docs")), source_id, now=started,
+            taxonomy=taxonomy, stage=stage,
         )
         fetched = seen.get["docs"]
         report.passed("fetch")
@@ -214,7 +220,7 @@ def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Rea
         status = "completed"
         return {"records_fetched": fetched, "records_inserted": inserted}
     except Exception as error:
-        report.failed(stage, error)
+        report.failed(step, error)
         status = "failed"
         raise
     finally:

@@ -48,18 +48,16 @@ class Store:
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Append rows in the table's own column order and types; missing columns become NULL."""
-        schema = TABLES[table]
+        if table == "documents":
+            month = F.date_format(F.coalesce("published_at", "created_at"), "yyyy-MM")
+            rows = rows.withColumn("event_month", month)
         shaped = rows.select(
             *[
                 (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in schema.fields
+                for f in TABLES[table].fields
             ]
         )
-        writer = shaped
-        if table == "documents":
-            month = F.date_format(F.coalesce("published_at", "created_at"), "yyyy-MM")
-            writer = shaped.withColumn("event_month", month)
-        writer.write.mode("append").partitionBy(*PARTITION_COLUMNS.get(table, [])).parquet(self.path(table))
+        shaped.write.mode("append").partitionBy(*PARTITION_COLUMNS.get(table, [])).parquet(self.path(table))
 
     def corpus(self) -> Corpus:
         return Corpus(

@@ -120,13 +120,13 @@ def daily_metrics(spark, sf):
 @query
 def evidence_negative(spark, sf):
     corpus = views.corpus(spark, sf)
-    return insights.evidence(insights.unhappy(insights.enriched(corpus, period())), corpus.sources)
+    return insights.evidence(insights.unhappy(insights.enriched(corpus, period())), corpus)
 
 
 @query
 def evidence_features(spark, sf):
     corpus = views.corpus(spark, sf)
-    return insights.evidence(insights.feature_requests(corpus, period()), corpus.sources, 20)
+    return insights.evidence(insights.feature_requests(corpus, period()), corpus, 20)
 
 
 @query
@@ -320,7 +320,10 @@ def search_filtered_page(spark, sf):
 def search_indexed(spark, sf):
     docs = views.documents(spark, sf, wide=True)
     match = fulltext.match_any("anble reble") & fulltext.match_none("inble")
-    return _hits(fulltext.search_index(fulltext.build_index(docs), docs, match, limit=200))
+    found = explore.search_documents(
+        Corpus(docs, views.sources(spark)), match, limit=200, index=fulltext.build_index(docs)
+    )
+    return _hits(found)
 
 
 @query
@@ -337,7 +340,7 @@ def index_terms(spark, sf):
 @query
 def answer_evidence(spark, sf):
     docs = views.documents(spark, sf, wide=True)
-    found = answers.retrieve(docs, docs, "anble reble?", top_n=40)
+    found = answers.retrieve(Corpus(docs, views.sources(spark)), "anble reble?", top_n=40)
     # One source row is missing, so that its documents are of an unknown source.
     return answers.compact_evidence(found, views.sources(spark).where("name <> 'reddit'"))
 
@@ -938,7 +941,7 @@ def web_ingest_end_to_end(spark, sf):
     crawled = _pages(spark, sf).select("page_id", "url", dated.alias("html"))
     start, end = (F.lit(d).cast("timestamp") for d in ("2024-01-01", "2024-03-01"))
     articles = jobs.article_documents(crawled.withColumn("arrival", F.col("page_id")), start=start, end=end)
-    jobs.refresh_platform(store, K.WEB_REVIEWS, [("pages", lambda: articles)], clock=_clock)
+    jobs.refresh_platform(store, K.WEB_REVIEWS, [("pages", lambda: articles)], clock=_clock, stage=True)
     return store.read("documents").select("id", "external_id", "community_or_channel", "published_at")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from voxlake import constants as K
 from voxlake.operators.filters import Corpus
@@ -47,64 +47,46 @@ def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id long, platform string, external_id string, name string")
 
 
+_PLATFORM = "element_at(array('reddit', 'google_play', 'web_reviews'), cast(doc_id % 3 + 1 AS int))"
+_RATING = "CASE WHEN doc_id % 6 <> 0 THEN doc_id % 6 END"
+_LABEL = ("CASE WHEN quality = 1 AND toxic = 1 THEN 'mixed' WHEN toxic = 1 THEN 'negative' "
+          "WHEN quality = 1 THEN 'positive' ELSE 'neutral' END")
+_CATEGORIES = ", ".join(f"'{c}'" for c in K.ISSUE_CATEGORIES)
+_CATEGORY = f"CASE WHEN doc_id % 13 <> 0 THEN element_at(array({_CATEGORIES}), cast(doc_id % 9 + 1 AS int)) END"
+
+
 def documents(spark: SparkSession, sf: str, *, wide: bool = False) -> DataFrame:
-    i = F.col("doc_id")
-    platform = F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]), (i % 3 + 1).cast("int"))
-    rating = F.when(i % 6 != 0, i % 6)
-    return table(spark, sf, "documents", wide=wide).select(
-        i.alias("id"),
-        (1 + i % 3).alias("source_id"),
-        i.cast("string").alias("external_id"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
-        F.col("text").alias("body"),
-        F.concat(F.lit("user"), (i % 97).cast("string")).alias("author"),
-        F.concat(F.lit("https://"), platform, F.lit(".example.com/reviews/"), i.cast("string")).alias("url"),
-        F.when(
-            i % 11 != 0,
-            F.lit("2024-01-01").cast("timestamp")
-            + F.make_dt_interval((i % 60).cast("int"), (i % 24).cast("int")),
-        ).alias("published_at"),
-        F.lit("2024-03-15").cast("timestamp").alias("created_at"),
-        F.to_json(
-            F.struct(
-                platform.alias("platform"),
-                rating.alias("rating"),
-                F.col("lang").alias("subreddit"),
-                F.col("source").alias("community_or_channel"),
-            )
-        ).alias("raw_json"),
-        F.col("lang").alias("subreddit"),
-        F.col("source").alias("community_or_channel"),
-        rating.alias("rating"),
-        platform.alias("platform"),
+    return table(spark, sf, "documents", wide=wide).selectExpr(
+        "doc_id AS id",
+        "1 + doc_id % 3 AS source_id",
+        "cast(doc_id AS string) AS external_id",
+        "split_part(text, '\n', 1) AS title",
+        "text AS body",
+        "concat('user', doc_id % 97) AS author",
+        f"concat('https://', {_PLATFORM}, '.example.com/reviews/', doc_id) AS url",
+        "CASE WHEN doc_id % 11 <> 0 THEN timestamp '2024-01-01' "
+        "+ make_dt_interval(cast(doc_id % 60 AS int), cast(doc_id % 24 AS int)) END AS published_at",
+        "timestamp '2024-03-15' AS created_at",
+        f"to_json(named_struct('platform', {_PLATFORM}, 'rating', {_RATING}, 'subreddit', lang, "
+        "'community_or_channel', source)) AS raw_json",
+        "lang AS subreddit",
+        "source AS community_or_channel",
+        f"{_RATING} AS rating",
+        f"{_PLATFORM} AS platform",
     )
 
 
 def enrichments(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("doc_id")
-    quality, toxic = F.col("quality") == 1, F.col("toxic") == 1
-    label = (
-        F.when(quality & toxic, "mixed").when(toxic, "negative").when(quality, "positive").otherwise("neutral")
-    )
-    categories = F.array(*[F.lit(c) for c in K.ISSUE_CATEGORIES])
-    category = F.when(i % 13 != 0, F.element_at(categories, (i % 9 + 1).cast("int")))
-    flag = i % 4 == 0
-    # One part of the rows carries the label at the nested place only.
-    nested = i % 5 == 1
-    return table(spark, sf, "labels").select(
-        i.alias("document_id"),
-        F.when(i % 7 == 0, F.concat(F.lit("Summary of "), i.cast("string"))).alias("summary"),
-        label.alias("sentiment_label"),
-        category.alias("primary_issue_category"),
-        flag.alias("feature_request_flag"),
-        F.to_json(
-            F.struct(
-                F.when(~nested, label).alias("sentiment_label"),
-                F.when(nested, F.struct(label.alias("label"))).alias("sentiment"),
-                category.alias("primary_issue_category"),
-                flag.alias("feature_request_flag"),
-            )
-        ).alias("metadata_json"),
+    # One part of the rows carries the label at the nested place of the payload only.
+    return table(spark, sf, "labels").selectExpr(
+        "doc_id AS document_id",
+        "CASE WHEN doc_id % 7 = 0 THEN concat('Summary of ', doc_id) END AS summary",
+        f"{_LABEL} AS sentiment_label",
+        f"{_CATEGORY} AS primary_issue_category",
+        "doc_id % 4 = 0 AS feature_request_flag",
+        f"to_json(named_struct('sentiment_label', CASE WHEN doc_id % 5 <> 1 THEN {_LABEL} END, "
+        f"'sentiment', CASE WHEN doc_id % 5 = 1 THEN named_struct('label', {_LABEL}) END, "
+        f"'primary_issue_category', {_CATEGORY}, 'feature_request_flag', doc_id % 4 = 0)) AS metadata_json",
     )
 
 
