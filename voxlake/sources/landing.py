@@ -27,31 +27,34 @@ def _with_arrival(df: DataFrame) -> DataFrame:
     )
 
 
-def _nested_arrival(place: Column) -> Column:
-    return F.struct("arrival.*", place.alias("item"))
-
-
 def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return _with_arrival(spark.read.schema(schema).json(path))
 
 
+def _objects(spark: SparkSession, path: str, envelope: str, items: str) -> DataFrame:
+    """Items of an envelope as JSON texts, one row each. One odd item must not cost the others, so
+    each is parsed on its own."""
+    lines = _json(spark, path, T.StructType.fromDDL(envelope))
+    return lines.select("arrival", F.posexplode(items).alias("i", "item")).select(
+        F.col("item"), F.struct("arrival.*", F.col("i").alias("item")).alias("arrival")
+    )
+
+
+def _parsed(texts: DataFrame, item: Column) -> DataFrame:
+    """Submissions out of JSON texts; what is no object drops out."""
+    objects = texts.select(item.alias("item"), "arrival").where(F.ltrim("item").startswith("{"))
+    return objects.select(F.from_json("item", schemas.SUBMISSION).alias("s"), "arrival").select("s.*", "arrival")
+
+
 def submissions(spark: SparkSession, path: str) -> DataFrame:
-    """Record dumps: one `{"data": [submission, ...]}` per line; items that are no objects drop out."""
-    envelope = T.StructType([T.StructField("data", T.ArrayType(schemas.SUBMISSION))])
-    items = _json(spark, path, envelope).select("arrival", F.posexplode("data").alias("i", "item"))
-    return items.where(F.col("item").isNotNull()).select("item.*", _nested_arrival(F.col("i")).alias("arrival"))
+    """Record dumps: one `{"data": [submission, ...]}` per line."""
+    return _parsed(_objects(spark, path, "data array<string>", "data"), F.col("item"))
 
 
 def listings(spark: SparkSession, path: str) -> DataFrame:
     """Listing pages: `{"data": {"children": [{"data": submission}, ...]}}` per line."""
-    child = T.StructType([T.StructField("data", schemas.SUBMISSION)])
-    envelope = T.StructType(
-        [T.StructField("data", T.StructType([T.StructField("children", T.ArrayType(child))]))]
-    )
-    items = _json(spark, path, envelope).select("arrival", F.posexplode("data.children").alias("i", "item"))
-    return items.where(F.col("item.data").isNotNull()).select(
-        "item.data.*", _nested_arrival(F.col("i")).alias("arrival")
-    )
+    children = _objects(spark, path, "data struct<children: array<string>>", "data.children")
+    return _parsed(children, F.get_json_object("item", "$.data"))
 
 
 def flat_submissions(spark: SparkSession, path: str) -> DataFrame:
