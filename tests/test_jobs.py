@@ -145,7 +145,7 @@ def test_web_refresh(spark, store):
     pages = spark.createDataFrame(crawled, "url string, html string")
     start, end = F.lit(datetime(2024, 3, 1)), F.lit(datetime(2024, 3, 5, 23, 59, 59))
     run = lambda **o: jobs.refresh_platform(
-        store, "web_reviews", [("crawl", lambda: jobs.web_documents(listings, pages, start=start, end=end, min_content_chars=50, **o))], clock=Clock(), stage=True)
+        store, "web_reviews", [("crawl", lambda: jobs.web_documents(listings, pages, start=start, end=end, min_content_chars=50, **o))], clock=Clock())
     assert run(per_site=1)["records_inserted"] == 1
     assert run(keywords=["beta"], prioritize_keywords=True) == {"records_fetched": 2, "records_inserted": 1}
     rows = store.read("documents").orderBy("id").collect()

@@ -24,7 +24,6 @@ from voxlake.functions.text import fold, tokens
 from voxlake.operators.ranking import add_columns, narrow, page
 
 BUCKETS = 256
-BUCKET_SALTS = 16
 _WEIGHTS = {
     None: (K.TITLE_WEIGHT, K.CONTENT_WEIGHT + K.REVIEW_WEIGHT),
     "title": (K.TITLE_WEIGHT, 0.0),
@@ -216,9 +215,8 @@ def _bucket(term: str) -> int:
 def build_index(documents: DataFrame) -> Index:
     """Postings per (term, document, column) with positions, and document lengths.
 
-    Buckets follow the term, so that a query opens only its own; salts of the document id divide the
-    bucket of a very common term among many tasks and files. The aggregation reuses the partitioning
-    of the write: one shuffle in all.
+    Postings are grouped by term and document together, so that a very common term is spread over
+    all tasks like any other.
     """
     cut = documents.select(
         F.col("id").alias("doc_id"), tokens(F.col("title")).alias("t"), tokens(F.col("body")).alias("b")
@@ -235,22 +233,22 @@ def build_index(documents: DataFrame) -> Index:
     postings = (
         cut.select("doc_id", place.alias("w"))
         .select("doc_id", "w.*")
-        .withColumn("bucket", (F.crc32(F.encode("term", "UTF-8")) % BUCKETS).cast("int"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKET_SALTS)).cast("int"))
-        .repartition("bucket", "salt")
-        .groupBy("bucket", "salt", "term", "doc_id", "in_title")
+        .groupBy("term", "doc_id", "in_title")
         .agg(F.sort_array(F.collect_list("position")).alias("positions"))
+        .withColumn("bucket", (F.crc32(F.encode("term", "UTF-8")) % BUCKETS).cast("int"))
         .withColumn("tf", F.size("positions").cast("long"))
-        .drop("salt")
     )
     corpus = doc_stats.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_length"))
     return Index(postings, doc_stats, corpus)
 
 
 def write_index(index: Index, path: str) -> None:
-    index.postings.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{path}/postings"
-    )
+    """Buckets follow the term, so that a query opens only its own. Ranges are cut by document too:
+    the bucket of a common term becomes many even files, each sorted by term."""
+    order = ["bucket", "term", "doc_id"]
+    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
+        "bucket"
+    ).parquet(f"{path}/postings")
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 

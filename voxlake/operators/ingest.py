@@ -58,11 +58,10 @@ def matched_posts(posts: DataFrame, keywords: Sequence[str], *, now: Column, day
 def comments_of(comments: DataFrame, posts: DataFrame, *, per_post: int = K.COMMENT_LIMIT,
                 order: Sequence[Column]) -> DataFrame:
     """Comments of the given posts, at most `per_post` each; adds `parent_id`."""
-    capped = top_n_per_group(
-        comments.withColumn("parent_id", F.regexp_replace("link_id", "^t3_", "")),
-        ["parent_id"], order, max(per_post, 0), spread_by=["id"],
+    own = comments.withColumn("parent_id", F.regexp_replace("link_id", "^t3_", "")).join(
+        posts.select(F.col("id").alias("parent_id")), "parent_id", "left_semi"
     )
-    return capped.join(posts.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    return top_n_per_group(own, ["parent_id"], order, max(per_post, 0), spread_by=["id"])
 
 
 def newest_reviews(reviews: DataFrame, keywords: Sequence[str], *, now: Column, days_back: int,

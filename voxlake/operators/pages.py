@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from voxlake import constants as K
 from voxlake.functions import urls
@@ -88,7 +88,8 @@ def ranked_links(scored: DataFrame, *, per_site: int = K.PAGES_PER_SITE, site: s
     """Links by relevance, every three ranked ones followed by one without hits.
 
     Only the first `per_site` of either kind can reach a place within the limit, so a very large
-    site is cut down by all tasks before its places are worked out.
+    site is cut down by all tasks before its places are worked out. For the same reason the sizes of
+    the two kinds need only be known up to the limit, and are counted on what is left.
     """
     kinds = scored.withColumn("is_broad", F.col("score") <= 0)
     # Among links without hits discovery order alone counts.
@@ -98,16 +99,15 @@ def ranked_links(scored: DataFrame, *, per_site: int = K.PAGES_PER_SITE, site: s
         [F.desc_nulls_last(by_score), F.asc("page_id"), F.asc("position")], per_site,
         spread_by=["page_id", "position"], rank="_i",
     )
-    sizes = kinds.groupBy(site).agg(
-        F.count_if(~F.col("is_broad")).alias("_ranked"), F.count_if("is_broad").alias("_broad")
-    )
+    of_site = Window.partitionBy(site)
+    ranked = F.count_if(~F.col("is_broad")).over(of_site)
+    broad = F.count_if("is_broad").over(of_site)
     i, block = F.col("_i") - 1, K.RANKED_PER_BROAD
-    place = F.when(
-        F.col("is_broad"), F.least(block * (i + 1), F.col("_ranked")) + i
-    ).otherwise(i + F.least(F.floor(i / block), F.col("_broad")))
+    place = F.when(F.col("is_broad"), F.least(block * (i + 1), ranked) + i).otherwise(
+        i + F.least(F.floor(i / block), broad)
+    )
     return (
-        top.join(sizes, site)
-        .withColumn("place", (place + 1).cast("long"))
+        top.withColumn("place", (place + 1).cast("long"))
         .where(F.col("place") <= per_site)
-        .drop("_i", "_ranked", "_broad", "is_broad")
+        .drop("_i", "is_broad")
     )

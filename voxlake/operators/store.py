@@ -21,11 +21,11 @@ _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder: evaluated once, survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Written to the cluster's shared folder and read back: made once, kept if executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/voxlake-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ensure_source(store: Store, platform: str, *, now: datetime) -> int:
@@ -67,17 +67,14 @@ def number_rows(rows: DataFrame, order: str, start: int) -> tuple[DataFrame, int
 
 
 def insert_documents(store: Store, docs: DataFrame, source_id: int, *, now: datetime,
-                     taxonomy: Taxonomy | None = None, stage: bool = False) -> int:
+                     taxonomy: Taxonomy | None = None) -> int:
     """Insert canonical documents, ignoring known ones; the first arrival wins. Tags them as well.
 
     Copies are found and ids given on keys alone; the texts are joined to their ids at the end, in
-    one shuffle. That reads the input twice: `stage` writes it to the shared folder first, where
-    making it is dear. A rerun after a failure inserts nothing twice; `retag` fills in tags a failed
-    run left out.
+    one shuffle. That reads `docs` twice, so they should be cheap to read (see `cut_lineage`). A
+    rerun after a failure inserts nothing twice; `retag` fills in tags a failed run left out.
     """
     incoming = stored_columns(docs).withColumn("source_id", F.lit(source_id).cast("long"))
-    if stage:
-        incoming = cut_lineage(incoming)
     stored = store.read("documents")
     keys = ["source_id", "external_id", "dedupe_key"]
     new = new_documents(

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake import constants as K
 from voxlake.functions.dates import epoch_timestamp
@@ -157,13 +157,17 @@ class Diagnostics:
 
 
 def first_available(chain: Sequence[tuple[str, Reader]], diagnostics: Diagnostics) -> DataFrame:
-    """The first source of the chain that reads and has rows; every attempt is recorded."""
+    """The first source of the chain that reads and has rows; every attempt is recorded.
+
+    Documents are made here once and kept in the shared folder, so that a source that breaks half
+    way breaks in this step and the next one gets its turn.
+    """
     notes = []
     for name, read in chain:
         attempt: dict[str, Any] = {"backend": name, "status": "running"}
         diagnostics.fallback_chain.append(attempt)
         try:
-            docs = read()
+            docs = cut_lineage(read())
             empty = docs.isEmpty()
         except Exception as error:  # a broken source must not stop the chain
             attempt |= {"status": "failed", "error": {"class": type(error).__name__, "message": str(error)}}
@@ -181,12 +185,10 @@ def first_available(chain: Sequence[tuple[str, Reader]], diagnostics: Diagnostic
 def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], *,
                      clock: Callable[[], datetime], taxonomy: Taxonomy | None = None,
                      config: Mapping[str, Any] | None = None,
-                     fetch_diagnostics: Callable[[], Mapping[str, Any]] | None = None,
-                     stage: bool = False) -> dict[str, int]:
+                     fetch_diagnostics: Callable[[], Mapping[str, Any]] | None = None) -> dict[str, int]:
     """Fetch, dedupe, insert and record one platform's documents.
 
-    Each reader of the chain returns canonical documents with their `arrival`; `stage` is for
-    documents that are dear to make, see `insert_documents`.
+    Each reader of the chain returns canonical documents with their `arrival`.
     """
     started = clock()
     report = Diagnostics(platform, backend_requested=chain[0][0] if chain else None, config=config or {})
@@ -200,13 +202,8 @@ def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Rea
         if fetch_diagnostics is not None:
             report.fetch = dict(fetch_diagnostics())
         step = "insert"
-        # The count rides along with the insert instead of reading the source once more.
-        seen = Observation()
-        inserted = insert_documents(
-            store, docs.observe(seen, F.count("*").alias("docs")), source_id, now=started,
-            taxonomy=taxonomy, stage=stage,
-        )
-        fetched = seen.get["docs"]
+        fetched = docs.count()
+        inserted = insert_documents(store, docs, source_id, now=started, taxonomy=taxonomy)
         report.passed("fetch")
         report.passed("normalize", count=fetched)
         report.passed("insert", inserted=inserted)

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from voxlake.operators.store import ensure_source, insert_documents
+from voxlake.operators.store import cut_lineage, ensure_source, insert_documents
 from voxlake.operators.tagging import Taxonomy
 from voxlake.session import shared_dir
 from voxlake.sources.tables import Store
@@ -44,7 +44,8 @@ def ingest_new_files(store: Store, platform: str, path: str, schema: T.StructTyp
     def insert(batch: DataFrame, _: int) -> None:
         arrival = F.struct("_time", "_file", "_start", F.monotonically_increasing_id().alias("row"))
         landed = batch.withColumn("arrival", arrival).drop("_time", "_file", "_start")
-        insert_documents(store, normalize(landed, keep=("arrival",)), source_id, now=clock(), taxonomy=taxonomy)
+        docs = cut_lineage(normalize(landed, keep=("arrival",)))
+        insert_documents(store, docs, source_id, now=clock(), taxonomy=taxonomy)
 
     return (
         records.writeStream.queryName(name)

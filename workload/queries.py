@@ -20,7 +20,7 @@ from voxlake.operators.filters import Corpus, DateMode, Filters, apply_filters
 from voxlake.operators.ranking import keep_first
 from voxlake.operators.tagging import tag_documents
 from voxlake.plans import answers, dashboard, explore, insights, jobs, snapshots
-from voxlake.session import apply_runtime_conf
+from voxlake.session import apply_runtime_conf, shared_dir
 from voxlake.sources import landing
 from voxlake.sources.tables import Store
 from workload import views
@@ -882,11 +882,12 @@ def snapshot_latest_valid(spark, sf):
 # Jobs ----------------------------------------------------------------------------------------
 def _scratch(spark: SparkSession) -> str:
     """A new folder in the cluster's shared folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
+    try:
+        base = shared_dir(spark)
+    except ValueError:
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/voxlake-{uuid.uuid4().hex}"
+    return f"{base}/voxlake-{uuid.uuid4().hex}"
 
 
 def _clock() -> datetime:
@@ -941,7 +942,7 @@ def web_ingest_end_to_end(spark, sf):
     crawled = _pages(spark, sf).select("page_id", "url", dated.alias("html"))
     start, end = (F.lit(d).cast("timestamp") for d in ("2024-01-01", "2024-03-01"))
     articles = jobs.article_documents(crawled.withColumn("arrival", F.col("page_id")), start=start, end=end)
-    jobs.refresh_platform(store, K.WEB_REVIEWS, [("pages", lambda: articles)], clock=_clock, stage=True)
+    jobs.refresh_platform(store, K.WEB_REVIEWS, [("pages", lambda: articles)], clock=_clock)
     return store.read("documents").select("id", "external_id", "community_or_channel", "published_at")
 
 
