@@ -288,6 +288,26 @@ _SENTIMENT_SUMMARY = f"""SELECT 'sentiment' AS module, printf('Sentiment insight
   count(*), count(*) FILTER (WHERE label = 'negative'), count(*) FILTER (WHERE label = 'positive'),
   count(*) FILTER (WHERE label = 'neutral'), count(*) FILTER (WHERE label = 'mixed')) AS summary FROM rows"""
 
+# Reviews as the refresh stores them: newest 1000 per app, recent or undated, copies without id once.
+_STORED_REVIEWS = _REVIEWS.rstrip() + f""",
+capped AS (SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY published_at DESC NULLS LAST, id) <= 1000),
+kept AS (SELECT *, {prefix_text('text')} AS key_text FROM capped
+  WHERE published_at IS NULL OR published_at >= TIMESTAMP '2024-03-15 12:00:00' - INTERVAL 100 DAY),
+stored_reviews AS (SELECT * FROM kept QUALIFY review_id IS NOT NULL
+  OR row_number() OVER (PARTITION BY review_id, app_id, author, published_at, key_text ORDER BY id) = 1)"""
+
+_LATE = "created_at >= TIMESTAMP '2024-03-15 12:00:00' - INTERVAL 100 DAY"
+_STORED_POSTS = f"""{_POSTS}, {_COMMENTS},
+grid_hits AS (SELECT * FROM posts, (VALUES ('the'), ('que la')) k(word) WHERE contains({_POST_TEXT}, word)
+  QUALIFY row_number() OVER (PARTITION BY subreddit, word ORDER BY epoch DESC, id) <= 1000),
+grid AS (SELECT DISTINCT id FROM (SELECT id FROM grid_hits UNION ALL
+  SELECT id FROM posts WHERE subreddit NOT IN (SELECT subreddit FROM grid_hits))),
+matched AS (SELECT * FROM posts WHERE {_LATE} AND {contains_any(_POST_TEXT, ('the', 'que'))}),
+newest AS (SELECT * FROM posts QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY epoch DESC, id) <= 200),
+more AS (SELECT id FROM newest WHERE {_LATE} AND id IN (SELECT id FROM matched) AND id NOT IN (SELECT id FROM grid)),
+replies AS (SELECT * FROM comments WHERE parent_id IN (SELECT id FROM matched)
+  QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY turn) <= 200)"""
+
 ORACLES: dict[str, str] = {
     "sentiment_totals": _E + f"SELECT count(*) AS total_docs, {_COUNTS} FROM rows",
     "sentiment_daily_trend": _E + _TREND,
@@ -492,4 +512,21 @@ FROM runs, (VALUES (1, 'fetch'), (2, 'normalize'), (3, 'dedupe'), (4, 'insert'),
   CASE WHEN source_name <> 'error' THEN records_inserted ELSE 0 END AS records_inserted, CASE WHEN source_name <> 'error' THEN 2 ELSE 1 END AS event_seq FROM runs""",
     "snapshot_latest_valid": f"""SELECT event_type AS module, CAST(user_id AS VARCHAR) AS cache_key, event_id AS snapshot_id, props AS payload, {ts('ts')} AS created_at
 FROM events WHERE ts >= TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "ingest_end_to_end": _STORED_REVIEWS + ", " + _STORED_POSTS + """,
+sizes AS (SELECT 1 AS k, 1 AS source_id, 'post' AS entity_type, (SELECT count(*) FROM grid) + (SELECT count(*) FROM more) AS docs
+  UNION ALL SELECT 2, 1, 'comment', (SELECT count(*) FROM replies)
+  UNION ALL SELECT 3, 2, 'review', (SELECT count(*) FROM stored_reviews))
+SELECT CAST(source_id AS BIGINT) AS source_id, entity_type, docs, CAST(last_id - docs + 1 AS BIGINT) AS first_id, CAST(last_id AS BIGINT) AS last_id
+FROM (SELECT *, sum(docs) OVER (ORDER BY k) AS last_id FROM sizes)""",
+    "web_ingest_end_to_end": _with(
+        f"""found AS (SELECT page_id, {_CANONICAL} AS external_id, regexp_replace(lower({_NET}), '^www\\.', '') AS community_or_channel,
+  lower({_PAGE_TITLE}) AS title, lower({_ARTICLE}) AS content FROM pages WHERE length({_ARTICLE}) >= 500 AND NOT {_EDITORIAL.format(t=_PAGE_TITLE)})""",
+        "s1 AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY external_id, title, content ORDER BY page_id) = 1)",
+        "s2 AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY page_id) = 1)",
+    ) + """SELECT row_number() OVER (ORDER BY page_id) AS id, external_id, community_or_channel, '2024-02-01 10:00:00.000000' AS published_at FROM s2""",
+    "enrich_end_to_end": _STORED_REVIEWS + f""",
+texts AS (SELECT {strip('text')} AS body, rating FROM stored_reviews),
+ready AS (SELECT length(body) < 15 AS is_short, CASE WHEN length(body) < 15 THEN body ELSE substr(body, 1, 3500) END AS text, rating FROM texts)
+SELECT CASE WHEN is_short THEN 'fallback_rules' ELSE 'rules' END AS model_name, {_sentiment('text', 'rating')} AS sentiment_label, count(*) AS docs
+FROM ready GROUP BY 1, 2""",
 }

@@ -928,8 +928,7 @@ def _ingest(spark: SparkSession, sf: str, store: Store) -> None:
 def ingest_end_to_end(spark, sf):
     store = Store(spark, _scratch(spark))
     _ingest(spark, sf, store)
-    _ingest_again = store.read("documents")
-    return _ingest_again.groupBy("source_id", "entity_type").agg(
+    return store.read("documents").groupBy("source_id", "entity_type").agg(
         F.count("*").alias("docs"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
 
