@@ -79,12 +79,14 @@ _ENRICH = """enrichments_c AS (
 
 
 def _tags_view(name: str, rows: str, types: Sequence[str]) -> str:
-    entries = ", ".join(f"('{t}', '{c}', '{a}')" for t, c, a in TAXONOMY.entries if t in types)
-    return f"""{name} AS (
-  SELECT DISTINCT d.id AS document_id, x.tag_type, x.canonical AS tag_value
-  FROM (SELECT id, CASE WHEN {deleted('text')} THEN '' ELSE lower({clean('text')}) END AS t FROM ({rows})) d
-  JOIN (VALUES {entries}) x(tag_type, canonical, alias)
-    ON contains(d.t, x.alias) AND regexp_matches(d.t, '(^|[^\\p{{L}}\\p{{N}}_])' || x.alias || '($|[^\\p{{L}}\\p{{N}}_])'))"""
+    """One branch per alias, so that each pattern is a constant."""
+    text = f"CASE WHEN {deleted('text')} THEN '' ELSE lower({clean('text')}) END"
+    branches = " UNION ".join(
+        f"SELECT id AS document_id, '{t}' AS tag_type, '{c}' AS tag_value FROM {name}_text "
+        f"WHERE contains(t, '{a}') AND regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_]){a}($|[^\\p{{L}}\\p{{N}}_])')"
+        for t, c, a in TAXONOMY.entries if t in types
+    )
+    return f"{name}_text AS (SELECT id, {text} AS t FROM ({rows})), {name} AS ({branches})"
 
 
 _TAGS = _tags_view(
@@ -231,7 +233,8 @@ def _article_shaped(path: str) -> str:
   OR len(list_filter({parts}, lambda s: regexp_full_match(s, '[0-9]{{4}}'))) > 0 OR len(string_split({parts}[-1], '-')) >= 4))"""
 
 
-_UNESCAPE = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+# Entities may lack their semicolon, as where a title was cut.
+_UNESCAPE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '&quot;?', '\"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"
 _ARTICLE = clean(_UNESCAPE.format(x="regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]+>', ' ', 'g')"))
 _PAGE_TITLE = clean(_UNESCAPE.format(x=_TITLE))
 _EDITORIAL = f"""({contains_any('lower(url)', ('/author/', '/authors/', '/category/', '/categories/', '/tag/', '/tags/', '/topic/', '/topics/', '/search', '/subscribe', '/membership', '/newsletter'))}
