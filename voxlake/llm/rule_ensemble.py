@@ -144,7 +144,7 @@ def _grow(x: np.ndarray, residual: np.ndarray, rows: np.ndarray, path: tuple[Con
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY) -> Ensemble:
     """Rules and weights from statistics and labels 0 and 1."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         edge = min(max(share, 0.01), 0.99)
         return Ensemble(float(np.log(edge / (1 - edge))), ())
     chance = np.random.default_rng(7)
