@@ -50,7 +50,7 @@ def test_top_n_of_a_hot_group(spark):
     rng = random.Random(1)
     rows = [(i, "hot" if rng.random() < 0.5 else f"g{i % 7}", rng.randint(0, 50)) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, g string, v int").repartition(6)
-    got = top_n_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 9, spread_by=["id"], rank="n").collect()
+    got = top_n_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 9, rank="n").collect()
     want = {}
     for i, g, v in sorted(rows, key=lambda r: (-r[2], r[0])):
         want.setdefault(g, []).append(i)
@@ -59,7 +59,7 @@ def test_top_n_of_a_hot_group(spark):
 
 def test_limits_sit_before_the_shuffles(spark):
     df = spark.createDataFrame([(1, "a", 2)], "id long, g string, v int")
-    plan = top_n_per_group(df, ["g"], [F.desc("v")], 3, spread_by=["id"])._jdf.queryExecution().executedPlan().toString()
+    plan = top_n_per_group(df, ["g"], [F.desc("v")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 4
     plan = keep_first(df, ["g"], [F.asc("id")], row_id="id")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan

@@ -111,8 +111,10 @@ def test_unknown_words_match_nothing(corpus):
     assert search_documents(corpus, "nothing here?").collect() == []
 
 
-def test_question_retrieval_is_capped(corpus):
-    assert retrieve(corpus, "the", top_n=99).count() == 25
+def test_question_retrieval_keeps_the_limit_asked_for(corpus):
+    found = search_documents(corpus, "the", limit=1000).count()
+    assert found > 25 and retrieve(corpus, "the", top_n=found).count() == found
+    assert retrieve(corpus, "the", top_n=3).count() == 3
 
 
 def test_ids_keep_their_order(corpus, spark):

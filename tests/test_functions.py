@@ -86,7 +86,9 @@ def test_labels(values, spark):
     assert values(lambda X: labels.severity(X), ["negative", "mixed", "neutral", "positive", "odd", None]) == [3, 2, 1, 0, 1, 1]
     names = [["  Acme", "acme", "", "Beta "], None, [str(i) for i in range(30)]]
     got = values(lambda X: labels.competitor_list(X), names, "array<string>")
-    assert got == [["Acme", "Beta"], [], [str(i) for i in range(20)]]
+    assert got == [["Acme", "Beta"], [], [str(i) for i in range(30)]]
+    few = values(lambda X: labels.competitor_list(X, 20), names, "array<string>")
+    assert few[2] == [str(i) for i in range(20)]
     rows = spark.createDataFrame(
         [("bad", 5), ("good", 2), ("bad", 3), ("great", None), ("a crash, great", None), ("plain", None), (None, None)],
         "t string, r int")
@@ -100,7 +102,7 @@ def test_dedupe_keys(values):
 
     key = lambda X: keys.fallback_key(F.lit(" Reddit "), F.lit(""), app_id=F.lit("App"), author=F.lit(None), created_at=F.lit("2024"), text=X)
     long = "Ab  c" + "x" * 300
-    payload = "|".join(["reddit", "app", "", "2024", " ".join(long.split()).lower()[:200]])
+    payload = "|".join(["reddit", "app", "", "2024", " ".join(long.split()).lower()])
     assert values(key, [long]) == ["reddit:fallback:" + hashlib.sha256(payload.encode()).hexdigest()]
     known = lambda X: keys.fallback_key(F.lit("reddit"), F.lit("id1"), app_id=None, author=None, created_at=None, text=X)
     assert values(known, ["x"]) == [None]

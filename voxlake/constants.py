@@ -15,7 +15,6 @@ TRACKING_PARAMS = ("fbclid", "gclid")
 DEFAULT_PORTS = (80, 443)
 
 # Dedupe keys
-FALLBACK_TEXT_CHARS = 200
 
 # Pages that are not editorial articles
 NON_EDITORIAL_URL_PARTS = (
@@ -50,7 +49,6 @@ VOID_TAGS = (
     "param", "source", "track", "wbr",
 )
 MIN_ARTICLE_CHARS = 500
-PAGES_PER_SITE = 50
 
 # Link relevance weights: anchor text, page text, URL path
 ANCHOR_WEIGHT, PAGE_WEIGHT, PATH_WEIGHT = 6, 3, 1
@@ -68,14 +66,12 @@ SEVERITY = {"negative": 3, "mixed": 2, "neutral": 1, "positive": 0}
 FALLBACK_MODEL = "fallback_rules"
 FALLBACK_SNIPPET_CHARS = 300
 SNIPPET_CHARS = 400
-MAX_COMPETITORS = 20
 
 # Full-text ranking: column weights and BM25 parameters
 TITLE_WEIGHT, CONTENT_WEIGHT, REVIEW_WEIGHT = 1.5, 1.0, 0.8
 BM25_K1, BM25_B, MIN_IDF = 1.2, 0.75, 1e-6
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿ"
 UNACCENTED = "aaaaaaeeeeiiiiooooouuuucnyy"
-MAX_PAGE_ROWS = 200
 
 # Report sizes
 TREND_DAYS = 14
@@ -86,8 +82,6 @@ RECENT_RUNS = 10
 EVIDENCE_ROWS = 8
 EVIDENCE_CHARS = 280
 MIN_ANSWER_EVIDENCE = 2
-MAX_ANSWER_EVIDENCE = 25
-MAX_ANSWER_POINTS = 8
 SNAPSHOT_TTL_MINUTES = 120
 INSIGHT_MODULES = ("sentiment", "complaints", "feature_requests")
 NO_EVIDENCE_ANSWER = (
@@ -99,9 +93,5 @@ FEW_EVIDENCE_REASON = "Insufficient evidence in selected filters."
 
 # Ingestion
 RUN_STAGES = ("fetch", "normalize", "dedupe", "insert", "enrich_trigger")
-POST_LIMIT = 200
-COMMENT_LIMIT = 200
-REVIEWS_PER_APP = 1000
-RECORDS_PER_QUERY = 1000
 SUBMISSION_HOST = "https://reddit.com"
 APP_PAGE = "https://play.google.com/store/apps/details?id="

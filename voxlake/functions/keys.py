@@ -14,8 +14,11 @@ def _part(c: Column | None) -> Column:
 
 
 def fallback_key(source: Column, external_id: Column, *, app_id: Column | None, author: Column | None,
-                 created_at: Column | None, text: Column) -> Column:
-    """Content key for rows without an external id; NULL for all others."""
+                 created_at: Column | None, text: Column, text_chars: int | None = None) -> Column:
+    """Content key for rows without an external id; NULL for all others.
+
+    `text_chars` is for stores whose keys were made of that many characters; by default all count.
+    """
     name = F.lower(strip(F.coalesce(blank_to_null(source), F.lit("unknown"))))
     payload = F.concat_ws(
         "|",
@@ -23,7 +26,7 @@ def fallback_key(source: Column, external_id: Column, *, app_id: Column | None,
         F.lower(strip(_part(app_id))),
         F.lower(strip(_part(author))),
         strip(_part(created_at)),
-        F.substring(F.lower(clean_whitespace(text)), 1, K.FALLBACK_TEXT_CHARS),
+        F.lower(clean_whitespace(text)) if text_chars is None else F.substring(F.lower(clean_whitespace(text)), 1, text_chars),
     )
     return F.when(
         blank_to_null(external_id).isNull(), F.concat(name, F.lit(":fallback:"), F.sha2(payload, 256))

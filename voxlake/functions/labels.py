@@ -29,12 +29,13 @@ def star_rating(c: Column) -> Column:
     return F.when((value >= 1) & (value < 6), F.floor(value))
 
 
-def competitor_list(c: Column) -> Column:
-    """Trimmed names, blanks dropped, first spelling wins, at most twenty."""
+def competitor_list(c: Column, most: int | None = None) -> Column:
+    """Trimmed names, blanks dropped, first spelling wins; `most` keeps so many."""
     names = F.filter(F.transform(c, lambda x: strip(x)), lambda x: x != "")
     lowered = F.transform(names, lambda x: F.lower(x))
     first = F.filter(names, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
-    return F.slice(F.coalesce(first, F.array().cast("array<string>")), 1, K.MAX_COMPETITORS)
+    out = F.coalesce(first, F.array().cast("array<string>"))
+    return out if most is None else F.slice(out, 1, most)
 
 
 def rule_sentiment(text: Column, rating: Column) -> Column:

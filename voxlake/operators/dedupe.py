@@ -1,26 +1,34 @@
 """Insert-or-ignore against a store, on two keys.
 
 Copies are taken out before each anti join, so that no join key is hot on the incoming side, and rows
-without a key are spread over all tasks instead of meeting in the one of the NULL key.
+without a key are dealt by their row id instead of meeting in the one task of the NULL key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxlake.operators.ranking import keep_first, spread_key
+from voxlake.operators.ranking import keep_first
 
 
 def not_in(rows: DataFrame, stored: DataFrame, keys: Sequence[str], *, row_id: str | None = None) -> DataFrame:
     """Rows whose key is not stored yet; a NULL key is never equal to another."""
-    known = stored.select(*keys).withColumn("_spread", F.lit(0).cast("long"))
-    return (
-        rows.withColumn("_spread", spread_key(keys, row_id))
-        .join(known, [*keys, "_spread"], "left_anti")
-        .select(*rows.columns)
-    )
+    known = stored.dropna(subset=list(keys)).select(_key(keys).alias("_key"))
+    if row_id is None:
+        own = _key(keys)
+    else:
+        complete = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+        own = F.when(complete, _key(keys)).otherwise(F.concat(F.lit("row "), F.xxhash64(row_id).cast("string")))
+    return rows.withColumn("_key", own).join(known, "_key", "left_anti").select(*rows.columns)
+
+
+def _key(keys: Sequence[str]) -> Column:
+    """The values of complete keys as one text."""
+    return F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))
 
 
 def new_documents(incoming: DataFrame, stored: DataFrame, order: Sequence[Column], *, row_id: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,7 +14,6 @@ from voxlake.functions.text import prepared_text, strip
 from voxlake.operators.ranking import add_columns, narrow
 
 MIN_TEXT_CHARS = 15
-MAX_TEXT_CHARS = 3500
 BATCH_SIZE = 3
 
 # A scorer gets rows (document_id, text, rating) and returns rows with a document_id and any of the
@@ -33,7 +33,7 @@ def without_enrichment(documents: DataFrame, enrichments: DataFrame) -> DataFram
 
 
 def candidates(documents: DataFrame, enrichments: DataFrame, sources: DataFrame,
-               limit: int | None = 100) -> DataFrame:
+               limit: int | None = None) -> DataFrame:
     """Documents without enrichment, oldest first; `limit=None` takes all of them in one run."""
     names = sources.select(F.col("id").alias("source_id"), F.col("platform").alias("source_platform"))
     rows = without_enrichment(documents, enrichments).join(names, "source_id")
@@ -43,10 +43,10 @@ def candidates(documents: DataFrame, enrichments: DataFrame, sources: DataFrame,
     return rows.select("id", "title", "body", F.col("source_platform").alias("platform"), "rating")
 
 
-def prepare(rows: DataFrame, *, min_chars: int = MIN_TEXT_CHARS, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
+def prepare(rows: DataFrame, *, min_chars: int = MIN_TEXT_CHARS, max_chars: int | None = None) -> DataFrame:
     """Adds the text to classify, the checked rating and whether the text is too short.
 
-    Short texts are kept whole; longer ones are cut at the classifier's input size.
+    Texts stay whole; `max_chars` cuts those that are not short, for a classifier with a small input.
     """
     text = prepared_text(F.col("title"), F.col("body"))
     measured = rows.select("*", F.inline(F.array(F.struct(text.alias("_text")))))
@@ -55,7 +55,8 @@ def prepare(rows: DataFrame, *, min_chars: int = MIN_TEXT_CHARS, max_chars: int
         F.col("id").alias("document_id"),
         "platform",
         labels.star_rating(F.col("rating")).alias("rating"),
-        F.when(short, F.col("_text")).otherwise(F.substring("_text", 1, max_chars)).alias("text"),
+        (F.col("_text") if max_chars is None else F.when(short, F.col("_text")).otherwise(
+            F.substring("_text", 1, max_chars))).alias("text"),
         short.alias("is_short"),
     )
 
@@ -75,25 +76,24 @@ def rule_enrichment(short: DataFrame) -> DataFrame:
 
 
 def rule_scorer(batch: pd.DataFrame) -> pd.DataFrame:
-    """The label rules as a scorer, for runs without a remote classifier."""
-    def label(text: str, rating: float) -> str:
-        if rating <= 2:
-            return "negative"
-        if rating >= 4:
-            return "positive"
-        lowered = text.lower()
-        for name, words in (("negative", K.NEGATIVE_WORDS), ("positive", K.POSITIVE_WORDS)):
-            if any(word in lowered for word in words):
-                return name
-        return "neutral"
-
-    rating = batch["rating"].astype("float64")
-    return pd.DataFrame(
-        {
-            "document_id": batch["document_id"],
-            "sentiment_label": [label(t, r) for t, r in zip(batch["text"], rating)],
-            "summary_snippet": batch["text"],
-        }
+    """The label rules as a scorer for `score`; runs without a classifier take `rule_replies`."""
+    rating, lowered = batch["rating"].astype("float64"), batch["text"].str.lower()
+    has = {words: lowered.str.contains("|".join(words), regex=True) for words in (K.NEGATIVE_WORDS, K.POSITIVE_WORDS)}
+    label = np.select(
+        [rating <= 2, rating >= 4, has[K.NEGATIVE_WORDS], has[K.POSITIVE_WORDS]],
+        ["negative", "positive", "negative", "positive"], "neutral",
+    )
+    return pd.DataFrame({"document_id": batch["document_id"], "sentiment_label": label, "summary_snippet": batch["text"]})
+
+
+def rule_replies(rows: DataFrame) -> DataFrame:
+    """What `score` gives with `rule_scorer`, as plain columns."""
+    rating = F.when(F.col("platform") == K.GOOGLE_PLAY, F.col("rating"))
+    return rows.select(
+        "document_id", labels.rule_sentiment(F.col("text"), rating).alias("sentiment_label"),
+        F.lit(None).cast("string").alias("primary_issue_category"), F.lit(None).cast("boolean").alias("feature_request_flag"),
+        F.lit(None).cast("array<string>").alias("competitor_mentions"), F.col("text").alias("summary_snippet"),
+        F.lit("enriched").alias("status"), F.lit(False).alias("failed_batch"),
     )
 
 
@@ -121,9 +121,18 @@ def score(rows: DataFrame, scorer: Scorer, *, batch_size: int = BATCH_SIZE) -> D
         return out.astype(object).where(out.notna(), None).assign(failed_batch=failed)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # less than one batch, from parts of any size
         for part in parts:
-            for start in range(0, len(part), size):
-                yield answers(part.iloc[start:start + size].reset_index(drop=True))
+            held.append(part)
+            if sum(map(len, held)) >= size:
+                rows = pd.concat(held, ignore_index=True)
+                whole = len(rows) // size * size
+                for start in range(0, whole, size):
+                    yield answers(rows.iloc[start:start + size].reset_index(drop=True))
+                held = [rows.iloc[whole:]]
+        rest = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+        if len(rest):
+            yield answers(rest)
 
     asked = rows.select(
         "document_id", "text",

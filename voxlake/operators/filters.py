@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake import constants as K
-from voxlake.functions.dates import event_day, event_time
+from voxlake.functions.dates import event_day, event_time, iso_timestamp, utc_text, utc_wall
 from voxlake.functions.text import blank_to_null
 
 
@@ -83,11 +83,11 @@ def date_predicates(filters: Filters, mode: DateMode) -> list[Column]:
     if mode is DateMode.COALESCED_DAY:
         value = event_day()
         def bound(text: str) -> Column:
-            return F.to_date(F.try_to_timestamp(F.lit(text)))
+            return utc_wall(iso_timestamp(F.lit(text))).cast("date")
     else:
         value = F.col("published_at") if mode is DateMode.STRICT_INSTANT else event_time()
         def bound(text: str) -> Column:
-            return F.try_to_timestamp(F.lit(text))
+            return iso_timestamp(F.lit(text))
     out = []
     if filters.date_from:
         out.append(value >= bound(filters.date_from))
@@ -99,7 +99,7 @@ def date_predicates(filters: Filters, mode: DateMode) -> list[Column]:
 def month_predicates(filters: Filters) -> list[Column]:
     """The same range on the partition column, so that whole months are left out of the scan."""
     def month(text: str) -> Column:
-        return F.date_format(F.try_to_timestamp(F.lit(text)), "yyyy-MM")
+        return utc_text(iso_timestamp(F.lit(text))).substr(1, 7)
 
     out = []
     if filters.date_from:

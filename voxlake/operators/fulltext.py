@@ -184,13 +184,13 @@ _ORDER = (F.asc_nulls_first, "fts_score"), (F.desc_nulls_last, "_time"), (F.desc
 
 
 def ranked_page(scored: DataFrame, documents: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Best score first, then latest, then highest id; 1 to 200 rows.
+    """Best score first, then latest, then highest id.
 
     `scored` needs no more than id, times and `fts_score`; the page gets its other columns last.
     """
     order = [direction(name) for direction, name in _ORDER]
     rows = scored.withColumn("_time", event_time()).select(*narrow(scored, "id", "_time", "fts_score"))
-    top = page(rows, order, max(1, min(limit, K.MAX_PAGE_ROWS)), max(0, offset))
+    top = page(rows, order, max(1, limit), max(0, offset))
     wide = [c for c in RESULT_COLUMNS if c != "id"]
     return add_columns(top, documents, wide).orderBy(*order).select(*RESULT_COLUMNS, "fts_score")
 

@@ -34,10 +34,10 @@ def post_text() -> Column:
     return F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("selftext", F.lit(""))))
 
 
-def newest_per_community(posts: DataFrame, n: int = K.POST_LIMIT) -> DataFrame:
-    """The newest posts of each community, before any window is applied."""
+def newest_per_community(posts: DataFrame, n: int | None = None) -> DataFrame:
+    """The newest posts of each community (None: all), before any window is applied."""
     return top_n_per_group(
-        posts, ["subreddit"], [F.desc_nulls_last("created_utc"), F.asc("id")], n, spread_by=["id"]
+        posts, ["subreddit"], [F.desc_nulls_last("created_utc"), F.asc("id")], n
     )
 
 
@@ -55,21 +55,21 @@ def matched_posts(posts: DataFrame, keywords: Sequence[str], *, now: Column, day
     return keep_first(hits, ["id"], order)
 
 
-def comments_of(comments: DataFrame, posts: DataFrame, *, per_post: int = K.COMMENT_LIMIT,
+def comments_of(comments: DataFrame, posts: DataFrame, *, per_post: int | None = None,
                 order: Sequence[Column]) -> DataFrame:
-    """Comments of the given posts, at most `per_post` each; adds `parent_id`."""
+    """Comments of the given posts, at most `per_post` each (None: all); adds `parent_id`."""
     own = comments.withColumn("parent_id", F.regexp_replace("link_id", "^t3_", "")).join(
         posts.select(F.col("id").alias("parent_id")), "parent_id", "left_semi"
     )
-    return top_n_per_group(own, ["parent_id"], order, max(per_post, 0), spread_by=["id"])
+    return top_n_per_group(own, ["parent_id"], order, None if per_post is None else max(per_post, 0))
 
 
 def newest_reviews(reviews: DataFrame, keywords: Sequence[str], *, now: Column, days_back: int,
-                   per_app: int = K.REVIEWS_PER_APP) -> DataFrame:
+                   per_app: int | None = None) -> DataFrame:
     """The newest reviews of each app, first arrivals among equals; the cap comes before window and keywords."""
     newest = top_n_per_group(
         reviews.withColumn("_at", review_time()), ["app_id"],
-        [F.desc_nulls_last("_at"), F.asc("arrival")], max(per_app, 1), spread_by=["arrival"],
+        [F.desc_nulls_last("_at"), F.asc("arrival")], None if per_app is None else max(per_app, 1)
     )
     words = normalize_keywords(keywords)
     kept = newest.where(F.coalesce(recent(F.col("_at"), now, days_back), F.lit(True))).drop("_at")
@@ -95,11 +95,10 @@ def grid_hits(posts: DataFrame, keywords: Sequence[str]) -> DataFrame:
     return posts.withColumn("keyword", F.explode(found))
 
 
-def capped_hits(hits: DataFrame, n: int = K.RECORDS_PER_QUERY) -> DataFrame:
-    """The newest records of each query."""
+def capped_hits(hits: DataFrame, n: int | None = None) -> DataFrame:
+    """The newest records of each query (None: all)."""
     return top_n_per_group(
         hits, ["subreddit", "keyword"], [F.desc_nulls_last("created_utc"), F.asc("id")], n,
-        spread_by=["id"],
     )
 
 
@@ -137,14 +136,14 @@ def fetch_diagnostics(counts: DataFrame, fallback_hits: DataFrame) -> DataFrame:
         F.lit("r/"), "subreddit", F.lit(" :: "),
         F.when(F.col("keyword") == "", F.lit("(blank)")).otherwise(F.col("keyword")),
     )
-    # Queries are job configuration, so the list of empty ones is as short as the grid.
-    empty = F.collect_list(F.when(F.col("hits") == 0, F.struct("query_seq", label.alias("label"))))
+    named = counts.where("hits = 0").orderBy("query_seq").limit(5).select(F.struct("query_seq", label.alias("label")).alias("q"))
+    first_five = F.coalesce(
+        named.agg(F.sort_array(F.collect_list("q"))["label"]).scalar(), F.array().cast("array<string>"))
     per_query = counts.agg(
         F.count("*").alias("queries_attempted"),
         F.count_if(F.col("hits") > 0).alias("queries_with_hits"),
         F.sum("hits").alias("search_hits_total"),
-        F.slice(F.sort_array(empty), 1, 5)["label"].alias("failed_or_empty_queries_top5"),
-    )
+    ).withColumn("failed_or_empty_queries_top5", first_five)
     with_hits = (
         counts.select("subreddit", "hits").unionByName(fallback_hits.select("subreddit", "hits"))
         .groupBy("subreddit").agg(F.sum("hits").alias("hits"))

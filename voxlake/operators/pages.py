@@ -76,15 +76,14 @@ def score_links(links: DataFrame, keywords: Sequence[str] | None = None) -> Data
     )
 
 
-def first_links(links: DataFrame, *, per_site: int = K.PAGES_PER_SITE, site: str = "site") -> DataFrame:
-    """Links in discovery order, at most `per_site` of a site; `place` starts at 1."""
+def first_links(links: DataFrame, *, per_site: int | None = None, site: str = "site") -> DataFrame:
+    """Links in discovery order, at most `per_site` of a site (None: all); `place` starts at 1."""
     return top_n_per_group(
-        links, [site], [F.asc("page_id"), F.asc("position")], per_site,
-        spread_by=["page_id", "position"], rank="place",
+        links, [site], [F.asc("page_id"), F.asc("position")], per_site, rank="place",
     )
 
 
-def ranked_links(scored: DataFrame, *, per_site: int = K.PAGES_PER_SITE, site: str = "site") -> DataFrame:
+def ranked_links(scored: DataFrame, *, per_site: int | None = None, site: str = "site") -> DataFrame:
     """Links by relevance, every three ranked ones followed by one without hits.
 
     Only the first `per_site` of either kind can reach a place within the limit, so a very large
@@ -96,8 +95,7 @@ def ranked_links(scored: DataFrame, *, per_site: int = K.PAGES_PER_SITE, site: s
     by_score = F.when(~F.col("is_broad"), F.col("score"))
     top = top_n_per_group(
         kinds, [site, "is_broad"],
-        [F.desc_nulls_last(by_score), F.asc("page_id"), F.asc("position")], per_site,
-        spread_by=["page_id", "position"], rank="_i",
+        [F.desc_nulls_last(by_score), F.asc("page_id"), F.asc("position")], per_site, rank="_i",
     )
     of_site = Window.partitionBy(site)
     ranked = F.count_if(~F.col("is_broad")).over(of_site)
@@ -106,8 +104,5 @@ def ranked_links(scored: DataFrame, *, per_site: int = K.PAGES_PER_SITE, site: s
     place = F.when(F.col("is_broad"), F.least(block * (i + 1), ranked) + i).otherwise(
         i + F.least(F.floor(i / block), broad)
     )
-    return (
-        top.withColumn("place", (place + 1).cast("long"))
-        .where(F.col("place") <= per_site)
-        .drop("_i", "is_broad")
-    )
+    placed = top.withColumn("place", (place + 1).cast("long")).drop("_i", "is_broad")
+    return placed if per_site is None else placed.where(F.col("place") <= per_site)

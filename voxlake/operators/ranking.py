@@ -2,8 +2,8 @@
 
 Both use `row_number` with a bound right on top of it, which Spark turns into a per-task limit in
 front of the shuffle (WindowGroupLimit): a group that holds a third of all rows sends at most n rows
-per map task. `top_n_per_group` also spreads each group over salts first, so that even the rows left
-of a hot group are sorted by many tasks.
+per map task. `top_n_per_group` first takes the n of all tasks with one salt, so that what the tasks
+send of a hot group is sorted in several places; a task has one salt, and sends n rows at most.
 """
 
 from __future__ import annotations
@@ -21,33 +21,19 @@ def _first_n(df: DataFrame, keys: Sequence[Column], order: Sequence[Column], n:
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
 
 
-def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *,
-                    spread_by: Sequence[str], rank: str | None = None) -> DataFrame:
-    """The first n rows of each group.
-
-    `spread_by` are columns that tell the rows of one group apart; `rank` keeps the position under
-    that name.
-    """
+def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, *,
+                    rank: str | None = None) -> DataFrame:
+    """The first n rows of each group (None: all rows); `rank` keeps the position under that name."""
     groups = [F.col(k) for k in keys]
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))
+    if n is None:
+        return df if rank is None else df.withColumn(rank, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
     partial = _first_n(df.withColumn("_salt", salt), [*groups, F.col("_salt")], order, n, "_rank")
     name = rank or "_rank"
     full = _first_n(partial.drop("_salt", "_rank"), groups, order, n, name)
     return full if rank else full.drop("_rank")
 
 
-def spread_key(keys: Sequence[str], row_id: str | None) -> Column:
-    """0 for rows whose keys are all known; else a number that differs from row to row.
-
-    Rows with a NULL key are no copies of each other. As part of a partitioning this keeps them from
-    meeting in one task.
-    """
-    if row_id is None:
-        return F.lit(0).cast("long")
-    complete = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    return F.when(complete, F.lit(0).cast("long")).otherwise(F.xxhash64(row_id))
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
                row_id: str | None = None) -> DataFrame:
     """The first row of each key in the given order.
@@ -70,12 +56,11 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
 def add_columns(top: DataFrame, documents: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Wide columns for the few rows of a finished report, by document id.
 
-    Reports rank narrow rows first, so that texts never travel through their joins. `top` ends in a
-    limit of at most some hundred rows, which bounds what is broadcast; its months, where known,
-    prune the second scan.
+    Reports rank narrow rows first, so that texts never travel through their joins. How `top` gets
+    to the documents is left to the optimizer, as the caller's limit decides on its size.
     """
     keys = [k for k in ("id", "event_month") if k in top.columns and k in documents.columns]
-    return documents.select(*keys, *columns).join(F.broadcast(top), keys)
+    return documents.select(*keys, *columns).join(top, keys)
 
 
 def narrow(df: DataFrame, *columns: str) -> list[str]:

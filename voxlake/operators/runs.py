@@ -38,8 +38,8 @@ def metrics_by_platform(runs: DataFrame) -> DataFrame:
     )
 
 
-def recent_runs(runs: DataFrame, order: str = "run_id") -> DataFrame:
-    return runs.orderBy(F.desc(order)).limit(K.RECENT_RUNS)
+def recent_runs(runs: DataFrame, order: str = "run_id", n: int = K.RECENT_RUNS) -> DataFrame:
+    return runs.orderBy(F.desc(order)).limit(n)
 
 
 def parse_diagnostics(text: Column) -> Column:

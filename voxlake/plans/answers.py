@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake import constants as K
-from voxlake.functions.dates import event_time
+from voxlake.functions.dates import event_day
 from voxlake.functions.text import blank_to_null, strip
 from voxlake.operators import fulltext
 from voxlake.operators.filters import Corpus
@@ -17,9 +17,8 @@ from voxlake.plans.explore import search_documents
 
 def retrieve(corpus: Corpus, question: str, filters: Mapping[str, Any] | None = None, *,
              top_n: int | None = None, index: fulltext.Index | None = None) -> DataFrame:
-    """First page of a search for all words of the question, 1 to 25 rows."""
-    limit = max(1, min(top_n or K.EVIDENCE_ROWS, K.MAX_ANSWER_EVIDENCE))
-    return search_documents(corpus, question, filters, limit=limit, index=index)
+    """First page of a search for all words of the question."""
+    return search_documents(corpus, question, filters, limit=max(1, top_n or K.EVIDENCE_ROWS), index=index)
 
 
 def compact_evidence(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -28,7 +27,7 @@ def compact_evidence(rows: DataFrame, sources: DataFrame) -> DataFrame:
     text = F.coalesce(blank_to_null(F.col("body")), F.col("title"), F.lit(""))
     return rows.join(names, "source_id", "left").select(
         "id",
-        F.date_format(event_time(), "yyyy-MM-dd").alias("date"),
+        event_day().cast("string").alias("date"),
         F.coalesce("name", F.lit("unknown")).alias("source"),
         F.coalesce("url", F.lit("")).alias("url"),
         F.substring(strip(F.replace(text, F.lit("\n"), F.lit(" "))), 1, K.EVIDENCE_CHARS).alias("snippet"),
@@ -36,10 +35,11 @@ def compact_evidence(rows: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def text_list(c: Column) -> Column:
-    """Trimmed non-blank texts, at most eight."""
+def text_list(c: Column, most: int | None = None) -> Column:
+    """Trimmed non-blank texts; `most` keeps so many."""
     kept = F.filter(F.transform(c, lambda x: strip(x)), lambda x: x != "")
-    return F.slice(F.coalesce(kept, F.array().cast("array<string>")), 1, K.MAX_ANSWER_POINTS)
+    out = F.coalesce(kept, F.array().cast("array<string>"))
+    return out if most is None else F.slice(out, 1, most)
 
 
 def known_citations(cited: Column, known: Column) -> Column:

@@ -48,8 +48,8 @@ def sentiment_split(corpus: Corpus, filters: Filters | None = None) -> DataFrame
     )
 
 
-def ranked_complaints(corpus: Corpus, filters: Filters | None = None) -> DataFrame:
-    """The hundred gravest documents, latest first among equals."""
+def ranked_complaints(corpus: Corpus, filters: Filters | None = None, n: int = K.RANKED_COMPLAINTS) -> DataFrame:
+    """The gravest documents, latest first among equals."""
     filters = filters or Filters()
     rows = enriched(corpus, filters, _DAY)
     ranked = rows.withColumns(
@@ -62,7 +62,7 @@ def ranked_complaints(corpus: Corpus, filters: Filters | None = None) -> DataFra
     if filters.issue_category:
         ranked = ranked.where(F.col("issue_category") == filters.issue_category)
     order = [F.desc("severity_rank"), F.desc_nulls_last("published_at"), F.desc("id")]
-    top = page(ranked.withColumn("severity_rank", severity(F.col("sentiment_label"))), order, K.RANKED_COMPLAINTS)
+    top = page(ranked.withColumn("severity_rank", severity(F.col("sentiment_label"))), order, n)
     return add_columns(top, corpus.documents, ["title", "body", "url"]).orderBy(*order).select(
         "id", "published_at", "title", "body", "url", "issue_category", "sentiment_label", "severity_rank"
     )

@@ -45,30 +45,30 @@ def _per_day(rows: DataFrame, *aggregates: Column) -> DataFrame:
     return rows.groupBy(event_day().alias("day")).agg(*aggregates)
 
 
-def _latest_days(daily: DataFrame) -> DataFrame:
-    return daily.orderBy(F.desc_nulls_last("day")).limit(K.TREND_DAYS)
+def _latest_days(daily: DataFrame, days: int) -> DataFrame:
+    return daily.orderBy(F.desc_nulls_last("day")).limit(days)
 
 
-def sentiment_trend(rows: DataFrame) -> DataFrame:
-    """Label counts of the latest fourteen active days."""
-    return _latest_days(_per_day(rows, *_label_counts()))
+def sentiment_trend(rows: DataFrame, days: int = K.TREND_DAYS) -> DataFrame:
+    """Label counts of the latest active days."""
+    return _latest_days(_per_day(rows, *_label_counts()), days)
 
 
-def count_trend(rows: DataFrame, name: str) -> DataFrame:
-    """Row counts of the latest fourteen active days."""
-    return _latest_days(_per_day(rows, F.count("*").alias(name)))
+def count_trend(rows: DataFrame, name: str, days: int = K.TREND_DAYS) -> DataFrame:
+    """Row counts of the latest active days."""
+    return _latest_days(_per_day(rows, F.count("*").alias(name)), days)
 
 
-def top_categories(rows: DataFrame) -> DataFrame:
+def top_categories(rows: DataFrame, n: int = K.TOP_CATEGORIES) -> DataFrame:
     return (
         rows.groupBy(issue_category().alias("category"))
         .agg(F.count("*").alias("count"))
         .orderBy(F.desc("count"), "category")
-        .limit(K.TOP_CATEGORIES)
+        .limit(n)
     )
 
 
-def top_features(corpus: Corpus, filters: Filters | None = None) -> DataFrame:
+def top_features(corpus: Corpus, filters: Filters | None = None, n: int = K.TOP_FEATURES) -> DataFrame:
     tags = corpus.tags.where(F.col("tag_type") == "feature").select(
         F.col("document_id").alias("id"), F.col("tag_value").alias("feature")
     )
@@ -78,7 +78,7 @@ def top_features(corpus: Corpus, filters: Filters | None = None) -> DataFrame:
         .groupBy("feature")
         .agg(F.count("*").alias("count"))
         .orderBy(F.desc("count"), "feature")
-        .limit(K.TOP_FEATURES)
+        .limit(n)
     )
 
 

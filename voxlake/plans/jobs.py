@@ -13,7 +13,7 @@ from voxlake import constants as K
 from voxlake.functions.dates import epoch_timestamp
 from voxlake.functions.keys import web_key
 from voxlake.functions.text import clean_whitespace, is_deleted
-from voxlake.functions.urls import canonical_url, normalize_url
+from voxlake.functions.urls import canonical_url, is_blocked, normalize_url
 from voxlake.operators import enrich, ingest, normalize, pages as page_ops
 from voxlake.operators.ranking import keep_first
 from voxlake.operators.store import (
@@ -27,7 +27,7 @@ Reader = Callable[[], DataFrame]
 
 # Documents of each platform -----------------------------------------------------------------------
 def grid_documents(raw: DataFrame, communities: Sequence[str], keywords: Sequence[str], *, start: int,
-                   end: int, include_recent: bool = True) -> DataFrame:
+                   end: int, include_recent: bool = True, per_query: int | None = None) -> DataFrame:
     """Submissions found by a community and keyword grid.
 
     Communities without any hit fall back to their recent posts. A post found by several queries
@@ -36,7 +36,7 @@ def grid_documents(raw: DataFrame, communities: Sequence[str], keywords: Sequenc
     known = raw.where(F.col("subreddit").isin(*communities))
     window = ingest.in_epoch_window(known, start, end)
     slim = ["id", "subreddit", "created_utc", "arrival"]
-    hits = ingest.capped_hits(ingest.grid_hits(window, keywords).select(*slim, "keyword"))
+    hits = ingest.capped_hits(ingest.grid_hits(window, keywords).select(*slim, "keyword"), per_query)
     quiet = window.join(hits.select("subreddit").distinct(), "subreddit", "left_anti")
     recents = ingest.keyword_or_recent(quiet, keywords, include_recent=include_recent)
     found = hits.select(*slim).unionByName(recents.select(*slim)).dropDuplicates(["arrival"])
@@ -47,8 +47,8 @@ def grid_documents(raw: DataFrame, communities: Sequence[str], keywords: Sequenc
 
 
 def post_and_comment_documents(posts: DataFrame, comments: DataFrame, keywords: Sequence[str], *,
-                               now: Column, days_back: int, post_limit: int = K.POST_LIMIT,
-                               comment_limit: int = K.COMMENT_LIMIT) -> DataFrame:
+                               now: Column, days_back: int, post_limit: int | None = None,
+                               comment_limit: int | None = None) -> DataFrame:
     """Recent posts that match a keyword, and the comments of all matching posts."""
     by_arrival = [F.asc("arrival")]
     newest = ingest.newest_per_community(posts, post_limit)
@@ -66,7 +66,7 @@ def post_and_comment_documents(posts: DataFrame, comments: DataFrame, keywords:
 
 
 def review_documents(reviews: DataFrame, apps: Sequence[str], keywords: Sequence[str], *, now: Column,
-                     days_back: int, per_app: int = K.REVIEWS_PER_APP) -> DataFrame:
+                     days_back: int, per_app: int | None = None) -> DataFrame:
     own = reviews.where(F.col("app_id").isin(*apps))
     newest = ingest.newest_reviews(own, keywords, now=now, days_back=days_back, per_app=per_app)
     return normalize.reviews(newest, keep=("arrival",))
@@ -74,7 +74,7 @@ def review_documents(reviews: DataFrame, apps: Sequence[str], keywords: Sequence
 
 def web_documents(listing_pages: DataFrame, crawled: DataFrame, *, start: Column, end: Column,
                   keywords: Sequence[str] | None = None, prioritize_keywords: bool = False,
-                  per_site: int = K.PAGES_PER_SITE, min_content_chars: int = K.MIN_ARTICLE_CHARS) -> DataFrame:
+                  per_site: int | None = None, min_content_chars: int = K.MIN_ARTICLE_CHARS) -> DataFrame:
     """Articles linked from the listing pages, out of the crawled pages."""
     scored = page_ops.score_links(page_ops.candidate_links(page_ops.page_links(listing_pages, keywords)), keywords)
     order = page_ops.ranked_links if prioritize_keywords else page_ops.first_links
@@ -88,9 +88,14 @@ def web_documents(listing_pages: DataFrame, crawled: DataFrame, *, start: Column
 
 def article_documents(crawled: DataFrame, *, start: Column, end: Column,
                       min_content_chars: int = K.MIN_ARTICLE_CHARS) -> DataFrame:
-    """Crawled pages (with `arrival`) to dated articles under their canonical address."""
+    """Crawled pages (with `arrival`, and `status` where known) to dated articles under their canonical address.
+
+    Answers of anti-bot pages are left out.
+    """
+    status = F.col("status") if "status" in crawled.columns else F.lit(200)
+    answered = crawled.where(~F.coalesce(is_blocked(status, F.col("html")), F.lit(False)))
     found = normalize.articles(
-        page_ops.extract_articles(crawled), min_content_chars=min_content_chars, keep=("arrival",)
+        page_ops.extract_articles(answered), min_content_chars=min_content_chars, keep=("arrival",)
     )
     return (
         ingest.in_time_window(found, start, end)
@@ -156,13 +161,16 @@ class Diagnostics:
         }
 
 
-def first_available(chain: Sequence[tuple[str, Reader]], diagnostics: Diagnostics) -> DataFrame:
+def first_available(chain: Sequence[tuple[str, Reader]], diagnostics: Diagnostics, *,
+                    must_have_rows: bool = True) -> DataFrame:
     """The first source of the chain that reads and has rows; every attempt is recorded.
 
     Documents are made here once and kept in the shared folder, so that a source that breaks half
-    way breaks in this step and the next one gets its turn.
+    way breaks in this step and the next one gets its turn. Without `must_have_rows` sources that read
+    well and are empty give an empty result; with it they are an error, like broken ones.
     """
     notes = []
+    nothing = None
     for name, read in chain:
         attempt: dict[str, Any] = {"backend": name, "status": "running"}
         diagnostics.fallback_chain.append(attempt)
@@ -178,17 +186,22 @@ def first_available(chain: Sequence[tuple[str, Reader]], diagnostics: Diagnostic
             diagnostics.backend_used = name
             return docs
         attempt["status"] = "empty"
+        nothing = nothing or (name, docs)
         notes.append(f"{name} returned 0 docs")
+    if nothing is not None and not must_have_rows:
+        diagnostics.backend_used, docs = nothing
+        return docs
     raise RuntimeError("no source returned documents (" + ("; ".join(notes) or "none configured") + ")")
 
 
 def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], *,
                      clock: Callable[[], datetime], taxonomy: Taxonomy | None = None,
-                     config: Mapping[str, Any] | None = None,
+                     config: Mapping[str, Any] | None = None, must_have_rows: bool | None = None,
                      fetch_diagnostics: Callable[[], Mapping[str, Any]] | None = None) -> dict[str, int]:
     """Fetch, dedupe, insert and record one platform's documents.
 
-    Each reader of the chain returns canonical documents with their `arrival`.
+    Each reader of the chain returns canonical documents with their `arrival`. A run without new rows
+    completes with zero, unless rows are asked for; a chain of several sources asks for them.
     """
     started = clock()
     report = Diagnostics(platform, backend_requested=chain[0][0] if chain else None, config=config or {})
@@ -198,7 +211,7 @@ def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Rea
     fetched = inserted = 0
     step = "fetch"
     try:
-        docs = first_available(chain, report)
+        docs = first_available(chain, report, must_have_rows=len(chain) > 1 if must_have_rows is None else must_have_rows)
         if fetch_diagnostics is not None:
             report.fetch = dict(fetch_diagnostics())
         step = "insert"
@@ -229,11 +242,11 @@ def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Rea
 
 
 # Enrichment ------------------------------------------------------------------------------------------
-def enrich_documents(store: Store, scorer: enrich.Scorer, *, clock: Callable[[], datetime],
-                     model_name: str, prompt_version: str = "v1", limit: int | None = 100,
-                     min_chars: int = enrich.MIN_TEXT_CHARS, max_chars: int = enrich.MAX_TEXT_CHARS,
+def enrich_documents(store: Store, scorer: enrich.Scorer | None, *, clock: Callable[[], datetime],
+                     model_name: str, prompt_version: str = "v1", limit: int | None = None,
+                     min_chars: int = enrich.MIN_TEXT_CHARS, max_chars: int | None = None,
                      batch_size: int = enrich.BATCH_SIZE) -> dict[str, int]:
-    """Label documents that have no enrichment yet; short ones by rule, the others by the scorer.
+    """Label documents that have no enrichment yet; short ones by rule, the others by the scorer (None: by rule).
 
     The scorer runs once: its replies are checkpointed before they are stored and counted.
     """
@@ -246,7 +259,10 @@ def enrich_documents(store: Store, scorer: enrich.Scorer, *, clock: Callable[[],
         )
         rows = cut_lineage(enrich.prepare(waiting, min_chars=min_chars, max_chars=max_chars))
         by_rule = enrich.rule_enrichment(rows.where("is_short"))
-        replies = cut_lineage(enrich.score(rows.where("NOT is_short"), scorer, batch_size=batch_size))
+        longer = rows.where("NOT is_short")
+        replies = cut_lineage(
+            enrich.rule_replies(longer) if scorer is None else enrich.score(longer, scorer, batch_size=batch_size)
+        )
         scored = (
             replies.where("status = 'enriched'")
             .join(rows.select("document_id", "rating"), "document_id")

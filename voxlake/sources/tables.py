@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voxlake import schemas
+from voxlake.functions.dates import utc_text
 from voxlake.operators.filters import Corpus
 
 TABLES = {
@@ -49,8 +50,7 @@ class Store:
     def append(self, table: str, rows: DataFrame) -> None:
         """Append rows in the table's own column order and types; missing columns become NULL."""
         if table == "documents":
-            month = F.date_format(F.coalesce("published_at", "created_at"), "yyyy-MM")
-            rows = rows.withColumn("event_month", month)
+            rows = rows.withColumn("event_month", utc_text(F.coalesce("published_at", "created_at")).substr(1, 7))
         shaped = rows.select(
             *[
                 (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -68,12 +68,6 @@ class Store:
         )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of very few splits work for all cores; large scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def export_csv(df: DataFrame, path: str) -> None:
     """Result page as CSV with a header and without row numbers."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -1,7 +1,8 @@
 """Incremental ingestion: new files of a landing folder, one insert-or-ignore per micro-batch.
 
 A replayed batch changes nothing, since every known document is ignored on insert; the stream's
-checkpoint only saves the work of reading old files again.
+checkpoint only saves the work of reading old files again. Lines that cannot be parsed are no documents;
+they are kept with their file under `rejected/` in the store.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ def ingest_new_files(store: Store, platform: str, path: str, schema: T.StructTyp
     `normalize` turns landed records into canonical documents and passes `keep` columns through.
     """
     spark = store.spark
+    broken = "_corrupt_record"
     source_id = ensure_source(store, platform, now=clock())
     records = (
         spark.readStream.format(file_format)
-        .schema(schema)
+        .schema(T.StructType([*schema.fields, T.StructField(broken, T.StringType())]))
+        .option("columnNameOfCorruptRecord", broken)
         .option("maxFilesPerTrigger", max_files)
         .load(path)
         .select(
@@ -43,7 +46,11 @@ def ingest_new_files(store: Store, platform: str, path: str, schema: T.StructTyp
 
     def insert(batch: DataFrame, _: int) -> None:
         arrival = F.struct("_time", "_file", "_start", F.monotonically_increasing_id().alias("row"))
-        landed = batch.withColumn("arrival", arrival).drop("_time", "_file", "_start")
+        rows = cut_lineage(batch.withColumn("arrival", arrival).drop("_time", "_file", "_start"))
+        rejected = rows.where(F.col(broken).isNotNull()).select(F.col("arrival._file").alias("file"), F.col(broken).alias("line"))
+        if not rejected.isEmpty():
+            rejected.write.mode("append").parquet(f"{store.root.rstrip('/')}/rejected/{name}")
+        landed = rows.where(F.col(broken).isNull()).drop(broken)
         docs = cut_lineage(normalize(landed, keep=("arrival",)))
         insert_documents(store, docs, source_id, now=clock(), taxonomy=taxonomy)
 

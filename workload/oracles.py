@@ -50,7 +50,7 @@ def hits(x: str, words: Sequence[str]) -> str:
 
 
 def prefix_text(x: str) -> str:
-    return f"substr(lower({clean(x)}), 1, 200)"
+    return f"lower({clean(x)})"
 
 
 # Views ---------------------------------------------------------------------------------------
@@ -193,7 +193,7 @@ _WAITING = _with(
     "waiting AS (SELECT * FROM documents_c WHERE id NOT IN (SELECT document_id FROM enrichments_c))",
     f"""ready AS (SELECT id AS document_id, platform, rating,
   concat_ws(chr(10) || chr(10), nullif({strip('title')}, ''), nullif({strip('body')}, '')) AS full_text FROM waiting)""",
-    "cut AS (SELECT *, length(full_text) < 400 AS is_short, CASE WHEN length(full_text) < 400 THEN full_text ELSE substr(full_text, 1, 3500) END AS text FROM ready)",
+    "cut AS (SELECT *, length(full_text) < 400 AS is_short, full_text AS text FROM ready)",
 )
 
 
@@ -291,25 +291,21 @@ _SENTIMENT_SUMMARY = f"""SELECT 'sentiment' AS module, printf('Sentiment insight
   count(*), count(*) FILTER (WHERE label = 'negative'), count(*) FILTER (WHERE label = 'positive'),
   count(*) FILTER (WHERE label = 'neutral'), count(*) FILTER (WHERE label = 'mixed')) AS summary FROM rows"""
 
-# Reviews as the refresh stores them: newest 1000 per app, recent or undated, copies without id once.
+# Reviews as the refresh stores them: recent or undated, copies without id once.
 _STORED_REVIEWS = _REVIEWS.rstrip() + f""",
-capped AS (SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY published_at DESC NULLS LAST, id) <= 1000),
-kept AS (SELECT *, {prefix_text('text')} AS key_text FROM capped
+kept AS (SELECT *, {prefix_text('text')} AS key_text FROM reviews
   WHERE published_at IS NULL OR published_at >= TIMESTAMP '2024-03-15 12:00:00' - INTERVAL 100 DAY),
 stored_reviews AS (SELECT * FROM kept QUALIFY review_id IS NOT NULL
   OR row_number() OVER (PARTITION BY review_id, app_id, author, published_at, key_text ORDER BY id) = 1)"""
 
 _LATE = "created_at >= TIMESTAMP '2024-03-15 12:00:00' - INTERVAL 100 DAY"
 _STORED_POSTS = f"""{_POSTS}, {_COMMENTS},
-grid_hits AS (SELECT * FROM posts, (VALUES ('the'), ('que la')) k(word) WHERE contains({_POST_TEXT}, word)
-  QUALIFY row_number() OVER (PARTITION BY subreddit, word ORDER BY epoch DESC, id) <= 1000),
+grid_hits AS (SELECT * FROM posts, (VALUES ('the'), ('que la')) k(word) WHERE contains({_POST_TEXT}, word)),
 grid AS (SELECT DISTINCT id FROM (SELECT id FROM grid_hits UNION ALL
   SELECT id FROM posts WHERE subreddit NOT IN (SELECT subreddit FROM grid_hits))),
 matched AS (SELECT * FROM posts WHERE {_LATE} AND {contains_any(_POST_TEXT, ('the', 'que'))}),
-newest AS (SELECT * FROM posts QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY epoch DESC, id) <= 200),
-more AS (SELECT id FROM newest WHERE {_LATE} AND id IN (SELECT id FROM matched) AND id NOT IN (SELECT id FROM grid)),
-replies AS (SELECT * FROM comments WHERE parent_id IN (SELECT id FROM matched)
-  QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY turn) <= 200)"""
+more AS (SELECT id FROM posts WHERE {_LATE} AND id IN (SELECT id FROM matched) AND id NOT IN (SELECT id FROM grid)),
+replies AS (SELECT * FROM comments WHERE parent_id IN (SELECT id FROM matched))"""
 
 ORACLES: dict[str, str] = {
     "sentiment_totals": _E + f"SELECT count(*) AS total_docs, {_COUNTS} FROM rows",
@@ -379,12 +375,12 @@ JOIN (SELECT conv_id AS id, min(turn * 1000000 - conv_id) AS position FROM conve
     "answer_evidence": scored([word("anble"), word("reble")], "f0 > 0 AND f1 > 0") + f"""SELECT id, {day('event_time')} AS date,
   CASE WHEN platform = 'reddit' THEN 'unknown' ELSE platform END AS source, url,
   substr({strip("replace(coalesce(nullif(body, ''), title, ''), chr(10), ' ')")}, 1, 280) AS snippet, {strip("coalesce(title, '')")} AS title
-FROM (SELECT * FROM scored ORDER BY fts_score, event_time DESC, id DESC LIMIT 25)""",
+FROM (SELECT * FROM scored ORDER BY fts_score, event_time DESC, id DESC LIMIT 40)""",
     "cited_evidence": f"""SELECT conv_id, turn, insufficient_evidence,
   CASE WHEN insufficient_evidence THEN 'Based on Reddit data in selected filters.' || chr(10) || chr(10) || 'Insufficient evidence to answer confidently.'
        WHEN role = 'user' THEN 'Based on Reddit data in selected filters.' || chr(10) || chr(10) || 'No grounded answer available.'
        ELSE 'Answer ' || conv_id END AS answer,
-  CASE WHEN insufficient_evidence THEN '' ELSE array_to_string(list_filter([{strip('x')} FOR x IN string_split(text, chr(10))], lambda x: x <> '')[1:8], '|') END AS key_points,
+  CASE WHEN insufficient_evidence THEN '' ELSE array_to_string(list_filter([{strip('x')} FOR x IN string_split(text, chr(10))], lambda x: x <> ''), '|') END AS key_points,
   CASE WHEN turn % 3 = 2 THEN 'Question is empty.' WHEN turn < 2 THEN 'Insufficient evidence in selected filters.' ELSE role END AS caveats,
   '' AS contradictions, CASE WHEN insufficient_evidence THEN '' ELSE turn || '|1|' || turn END AS cited_evidence_ids,
   CASE WHEN turn > 0 THEN array_to_string(range(1, turn + 1), '|') ELSE '' END AS evidence_ids
@@ -529,7 +525,7 @@ FROM (SELECT *, sum(docs) OVER (ORDER BY k) AS last_id FROM sizes)""",
     ) + """SELECT row_number() OVER (ORDER BY page_id) AS id, external_id, community_or_channel, '2024-02-01 10:00:00.000000' AS published_at FROM s2""",
     "enrich_end_to_end": _STORED_REVIEWS + f""",
 texts AS (SELECT {strip('text')} AS body, rating FROM stored_reviews),
-ready AS (SELECT length(body) < 15 AS is_short, CASE WHEN length(body) < 15 THEN body ELSE substr(body, 1, 3500) END AS text, rating FROM texts)
+ready AS (SELECT length(body) < 15 AS is_short, body AS text, rating FROM texts)
 SELECT CASE WHEN is_short THEN 'fallback_rules' ELSE 'rules' END AS model_name, {_sentiment('text', 'rating')} AS sentiment_label, count(*) AS docs
 FROM ready GROUP BY 1, 2""",
 }

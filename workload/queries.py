@@ -257,7 +257,7 @@ def _hits(rows: DataFrame) -> DataFrame:
 
 
 def _search(spark, sf, match: fulltext.Match, *, filters: dict | None = None, limit: int = 200, offset: int = 0):
-    docs = views.documents(spark, sf, wide=True)
+    docs = views.documents(spark, sf)
     corpus = Corpus(docs, views.sources(spark), None, views.enrichments(spark, sf))
     return _hits(explore.search_documents(corpus, match, filters, limit=limit, offset=offset))
 
@@ -318,7 +318,7 @@ def search_filtered_page(spark, sf):
 
 @query
 def search_indexed(spark, sf):
-    docs = views.documents(spark, sf, wide=True)
+    docs = views.documents(spark, sf)
     match = fulltext.match_any("anble reble") & fulltext.match_none("inble")
     found = explore.search_documents(
         Corpus(docs, views.sources(spark)), match, limit=200, index=fulltext.build_index(docs)
@@ -329,7 +329,7 @@ def search_indexed(spark, sf):
 @query
 def index_terms(spark, sf):
     """Documents and occurrences per term of the index."""
-    index = fulltext.build_index(views.documents(spark, sf, wide=True))
+    index = fulltext.build_index(views.documents(spark, sf))
     return index.postings.groupBy("term").agg(
         F.count_distinct("doc_id").alias("n_docs"), F.sum("tf").alias("occurrences"),
         F.min(F.col("positions")[0]).alias("first_position"),
@@ -339,7 +339,7 @@ def index_terms(spark, sf):
 # Answers -------------------------------------------------------------------------------------
 @query
 def answer_evidence(spark, sf):
-    docs = views.documents(spark, sf, wide=True)
+    docs = views.documents(spark, sf)
     found = answers.retrieve(Corpus(docs, views.sources(spark)), "anble reble?", top_n=40)
     # One source row is missing, so that its documents are of an unknown source.
     return answers.compact_evidence(found, views.sources(spark).where("name <> 'reddit'"))
@@ -365,12 +365,12 @@ def cited_evidence(spark, sf):
 # Tagging -------------------------------------------------------------------------------------
 @query
 def tag_all(spark, sf):
-    return tag_documents(views.documents(spark, sf, wide=True), views.TAXONOMY)
+    return tag_documents(views.documents(spark, sf), views.TAXONOMY)
 
 
 @query
 def tag_competitors(spark, sf):
-    rows = views.table(spark, sf, "conversations", wide=True)
+    rows = views.table(spark, sf, "conversations")
     turns = rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     return tag_documents(turns, views.TAXONOMY, types=["competitor"], text=F.col("text"), confidence=None)
 
@@ -381,7 +381,7 @@ _MIN_CHARS = 400
 
 def _waiting(spark, sf) -> DataFrame:
     return enrich.candidates(
-        views.documents(spark, sf, wide=True).drop("platform"), views.enrichments(spark, sf), views.sources(spark), limit=None
+        views.documents(spark, sf).drop("platform"), views.enrichments(spark, sf), views.sources(spark), limit=None
     )
 
 
@@ -434,7 +434,7 @@ def classifier_reply_clean(spark, sf):
         F.to_json(F.struct(F.array(F.struct(earlier["document_id"].alias("document_id"), earlier["sentiment_label"].alias("sentiment_label"),
                                             *[F.lit(None).cast(t).alias(n) for n, t in (("primary_issue_category", "string"), ("feature_request_flag", "boolean"), ("competitor_mentions", "array<string>"), ("summary_snippet", "string"))]), item).alias("documents")))
     )
-    replies = views.table(spark, sf, "documents", wide=True).select(i.alias("batch_id"), reply.alias("reply"))
+    replies = views.table(spark, sf, "documents").select(i.alias("batch_id"), reply.alias("reply"))
     parsed = enrich.last_reply(enrich.parse_replies(replies), "batch_id", "position")
     return parsed.select("document_id", *enrich.clean_reply("model-a"))
 
@@ -442,7 +442,7 @@ def classifier_reply_clean(spark, sf):
 # Dedupe and URLs -----------------------------------------------------------------------------
 @query
 def dedupe_fallback_key(spark, sf):
-    docs = views.documents(spark, sf, wide=True)
+    docs = views.documents(spark, sf)
     external = F.when(F.col("source_id") == 1, F.col("external_id")).when(F.col("source_id") == 2, "")
     return docs.select(
         "id",
@@ -510,7 +510,7 @@ def blocked_pages(spark, sf):
 
 # Pages ---------------------------------------------------------------------------------------
 def _pages(spark, sf) -> DataFrame:
-    return views.table(spark, sf, "pages", wide=True)
+    return views.table(spark, sf, "pages")
 
 
 def _linked_pages(spark, sf) -> DataFrame:
@@ -595,7 +595,7 @@ def conversation_comments(spark, sf) -> DataFrame:
 
 def document_submissions(spark, sf) -> DataFrame:
     """Documents as posts of the community of their source column."""
-    return views.documents(spark, sf, wide=True).select(
+    return views.documents(spark, sf).select(
         F.col("external_id").alias("id"), "title", F.col("body").alias("selftext"),
         F.col("community_or_channel").alias("subreddit"), "author",
         F.unix_timestamp("published_at").cast("double").alias("created_utc"),
@@ -744,7 +744,7 @@ def _xml(tag: str, body: Column, attributes: str = "") -> Column:
 
 @query
 def atom_entries(spark, sf):
-    d = views.documents(spark, sf, wide=True)
+    d = views.documents(spark, sf)
     i = F.col("external_id")
     day = F.date_format(F.coalesce("published_at", "created_at"), "yyyy-MM-dd'T'HH:mm:ss")
     entry = _xml("entry", F.concat(
@@ -765,7 +765,7 @@ def atom_entries(spark, sf):
 
 @query
 def rss_items(spark, sf):
-    d = views.documents(spark, sf, wide=True)
+    d = views.documents(spark, sf)
     i = F.col("external_id")
     item = _xml("item", F.concat(
         F.when(F.col("id") % 3 == 0, _xml("guid", F.concat(F.lit("https://x.example.com/g/"), i, F.lit("/")))).otherwise(""),
@@ -790,7 +790,7 @@ def _date_texts(spark, sf) -> DataFrame:
         F.unix_timestamp(t).cast("string"), F.lit("not a date"), F.lit(""),
     ]
     form = F.element_at(F.array(*forms), (F.col("id") % 7 + 1).cast("int"))
-    return views.documents(spark, sf, wide=True).select("id", form.alias("date_text"))
+    return views.documents(spark, sf).select("id", form.alias("date_text"))
 
 
 @query
@@ -808,8 +808,8 @@ def ingest_window(spark, sf):
 
 @query
 def clean_text(spark, sf):
-    docs = views.table(spark, sf, "documents", wide=True).select(F.col("doc_id").alias("id"), "text")
-    turns = views.table(spark, sf, "conversations", wide=True).select((-F.col("conv_id") * 100 - F.col("turn") - 1).alias("id"),
+    docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    turns = views.table(spark, sf, "conversations").select((-F.col("conv_id") * 100 - F.col("turn") - 1).alias("id"),
         F.when(F.col("turn") == 3, F.lit(" [Removed]\n")).when(F.col("turn") == 4, "N/A").otherwise(F.col("text")).alias("text"))
     c = F.col("text")
     return docs.unionByName(turns).select(
@@ -885,6 +885,8 @@ def _scratch(spark: SparkSession) -> str:
     try:
         base = shared_dir(spark)
     except ValueError:
+        if not spark.sparkContext.master.startswith("local"):
+            raise
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/voxlake-{uuid.uuid4().hex}"
@@ -952,5 +954,5 @@ def enrich_end_to_end(spark, sf):
         document_reviews(spark, sf), [f"src{i}" for i in range(20)], [], now=F.lit(_clock()), days_back=100
     )
     jobs.refresh_platform(store, K.GOOGLE_PLAY, [("reviews", lambda: reviews)], clock=_clock)
-    jobs.enrich_documents(store, enrich.rule_scorer, clock=_clock, model_name="rules", limit=None, batch_size=200)
+    jobs.enrich_documents(store, None, clock=_clock, model_name="rules")
     return store.read("enrichments").groupBy("model_name", "sentiment_label").agg(F.count("*").alias("docs"))

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from voxlake import constants as K
 from voxlake.operators.filters import Corpus
 from voxlake.operators.tagging import Taxonomy, tag_documents
-from voxlake.sources.tables import spread
 
 PLATFORMS = (K.REDDIT, K.GOOGLE_PLAY, K.WEB_REVIEWS)
 
@@ -36,10 +35,9 @@ SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf: str, name: str, *, wide: bool = False) -> DataFrame:
-    """A driver table. `wide` is for work that is heavy per row: see `spread`."""
-    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
-    return spread(rows, SCHEMAS[name].split()[0]) if wide else rows
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A driver table."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def sources(spark: SparkSession) -> DataFrame:
@@ -55,8 +53,8 @@ _CATEGORIES = ", ".join(f"'{c}'" for c in K.ISSUE_CATEGORIES)
 _CATEGORY = f"CASE WHEN doc_id % 13 <> 0 THEN element_at(array({_CATEGORIES}), cast(doc_id % 9 + 1 AS int)) END"
 
 
-def documents(spark: SparkSession, sf: str, *, wide: bool = False) -> DataFrame:
-    return table(spark, sf, "documents", wide=wide).selectExpr(
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").selectExpr(
         "doc_id AS id",
         "1 + doc_id % 3 AS source_id",
         "cast(doc_id AS string) AS external_id",
@@ -91,7 +89,7 @@ def enrichments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf: str) -> DataFrame:
-    return tag_documents(documents(spark, sf, wide=True), TAXONOMY)
+    return tag_documents(documents(spark, sf), TAXONOMY)
 
 
 def corpus(spark: SparkSession, sf: str, *, with_tags: bool = False) -> Corpus:
