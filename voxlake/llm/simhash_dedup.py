@@ -6,9 +6,12 @@ of a segment number 1 or 6, and two segments that differ in at most 2 bits alway
 since some word lies within 1 bit of both. A codeword's 12 message bits are its index.
 
 Pigeonhole: of 4 differing bits over three segments, either one segment has none, and then one of the other two
-has at most 2: keys are a segment as it is with an index of another (6 ordered pairs). Or each segment has at
-least one and at most 2: keys are an index of the first with an index of the second. That is about 60 keys for
-each different fingerprint. Fingerprints that share a key are compared, and links are kept from 4 bits down.
+has at most 2: keys are a segment as it is with an index of another (6 ordered pairs). Or each segment has one or
+two, and at least two segments one: keys are an index of each of the three. Where two words differ in one bit, the
+nearest codeword of either is within 4 bits of the other; so of the two segments with one bit, one fingerprint's
+nearest codeword serves in the first and the other's in the second, and only triples with a nearest codeword among
+them are needed. That is about 100 keys of 30 to 36 bits for each different fingerprint, so that chance companions
+stay rare. Fingerprints that share a key are compared, and links are kept from 4 bits down.
 
 A bucket of a key is walked breadth first in one task and gives links to its components' first members only,
 never pairs. A bucket with more than CAP fingerprints is dealt as pairs of blocks, so a task holds at most two.
@@ -21,7 +24,7 @@ account only where a component has no other.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, permutations
+from itertools import combinations, permutations, product
 
 import numpy as np
 import pyarrow as pa
@@ -116,10 +119,11 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = place if k == 0 else place[~single[fuzzy]]
             keys.append(kind << 40 | parts[exact][at] << 12 | index[fuzzy][at, k])
             rows.append(at)
-    for i in range(6):
-        for k in range(6):
-            at = place[(~single[0] | (i == 0)) & (~single[1] | (k == 0))]
-            keys.append(MIXED << 40 | index[0][at, i] << 12 | index[1][at, k])
+    for choice in product(range(6), repeat=3):
+        if 0 in choice:  # the first index is the nearest codeword's
+            at = place[np.logical_and.reduce([~s | (k == 0) for s, k in zip(single, choice, strict=True)])]
+            i, j, k = (x[at, c] for x, c in zip(index, choice, strict=True))
+            keys.append(MIXED << 40 | i << 24 | j << 12 | k)
             rows.append(at)
     return np.concatenate(keys), np.concatenate(rows)
 
