@@ -70,8 +70,6 @@ SNIPPET_CHARS = 400
 # Full-text ranking: column weights and BM25 parameters
 TITLE_WEIGHT, CONTENT_WEIGHT, REVIEW_WEIGHT = 1.5, 1.0, 0.8
 BM25_K1, BM25_B, MIN_IDF = 1.2, 0.75, 1e-6
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿ"
-UNACCENTED = "aaaaaaeeeeiiiiooooouuuucnyy"
 
 # Report sizes
 TREND_DAYS = 14

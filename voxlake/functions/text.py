@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from collections.abc import Sequence
 from functools import reduce
 
@@ -83,12 +85,23 @@ def feed_text(c: Column) -> Column:
     return clean_whitespace(unescape_entities(drop_tags(F.coalesce(c, F.lit("")))))
 
 
+def accents() -> tuple[str, str]:
+    """Latin letters with marks and the letters without; marks that stand alone, at the end, have no counterpart."""
+    latin = map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))
+    bare = {c: unicodedata.normalize("NFD", c)[0] for c in latin if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1}
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(bare) + marks, "".join(bare.values())
+
+
+ACCENTED, UNACCENTED = accents()
+
+
 def tokens(c: Column) -> Column:
     """Search tokens: case and accents folded, runs of letters and digits."""
     lowered = F.lower(F.coalesce(c, F.lit("")))
     # Plain ASCII texts need no accent table.
     folded = F.when(
-        F.octet_length(lowered) > F.length(lowered), F.translate(lowered, K.ACCENTED, K.UNACCENTED)
+        F.octet_length(lowered) > F.length(lowered), F.translate(lowered, ACCENTED, UNACCENTED)
     ).otherwise(lowered)
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
@@ -97,5 +110,6 @@ def fold(text: str) -> list[str]:
     """Token list of a query text, by the same rule as `tokens`."""
     import re
 
-    folded = text.lower().translate(str.maketrans(K.ACCENTED, K.UNACCENTED))
+    folded = text.lower().translate(
+        str.maketrans(ACCENTED[:len(UNACCENTED)], UNACCENTED, ACCENTED[len(UNACCENTED):]))
     return re.findall(r"[^\W_]+", folded)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from enum import Enum
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -132,11 +133,16 @@ def with_sources(documents: DataFrame, sources: DataFrame, names: tuple[str, ...
     return documents.join(wanted, "source_id", "left_semi")
 
 
-def with_tags(documents: DataFrame, tags: DataFrame, tag_type: str, values: tuple[str, ...]) -> DataFrame:
-    wanted = tags.where((F.col("tag_type") == tag_type) & F.col("tag_value").isin(*values)).select(
-        F.col("document_id").alias("id")
+def with_tags(documents: DataFrame, tags: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Documents with one of the values of every type, by one pass over the tags."""
+    hits = [(F.col("tag_type") == t) & F.col("tag_value").isin(*values) for t, values in wanted.items()]
+    flags = [F.max(hit).alias(f"_t{i}") for i, hit in enumerate(hits)]
+    found = (
+        tags.where(reduce(lambda a, b: a | b, hits)).groupBy(F.col("document_id").alias("id")).agg(*flags)
+        .where(reduce(lambda a, b: a & b, (F.col(f"_t{i}") for i in range(len(hits)))))
+        .select("id")
     )
-    return documents.join(wanted, "id", "left_semi")
+    return documents.join(found, "id", "left_semi")
 
 
 def with_sentiment(documents: DataFrame, enrichments: DataFrame, label: str) -> DataFrame:
@@ -152,8 +158,8 @@ def apply_semi_joins(documents: DataFrame, corpus: Corpus, filters: Filters) ->
     """Filters on other tables. Large texts are best left out of `documents` here."""
     if filters.sources:
         documents = with_sources(documents, corpus.sources, filters.sources)
-    for tag_type, values in filters.tags.items():
-        documents = with_tags(documents, corpus.tags, tag_type, values)
+    if filters.tags:
+        documents = with_tags(documents, corpus.tags, dict(filters.tags))
     if filters.sentiment_label:
         documents = with_sentiment(documents, corpus.enrichments, filters.sentiment_label)
     return documents

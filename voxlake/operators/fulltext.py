@@ -215,26 +215,34 @@ def _bucket(term: str) -> int:
 def build_index(documents: DataFrame) -> Index:
     """Postings per (term, document, column) with positions, and document lengths.
 
-    Postings are grouped by term and document together, so that a very common term is spread over
-    all tasks like any other.
+    All places of a word in a document lie in one row, so postings are made row by row, from the sorted
+    words; nothing is shuffled before the index is written.
     """
     cut = documents.select(
         F.col("id").alias("doc_id"), tokens(F.col("title")).alias("t"), tokens(F.col("body")).alias("b")
     )
     doc_stats = cut.select("doc_id", (F.size("t") + 2 * F.size("b")).cast("long").alias("dl"))
 
-    def words(column: str, in_title: bool) -> Column:
-        return F.transform(
-            column,
-            lambda w, i: F.struct(w.alias("term"), F.lit(in_title).alias("in_title"), i.alias("position")),
-        )
+    def grouped(column: str, in_title: bool) -> Column:
+        places = F.array_sort(F.transform(column, lambda w, i: F.struct(w.alias("term"), i.alias("position"))))
+
+        def of_runs(words: Column, starts: Column) -> Column:
+            return F.transform(starts, lambda a, k: F.struct(
+                F.get(words, a)["term"].alias("term"), F.lit(in_title).alias("in_title"),
+                F.transform(F.slice(words, a + 1, F.coalesce(F.get(starts, k + 1), F.size(words)) - a),
+                            lambda w: w["position"]).alias("positions")))
+
+        def runs(words: Column) -> Column:
+            starts = F.filter(F.transform(words, lambda w, i: F.when(
+                (i == 0) | (F.get(words, i - 1)["term"] != w["term"]), i)), lambda i: i.isNotNull())
+            # bound once, like the words
+            return F.flatten(F.transform(F.array(starts), lambda own: of_runs(words, own)))
+
+        return F.flatten(F.transform(F.array(places), runs))
 
-    place = F.explode(F.concat(words("t", True), words("b", False)))
     postings = (
-        cut.select("doc_id", place.alias("w"))
-        .select("doc_id", "w.*")
-        .groupBy("term", "doc_id", "in_title")
-        .agg(F.sort_array(F.collect_list("position")).alias("positions"))
+        cut.select("doc_id", F.inline(F.concat(grouped("t", True), grouped("b", False))))
+        .select("term", "doc_id", "in_title", "positions")
         .withColumn("bucket", (F.crc32(F.encode("term", "UTF-8")) % BUCKETS).cast("int"))
         .withColumn("tf", F.size("positions").cast("long"))
     )

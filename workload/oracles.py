@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from voxlake.functions.text import accents
 from workload.views import TAXONOMY
 
 # White space as the library sees it, and word characters, spelled out for RE2.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WORD = r"[\p{L}\p{N}_]"
-_ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy")
+_ACCENTS = accents()
 
 
 # Expressions ---------------------------------------------------------------------------------
