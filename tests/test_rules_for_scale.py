@@ -145,3 +145,21 @@ print("all ran")
     env = {"PATH": "/usr/bin:/bin:/usr/local/bin", "HOME": str(tmp_path)} | {k: v for k, v in __import__("os").environ.items() if k.startswith(("JAVA", "SPARK", "PYSPARK", "PATH", "LANG"))}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
+def test_one_writer_and_no_left_copies(spark, store):
+    from test_jobs import canonical
+
+    from voxlake.operators.store import ensure_source, insert_documents, only_writer
+    from voxlake.session import shared_dir
+
+    source = ensure_source(store, "reddit", now=NOW)
+    docs = canonical(spark, [(1, "a", None, "t", "c"), (2, "b", None, "t", "c")])
+    with only_writer(store), pytest.raises(RuntimeError, match="another writer"):
+        insert_documents(store, docs, source, now=NOW)
+    before = {p.name for p in Path(shared_dir(spark)).glob("voxlake-stage/*")}
+    jobs.refresh_platform(store, "reddit", [("x", lambda: docs)], clock=lambda: NOW)
+    assert store.read("documents").count() == 2
+    assert {p.name for p in Path(shared_dir(spark)).glob("voxlake-stage/*")} == before
+    files = list(Path(store.root, "documents").glob("event_month=*/*.parquet"))
+    assert len(files) == 1

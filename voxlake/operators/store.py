@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 from datetime import datetime
 from itertools import accumulate
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxlake.operators.dedupe import new_documents, not_in
 from voxlake.operators.normalize import stored_columns
@@ -20,14 +23,60 @@ from voxlake.sources.tables import Store
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """Hadoop's file system of a path, and the path for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Removes the copies that `cut_lineage` makes in this block when the block ends."""
+    if _staged.get() is not None:  # the outermost block removes
+        yield
+        return
+    token = _staged.set([])
+    try:
+        yield
+    finally:
+        paths = _staged.get() or []
+        _staged.reset(token)
+        for path in paths:
+            files, place = _file_system(spark, path)
+            files.delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Written to the cluster's shared folder and read back: made once, kept if executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voxlake-stage/{uuid.uuid4().hex}"
+    if (own := _staged.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def only_writer(store: Store) -> Iterator[None]:
+    """Document ids count on from the highest one, so one writer works on a store at a time.
+
+    The claim is a file that can be made once. A run that was killed leaves it; remove it by hand then.
+    """
+    claim = f"{store.root.rstrip('/')}/_writer"
+    files, place = _file_system(store.spark, claim)
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as error:
+        raise RuntimeError(f"another writer is at work on this store, or was killed: {claim} exists") from error
+    try:
+        yield
+    finally:
+        files.delete(place, False)
+
+
 def ensure_source(store: Store, platform: str, *, now: datetime) -> int:
     """Id of the platform's source row, added where it is missing; its name is the platform key."""
     sources = store.read("sources")
@@ -74,6 +123,11 @@ def insert_documents(store: Store, docs: DataFrame, source_id: int, *, now: date
     one shuffle. That reads `docs` twice, so they should be cheap to read (see `cut_lineage`). A
     rerun after a failure inserts nothing twice; `retag` fills in tags a failed run left out.
     """
+    with only_writer(store), staging(store.spark):
+        return _insert(store, docs, source_id, now, taxonomy)
+
+
+def _insert(store: Store, docs: DataFrame, source_id: int, now: datetime, taxonomy: Taxonomy | None) -> int:
     incoming = stored_columns(docs).withColumn("source_id", F.lit(source_id).cast("long"))
     stored = store.read("documents")
     keys = ["source_id", "external_id", "dedupe_key"]
@@ -86,8 +140,7 @@ def insert_documents(store: Store, docs: DataFrame, source_id: int, *, now: date
         rows = incoming.join(numbered, "arrival").withColumn("created_at", F.lit(now))
         store.append("documents", rows)
         if taxonomy is not None:
-            own = store.read("documents").where(F.col("id").between(last + 1, last + inserted))
-            insert_tags(store, tag_documents(own, taxonomy), now=now)
+            insert_tags(store, tag_documents(rows.select("id", "title", "body"), taxonomy), now=now)
     return inserted
 
 

@@ -17,7 +17,7 @@ from voxlake.functions.urls import canonical_url, is_blocked, normalize_url
 from voxlake.operators import enrich, ingest, normalize, pages as page_ops
 from voxlake.operators.ranking import keep_first
 from voxlake.operators.store import (
-    complete_run, cut_lineage, ensure_source, insert_documents, start_run,
+    complete_run, cut_lineage, ensure_source, insert_documents, staging, start_run,
 )
 from voxlake.operators.tagging import Taxonomy
 from voxlake.sources.tables import Store
@@ -203,6 +203,13 @@ def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Rea
     Each reader of the chain returns canonical documents with their `arrival`. A run without new rows
     completes with zero, unless rows are asked for; a chain of several sources asks for them.
     """
+    with staging(store.spark):
+        return _refresh(store, platform, chain, clock, taxonomy, config, must_have_rows, fetch_diagnostics)
+
+
+def _refresh(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], clock: Callable[[], datetime],
+             taxonomy: Taxonomy | None, config: Mapping[str, Any] | None, must_have_rows: bool | None,
+             fetch_diagnostics: Callable[[], Mapping[str, Any]] | None) -> dict[str, int]:
     started = clock()
     report = Diagnostics(platform, backend_requested=chain[0][0] if chain else None, config=config or {})
     source_id = ensure_source(store, platform, now=started)
@@ -250,6 +257,12 @@ def enrich_documents(store: Store, scorer: enrich.Scorer | None, *, clock: Calla
 
     The scorer runs once: its replies are checkpointed before they are stored and counted.
     """
+    with staging(store.spark):
+        return _enrich(store, scorer, clock, model_name, prompt_version, limit, min_chars, max_chars, batch_size)
+
+
+def _enrich(store: Store, scorer: enrich.Scorer | None, clock: Callable[[], datetime], model_name: str, prompt_version: str,
+            limit: int | None, min_chars: int, max_chars: int | None, batch_size: int) -> dict[str, int]:
     started = clock()
     run_id = start_run(store, "enrichment_runs", now=started)
     stats = {"candidates": 0, "enriched": 0, "skipped_short": 0, "failed_batches": 0}

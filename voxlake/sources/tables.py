@@ -57,7 +57,10 @@ class Store:
                 for f in TABLES[table].fields
             ]
         )
-        shaped.write.mode("append").partitionBy(*PARTITION_COLUMNS.get(table, [])).parquet(self.path(table))
+        folders = PARTITION_COLUMNS.get(table, [])
+        if folders:  # a few even files for each folder, whichever tasks have its rows
+            shaped = shaped.hint("rebalance", *folders)
+        shaped.write.mode("append").partitionBy(*folders).parquet(self.path(table))
 
     def corpus(self) -> Corpus:
         return Corpus(

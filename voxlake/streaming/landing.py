@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from voxlake.operators.store import cut_lineage, ensure_source, insert_documents
+from voxlake.operators.store import cut_lineage, ensure_source, insert_documents, staging
 from voxlake.operators.tagging import Taxonomy
 from voxlake.session import shared_dir
 from voxlake.sources.tables import Store
@@ -45,6 +45,10 @@ def ingest_new_files(store: Store, platform: str, path: str, schema: T.StructTyp
     )
 
     def insert(batch: DataFrame, _: int) -> None:
+        with staging(spark):
+            take_in(batch)
+
+    def take_in(batch: DataFrame) -> None:
         arrival = F.struct("_time", "_file", "_start", F.monotonically_increasing_id().alias("row"))
         rows = cut_lineage(batch.withColumn("arrival", arrival).drop("_time", "_file", "_start"))
         rejected = rows.where(F.col(broken).isNotNull()).select(F.col("arrival._file").alias("file"), F.col(broken).alias("line"))
