@@ -6,11 +6,14 @@ only narrow what is ranked.
 
 There are two ways to the same scores. `score_texts` reads the texts: one pass for the corpus figures,
 one over the candidates, no shuffle. `score_index` reads an index written once by `build_index`: only
-the buckets of the query's terms are scanned, and only their postings are shuffled, by document.
+the buckets of the query's terms are scanned, and only their postings are shuffled, by document. The
+index grows by a part with every insert; a commit record makes a part visible once it is whole.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -23,7 +26,7 @@ from voxlake.functions.dates import event_time
 from voxlake.functions.text import fold, tokens
 from voxlake.operators.ranking import add_columns, narrow, page
 
-BUCKETS = 256
+BUCKETS, BUCKET_LETTERS = 256, 2
 _WEIGHTS = {
     None: (K.TITLE_WEIGHT, K.CONTENT_WEIGHT + K.REVIEW_WEIGHT),
     "title": (K.TITLE_WEIGHT, 0.0),
@@ -209,7 +212,8 @@ class Index:
 
 
 def _bucket(term: str) -> int:
-    return crc32(term.encode()) % BUCKETS
+    """By the first letters, so that a prefix of at least so many opens one bucket like a word does."""
+    return crc32(term[:BUCKET_LETTERS].encode()) % BUCKETS
 
 
 def build_index(documents: DataFrame) -> Index:
@@ -243,37 +247,51 @@ def build_index(documents: DataFrame) -> Index:
     postings = (
         cut.select("doc_id", F.inline(F.concat(grouped("t", True), grouped("b", False))))
         .select("term", "doc_id", "in_title", "positions")
-        .withColumn("bucket", (F.crc32(F.encode("term", "UTF-8")) % BUCKETS).cast("int"))
+        .withColumn("bucket", (F.crc32(F.encode(F.substring("term", 1, BUCKET_LETTERS), "UTF-8")) % BUCKETS).cast("int"))
         .withColumn("tf", F.size("positions").cast("long"))
     )
     corpus = doc_stats.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_length"))
     return Index(postings, doc_stats, corpus)
 
 
-def write_index(index: Index, path: str) -> None:
-    """Buckets follow the term, so that a query opens only its own. Ranges are cut by document too:
-    the bucket of a common term becomes many even files, each sorted by term."""
+def write_index(index: Index, path: str, *, append: bool = False) -> None:
+    """Writes a part of the index; without `append` it replaces all earlier ones.
+
+    Buckets follow the term, so that a query opens only its own. Ranges are cut by document too: the
+    bucket of a common term becomes many even files, each sorted by term. The commit is one small file,
+    written last: readers see a part as a whole or not at all. Appended documents must be new ones.
+    """
+    part = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     order = ["bucket", "term", "doc_id"]
-    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(f"{path}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(
+        f"{path}/postings/part={part}")
+    index.doc_stats.write.parquet(f"{path}/doc_stats/part={part}")
+    index.corpus.write.parquet(f"{path}/corpus/part={part}")
+    spark = index.corpus.sparkSession
+    spark.createDataFrame([(part, append)], "part string, appended boolean").coalesce(1).write.mode("append").parquet(
+        f"{path}/commits")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    def part(name: str, schema: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
+    """The index as of its last commit. There is one commit for each insert since the last full write."""
+    commits = spark.read.schema("part string, appended boolean").parquet(f"{path}/commits").orderBy("part").collect()
+    base = max((i for i, c in enumerate(commits) if not c["appended"]), default=0)
+
+    def parts(name: str, schema: str) -> DataFrame:
+        folders = [f"{path}/{name}/part={c['part']}" for c in commits[base:]]
+        return spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(*folders)
 
+    corpus = parts("corpus", "n_docs long, total_length long").agg(
+        F.sum("n_docs").alias("n_docs"), F.sum("total_length").alias("total_length"))
     return Index(
-        part("postings", "bucket int, term string, doc_id long, in_title boolean, tf long, positions array<int>"),
-        part("doc_stats", "doc_id long, dl long"),
-        part("corpus", "n_docs long, total_length long"),
+        parts("postings", "bucket int, term string, doc_id long, in_title boolean, tf long, positions array<int>"),
+        parts("doc_stats", "doc_id long, dl long"),
+        corpus,
     )
 
 
 def _needed(postings: DataFrame, match: Match) -> DataFrame:
-    """Only postings a unit can use; exact words also prune the buckets."""
+    """Only postings a unit can use; words and prefixes prune the buckets, very short prefixes do not."""
     exact = sorted({w for u in match.units for w in (u.words[:-1] if u.prefix else u.words)})
     prefixes = [u.words[-1] for u in match.units if u.prefix]
     wanted = F.lit(False)
@@ -281,7 +299,8 @@ def _needed(postings: DataFrame, match: Match) -> DataFrame:
         buckets = sorted({_bucket(w) for w in exact})
         wanted = wanted | (F.col("bucket").isin(buckets) & F.col("term").isin(exact))
     for p in prefixes:
-        wanted = wanted | F.col("term").startswith(p)
+        own = F.col("term").startswith(p)
+        wanted = wanted | ((F.col("bucket") == _bucket(p)) & own if len(p) >= BUCKET_LETTERS else own)
     return postings.where(wanted)
 
 

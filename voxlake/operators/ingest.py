@@ -156,6 +156,18 @@ def fetch_diagnostics(counts: DataFrame, fallback_hits: DataFrame) -> DataFrame:
     )
 
 
+def adapter_statistics(posts: DataFrame, matched: DataFrame, comments: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: posts seen and matched, comments seen, documents given out."""
+    counted = {"posts_seen": posts, "posts_matched": matched, "comments_seen": comments, "documents_emitted": docs}
+    one = posts.sparkSession.range(1)
+    return one.select(*(df.agg(F.count("*")).scalar().alias(name) for name, df in counted.items()))
+
+
+def review_statistics(reviews: DataFrame) -> DataFrame:
+    """One row: apps and reviews seen."""
+    return reviews.agg(F.count_distinct("app_id").alias("apps_seen"), F.count("*").alias("reviews_seen"))
+
+
 # Source choice ---------------------------------------------------------------------------------
 def first_with_rows(candidates: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Rows of the first dataset that has any, as one plan; adds `backend`."""

@@ -15,6 +15,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxlake.operators.dedupe import new_documents, not_in
+from voxlake.operators.fulltext import build_index, write_index
 from voxlake.operators.normalize import stored_columns
 from voxlake.operators.tagging import Taxonomy, tag_documents
 from voxlake.session import shared_dir
@@ -116,18 +117,20 @@ def number_rows(rows: DataFrame, order: str, start: int) -> tuple[DataFrame, int
 
 
 def insert_documents(store: Store, docs: DataFrame, source_id: int, *, now: datetime,
-                     taxonomy: Taxonomy | None = None) -> int:
-    """Insert canonical documents, ignoring known ones; the first arrival wins. Tags them as well.
+                     taxonomy: Taxonomy | None = None, index_path: str | None = None) -> int:
+    """Insert canonical documents, ignoring known ones; the first arrival wins. Tags them as well, and adds
+    them to the text index at `index_path`.
 
     Copies are found and ids given on keys alone; the texts are joined to their ids at the end, in
     one shuffle. That reads `docs` twice, so they should be cheap to read (see `cut_lineage`). A
     rerun after a failure inserts nothing twice; `retag` fills in tags a failed run left out.
     """
     with only_writer(store), staging(store.spark):
-        return _insert(store, docs, source_id, now, taxonomy)
+        return _insert(store, docs, source_id, now, taxonomy, index_path)
 
 
-def _insert(store: Store, docs: DataFrame, source_id: int, now: datetime, taxonomy: Taxonomy | None) -> int:
+def _insert(store: Store, docs: DataFrame, source_id: int, now: datetime, taxonomy: Taxonomy | None,
+            index_path: str | None) -> int:
     incoming = stored_columns(docs).withColumn("source_id", F.lit(source_id).cast("long"))
     stored = store.read("documents")
     keys = ["source_id", "external_id", "dedupe_key"]
@@ -141,6 +144,8 @@ def _insert(store: Store, docs: DataFrame, source_id: int, now: datetime, taxono
         store.append("documents", rows)
         if taxonomy is not None:
             insert_tags(store, tag_documents(rows.select("id", "title", "body"), taxonomy), now=now)
+        if index_path is not None:
+            write_index(build_index(rows.select("id", "title", "body")), index_path, append=True)
     return inserted
 
 

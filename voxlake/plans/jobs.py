@@ -196,7 +196,7 @@ def first_available(chain: Sequence[tuple[str, Reader]], diagnostics: Diagnostic
 
 def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], *,
                      clock: Callable[[], datetime], taxonomy: Taxonomy | None = None,
-                     config: Mapping[str, Any] | None = None, must_have_rows: bool | None = None,
+                     config: Mapping[str, Any] | None = None, must_have_rows: bool | None = None, index_path: str | None = None,
                      fetch_diagnostics: Callable[[], Mapping[str, Any]] | None = None) -> dict[str, int]:
     """Fetch, dedupe, insert and record one platform's documents.
 
@@ -204,12 +204,12 @@ def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Rea
     completes with zero, unless rows are asked for; a chain of several sources asks for them.
     """
     with staging(store.spark):
-        return _refresh(store, platform, chain, clock, taxonomy, config, must_have_rows, fetch_diagnostics)
+        return _refresh(store, platform, chain, clock, taxonomy, config, must_have_rows, index_path, fetch_diagnostics)
 
 
 def _refresh(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], clock: Callable[[], datetime],
              taxonomy: Taxonomy | None, config: Mapping[str, Any] | None, must_have_rows: bool | None,
-             fetch_diagnostics: Callable[[], Mapping[str, Any]] | None) -> dict[str, int]:
+             index_path: str | None, fetch_diagnostics: Callable[[], Mapping[str, Any]] | None) -> dict[str, int]:
     started = clock()
     report = Diagnostics(platform, backend_requested=chain[0][0] if chain else None, config=config or {})
     source_id = ensure_source(store, platform, now=started)
@@ -223,7 +223,7 @@ def _refresh(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], c
             report.fetch = dict(fetch_diagnostics())
         step = "insert"
         fetched = docs.count()
-        inserted = insert_documents(store, docs, source_id, now=started, taxonomy=taxonomy)
+        inserted = insert_documents(store, docs, source_id, now=started, taxonomy=taxonomy, index_path=index_path)
         report.passed("fetch")
         report.passed("normalize", count=fetched)
         report.passed("insert", inserted=inserted)

@@ -368,6 +368,9 @@ JOIN (SELECT conv_id AS id, min(turn * 1000000 - conv_id) AS position FROM conve
         [word("anble"), word("inble")], "f0 > 0 OR f1 > 0", limit=30, offset=10,
         filters="published_at >= TIMESTAMP '2024-01-10' AND published_at <= TIMESTAMP '2024-02-20' AND platform IN ('reddit', 'web_reviews')"),
     "search_indexed": _search([word("anble"), word("reble"), word("inble")], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0"),
+    "search_written_index": _search([word("anble"), word("reble"), word("inble")], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0"),
+    "search_written_prefix": _search([prefix("anb")], "f0 > 0"),
+    "search_after_insert": _search([phrase("the", "and")], "f0 > 0"),
     "index_terms": _with(
         _DOCS,
         f"words AS (SELECT id, unnest({tokens('title')}) AS term, generate_subscripts({tokens('title')}, 1) - 1 AS position FROM documents_c "
@@ -460,6 +463,12 @@ QUALIFY dedupe_key IS NULL OR row_number() OVER (PARTITION BY dedupe_key ORDER B
 FROM newest WHERE {_recent_posts(3)} AND id IN (SELECT id FROM matched)
 UNION ALL SELECT id, parent_id, 'comment', subreddit FROM (SELECT * FROM comments QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY turn) <= 2)
 WHERE parent_id IN (SELECT id FROM matched)""",
+    "adapter_statistics": _REVIEWS.rstrip() + f""", {_POSTS}, {_COMMENTS},
+matched AS (SELECT * FROM posts WHERE {_recent_posts(3)} AND {contains_any(_POST_TEXT, ('the', 'que'))}),
+replies AS (SELECT * FROM comments WHERE parent_id IN (SELECT id FROM matched))
+SELECT (SELECT count(*) FROM posts) AS posts_seen, (SELECT count(*) FROM matched) AS posts_matched, (SELECT count(*) FROM replies) AS comments_seen,
+  (SELECT count(*) FROM matched) + (SELECT count(*) FROM replies) AS documents_emitted,
+  count(DISTINCT app_id) AS apps_seen, count(*) AS reviews_seen FROM reviews""",
     "keyword_search": _with(_POSTS) + f"""SELECT id, subreddit, CAST(epoch AS DOUBLE) AS created_utc FROM posts
 WHERE {_recent_posts(2)} AND {contains_any(_POST_TEXT, ('que la', 'the'))}""",
     "review_ingest_capped": _REVIEWS + f"""SELECT app_id, review_id AS "reviewId", author AS "userName", rating AS score, id AS arrival FROM

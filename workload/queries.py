@@ -326,6 +326,32 @@ def search_indexed(spark, sf):
     return _hits(found)
 
 
+def _written(spark, sf, match, parts):
+    """A search over an index that is written part by part and read back."""
+    docs, path = views.documents(spark, sf), f"{_scratch(spark)}/index"
+    for i, part in enumerate(parts(docs)):
+        fulltext.write_index(fulltext.build_index(part), path, append=i > 0)
+    index = fulltext.read_index(spark, path)
+    return _hits(explore.search_documents(Corpus(docs, views.sources(spark)), match, limit=200, index=index))
+
+
+@query
+def search_written_index(spark, sf):
+    match = fulltext.match_any("anble reble") & fulltext.match_none("inble")
+    return _written(spark, sf, match, lambda docs: [docs])
+
+
+@query
+def search_written_prefix(spark, sf):
+    return _written(spark, sf, fulltext.match_prefix("anb"), lambda docs: [docs])
+
+
+@query
+def search_after_insert(spark, sf):
+    """The documents of each source come as an insert of their own."""
+    return _written(spark, sf, fulltext.match_phrase("the and"), lambda docs: [docs.where(F.col("source_id") == i) for i in (1, 2, 3)])
+
+
 @query
 def index_terms(spark, sf):
     """Documents and occurrences per term of the index."""
@@ -679,6 +705,17 @@ def post_docs_union(spark, sf):
     return docs.select("external_id", "parent_external_id", "doc_type", "community_or_channel")
 
 
+@query
+def adapter_statistics(spark, sf):
+    posts, comments = conversation_posts(spark, sf), conversation_comments(spark, sf)
+    now, order = F.lit("2024-01-05").cast("timestamp"), [F.asc("arrival")]
+    matched = ingest.matched_posts(posts, ["the", "que"], now=now, days_back=3, order=order)
+    docs = jobs.post_and_comment_documents(posts, comments, ["the", "que"], now=now, days_back=3)
+    seen = ingest.review_statistics(document_reviews(spark, sf))
+    return ingest.adapter_statistics(posts, matched, ingest.comments_of(comments, matched, order=order), docs).select(
+        "*", seen.select("apps_seen").scalar().alias("apps_seen"), seen.select("reviews_seen").scalar().alias("reviews_seen"))
+
+
 @query
 def keyword_search(spark, sf):
     return ingest.matched_posts(
