@@ -533,6 +533,17 @@ FROM (SELECT *, sum(docs) OVER (ORDER BY k) AS last_id FROM sizes)""",
         "s1 AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY external_id, title, content ORDER BY page_id) = 1)",
         "s2 AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY page_id) = 1)",
     ) + """SELECT row_number() OVER (ORDER BY page_id) AS id, external_id, community_or_channel, '2024-02-01 10:00:00.000000' AS published_at FROM s2""",
+    "web_refresh_end_to_end": _LINKS.rstrip() + f""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id, position) AS place FROM scored QUALIFY place <= 12),
+crawl AS (SELECT link, min(page_id) AS page_id FROM scored GROUP BY 1),
+fetched AS (SELECT c.link AS url, p.html, s.site, s.place FROM placed s JOIN crawl c ON c.link = s.link JOIN pages p ON p.page_id = c.page_id
+  WHERE p.page_id % 7 <> 3 AND NOT {contains_any('lower(p.html)', ('captcha', 'access denied', 'verify you are human', 'cloudflare', 'bot detection'))}),
+found AS (SELECT site, place, {_CANONICAL} AS external_id, regexp_replace(lower({_NET}), '^www\\.', '') AS community_or_channel,
+  {_PAGE_TITLE} AS title, {_ARTICLE} AS content FROM fetched WHERE length({_ARTICLE}) >= 500 AND NOT {_EDITORIAL.format(t=_PAGE_TITLE)}),
+s1 AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY external_id, lower(title), lower(content) ORDER BY site, place) = 1),
+s2 AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY site, place) = 1)
+SELECT row_number() OVER (ORDER BY site, place) AS id, external_id, community_or_channel, title, sha256(content) AS body_hash,
+  '2024-02-01 10:00:00.000000' AS published_at FROM s2""",
     "enrich_end_to_end": _STORED_REVIEWS + f""",
 texts AS (SELECT {strip('text')} AS body, rating FROM stored_reviews),
 ready AS (SELECT length(body) < 15 AS is_short, body AS text, rating FROM texts)

@@ -984,6 +984,24 @@ def web_ingest_end_to_end(spark, sf):
     return store.read("documents").select("id", "external_id", "community_or_channel", "published_at")
 
 
+@query
+def web_refresh_end_to_end(spark, sf):
+    """Links found on the listing pages, crawled, refused, dated, deduped and stored.
+
+    A link's crawled page is that of the first listing page which has it. A page of every seventh listing is refused.
+    """
+    store = Store(spark, _scratch(spark))
+    dated = F.replace("html", F.lit("<head>"), F.lit('<head><meta property="article:published_time" content="2024-02-01T10:00:00Z">'))
+    first = _scored(spark, sf).groupBy(F.col("link").alias("url")).agg(F.min("page_id").alias("page_id"))
+    status = F.when(F.col("page_id") % 7 == 3, 403).otherwise(200).alias("status")
+    crawled = first.join(_pages(spark, sf).select("page_id", dated.alias("html"), status), "page_id")
+    start, end = (F.lit(d).cast("timestamp") for d in ("2024-01-01", "2024-03-01"))
+    found = jobs.web_documents(_linked_pages(spark, sf), crawled, start=start, end=end, keywords=_WORDS, per_site=12)
+    jobs.refresh_platform(store, K.WEB_REVIEWS, [("pages", lambda: found)], clock=_clock)
+    body = F.sha2("body", 256).alias("body_hash")
+    return store.read("documents").select("id", "external_id", "community_or_channel", "title", body, "published_at")
+
+
 @query
 def enrich_end_to_end(spark, sf):
     store = Store(spark, _scratch(spark))
