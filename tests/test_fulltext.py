@@ -129,3 +129,33 @@ def test_result_table(corpus, tmp_path, spark):
     assert table.columns == ["id", "published_at", "title", "author", "source_url", "score"]
     export_csv(table, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == table.columns
+
+
+def test_index_grows_with_inserts_and_prunes_buckets(spark, store, tmp_path):
+    from datetime import datetime, timezone
+
+    from test_jobs import canonical
+
+    now, path = datetime(2024, 3, 10, tzinfo=timezone.utc), str(tmp_path / "grown")
+    from voxlake.operators.store import ensure_source, insert_documents
+
+    source = ensure_source(store, "reddit", now=now)
+    first = canonical(spark, [(1, "a", None, "Škoda battery", "the battery life"), (2, "b", None, "x", "nothing")])
+    assert insert_documents(store, first, source, now=now, index_path=path) == 2
+    more = canonical(spark, [(3, "c", None, "bat", "décomposé été batteries"), (1, "a", None, "again", "battery")])
+    assert insert_documents(store, more, source, now=now, index_path=path) == 1
+    index = ft.read_index(spark, path)
+    assert index.corpus.first()["n_docs"] == 3
+
+    def ids(match, own=index):
+        return sorted(r["id"] for r in ft.score_index(own, match).collect())
+
+    assert ids(ft.match_all("skoda")) == [1] and ids(ft.match_all("ete")) == [3]
+    assert ids(ft.match_prefix("batter")) == [1, 3] and ids(ft.match_prefix("b")) == [1, 3]
+    whole = ft.build_index(store.read("documents"))
+    for match in (ft.match_any("battery nothing"), ft.match_prefix("bat"), ft.match_phrase("battery life")):
+        assert sorted(map(tuple, ft.score_index(index, match).collect())) == sorted(map(tuple, ft.score_index(whole, match).collect()))
+    plan = ft._needed(index.postings, ft.match_prefix("batter"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    ft.write_index(whole, path)
+    assert ids(ft.match_all("skoda"), ft.read_index(spark, path)) == [1]
