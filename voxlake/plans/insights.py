@@ -59,29 +59,33 @@ def count_trend(rows: DataFrame, name: str, days: int = K.TREND_DAYS) -> DataFra
     return _latest_days(_per_day(rows, F.count("*").alias(name)), days)
 
 
+def category_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(issue_category().alias("category")).agg(F.count("*").alias("count"))
+
+
 def top_categories(rows: DataFrame, n: int = K.TOP_CATEGORIES) -> DataFrame:
-    return (
-        rows.groupBy(issue_category().alias("category"))
-        .agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "category")
-        .limit(n)
-    )
+    return category_counts(rows).orderBy(F.desc("count"), "category").limit(n)
 
 
-def top_features(corpus: Corpus, filters: Filters | None = None, n: int = K.TOP_FEATURES) -> DataFrame:
-    tags = corpus.tags.where(F.col("tag_type") == "feature").select(
-        F.col("document_id").alias("id"), F.col("tag_value").alias("feature")
-    )
+def feature_counts(corpus: Corpus, filters: Filters | None = None) -> DataFrame:
+    """Requests of each feature, and under NULL the number of all requests, in one pass."""
+    tags = corpus.tags.where(F.col("tag_type") == "feature").groupBy(F.col("document_id").alias("id")).agg(
+        F.collect_list("tag_value").alias("_features"))
+    none = F.array().cast("array<string>")
+    each = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("_features", none))
     return (
         feature_requests(corpus, filters)
-        .join(tags, "id")
+        .join(tags, "id", "left")
+        .select(F.explode(each).alias("feature"))
         .groupBy("feature")
         .agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "feature")
-        .limit(n)
     )
 
 
+def top_features(corpus: Corpus, filters: Filters | None = None, n: int = K.TOP_FEATURES) -> DataFrame:
+    return feature_counts(corpus, filters).where("feature IS NOT NULL").orderBy(F.desc("count"), "feature").limit(n)
+
+
 def long_sentiment_trend(trend: DataFrame) -> DataFrame:
     """One row per day and label; label columns an older report lacks count as zero."""
     columns = [f"{name}_count" for name in K.SENTIMENT_LABELS]
@@ -129,8 +133,10 @@ def unhappy(rows: DataFrame) -> DataFrame:
 
 
 # Summaries -----------------------------------------------------------------------------------
-def _scalar_or_none(one_row: DataFrame) -> Column:
-    return F.coalesce(one_row.scalar(), F.lit("none"))
+def _most_frequent(name: str) -> Column:
+    """The value of the highest count, the first by name among equals; `none` without any."""
+    ranked = F.when(F.col(name).isNotNull(), F.struct((-F.col("count")).alias("n"), F.col(name).alias("value")))
+    return F.coalesce(F.min(ranked)["value"], F.lit("none"))
 
 
 def sentiment_summary(totals: DataFrame) -> DataFrame:
@@ -143,24 +149,27 @@ def sentiment_summary(totals: DataFrame) -> DataFrame:
     )
 
 
-def complaints_summary(total: DataFrame, categories: DataFrame) -> DataFrame:
-    top = _scalar_or_none(categories.limit(1).select("category"))
-    return total.select(
+def complaints_summary(categories: DataFrame) -> DataFrame:
+    """From the counts of all categories."""
+    return categories.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("docs"), _most_frequent("category").alias("top")).select(
         F.lit("complaints").alias("module"),
         F.format_string(
             "Complaints insight: %d complaint-like documents, with top issue category '%s'.",
-            F.col("complaint_docs"), top,
+            F.col("docs"), F.col("top"),
         ).alias("summary"),
     )
 
 
-def features_summary(total: DataFrame, features: DataFrame) -> DataFrame:
-    top = _scalar_or_none(features.limit(1).select("feature"))
-    return total.select(
+def features_summary(features: DataFrame) -> DataFrame:
+    """From `feature_counts`."""
+    return features.agg(
+        F.coalesce(F.max(F.when(F.col("feature").isNull(), F.col("count"))), F.lit(0)).alias("docs"),
+        _most_frequent("feature").alias("top")).select(
         F.lit("feature_requests").alias("module"),
         F.format_string(
             "Feature request insight: %d feature request documents, top requested feature '%s'.",
-            F.col("feature_request_docs"), top,
+            F.col("docs"), F.col("top"),
         ).alias("summary"),
     )
 
@@ -184,11 +193,10 @@ def sentiment_insight(corpus: Corpus, filters: Filters | None = None) -> dict[st
 def complaints_insight(corpus: Corpus, filters: Filters | None = None) -> dict[str, DataFrame]:
     """Counts every enriched document, whatever its label."""
     rows = enriched(corpus, filters)
-    count, categories = total(rows, "complaint_docs"), top_categories(rows)
     return {
-        "summary": complaints_summary(count, categories),
-        "totals": count,
-        "top_issue_categories": categories,
+        "summary": complaints_summary(category_counts(rows)),
+        "totals": total(rows, "complaint_docs"),
+        "top_issue_categories": top_categories(rows),
         "daily_complaint_trend": count_trend(rows, "complaint_count"),
         "evidence": evidence(rows, corpus),
     }
@@ -196,11 +204,10 @@ def complaints_insight(corpus: Corpus, filters: Filters | None = None) -> dict[s
 
 def feature_requests_insight(corpus: Corpus, filters: Filters | None = None) -> dict[str, DataFrame]:
     rows = feature_requests(corpus, filters)
-    count, features = total(rows, "feature_request_docs"), top_features(corpus, filters)
     return {
-        "summary": features_summary(count, features),
-        "totals": count,
-        "top_requested_features": features,
+        "summary": features_summary(feature_counts(corpus, filters)),
+        "totals": total(rows, "feature_request_docs"),
+        "top_requested_features": top_features(corpus, filters),
         "daily_feature_request_trend": count_trend(rows, "feature_request_count"),
         "evidence": evidence(rows, corpus),
     }
