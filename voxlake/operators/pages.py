@@ -15,16 +15,17 @@ from voxlake.operators.ranking import keep_first, top_n_per_group
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
-    """Adds page_title, page_author, page_published and page_content to each page."""
+    """Adds page_title, page_author, page_published and page_content to each page.
+
+    Only the markup goes to Python, and only the four texts come back.
+    """
     names = ["page_title", "page_author", "page_published", "page_content"]
-    schema = T.StructType(pages.schema.fields + [T.StructField(n, T.StringType()) for n in names])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            read = pd.DataFrame([read_article(h) for h in part["html"]], columns=names, index=part.index)
-            yield part.join(read)
+    def read(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_article(h) for h in html], columns=names)
 
-    return pages.mapInPandas(run, schema)
+    article = F.pandas_udf(read, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return pages.withColumn("_article", article("html")).select(*pages.columns, "_article.*")
 
 
 def page_links(pages: DataFrame, keywords: Sequence[str] | None = None) -> DataFrame:
