@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxlake import constants as K
 from voxlake.functions.dates import epoch_timestamp
 from voxlake.functions.text import contains_any, normalize_keywords
 from voxlake.operators.filters import within
