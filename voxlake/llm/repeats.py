@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.llm.arrays import ranges
 from voxlake.llm.common import partitions, whole
 
 NO_ID = -(1 << 63)
@@ -65,56 +66,55 @@ def repeated_windows(rows: DataFrame, checks: DataFrame, payload: Callable, hash
     this gram. payload: from a row's text, and each anchor's start and windows less one, what hashes needs of
     each anchor. hashes: from such payloads and their numbers of windows, the hashes of all windows.
     Earlier is: of a smaller doc, or with by_place also of the same doc and a smaller start. The windows of one
-    gram meet in one task, which compares them there; a gram with more anchors than HOT is dealt over several
-    tasks, and its windows are compared by an aggregation that combines them before its shuffle.
+    gram meet in one task, which compares them there; the windows of a gram with more anchors than HOT are
+    compared by an aggregation that combines them before its shuffle.
     """
 
     def payloads(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for doc, text, found in zip(*(part.column(n) for n in ("doc", "text", "found")), strict=True):
                 entries = found.values.flatten()
-                g, loc, n = (np.asarray(x) for x in entries)
+                g, loc = (np.asarray(x) for x in entries)
                 packed = payload(text.as_buffer(), *unpack(loc))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g), pa.array(np.full(len(g), doc.as_py())), pa.array(loc), pa.array(n),
-                     pa.array(packed, pa.binary())], names=["g", "doc", "loc", "n", "windows"])
+                    [pa.array(g), pa.array(np.full(len(g), doc.as_py())), pa.array(loc),
+                     pa.array(packed, pa.binary())], names=["g", "doc", "loc", "windows"])
+
+    def expanded(group: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """The anchors' columns, and of every window its anchor, place after the anchor's first, start and hash."""
+        g, doc, loc = (np.asarray(group.column(x)) for x in ("g", "doc", "loc"))
+        own, more = unpack(loc)
+        row = np.repeat(np.arange(len(g)), more + 1)
+        step = ranges(np.zeros(len(g), np.int64), more + 1)
+        return g, doc, loc, more, row, step, own[row] + step, hashes(group.column("windows"), more + 1)
+
+    def every_window(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            g, doc, loc, _, row, _, start, window = expanded(part)
+            yield batch(g=g[row], w=window, doc=doc[row], loc=pack((loc >> 39)[row], start, np.zeros(len(row), np.int64)))
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_grams(parts):
-            g, doc, loc, n = (np.asarray(group.column(x)) for x in ("g", "doc", "loc", "n"))
-            own, more = unpack(loc)
-            count = more + 1
-            row = np.repeat(np.arange(len(g)), count)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            window = hashes(group.column("windows"), count)
-            start = own[row] + step
-            hot = n[row] > HOT
-            cold = ~hot
-            late = np.zeros(len(row), bool)
-            late[cold] = later(g[row][cold], window[cold], doc[row][cold], start[cold] if by_place else None)
+            g, doc, loc, more, row, step, start, window = expanded(group)
+            late = later(g[row], window, doc[row], start if by_place else None)
             # consecutive late windows of an anchor become one mark
             first = late & ~(np.concatenate(([False], late[:-1])) & (step > 0))
             last = late & ~(np.concatenate((late[1:], [False])) & (step < more[row]))
             at, to = np.flatnonzero(first), np.flatnonzero(last)
-            tag = loc >> 39
-            yield batch(done=np.ones(len(at), np.int64), g=g[row[at]], w=window[at], doc=doc[row[at]],
-                        loc=pack(tag[row[at]], start[at], to - at))
-            at = np.flatnonzero(hot)
-            yield batch(done=np.zeros(len(at), np.int64), g=g[row[at]], w=window[at], doc=doc[row[at]],
-                        loc=pack(tag[row[at]], start[at], np.zeros(len(at), np.int64)))
-
-    per_row = checks.groupBy("doc", loc_tag(F.col("loc")).alias("tag")).agg(
-        F.collect_list(F.struct("g", "loc", "n")).alias("found"))
-    sent = rows.select("doc", "tag", "text").join(per_row, ["doc", "tag"]).select("doc", "text", "found").mapInArrow(
-        payloads, "g long, doc long, loc long, n long, windows binary")
-    spread = F.when(F.col("n") > HOT, F.pmod(F.xxhash64("doc", "loc"), F.ceil(F.col("n") / HOT))).otherwise(0)
-    compared = sent.withColumn("part", spread).repartition(partitions(rows), "g", "part").sortWithinPartitions(
-        "g").mapInArrow(compare, "done long, g long, w long, doc long, loc long")
-    open_ = compared.filter("done = 0")
+            yield batch(doc=doc[row[at]], loc=pack((loc >> 39)[row[at]], start[at], to - at))
+
+    def sent(some: DataFrame) -> DataFrame:
+        per_row = some.groupBy("doc", loc_tag(F.col("loc")).alias("tag")).agg(F.collect_list(F.struct("g", "loc")).alias("found"))
+        return rows.select("doc", "tag", "text").join(per_row, ["doc", "tag"]).select("doc", "text", "found").mapInArrow(
+            payloads, "g long, doc long, loc long, windows binary")
+
+    compared = sent(checks.filter(F.col("n") <= HOT)).repartition(partitions(rows), "g").sortWithinPartitions(
+        "g").mapInArrow(compare, "doc long, loc long")
+    open_ = sent(checks.filter(F.col("n") > HOT)).mapInArrow(every_window, "g long, w long, doc long, loc long")
     when = F.struct("doc", loc_start(F.col("loc")).alias("start")) if by_place else F.struct("doc")
     earliest = open_.groupBy("g", "w").agg(F.min(when).alias("earliest"))
     late = open_.join(earliest, ["g", "w"]).filter(when > F.col("earliest"))
-    return compared.filter("done = 1").select("doc", "loc").unionByName(late.select("doc", "loc"))
+    return compared.unionByName(late.select("doc", "loc"))
 
 
 def whole_grams(parts: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:

@@ -94,7 +94,7 @@ def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lead, rest, c = (x.view(np.uint64) for x in (lead, rest, c))
     g = arrays.mix(lead ^ arrays.mix(rest + np.uint64(1)))
     hot = np.flatnonzero(bucket & 1)
-    yield from _blocks(kind=np.full(len(hot), 2), g=g[hot], c=c[hot], doc=doc[hot], loc=loc[hot], n=np.zeros(len(hot), np.int64))
+    yield from _blocks(2, g=g[hot], c=c[hot], doc=doc[hot], loc=loc[hot])
     own = np.flatnonzero(bucket & 1 == 0)
     if not len(own):
         return
@@ -110,13 +110,26 @@ def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = np.cumsum(group) - 1
     kinds = np.bincount(number, kind).astype(np.int64)
     firsts = np.bincount(number, ~late).astype(np.int64)
-    at = np.flatnonzero(late | (kinds[number] > 1))
-    yield from _blocks(kind=np.where(late, 0, 1)[at], g=g[at], c=c[at], doc=doc[at], loc=loc[at], n=firsts[number][at])
+    yield from _blocks(0, doc=doc[late], loc=loc[late])
+    at = np.flatnonzero(~late & (kinds[number] > 1))
+    yield from _blocks(1, g=g[at], doc=doc[at], loc=loc[at], n=firsts[number][at])
 
 
-def _blocks(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(columns["g"]), 50_000):
-        yield repeats.batch(**{k: v[i:i + 50_000] for k, v in columns.items()})
+LANES = ("g", "c", "doc", "loc", "n")
+
+
+def _blocks(kind: int, size: int = 4096, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows with a list for each lane, which is empty where the kind has none: short to write."""
+    rows = len(columns["doc"])
+    offsets = np.minimum(np.arange(0, rows + size, size), rows).astype(np.int32) if rows else np.zeros(1, np.int32)
+    none = np.zeros(len(offsets), np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(offsets if n in columns else none),
+                                      pa.array(columns.get(n, np.zeros(0, np.int64)).view(np.int64))) for n in LANES]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(offsets) - 1, kind)), *lists], names=["kind", *LANES])
+
+
+def _rows(judged: DataFrame, kind: int, *lanes: str) -> DataFrame:
+    return judged.filter(F.col("kind") == kind).select(F.inline(F.arrays_zip(*lanes)))
 
 
 def _payload(window: int):
@@ -188,17 +201,17 @@ def suffix_dedup(docs: DataFrame, keep: tuple[str, ...] = (), window: int = WIND
         _suffixes(window, splitters),
         "bucket long, lead long, rest long, c long, doc long, loc long",
     ).repartitionById(len(splitters) + 1, F.expr("cast(shiftright(bucket, 1) as int)"))
-    judged = cut(dealt.mapInArrow(_neighbours, "kind long, g long, c long, doc long, loc long, n long"))
+    judged = cut(dealt.mapInArrow(_neighbours, ", ".join(["kind long", *(f"{n} array<long>" for n in LANES)])))
 
     # subdivided ranges, across their boundaries
-    hot = judged.filter("kind = 2")
+    hot = _rows(judged, 2, "g", "c", "doc", "loc")
     when = F.struct("doc", repeats.loc_start(F.col("loc")).alias("start"))
     first = hot.groupBy("g", "c").agg(F.min(when).alias("first"))
     several = first.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
     compared = hot.join(first, ["g", "c"])
-    marks = judged.filter("kind = 0").select("doc", "loc").unionByName(
+    marks = _rows(judged, 0, "doc", "loc").unionByName(
         compared.filter(when > F.col("first")).select("doc", "loc"))
-    checks = judged.filter("kind = 1").select("g", "doc", "loc", "n").unionByName(
+    checks = _rows(judged, 1, "g", "doc", "loc", "n").unionByName(
         compared.filter(when == F.col("first")).join(several, "g").select("g", "doc", "loc", F.col("m").alias("n")))
     checked = repeats.repeated_windows(rows, checks, _payload(window), _windows(window), by_place=True)
 
