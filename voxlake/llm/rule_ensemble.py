@@ -192,7 +192,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     found = cut(text_statistics(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(
         F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    rows = found.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(sample).toPandas()
+    # drawn before the join, so that no more than the sample is ever gathered
+    share = min(1.0, sample / max(known.count(), 1))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = found.join(drawn, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(sample).toPandas()
     model = fit(rows[list(STATISTICS)].to_numpy(), rows["quality"].to_numpy(float))
     scored = found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
