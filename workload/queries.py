@@ -419,7 +419,7 @@ def enrich_candidates(spark, sf):
 @query
 def enrich_first_batch(spark, sf):
     return enrich.candidates(
-        views.documents(spark, sf).drop("platform"), views.enrichments(spark, sf), views.sources(spark)
+        views.documents(spark, sf).drop("platform"), views.enrichments(spark, sf), views.sources(spark), limit=100
     ).select("id", "platform")
 
 
