@@ -37,7 +37,7 @@ _BOILERPLATE = regex.compile(
 _SEPARATORS = frozenset(("|", ">", "<", "»", "«", "•", "·", "/", "-", "–", "—", "*"))
 _LINK = regex.compile(r"\s*(https?://|www\.)\S+\s*")
 _ODD = regex.compile(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()«»“”‘’¿¡\-–—]+")
-_LOUD = regex.compile(r"\S*(?:!!|[#*$%&|<>])\S*")
+_LOUD = regex.compile(r"!!|[#*$%&|<>]")
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -50,7 +50,10 @@ def line_fails(line: str, words: list[str]) -> str | None:
     if 3 * sum(w in _SEPARATORS for w in words) >= n and n >= 3 or _LINK.fullmatch(line):
         return "navigation"
     odd = sum(map(len, _ODD.findall(line)))
-    if odd and 3 * odd >= sum(map(len, words)) or n >= 3 and 2 * len(_LOUD.findall(line)) >= n:
+    if odd and 3 * odd >= sum(map(len, words)):
+        return "punctuation"
+    loud = _LOUD.search
+    if n >= 3 and loud(line) and 2 * sum(loud(w) is not None for w in words) >= n:
         return "punctuation"
     return None
 
