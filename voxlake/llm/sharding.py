@@ -44,7 +44,10 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, range_rows: int = RANGE_ROWS
     chance = F.pmod(F.xxhash64("row", F.lit("sample")), F.lit(1 << 40)) / (1 << 40)
     sample = rows.filter(chance * F.lit(max(total, 1)) < F.col("size") * SAMPLE_ROWS)
     found = sample.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
-    dealt = rows.withColumn("range", _range_of(F.col("key"), sorted(set(found or []))))
+    # plus zero of a function that the optimizer takes for random: with broadcast joins it would else derive filters
+    # from the bisection and put them where there is no key
+    opaque = (F.monotonically_increasing_id() * 0).cast("int")
+    dealt = cut(rows.withColumn("range", _range_of(F.col("key"), sorted(set(found or []))) + opaque))
 
     sizes = dealt.groupBy("range").agg(F.ceil(F.count("*") / range_rows).alias("parts"))
     dealt = dealt.join(sizes, "range").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
