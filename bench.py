@@ -40,9 +40,9 @@ def run_once(spark, sf: str, name: str) -> float:
     return time.perf_counter() - start
 
 
-def with_splits(spark, sf: str, cpus: int) -> str:
+def with_splits(spark, sf: str, cpus: int, folder: str) -> str:
     """A copy of the tables of sf that every core has a part of."""
-    copy = f"{tempfile.mkdtemp(prefix='bench-')}/{Path(sf).name}"
+    copy = f"{folder}/{Path(sf).name}"
     for table in Path(sf).glob("*.parquet"):
         spark.read.parquet(str(table)).repartition(cpus).write.parquet(f"{copy}/{table.name}")
     return copy
@@ -55,7 +55,8 @@ def main() -> None:
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
     spark = local_session("bench", cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
-    tables = with_splits(spark, sf, int(cpus) if cpus.isdigit() else 8)
+    folder = tempfile.TemporaryDirectory(prefix="bench-")
+    tables = with_splits(spark, sf, int(cpus) if cpus.isdigit() else 8, folder.name)
     seconds = {}
     for name in names:
         run_once(spark, tables, name)
@@ -66,6 +67,7 @@ def main() -> None:
         "queries": seconds, "sf": sf.rsplit("sf", 1)[-1],
     }))
     spark.stop()
+    folder.cleanup()
 
 
 if __name__ == "__main__":
