@@ -95,11 +95,11 @@ def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = (), window: int = W
     """doc_id, the kept columns, n_words, n_removed and kept_text (kept words joined by one space) of each row."""
     rows = repeats.identified(docs, keep)
     found = rows.select("doc", "tag", "text").mapInArrow(_anchors(window, gram), repeats.ANCHOR)
-    # written first, so that the join's sides are plain shuffles and a frequent gram's rows can be split
+    # sides of joins are written first, so that they are plain shuffles and the rows of a frequent gram can be split
     shared = cut(found.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("g"))
     seeds = cut(found.join(shared, "g", "left_semi"))
 
-    first = seeds.groupBy("g", "c").agg(F.min("doc").alias("first"))
+    first = cut(seeds.groupBy("g", "c").agg(F.min("doc").alias("first")))
     several = cut(first.groupBy("g").agg(
         F.min("first").alias("lo"), F.max("first").alias("hi"), F.count("*").alias("n")).filter("lo < hi"))
     extended = seeds.join(first, ["g", "c"])
