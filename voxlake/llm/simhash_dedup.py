@@ -198,7 +198,8 @@ def _whole_keys(parts: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterato
 
 def near_links(nodes: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
     """Links (a, b) that connect all fingerprints `fp` of nodes within that many bits, without the pairs."""
-    keys = nodes.select("fp").mapInArrow(_keys, "key long, fp long")
+    # few bytes become many keys: dealt evenly first, by an expression that the grouping before does not deal by
+    keys = nodes.select("fp").repartition(partitions(nodes), F.xxhash64("fp")).mapInArrow(_keys, "key long, fp long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / cap).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
