@@ -215,6 +215,8 @@ def near_links(nodes: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row."""
+    if bits > BITS:
+        raise ValueError(f"the keys find all links of {BITS} bits, not of {bits}")
     found = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text")).mapInArrow(
         _fingerprints, "doc_id long, fp long"))
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
