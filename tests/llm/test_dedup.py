@@ -99,6 +99,61 @@ def test_suffix_dedup(spark, bucket):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def _same_tags():
+    """Texts of 63 words without a common word, with and without one passage, whose hashes are equal in 24 bits."""
+    import xxhash
+
+    passage, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    tags = {xxhash.xxh64_intdigest(f"{passage} tail of {i}".encode(), 42) & 0xFFFFFF: i for i in range(8000)}
+    return passage, *next((f"{passage} tail of {tags[t]}", f"{other} end of {j}") for j in range(10**6)
+                          if (t := xxhash.xxh64_intdigest(f"{other} end of {j}".encode(), 42) & 0xFFFFFF) in tags)
+
+
+def _both_equal_brute_force(spark, pairs):
+    words = brute.repeats(pairs, lambda t: t.encode().split(), 50, by_place=False)
+    got = sorted(map(tuple, substring_dedup(data.frame(spark, pairs)).select("doc_id", "n_removed", "kept_text").collect()), key=str)
+    assert got == sorted(((d, sum(g), k.decode()) for (d, _), (_, g), k in zip(pairs, words, _kept(words, b" ".join), strict=True)), key=str)
+    raw = brute.repeats(pairs, lambda t: t.encode(), 100, by_place=True)
+    got = sorted(((r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in suffix_dedup(data.frame(spark, pairs)).collect()), key=str)
+    assert got == sorted(((d, sum(g), k) for (d, _), (_, g), k in zip(pairs, raw, _kept(raw, bytes), strict=True)), key=str)
+    return words
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    """Equal ids, and hashes that are equal in their low 24 bits: only the text that repeats something loses it."""
+    passage, repeating, fresh = _same_tags()
+    for shared in (5, None):
+        pairs = [(1 if shared else None, passage), (shared, repeating), (shared, fresh), (9, fresh), (9, passage)]
+        found = _both_equal_brute_force(spark, pairs)
+        assert not any(found[2][1])
+
+
+def test_many_repeated_rows(spark, monkeypatch):
+    """Equal ids with equal texts count once, whatever their number."""
+    from voxlake.llm import repeats
+
+    passage, repeating, fresh = _same_tags()
+    pairs = [(None, passage)] * 60 + [(3, repeating)] * 40 + [(3, fresh)] * 5 + [(2, f"{fresh[:300]} and {passage}")] * 20
+    _both_equal_brute_force(spark, pairs)
+    monkeypatch.setattr(repeats, "HOT", 1)
+    _both_equal_brute_force(spark, pairs)
+
+
+@pytest.mark.parametrize("texts", [[f"{i} " + " ".join(f"t{(j * 7919 + i) % 99991}" for j in range(40_000)) for i in range(4)],
+                                   [" ".join(f"t{j * 7919 % 99991}" for j in range(120_000))]])
+def test_few_long_texts_are_cut_into_ranges(spark, texts):
+    """The sample is of slices of texts, so ranges keep their bound where a sample of rows would find none."""
+    from voxlake.llm import repeats, suffix_dedup as suffix
+
+    rows = repeats.identified(data.frame(spark, list(enumerate(texts)))).select("doc", "h", "text")
+    splitters = suffix.sampled_splitters(rows, suffix.WINDOW, 1000, suffix.SAMPLE)
+    assert len(splitters) > 10
+    sizes = [r["count"] for r in rows.mapInArrow(
+        suffix._suffixes(suffix.WINDOW, splitters), "bucket long, lead long, rest long, c long, doc long, h long, loc long"
+    ).groupBy("bucket").count().collect()]
+    assert sum(sizes) > 10_000 and max(sizes) < 4 * 1000
+
+
 def test_hot_anchors_are_compared_across_tasks(spark, monkeypatch):
     """With a small bound every anchor counts as hot, and results stay the same."""
     from voxlake.llm import repeats

@@ -55,6 +55,54 @@ def test_components_equal_all_pairs(spark, monkeypatch, cap):
     assert got == dict(enumerate(roots))
 
 
+def test_components_of_null_and_shared_ids(spark):
+    texts = _edited()
+    pairs = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (5, texts[8]), (5, texts[16]), (3, texts[9]), (5, None), (None, None)]
+    roots = _components([t for _, t in pairs])
+    least = {}
+    for (doc, _), root in zip(pairs, roots, strict=True):
+        known = [x for x in (doc, least.get(root)) if x is not None]
+        least[root] = min(known, default=None)
+    got = sorted(map(tuple, near.near_copies(data.frame(spark, pairs)).collect()), key=str)
+    assert got == sorted(((d, least[r]) for (d, _), r in zip(pairs, roots, strict=True)), key=str)
+
+
+def test_stage_keeps_one_row_of_each_component(spark):
+    """Rows are chosen, not ids: copies of null ids and of shared ids go, other texts of these ids stay."""
+    texts = _edited()
+    other = [texts[40], texts[48], texts[56]]
+    pairs = ([(None, texts[0]), (None, texts[0]), (7, texts[0])] + [(None, t) for t in other] + [(None, other[0])] * 3
+             + [(5, texts[80]), (5, texts[88]), (5, texts[80]), (2, texts[88])])
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dedup_stage(spark, data.frame(spark, pairs), "").collect()), key=str)
+    assert kept == sorted([(7, texts[0]), *((None, t) for t in other), (5, texts[80]), (2, texts[88])], key=str)
+
+
+def test_large_group_sends_its_texts_a_few_times(spark, monkeypatch):
+    """A group of many blocks: the texts that its root does not reach meet all blocks, the others only those."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(120)]
+    texts = []
+    for i in range(120):
+        own = base.copy()
+        for at in range(i // 12):  # each twelve are one edit further off the first, so that the far ones hang on a chain
+            own[at * 13] = f"e{at}"
+        own[rnd.randrange(118, 120)] = f"x{i}"
+        texts.append(" ".join(own))
+    sent = []
+    walked = near._walked
+
+    def counting(dealt, walk):
+        if walk is near.similar:
+            sent.append(dealt.count())
+        return walked(dealt, walk)
+
+    monkeypatch.setattr(near, "_walked", counting)
+    monkeypatch.setattr(near, "GROUP", 10)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_copies(data.frame(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(_components(texts)))
+    assert sum(sent) < 12 * len(texts)
+
+
 def test_stage_drops_copies_that_differ_in_many_bits(spark):
     texts = _edited()
     bits = [bin(brute.fingerprint(texts[0]) ^ brute.fingerprint(t)).count("1") for t in texts[1:5]]

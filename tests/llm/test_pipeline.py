@@ -1,6 +1,7 @@
 import corpus_pipeline
 import llm.brute as brute
 import llm.data as data
+from llm.test_near_copies import _components
 from voxlake.llm.quality_rules import judge
 from voxlake.llm.queries import tokenizer_path
 
@@ -13,7 +14,7 @@ def _plain(pairs, items):
         if kept:
             docs[doc] = clean
     ids = sorted(docs)
-    roots = brute.components([brute.fingerprint(docs[d]) for d in ids])
+    roots = _components([docs[d] for d in ids])
     docs = {d: docs[d] for i, d in enumerate(ids) if roots[i] == i}
     out = {}
     found = brute.repeats(sorted(docs.items()), lambda t: t.encode().split(), 50, by_place=False)

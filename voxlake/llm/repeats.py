@@ -6,8 +6,9 @@ at once that all windows an anchor answers for are repeated (marks). What is lef
 occurs in several surroundings (checks); here their windows are compared one by one, and the marked windows
 are united per row.
 
-Columns: `doc` is the document's id (null: the smallest long), `loc` packs 24 bits of the text's hash (two
-rows may share an id), the number of windows less one (7 bits) and the first window's start (32 bits).
+Columns: `doc` is the document's id (null: the smallest long) and `h` the text's hash (64 bits): rows may share an id,
+and a row is known by both. Rows with equal ids and texts get equal results, so their anchors and marks count once.
+`loc` packs the number of windows less one and the first window's start (32 bits).
 """
 
 from __future__ import annotations
@@ -23,25 +24,21 @@ from voxlake.llm.arrays import ranges
 from voxlake.llm.common import partitions, whole
 
 NO_ID = -(1 << 63)
-ANCHOR = "g long, c long, doc long, loc long"
+ANCHOR = "g long, c long, doc long, h long, loc long"
 HOT = 20_000
 
 
 def identified(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc, tag and text of each row, with the kept columns as k0, k1, ..."""
+    """doc, h and text of each row, with the kept columns as k0, k1, ..."""
     text = whole(F.col("text"))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(0xFFFFFF).alias("tag"), text.alias("text"),
+        F.xxhash64(text).alias("h"), text.alias("text"),
         *(F.col(name).alias(f"k{i}") for i, name in enumerate(keep)))
 
 
-def pack(tag: np.ndarray, start: np.ndarray, more: np.ndarray) -> np.ndarray:
-    return (tag << 39) | (more << 32) | start
-
-
-def loc_tag(loc: Column) -> Column:
-    return F.shiftright(loc, 39)
+def pack(start: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return (more << 32) | start
 
 
 def loc_start(loc: Column) -> Column:
@@ -50,7 +47,7 @@ def loc_start(loc: Column) -> Column:
 
 def unpack(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start of the first window and number of windows less one."""
-    return loc & 0xFFFFFFFF, (loc >> 32) & 0x7F
+    return loc & 0xFFFFFFFF, loc >> 32
 
 
 def batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -60,61 +57,66 @@ def batch(**columns: np.ndarray) -> pa.RecordBatch:
 
 def repeated_windows(rows: DataFrame, checks: DataFrame, payload: Callable, hashes: Callable,
                      by_place: bool) -> DataFrame:
-    """Windows (doc, loc) of the checked anchors that an earlier window equals.
+    """Windows (doc, h, loc) of the checked anchors that an earlier window equals.
 
-    rows: as identified() gives them, dealt by (doc, tag). checks: g, doc, loc and n, the number of anchors with
-    this gram. payload: from a row's text, and each anchor's start and windows less one, what hashes needs of
-    each anchor. hashes: from such payloads and their numbers of windows, the hashes of all windows.
+    rows: as identified() gives them. checks: g, doc, h, loc and n, the number of surroundings of this gram. payload:
+    from a row's text, and each anchor's start and windows less one, what hashes needs of each anchor. hashes: from such
+    payloads and their numbers of windows, the hashes of all windows.
     Earlier is: of a smaller doc, or with by_place also of the same doc and a smaller start. The windows of one
     gram meet in one task, which compares them there; the windows of a gram with more anchors than HOT are
     compared by an aggregation that combines them before its shuffle.
     """
 
     def payloads(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for part in parts:
-            for doc, text, found in zip(*(part.column(n) for n in ("doc", "text", "found")), strict=True):
+            for doc, h, text, found in zip(*(part.column(n) for n in ("doc", "h", "text", "found")), strict=True):
+                own = doc.as_py(), h.as_py()
+                if own == last:  # the join gives equal rows one after the other
+                    continue
+                last = own
                 entries = found.values.flatten()
                 g, loc = (np.asarray(x) for x in entries)
                 packed = payload(text.as_buffer(), *unpack(loc))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g), pa.array(np.full(len(g), doc.as_py())), pa.array(loc),
-                     pa.array(packed, pa.binary())], names=["g", "doc", "loc", "windows"])
+                    [pa.array(g), *(pa.array(np.full(len(g), x)) for x in own), pa.array(loc),
+                     pa.array(packed, pa.binary())], names=["g", "doc", "h", "loc", "windows"])
 
     def expanded(group: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
         """The anchors' columns, and of every window its anchor, place after the anchor's first, start and hash."""
-        g, doc, loc = (np.asarray(group.column(x)) for x in ("g", "doc", "loc"))
+        g, doc, h, loc = (np.asarray(group.column(x)) for x in ("g", "doc", "h", "loc"))
         own, more = unpack(loc)
         row = np.repeat(np.arange(len(g)), more + 1)
         step = ranges(np.zeros(len(g), np.int64), more + 1)
-        return g, doc, loc, more, row, step, own[row] + step, hashes(group.column("windows"), more + 1)
+        return g, doc, h, more, row, step, own[row] + step, hashes(group.column("windows"), more + 1)
 
     def every_window(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            g, doc, loc, _, row, _, start, window = expanded(part)
-            yield batch(g=g[row], w=window, doc=doc[row], loc=pack((loc >> 39)[row], start, np.zeros(len(row), np.int64)))
+            g, doc, h, _, row, _, start, window = expanded(part)
+            yield batch(g=g[row], w=window, doc=doc[row], h=h[row], loc=start)
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_grams(parts):
-            g, doc, loc, more, row, step, start, window = expanded(group)
+            g, doc, h, more, row, step, start, window = expanded(group)
             late = later(g[row], window, doc[row], start if by_place else None)
             # consecutive late windows of an anchor become one mark
             first = late & ~(np.concatenate(([False], late[:-1])) & (step > 0))
             last = late & ~(np.concatenate((late[1:], [False])) & (step < more[row]))
             at, to = np.flatnonzero(first), np.flatnonzero(last)
-            yield batch(doc=doc[row[at]], loc=pack((loc >> 39)[row[at]], start[at], to - at))
+            yield batch(doc=doc[row[at]], h=h[row[at]], loc=pack(start[at], to - at))
 
     def sent(some: DataFrame) -> DataFrame:
-        per_row = some.groupBy("doc", loc_tag(F.col("loc")).alias("tag")).agg(F.collect_list(F.struct("g", "loc")).alias("found"))
-        return rows.select("doc", "tag", "text").join(per_row, ["doc", "tag"]).select("doc", "text", "found").mapInArrow(
-            payloads, "g long, doc long, loc long, windows binary")
+        per_row = some.groupBy("doc", "h").agg(F.collect_set(F.struct("g", "loc")).alias("found"))
+        return rows.select("doc", "h", "text").join(per_row.hint("merge"), ["doc", "h"]).select(
+            "doc", "h", "text", "found").mapInArrow(payloads, "g long, doc long, h long, loc long, windows binary")
 
     compared = sent(checks.filter(F.col("n") <= HOT)).repartition(partitions(rows), "g").sortWithinPartitions(
-        "g").mapInArrow(compare, "doc long, loc long")
-    open_ = sent(checks.filter(F.col("n") > HOT)).mapInArrow(every_window, "g long, w long, doc long, loc long")
+        "g").mapInArrow(compare, "doc long, h long, loc long")
+    open_ = sent(checks.filter(F.col("n") > HOT)).mapInArrow(every_window, "g long, w long, doc long, h long, loc long")
     when = F.struct("doc", loc_start(F.col("loc")).alias("start")) if by_place else F.struct("doc")
     earliest = open_.groupBy("g", "w").agg(F.min(when).alias("earliest"))
     late = open_.join(earliest, ["g", "w"]).filter(when > F.col("earliest"))
-    return compared.unionByName(late.select("doc", "loc"))
+    return compared.unionByName(late.select("doc", "h", "loc"))
 
 
 def whole_grams(parts: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
@@ -162,6 +164,6 @@ def covered(locs: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.nd
 
 
 def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """Each row with the list of its marks (null for none)."""
-    per_row = marks.groupBy("doc", loc_tag(F.col("loc")).alias("tag")).agg(F.collect_list("loc").alias("marks"))
-    return rows.join(per_row, ["doc", "tag"], "left")
+    """Each row with the set of its marks (null for none)."""
+    per_row = marks.groupBy("doc", "h").agg(F.collect_set("loc").alias("marks"))
+    return rows.join(per_row, ["doc", "h"], "left")

@@ -6,8 +6,8 @@ an anchor with the same words on both sides as one of an earlier document is a r
 others the windows are compared one by one, which is where a match ends. Runs of repeated windows, 50 words or
 longer, are the maximal repeats and are removed.
 
-Null, empty and shorter texts have no window and stay whole. Rows with one doc_id never repeat each other.
-A null doc_id counts as smaller than any other. Other columns than those in `keep` are dropped.
+Null, empty and shorter texts have no window and stay whole. Rows with one doc_id never repeat each other, whatever
+their texts; each is judged by its own. A null doc_id counts as smaller than any other. Other columns than those in `keep` are dropped.
 """
 
 from __future__ import annotations
@@ -35,14 +35,14 @@ def _anchors(window: int, gram: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = arrays.texts(part.column("text"))
-            doc, tag = np.asarray(part.column("doc")), np.asarray(part.column("tag"))
+            doc, h = np.asarray(part.column("doc")), np.asarray(part.column("h"))
             for first, last in arrays.row_chunks(offsets):
                 own = offsets[first:last + 1]
                 symbols, bounds = _word_symbols(data[own[0]:own[-1]], own)
                 for place, lo, hi, g, c in arrays.winnow_rows(symbols, bounds, window, gram):
                     row = np.searchsorted(bounds, lo, "right") - 1
-                    yield repeats.batch(g=g, c=c, doc=doc[first + row],
-                                        loc=repeats.pack(tag[first + row], lo - bounds[row], hi - lo))
+                    yield repeats.batch(g=g, c=c, doc=doc[first + row], h=h[first + row],
+                                        loc=repeats.pack(lo - bounds[row], hi - lo))
     return run
 
 
@@ -94,7 +94,7 @@ def _kept(window: int, keep: int):
 def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = (), window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, the kept columns, n_words, n_removed and kept_text (kept words joined by one space) of each row."""
     rows = repeats.identified(docs, keep)
-    found = rows.select("doc", "tag", "text").mapInArrow(_anchors(window, gram), repeats.ANCHOR)
+    found = rows.select("doc", "h", "text").mapInArrow(_anchors(window, gram), repeats.ANCHOR)
     # sides of joins are written first, so that they are plain shuffles and the rows of a frequent gram can be split
     shared = cut(found.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("g"))
     seeds = cut(found.join(shared, "g", "left_semi"))
@@ -103,8 +103,8 @@ def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = (), window: int = W
     several = cut(first.groupBy("g").agg(
         F.min("first").alias("lo"), F.max("first").alias("hi"), F.count("*").alias("n")).filter("lo < hi"))
     extended = seeds.join(first, ["g", "c"])
-    marks = extended.filter("first < doc").select("doc", "loc")
-    checks = extended.filter("first = doc").join(several.select("g", "n"), "g").select("g", "doc", "loc", "n")
+    marks = extended.filter("first < doc").select("doc", "h", "loc")
+    checks = extended.filter("first = doc").join(several.select("g", "n"), "g").select("g", "doc", "h", "loc", "n")
     checked = repeats.repeated_windows(rows, checks, _payload(window), _windows, by_place=False)
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -11,7 +11,8 @@ a bucket is subdivided over several, and its suffixes are compared across these
 
 Strings are judged on the input: earlier means a smaller doc_id, or the same doc_id and a smaller start. Null,
 empty and shorter texts stay whole. Repeated rows with one doc_id have equal starts, so none is earlier. A null
-doc_id counts as smaller than any other. Other columns than those in `keep` are dropped.
+doc_id counts as smaller than any other, and rows that share an id are each judged by their own text. Other columns
+than those in `keep` are dropped.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from voxlake.llm import arrays, repeats
 from voxlake.llm.common import cut
 
 WINDOW, GRAM = 100, 16
-SAMPLE = 16
+SAMPLE, SLICE = 16, 4096
 BUCKET = 300_000
 
 
@@ -38,31 +39,55 @@ def _range_key(lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return ((lead >> np.uint64(24) << np.uint64(23)) | (low >> np.uint64(41))).astype(np.int64)
 
 
-def _suffixes(window: int, splitters: np.ndarray | None):
+def _leading(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    eight = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
+    return eight[place].astype(np.uint64), eight[place + 8].astype(np.uint64)
+
+
+def _sampled(window: int, sample: int):
+    """Range keys of the anchors in one of so many slices of the texts, long texts or short ones alike."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = arrays.texts(part.column("text"))
-            doc, tag = np.asarray(part.column("doc")), np.asarray(part.column("tag"))
+            doc, h = (np.asarray(part.column(n)).view(np.uint64) for n in ("doc", "h"))
+            size = np.diff(offsets)
+            slices = -(-size // SLICE)
+            row = np.repeat(np.arange(len(size)), slices)
+            number = arrays.ranges(np.zeros(len(size), np.int64), slices)
+            at = np.flatnonzero(arrays.mix(arrays.mix(doc ^ h)[row] + number.astype(np.uint64)) % np.uint64(sample) == 0)
+            row, start = row[at], number[at] * SLICE
+            long = np.minimum(SLICE + window - 1, size[row] - start)
+            for first, last in arrays.row_chunks(np.concatenate(([0], np.cumsum(long)))):
+                own = data[arrays.ranges(offsets[row[first:last]] + start[first:last], long[first:last])]
+                bounds = np.concatenate(([0], np.cumsum(long[first:last])))
+                for place, *_ in arrays.winnow_rows(own, bounds, window, GRAM):
+                    if len(place):
+                        yield repeats.batch(key=_range_key(*_leading(own, place)))
+    return run
+
+
+def _suffixes(window: int, splitters: np.ndarray):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            data, offsets = arrays.texts(part.column("text"))
+            doc, h = np.asarray(part.column("doc")), np.asarray(part.column("h"))
             for first, last in arrays.row_chunks(offsets):
                 bounds = offsets[first:last + 1] - offsets[first]
                 own = data[offsets[first]:offsets[last]]
                 for place, lo, hi, _, c in arrays.winnow_rows(own, bounds, window, GRAM):
                     if not len(place):
                         continue
-                    eight = np.ndarray(len(own) - 7, ">u8", own, strides=(1,))
-                    lead, rest = (eight[place + i].astype(np.uint64) for i in (0, 8))
+                    lead, rest = _leading(own, place)
                     key = _range_key(lead, rest)
-                    if splitters is None:
-                        yield repeats.batch(key=key)
-                        continue
                     row = np.searchsorted(bounds, lo, "right") - 1
-                    loc = repeats.pack(tag[first + row], lo - bounds[row], hi - lo)
+                    loc = repeats.pack(lo - bounds[row], hi - lo)
                     left, right = (np.searchsorted(splitters, key, s) for s in ("left", "right"))
                     hot = right - left > 1
-                    salt = arrays.mix(loc.view(np.uint64) ^ doc[first + row].view(np.uint64))
+                    salt = arrays.mix(arrays.mix(doc[first + row].view(np.uint64) ^ h[first + row].view(np.uint64)) ^ loc.view(np.uint64))
                     bucket = np.where(hot, left + 1 + (salt >> np.uint64(33)).astype(np.int64)
                                       % np.maximum(right - left, 1), right)
-                    yield repeats.batch(bucket=bucket * 2 + hot, lead=lead, rest=rest, c=c, doc=doc[first + row], loc=loc)
+                    yield repeats.batch(bucket=bucket * 2 + hot, lead=lead, rest=rest, c=c, doc=doc[first + row],
+                                        h=h[first + row], loc=loc)
     return run
 
 
@@ -88,20 +113,20 @@ def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(parts)
     if not held:
         return
-    names = ("bucket", "lead", "rest", "c", "doc", "loc")
-    bucket, lead, rest, c, doc, loc = (np.concatenate([np.asarray(p.column(n)) for p in held]) for n in names)
+    names = ("bucket", "lead", "rest", "c", "doc", "h", "loc")
+    bucket, lead, rest, c, doc, h, loc = (np.concatenate([np.asarray(p.column(n)) for p in held]) for n in names)
     held.clear()
     lead, rest, c = (x.view(np.uint64) for x in (lead, rest, c))
     g = arrays.mix(lead ^ arrays.mix(rest + np.uint64(1)))
     hot = np.flatnonzero(bucket & 1)
-    yield from _blocks(2, g=g[hot], c=c[hot], doc=doc[hot], loc=loc[hot])
+    yield from _blocks(2, g=g[hot], c=c[hot], doc=doc[hot], h=h[hot], loc=loc[hot])
     own = np.flatnonzero(bucket & 1 == 0)
     if not len(own):
         return
-    lead, rest, g, c, doc, loc = (x[own] for x in (lead, rest, g, c, doc, loc))
+    lead, rest, g, c, doc, h, loc = (x[own] for x in (lead, rest, g, c, doc, h, loc))
     start = repeats.unpack(loc)[0]
     order = multikey_sort([lead, rest, c, doc, start])
-    lead, rest, g, c, doc, loc, start = (x[order] for x in (lead, rest, g, c, doc, loc, start))
+    lead, rest, g, c, doc, h, loc, start = (x[order] for x in (lead, rest, g, c, doc, h, loc, start))
     group, kind = np.ones(len(g), bool), np.ones(len(g), bool)
     group[1:] = (lead[1:] != lead[:-1]) | (rest[1:] != rest[:-1])
     kind[1:] = group[1:] | (c[1:] != c[:-1])
@@ -110,12 +135,12 @@ def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = np.cumsum(group) - 1
     kinds = np.bincount(number, kind).astype(np.int64)
     firsts = np.bincount(number, ~late).astype(np.int64)
-    yield from _blocks(0, doc=doc[late], loc=loc[late])
+    yield from _blocks(0, doc=doc[late], h=h[late], loc=loc[late])
     at = np.flatnonzero(~late & (kinds[number] > 1))
-    yield from _blocks(1, g=g[at], doc=doc[at], loc=loc[at], n=firsts[number][at])
+    yield from _blocks(1, g=g[at], doc=doc[at], h=h[at], loc=loc[at], n=firsts[number][at])
 
 
-LANES = ("g", "c", "doc", "loc", "n")
+LANES = ("g", "c", "doc", "h", "loc", "n")
 
 
 def _blocks(kind: int, size: int = 4096, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -177,7 +202,7 @@ def _kept(window: int, keep: int):
 
 
 def sampled_splitters(rows: DataFrame, window: int, bucket: int, sample: int) -> np.ndarray:
-    """Range keys that cut the suffixes into buckets of about that many, from the suffixes of one in sample rows.
+    """Range keys that cut the suffixes into buckets of about that many, from one in sample slices of the texts.
 
     A key that is drawn more than once stands more than once: its range is to be subdivided.
     """
@@ -185,7 +210,7 @@ def sampled_splitters(rows: DataFrame, window: int, bucket: int, sample: int) ->
     buckets = math.ceil(size * 2 / (window - GRAM + 2) / bucket)
     if buckets < 2:
         return np.zeros(0, np.int64)
-    keys = rows.filter(F.pmod(F.xxhash64("doc", "tag"), F.lit(sample)) == 0).mapInArrow(_suffixes(window, None), "key long")
+    keys = rows.mapInArrow(_sampled(window, sample), "key long")
     at = [i / buckets for i in range(1, buckets)]
     found = keys.agg(F.percentile_approx("key", at, 20 * buckets)).first()[0]
     return np.array(sorted(found or []), np.int64)
@@ -195,24 +220,24 @@ def suffix_dedup(docs: DataFrame, keep: tuple[str, ...] = (), window: int = WIND
                  sample: int = SAMPLE) -> DataFrame:
     """doc_id, the kept columns, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each row."""
     rows = repeats.identified(docs, keep)
-    narrow = rows.select("doc", "tag", "text")
+    narrow = rows.select("doc", "h", "text")
     splitters = sampled_splitters(narrow, window, bucket, sample)
     dealt = narrow.mapInArrow(
         _suffixes(window, splitters),
-        "bucket long, lead long, rest long, c long, doc long, loc long",
+        "bucket long, lead long, rest long, c long, doc long, h long, loc long",
     ).repartitionById(len(splitters) + 1, F.expr("cast(shiftright(bucket, 1) as int)"))
     judged = cut(dealt.mapInArrow(_neighbours, ", ".join(["kind long", *(f"{n} array<long>" for n in LANES)])))
 
     # subdivided ranges, across their boundaries
-    hot = _rows(judged, 2, "g", "c", "doc", "loc")
+    hot = _rows(judged, 2, "g", "c", "doc", "h", "loc")
     when = F.struct("doc", repeats.loc_start(F.col("loc")).alias("start"))
     first = hot.groupBy("g", "c").agg(F.min(when).alias("first"))
     several = first.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
     compared = hot.join(first, ["g", "c"])
-    marks = _rows(judged, 0, "doc", "loc").unionByName(
-        compared.filter(when > F.col("first")).select("doc", "loc"))
-    checks = _rows(judged, 1, "g", "doc", "loc", "n").unionByName(
-        compared.filter(when == F.col("first")).join(several, "g").select("g", "doc", "loc", F.col("m").alias("n")))
+    marks = _rows(judged, 0, "doc", "h", "loc").unionByName(
+        compared.filter(when > F.col("first")).select("doc", "h", "loc"))
+    checks = _rows(judged, 1, "g", "doc", "h", "loc", "n").unionByName(
+        compared.filter(when == F.col("first")).join(several, "g").select("g", "doc", "h", "loc", F.col("m").alias("n")))
     checked = repeats.repeated_windows(rows, checks, _payload(window), _windows(window), by_place=True)
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
