@@ -7,16 +7,19 @@ only narrow what is ranked.
 There are two ways to the same scores. `score_texts` reads the texts: one pass for the corpus figures,
 one over the candidates, no shuffle. `score_index` reads an index written once by `build_index`: only
 the buckets of the query's terms are scanned, and only their postings are shuffled, by document. The
-index grows by a part with every insert; a commit record makes a part visible once it is whole.
+index grows by a part with every insert. A manifest names the parts that count; parts of like size are
+merged into one (`merge_index`), so that their number grows with the logarithm of the documents.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,6 +28,7 @@ from voxlake import constants as K
 from voxlake.functions.dates import event_time
 from voxlake.functions.text import fold, tokens
 from voxlake.operators.ranking import add_columns, narrow, page
+from voxlake.sources import files
 
 BUCKETS, BUCKET_LETTERS = 256, 2
 _WEIGHTS = {
@@ -254,40 +258,125 @@ def build_index(documents: DataFrame) -> Index:
     return Index(postings, doc_stats, corpus)
 
 
-def write_index(index: Index, path: str, *, append: bool = False) -> None:
-    """Writes a part of the index; without `append` it replaces all earlier ones.
+POSTINGS = "bucket int, term string, doc_id long, in_title boolean, tf long, positions array<int>"
+DOC_STATS = "doc_id long, dl long"
+FAN = 8            # so many parts of a tier become one of the next
+KEPT_MANIFESTS = 8
+
+
+def new_part() -> str:
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def stage_part(postings: DataFrame, doc_stats: DataFrame, path: str, part: str) -> dict[str, Any]:
+    """Writes a part that no manifest names yet, and returns its entry for one.
 
     Buckets follow the term, so that a query opens only its own. Ranges are cut by document too: the
-    bucket of a common term becomes many even files, each sorted by term. The commit is one small file,
-    written last: readers see a part as a whole or not at all. Appended documents must be new ones.
+    bucket of a common term becomes many even files, each sorted by term.
     """
-    part = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    spark = doc_stats.sparkSession
     order = ["bucket", "term", "doc_id"]
-    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(
+    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path}/postings/part={part}")
-    index.doc_stats.write.parquet(f"{path}/doc_stats/part={part}")
-    index.corpus.write.parquet(f"{path}/corpus/part={part}")
-    spark = index.corpus.sparkSession
-    spark.createDataFrame([(part, append)], "part string, appended boolean").coalesce(1).write.mode("append").parquet(
-        f"{path}/commits")
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    """The index as of its last commit. There is one commit for each insert since the last full write."""
-    commits = spark.read.schema("part string, appended boolean").parquet(f"{path}/commits").orderBy("part").collect()
-    base = max((i for i, c in enumerate(commits) if not c["appended"]), default=0)
-
-    def parts(name: str, schema: str) -> DataFrame:
-        folders = [f"{path}/{name}/part={c['part']}" for c in commits[base:]]
-        return spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(*folders)
-
-    corpus = parts("corpus", "n_docs long, total_length long").agg(
-        F.sum("n_docs").alias("n_docs"), F.sum("total_length").alias("total_length"))
-    return Index(
-        parts("postings", "bucket int, term string, doc_id long, in_title boolean, tf long, positions array<int>"),
-        parts("doc_stats", "doc_id long, dl long"),
-        corpus,
-    )
+    doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats/part={part}")
+    n, length = spark.read.schema(DOC_STATS).parquet(f"{path}/doc_stats/part={part}").agg(
+        F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return {"part": part, "n_docs": n, "total_length": length}
+
+
+def manifest(spark: SparkSession, path: str) -> dict[str, Any]:
+    """The newest manifest: its version and the parts that count."""
+    versions = [n for n in files.names(spark, f"{path}/manifests") if n.endswith(".json") and not n.startswith(".")]
+    if not versions:
+        return {"version": 0, "parts": []}
+    return files.read_json(spark, f"{path}/manifests/{versions[-1]}")
+
+
+def commit_parts(spark: SparkSession, path: str, added: Sequence[Mapping[str, Any]], removed: Sequence[str] | None = ()) -> bool:
+    """Makes the next manifest, with parts added and removed (None: all earlier ones). Parts that are there stay once.
+
+    False if parts to be removed have gone meanwhile: then nothing is changed. Whoever else commits at the
+    same time is waited for by trying again on top of it.
+    """
+    while True:
+        last = manifest(spark, path)
+        known = {p["part"] for p in last["parts"]}
+        if removed and not known.issuperset(removed):
+            return False
+        gone = known if removed is None else set(removed)
+        fresh = [p for p in added if p["part"] not in known]
+        parts = [p for p in last["parts"] if p["part"] not in gone] + list(fresh)
+        version = last["version"] + 1
+        if files.write_json(spark, f"{path}/manifests/{version:012d}.json", {"version": version, "parts": parts}):
+            for old in files.names(spark, f"{path}/manifests")[:-KEPT_MANIFESTS]:
+                files.delete(spark, f"{path}/manifests/{old}")
+            return True
+
+
+def write_index(index: Index, path: str, *, append: bool = False) -> None:
+    """Writes a part of the index; without `append` it replaces all earlier ones. Readers see a part as a whole or
+    not at all. Appended documents must be new ones."""
+    entry = stage_part(index.postings, index.doc_stats, path, new_part())
+    commit_parts(index.doc_stats.sparkSession, path, [entry], () if append else None)
+
+
+def read_index(spark: SparkSession, path: str, parts: Sequence[Mapping[str, Any]] | None = None) -> Index:
+    """The index as of its newest manifest, or some of its parts."""
+    own = manifest(spark, path)["parts"] if parts is None else parts
+
+    def rows(name: str, schema: str) -> DataFrame:
+        folders = [f"{path}/{name}/part={p['part']}" for p in own]
+        if not folders:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(*folders).drop("part")
+
+    figures = (sum(p["n_docs"] for p in own), sum(p["total_length"] for p in own))
+    return Index(rows("postings", POSTINGS), rows("doc_stats", DOC_STATS),
+                 spark.createDataFrame([figures], "n_docs long, total_length long"))
+
+
+def _tier(n_docs: int, fan: int) -> int:
+    tier = 0
+    while n_docs >= fan:
+        n_docs, tier = n_docs // fan, tier + 1
+    return tier
+
+
+def merge_index(spark: SparkSession, path: str, *, fan: int = FAN) -> list[list[str]]:
+    """Merges parts of a tier (their number of documents by powers of `fan`) wherever there are `fan` of them, until
+    there are no more; the parts that went into each merge.
+
+    A document's postings are moved once for each tier, and fewer than `fan` parts stay in each. A merged part is
+    committed in place of its sources by one manifest; a merge that fails before leaves the index as it was.
+    """
+    done = []
+    while True:
+        tiers: dict[int, list[Mapping[str, Any]]] = defaultdict(list)
+        for own in manifest(spark, path)["parts"]:
+            tiers[_tier(own["n_docs"], fan)].append(own)
+        full = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= fan), None)
+        if full is None:
+            return done
+        source = read_index(spark, path, full)
+        entry = stage_part(source.postings, source.doc_stats, path, new_part())
+        merged = [p["part"] for p in full]
+        if commit_parts(spark, path, [entry], merged):
+            done.append(merged)
+
+
+def vacuum_index(spark: SparkSession, path: str) -> list[str]:
+    """Removes the parts that no kept manifest names. Not to be called while a part is being written."""
+    named = set()
+    for name in files.names(spark, f"{path}/manifests"):
+        if not name.startswith("."):
+            named |= {p["part"] for p in files.read_json(spark, f"{path}/manifests/{name}")["parts"]}
+    gone = []
+    for table in ("postings", "doc_stats"):
+        for folder in files.names(spark, f"{path}/{table}"):
+            if folder.startswith("part=") and folder.removeprefix("part=") not in named:
+                files.delete(spark, f"{path}/{table}/{folder}")
+                gone.append(folder.removeprefix("part="))
+    return sorted(set(gone))
 
 
 def _needed(postings: DataFrame, match: Match) -> DataFrame:

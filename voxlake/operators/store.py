@@ -1,4 +1,10 @@
-"""Writes to the feedback store: insert-or-ignore, document ids, ledgers."""
+"""Writes to the feedback store: insert-or-ignore, document ids, ledgers.
+
+An insert is all or nothing. Its documents, tags and index part are first written where no reader looks; one small file,
+`ready.json`, then decides that it counts. From there its files are moved into the tables and its part is named in the
+index's manifest, which may be broken off anywhere: the next insert (or `complete_inserts`) takes up what is left. An
+insert that broke off before leaves nothing behind but a folder that the next one removes.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +17,14 @@ from datetime import datetime
 from itertools import accumulate
 from typing import Any
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxlake.operators.dedupe import new_documents, not_in
-from voxlake.operators.fulltext import build_index, write_index
+from voxlake.operators.fulltext import build_index, commit_parts, merge_index, new_part, stage_part
 from voxlake.operators.normalize import stored_columns
 from voxlake.operators.tagging import Taxonomy, tag_documents
 from voxlake.session import shared_dir
+from voxlake.sources import files
 from voxlake.sources.tables import Store
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
@@ -27,12 +33,6 @@ _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 _staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
-def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
-    """Hadoop's file system of a path, and the path for it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Removes the copies that `cut_lineage` makes in this block when the block ends."""
@@ -46,8 +46,7 @@ def staging(spark: SparkSession) -> Iterator[None]:
         paths = _staged.get() or []
         _staged.reset(token)
         for path in paths:
-            files, place = _file_system(spark, path)
-            files.delete(place, True)
+            files.delete(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -67,29 +66,30 @@ def only_writer(store: Store) -> Iterator[None]:
     The claim is a file that can be made once. A run that was killed leaves it; remove it by hand then.
     """
     claim = f"{store.root.rstrip('/')}/_writer"
-    files, place = _file_system(store.spark, claim)
-    try:
-        files.create(place, False).close()
-    except Py4JJavaError as error:
-        raise RuntimeError(f"another writer is at work on this store, or was killed: {claim} exists") from error
+    if not files.claim(store.spark, claim):
+        raise RuntimeError(f"another writer is at work on this store, or was killed: {claim} exists")
     try:
         yield
     finally:
-        files.delete(place, False)
+        files.delete(store.spark, claim)
 
 
 def ensure_source(store: Store, platform: str, *, now: datetime) -> int:
     """Id of the platform's source row, added where it is missing; its name is the platform key."""
-    sources = store.read("sources")
     own = (F.col("platform") == platform) & (F.col("external_id") == platform)
-    found = sources.where(own).agg(F.min("id")).first()[0]
+    found = store.read("sources").where(own).agg(F.min("id")).first()[0]
     if found is not None:
         return found
-    next_id = (sources.agg(F.max("id")).first()[0] or 0) + 1
-    row = [(next_id, platform, platform, platform, "{}", now)]
-    schema = "id long, platform string, external_id string, name string, metadata_json string, created_at timestamp"
-    store.append("sources", store.spark.createDataFrame(row, schema))
-    return next_id
+    with only_writer(store):  # two refreshes must not give one id twice
+        sources = store.read("sources")
+        found = sources.where(own).agg(F.min("id")).first()[0]
+        if found is not None:
+            return found
+        next_id = (sources.agg(F.max("id")).first()[0] or 0) + 1
+        row = [(next_id, platform, platform, platform, "{}", now)]
+        schema = "id long, platform string, external_id string, name string, metadata_json string, created_at timestamp"
+        store.append("sources", store.spark.createDataFrame(row, schema))
+        return next_id
 
 
 def number_rows(rows: DataFrame, order: str, start: int) -> tuple[DataFrame, int]:
@@ -119,16 +119,38 @@ def number_rows(rows: DataFrame, order: str, start: int) -> tuple[DataFrame, int
 def insert_documents(store: Store, docs: DataFrame, source_id: int, *, now: datetime,
                      taxonomy: Taxonomy | None = None, index_path: str | None = None) -> int:
     """Insert canonical documents, ignoring known ones; the first arrival wins. Tags them as well, and adds
-    them to the text index at `index_path`.
+    them to the text index at `index_path`; how many were new.
 
     Copies are found and ids given on keys alone; the texts are joined to their ids at the end, in
     one shuffle. That reads `docs` twice, so they should be cheap to read (see `cut_lineage`). A
-    rerun after a failure inserts nothing twice; `retag` fills in tags a failed run left out.
+    rerun after a failure completes what the failed run had decided, and inserts nothing twice.
     """
     with only_writer(store), staging(store.spark):
+        _take_up(store)
         return _insert(store, docs, source_id, now, taxonomy, index_path)
 
 
+def complete_inserts(store: Store) -> list[str]:
+    """Completes the inserts that broke off after their decision and removes the others; the names of the former."""
+    with only_writer(store):
+        return _take_up(store)
+
+
+def _inserts(store: Store) -> str:
+    return f"{store.root.rstrip('/')}/_inserts"
+
+
+def _take_up(store: Store) -> list[str]:
+    done = []
+    for name in files.names(store.spark, _inserts(store)):
+        if files.read_json(store.spark, f"{_inserts(store)}/{name}/ready.json") is not None:
+            _publish(store, name)
+            done.append(name)
+        else:
+            files.delete(store.spark, f"{_inserts(store)}/{name}")
+    return done
+
+
 def _insert(store: Store, docs: DataFrame, source_id: int, now: datetime, taxonomy: Taxonomy | None,
             index_path: str | None) -> int:
     incoming = stored_columns(docs).withColumn("source_id", F.lit(source_id).cast("long"))
@@ -141,23 +163,57 @@ def _insert(store: Store, docs: DataFrame, source_id: int, now: datetime, taxono
     numbered, inserted = number_rows(new.select("arrival"), "arrival", last + 1)
     if inserted:
         rows = incoming.join(numbered, "arrival").withColumn("created_at", F.lit(now))
-        store.append("documents", rows)
-        if taxonomy is not None:
-            insert_tags(store, tag_documents(rows.select("id", "title", "body"), taxonomy), now=now)
-        if index_path is not None:
-            write_index(build_index(rows.select("id", "title", "body")), index_path, append=True)
+        name = new_part()
+        _stage(store, name, rows, now, taxonomy, index_path)
+        _publish(store, name)
     return inserted
 
 
+def _stage(store: Store, name: str, rows: DataFrame, now: datetime, taxonomy: Taxonomy | None, index_path: str | None) -> None:
+    """Writes all that an insert adds where no reader looks; `ready.json` comes last and decides."""
+    folder = f"{_inserts(store)}/{name}"
+    store.write("documents", rows, f"{folder}/documents")
+    # what follows is made of the written rows, not once more of their sources
+    own = store.spark.read.schema(store.read("documents").schema).parquet(f"{folder}/documents").select("id", "title", "body")
+    if taxonomy is not None:
+        tags = tag_documents(own, taxonomy).dropDuplicates(_TAG_KEY).withColumn("created_at", F.lit(now))
+        store.write("document_tags", tags, f"{folder}/document_tags")
+    part = None
+    if index_path is not None:
+        index = build_index(own)
+        part = stage_part(index.postings, index.doc_stats, index_path, name)
+    files.write_json(store.spark, f"{folder}/ready.json", {"index_path": index_path, "part": part})
+
+
+def _publish(store: Store, name: str) -> None:
+    """Moves a decided insert to where readers look; a rerun does what is left to do."""
+    folder = f"{_inserts(store)}/{name}"
+    ready = files.read_json(store.spark, f"{folder}/ready.json")
+    for table in ("documents", "document_tags"):
+        files.move_files(store.spark, f"{folder}/{table}", store.path(table))
+    if ready["part"] is not None:
+        commit_parts(store.spark, ready["index_path"], [ready["part"]])
+    files.delete(store.spark, folder)
+
+
+def maintain_index(store: Store, index_path: str) -> list[list[str]]:
+    """Merges parts of the text index while no insert is at work; the parts that went into each merge."""
+    with only_writer(store):
+        _take_up(store)
+        return merge_index(store.spark, index_path)
+
+
+_TAG_KEY = ["document_id", "tag_type", "tag_value"]
+
+
 def insert_tags(store: Store, tags: DataFrame, *, now: datetime) -> None:
     """Tags are unique per document, type and value."""
-    key = ["document_id", "tag_type", "tag_value"]
-    new = not_in(tags.dropDuplicates(key), store.read("document_tags"), key)
+    new = not_in(tags.dropDuplicates(_TAG_KEY), store.read("document_tags"), _TAG_KEY)
     store.append("document_tags", new.withColumn("created_at", F.lit(now)))
 
 
 def retag(store: Store, taxonomy: Taxonomy, *, now: datetime) -> None:
-    """Add missing tags of all stored documents, after a failed run or a taxonomy change."""
+    """Add missing tags of all stored documents, after a taxonomy change."""
     insert_tags(store, tag_documents(store.read("documents"), taxonomy), now=now)
 
 

@@ -47,8 +47,8 @@ class Store:
     def read(self, table: str) -> DataFrame:
         return read_or_empty(self.spark, self.path(table), TABLES[table])
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Append rows in the table's own column order and types; missing columns become NULL."""
+    def write(self, table: str, rows: DataFrame, path: str) -> None:
+        """Add rows to a folder, in the table's own column order and types; missing columns become NULL."""
         if table == "documents":
             rows = rows.withColumn("event_month", utc_text(F.coalesce("published_at", "created_at")).substr(1, 7))
         shaped = rows.select(
@@ -60,7 +60,10 @@ class Store:
         folders = PARTITION_COLUMNS.get(table, [])
         if folders:  # a few even files for each folder, whichever tasks have its rows
             shaped = shaped.hint("rebalance", *folders)
-        shaped.write.mode("append").partitionBy(*folders).parquet(self.path(table))
+        shaped.write.mode("append").partitionBy(*folders).parquet(path)
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self.write(table, rows, self.path(table))
 
     def corpus(self) -> Corpus:
         return Corpus(

@@ -352,6 +352,18 @@ def search_after_insert(spark, sf):
     return _written(spark, sf, fulltext.match_phrase("the and"), lambda docs: [docs.where(F.col("source_id") == i) for i in (1, 2, 3)])
 
 
+@query
+def search_after_merge(spark, sf):
+    """Ten inserts, merged three by three: the same scores as by an index of one part."""
+    docs, path = views.documents(spark, sf), f"{_scratch(spark)}/index"
+    for i in range(10):
+        fulltext.write_index(fulltext.build_index(docs.where(F.col("id") % 10 == i)), path, append=True)
+        fulltext.merge_index(spark, path, fan=3)
+    match = fulltext.match_any("anble reble") & fulltext.match_none("inble")
+    index = fulltext.read_index(spark, path)
+    return _hits(explore.search_documents(Corpus(docs, views.sources(spark)), match, limit=200, index=index))
+
+
 @query
 def index_terms(spark, sf):
     """Documents and occurrences per term of the index."""
