@@ -185,3 +185,40 @@ def test_streamed_landing_folder(spark, store, tmp_path):
     land("2.json", "b", "c")
     assert take_in() == ["a", "b", "c"]
     assert store.read("document_tags").count() == 3
+
+
+def test_stream_state_and_index(spark, store, tmp_path, monkeypatch):
+    """Repeats of earlier batches are dropped by state, changed ones by the store; documents are found by the index."""
+    from voxlake.operators import fulltext
+    from voxlake.streaming import landing as stream
+
+    folder, index, taken = tmp_path / "landing", str(tmp_path / "index"), []
+    folder.mkdir()
+
+    def land(name, *records):
+        (folder / name).write_text("".join(json.dumps({"created_utc": 1709287200, **r}) + "\n" for r in records))
+
+    def counted(own, docs, *args, **options):
+        taken.append(sorted(((r.external_id, r.title) for r in docs.collect()), key=str))
+        return insert_documents(own, docs, *args, **options)
+
+    monkeypatch.setattr(stream, "insert_documents", counted)
+
+    def take_in():
+        query = stream.ingest_new_files(
+            store, "reddit", str(folder), schemas.SUBMISSION, normalize.submissions, clock=Clock(), name=f"state-{tmp_path.name}",
+            taxonomy=TAXONOMY, index_path=index, identity=("id", "title"), delay="1 day", merge_every=1)
+        query.awaitTermination(180)
+        assert query.exception() is None
+
+    a, b, c = ({"id": i, "title": f"watch {i}"} for i in "abc")
+    land("1.json", a, {**a, "title": "again"}, b, {"title": "no id"})
+    take_in()
+    assert taken[-1] == [("a", "again"), ("a", "watch a"), ("b", "watch b"), (None, "no id")]  # one batch, unchanged
+    land("2.json", b, c, {**a, "title": "changed"}, c)
+    take_in()
+    assert taken[-1] == [("a", "changed"), ("c", "watch c"), ("c", "watch c")]
+    rows = store.read("documents").orderBy("id").collect()
+    assert [(r.external_id, r.title) for r in rows] == [("a", "watch a"), ("b", "watch b"), (None, "no id"), ("c", "watch c")]
+    found = fulltext.score_index(fulltext.read_index(spark, index), fulltext.match_all("watch")).collect()
+    assert sorted(r.id for r in found) == [1, 2, 4]

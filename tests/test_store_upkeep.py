@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_jobs import NOW, TAXONOMY, canonical
-from voxlake.operators import fulltext as ft, store as ops
+from voxlake.operators import enrich, fulltext as ft, keyfilter, rollup, store as ops
+from voxlake.operators.filters import Filters
+from voxlake.plans import dashboard, insights, jobs, rollups
 from voxlake.sources import files
 from voxlake.sources.tables import Store
 
@@ -20,6 +22,9 @@ def _state(spark, store, index):
     rows["postings"] = sorted(map(str, read.postings.collect()))
     rows["lengths"] = sorted(map(tuple, read.doc_stats.collect()))
     rows["corpus"] = tuple(read.corpus.first())
+    counts = rollup.read_rollup(spark, ops.rollup_path(store))
+    rows["counts"] = sorted(map(tuple, counts.groupBy(*rollup.DIMENSIONS).agg(F.sum("n")).collect()), key=str)
+    rows["filters"] = [p["rows"] for p in ft.manifest(spark, ops.filter_path(store))["parts"]]
     return rows
 
 
@@ -40,7 +45,7 @@ def whole(spark, tmp_path_factory):
 
 # each write of an insert: (owner, name, number of the call), broken before it; before the next is after this one
 WRITES = [("store", "write", 1), ("store", "write", 2), ("ops", "stage_part", 1), ("files", "write_json", 1), ("files", "move_files", 1),
-          ("files", "move_files", 2), ("ops", "commit_parts", 1), ("files", "delete", 1)]
+          ("files", "move_files", 2), ("ops", "commit_parts", 1), ("ops", "commit_parts", 3), ("files", "delete", 1)]
 
 
 @pytest.mark.parametrize("owner,name,number,after", [*((*w, False) for w in WRITES), ("files", "write_json", 1, True)])
@@ -93,6 +98,88 @@ def test_sources_are_numbered_once(spark, store):
             ops.ensure_source(store, "web_reviews", now=NOW)
 
 
+# Key filters -----------------------------------------------------------------------------------
+def test_only_possible_hits_meet_the_store(spark, store):
+    source = ops.ensure_source(store, "reddit", now=NOW)
+    for first, n in ((0, 40), (40, 30), (60, 60)):
+        rows = canonical(spark, [(i, f"e{i}", f"k{i}", "t", "b") for i in range(first, first + n)])
+        ops.insert_documents(store, rows, source, now=NOW)
+    ids = [(1, 40), (41, 70), (71, 120)]
+    assert [(p["first"], p["last"]) for p in ft.manifest(spark, ops.filter_path(store))["parts"]] == ids
+    incoming = spark.createDataFrame(
+        [(source, f"e{i}", f"k{i}") for i in range(45, 50)] + [(source, f"new{i}", f"fresh{i}") for i in range(3000)]
+        + [(source, None, None), (source + 1, "e1", "k1"), (source, "e2", None)], "source_id long, external_id string, dedupe_key string")
+    maybe, stored = ops.possibly_stored(store, incoming, 120)
+    found = {r.external_id for r in maybe.collect()}
+    assert {f"e{i}" for i in range(45, 50)} | {"e1", "e2"} <= found and len(found) < 60 and None not in found
+    maybe, stored = ops.possibly_stored(store, incoming.where("external_id IN ('e45', 'e46')"), 120)
+    assert sorted(r.id for r in stored.collect()) == list(range(41, 71))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,41)" in plan and "LessThanOrEqual(id,70)" in plan
+    # a store that was written without filters is looked through as a whole
+    assert ops.possibly_stored(store, incoming, 121)[1].count() == 120
+    assert keyfilter.merge_filters(spark, ops.filter_path(store), store.read("documents"), ops.KEYS, fan=2) > 0
+    parts = ft.manifest(spark, ops.filter_path(store))["parts"]
+    assert sum(p["rows"] for p in parts) == 120 and len(parts) < 3
+    maybe, _ = ops.possibly_stored(store, incoming, 120)
+    assert {f"e{i}" for i in range(45, 50)} | {"e1", "e2"} <= {r.external_id for r in maybe.collect()}
+
+
+def test_filters_never_miss_a_key(spark, tmp_path):
+    hashes = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    entry = keyfilter.stage_filter(hashes, str(tmp_path), "a", 1, 20_000)
+    ft.commit_parts(spark, str(tmp_path), [entry])
+    asked = spark.range(10_000, 60_000).select(F.xxhash64("id").alias("h"))
+    found = keyfilter.ask(spark, str(tmp_path), asked)
+    assert found.join(hashes, "h", "left_semi").count() == 10_000
+    assert found.count() - 10_000 < 40_000 / 100
+    assert keyfilter.ask(spark, str(tmp_path / "none"), asked).count() == 0
+
+
+# Daily counts ----------------------------------------------------------------------------------
+def test_reports_from_daily_counts(spark, store, monkeypatch):
+    from datetime import datetime, timedelta
+
+    source = ops.ensure_source(store, "reddit", now=NOW)
+    words = ["bad watch please add battery", "a great and long text", "please add this feature watch", "nothing to say here at all"]
+    for start in (0, 12, 24):
+        rows = canonical(spark, [(i, f"e{i}", None, "t", f"{words[i % 4]} {i}") for i in range(start, start + 12)])
+        day = F.lit(datetime(2024, 3, 1)) + F.make_dt_interval(F.col("arrival").cast("int") % 5, F.when(F.col("arrival") % 3 == 0, 0).otherwise(5))
+        ops.insert_documents(store, rows.withColumn("created_at", day), source, now=NOW, taxonomy=TAXONOMY)
+        if start < 24:
+            jobs.enrich_documents(store, None, clock=lambda: NOW, model_name="rules")
+    corpus, counts = store.corpus(), rollup.read_rollup(spark, ops.rollup_path(store))
+
+    def same(a, b):
+        assert sorted(map(tuple, a.select(*b.columns).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+    for raw in ({}, {"date_from": "2024-03-02", "date_to": "2024-03-04"}, {"sources": ["reddit"], "rating": 4}, {"sources": ["other"]},
+                {"sentiment_label": "negative"}, {"subreddit": "none"}):
+        chosen = Filters.of(raw)
+        for name, report in insights.INSIGHTS.items():
+            own = getattr(rollups, f"{name}_insight")(counts, corpus.sources, chosen)
+            whole = report(corpus, chosen)
+            assert set(own) == set(whole) - {"evidence"}
+            for part, rows in own.items():
+                same(rows, whole[part])
+        same(rollups.kpis(counts, corpus.sources, chosen), dashboard.kpis(corpus, chosen))
+        same(rollups.volume_by_day(counts, corpus.sources, chosen), dashboard.volume_by_day(corpus, chosen))
+    assert not rollups.answers(Filters.of({"date_to": "2024-03-04T10:00:00"})) and not rollups.answers(Filters.of({"issue_tags": ["x"]}))
+    with pytest.raises(ValueError):
+        rollups.kpis(counts, corpus.sources, Filters.of({"issue_tags": ["x"]}))
+    assert len(rollup.merge_rollups(spark, ops.rollup_path(store), fan=2)) > 0
+    same(rollups.kpis(rollup.read_rollup(spark, ops.rollup_path(store)), corpus.sources), dashboard.kpis(corpus))
+
+    # an enrichment that breaks off is completed, counts and all
+    with monkeypatch.context() as patched:
+        patched.setattr(ops, "commit_parts", lambda *_: (_ for _ in ()).throw(OSError("broken off")))
+        with pytest.raises(OSError):
+            jobs.enrich_documents(store, None, clock=lambda: NOW, model_name="rules")
+    assert len(ops.complete_inserts(store)) == 1
+    assert jobs.enrich_documents(store, enrich.rule_scorer, clock=lambda: NOW, model_name="rules")["candidates"] == 0
+    same(rollups.kpis(rollup.read_rollup(spark, ops.rollup_path(store)), corpus.sources), dashboard.kpis(store.corpus()))
+
+
 # Merges ----------------------------------------------------------------------------------------
 def _parts(spark, path):
     return [p["n_docs"] for p in ft.manifest(spark, path)["parts"]]

@@ -31,6 +31,15 @@ def _key(keys: Sequence[str]) -> Column:
     return F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))
 
 
+def stored_hits(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored rows (key columns alone) that have one of the incoming keys, each key once.
+
+    Where the incoming keys are few the optimizer broadcasts them, and the stored side is only read through.
+    """
+    asked = incoming.dropna(subset=list(keys)).select(*keys).distinct()
+    return stored.dropna(subset=list(keys)).select(*keys).join(asked, list(keys), "left_semi").distinct()
+
+
 def new_documents(incoming: DataFrame, stored: DataFrame, order: Sequence[Column], *, row_id: str) -> DataFrame:
     """Incoming rows that an insert-or-ignore in the given order would add.
 

@@ -16,18 +16,19 @@ from __future__ import annotations
 import time
 import uuid
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 from typing import Any
 from zlib import crc32
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from voxlake import constants as K
-from voxlake.functions.dates import event_time
+from voxlake.functions.dates import event_time, utc_text
 from voxlake.functions.text import fold, tokens
-from voxlake.operators.ranking import add_columns, narrow, page
+from voxlake.operators.ranking import add_columns, beyond, narrow, page
 from voxlake.sources import files
 
 BUCKETS, BUCKET_LETTERS = 256, 2
@@ -190,13 +191,44 @@ def score_texts(documents: DataFrame, candidates: DataFrame, match: Match) -> Da
 _ORDER = (F.asc_nulls_first, "fts_score"), (F.desc_nulls_last, "_time"), (F.desc, "id")
 
 
-def ranked_page(scored: DataFrame, documents: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Best score first, then latest, then highest id.
+@dataclass(frozen=True)
+class Place:
+    """Where a page ended: the order's values of its last row."""
+
+    fts_score: float | None
+    time: datetime | None
+    id: int
+
+
+def place_of(row: Row) -> Place:
+    """The place of a row of a page, from which the next page goes on."""
+    return Place(row["fts_score"], row["published_at"] or row["created_at"], row["id"])
+
+
+def after_place(rows: DataFrame, place: Place | None) -> DataFrame:
+    """Rows (with fts_score, `_time` and id) behind a place in the order of pages.
+
+    A later page so costs what the first one does: what lies before it is filtered out, by month folders as well where
+    there is no score, and each task keeps one page only.
+    """
+    if place is None:
+        return rows
+    time = None if place.time is None else F.lit(place.time).cast("timestamp")
+    found = rows.where(beyond([(F.col("fts_score"), False), (F.col("_time"), True), (F.col("id"), True)],
+                              [place.fts_score, time, place.id]))
+    if place.fts_score is None and place.time is not None and "event_month" in rows.columns:
+        found = found.where(F.col("fts_score").isNotNull() | F.col("event_month").isNull()
+                            | (F.col("event_month") <= utc_text(time).substr(1, 7)))
+    return found
+
+
+def ranked_page(scored: DataFrame, documents: DataFrame, limit: int, offset: int = 0, after: Place | None = None) -> DataFrame:
+    """Best score first, then latest, then highest id; from an offset, or from behind the last row seen.
 
     `scored` needs no more than id, times and `fts_score`; the page gets its other columns last.
     """
     order = [direction(name) for direction, name in _ORDER]
-    rows = scored.withColumn("_time", event_time()).select(*narrow(scored, "id", "_time", "fts_score"))
+    rows = after_place(scored.withColumn("_time", event_time()).select(*narrow(scored, "id", "_time", "fts_score")), after)
     top = page(rows, order, max(1, limit), max(0, offset))
     wide = [c for c in RESULT_COLUMNS if c != "id"]
     return add_columns(top, documents, wide).orderBy(*order).select(*RESULT_COLUMNS, "fts_score")
@@ -342,26 +374,34 @@ def _tier(n_docs: int, fan: int) -> int:
     return tier
 
 
-def merge_index(spark: SparkSession, path: str, *, fan: int = FAN) -> list[list[str]]:
+def merge_tiers(spark: SparkSession, path: str, merged: Callable[[list[dict[str, Any]]], dict[str, Any]], *,
+                fan: int = FAN) -> list[list[str]]:
     """Merges parts of a tier (their number of documents by powers of `fan`) wherever there are `fan` of them, until
     there are no more; the parts that went into each merge.
 
-    A document's postings are moved once for each tier, and fewer than `fan` parts stay in each. A merged part is
-    committed in place of its sources by one manifest; a merge that fails before leaves the index as it was.
+    What a part holds is moved once for each tier, and fewer than `fan` parts stay in each. `merged` writes a part
+    from others and returns its entry, which one manifest puts in their place; a merge that fails before leaves all as it was.
     """
     done = []
     while True:
-        tiers: dict[int, list[Mapping[str, Any]]] = defaultdict(list)
+        tiers: dict[int, list[dict[str, Any]]] = defaultdict(list)
         for own in manifest(spark, path)["parts"]:
             tiers[_tier(own["n_docs"], fan)].append(own)
         full = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= fan), None)
         if full is None:
             return done
+        entry, names = merged(full), [p["part"] for p in full]
+        if commit_parts(spark, path, [entry], names):
+            done.append(names)
+
+
+def merge_index(spark: SparkSession, path: str, *, fan: int = FAN) -> list[list[str]]:
+    """Merges parts of the index by tiers; the parts that went into each merge."""
+    def merged(full: list[dict[str, Any]]) -> dict[str, Any]:
         source = read_index(spark, path, full)
-        entry = stage_part(source.postings, source.doc_stats, path, new_part())
-        merged = [p["part"] for p in full]
-        if commit_parts(spark, path, [entry], merged):
-            done.append(merged)
+        return stage_part(source.postings, source.doc_stats, path, new_part())
+
+    return merge_tiers(spark, path, merged, fan=fan)
 
 
 def vacuum_index(spark: SparkSession, path: str) -> list[str]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -53,6 +54,20 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
     return (ordered.offset(offset) if offset > 0 else ordered).limit(limit)
 
 
+def beyond(order: Sequence[tuple[Column, bool]], last: Sequence[Any]) -> Column:
+    """Whether a row comes after a given one, by its values of the order's columns (column, falling); NULLs come first in
+    rising columns and last in falling ones. The last column must tell rows apart."""
+    out = F.lit(False)
+    for (column, falling), value in reversed(list(zip(order, last, strict=True))):
+        own = F.lit(value)
+        if falling:
+            after = column.isNull() | (column < own) if value is not None else F.lit(False)
+        else:
+            after = column > own if value is not None else column.isNotNull()
+        out = F.coalesce(after, F.lit(False)) | (column.eqNullSafe(own) & out)
+    return out
+
+
 def add_columns(top: DataFrame, documents: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Wide columns for the few rows of a finished report, by document id.
 

@@ -1,9 +1,10 @@
 """Writes to the feedback store: insert-or-ignore, document ids, ledgers.
 
-An insert is all or nothing. Its documents, tags and index part are first written where no reader looks; one small file,
+An insert is all or nothing. Its documents, tags, key filter, daily counts and index part are first written where no reader looks; one small file,
 `ready.json`, then decides that it counts. From there its files are moved into the tables and its part is named in the
 index's manifest, which may be broken off anywhere: the next insert (or `complete_inserts`) takes up what is left. An
-insert that broke off before leaves nothing behind but a folder that the next one removes.
+insert that broke off before leaves nothing behind but a folder that the next one removes. Enrichments are stored the same
+way, with a claim of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxlake.operators.dedupe import new_documents, not_in
+from voxlake.operators import keyfilter, rollup
+from voxlake.operators.dedupe import new_documents, not_in, stored_hits
 from voxlake.operators.fulltext import build_index, commit_parts, merge_index, new_part, stage_part
 from voxlake.operators.normalize import stored_columns
 from voxlake.operators.tagging import Taxonomy, tag_documents
@@ -60,12 +62,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def only_writer(store: Store) -> Iterator[None]:
+def only_writer(store: Store, name: str = "_writer") -> Iterator[None]:
     """Document ids count on from the highest one, so one writer works on a store at a time.
 
     The claim is a file that can be made once. A run that was killed leaves it; remove it by hand then.
     """
-    claim = f"{store.root.rstrip('/')}/_writer"
+    claim = f"{store.root.rstrip('/')}/{name}"
     if not files.claim(store.spark, claim):
         raise RuntimeError(f"another writer is at work on this store, or was killed: {claim} exists")
     try:
@@ -131,76 +133,143 @@ def insert_documents(store: Store, docs: DataFrame, source_id: int, *, now: date
 
 
 def complete_inserts(store: Store) -> list[str]:
-    """Completes the inserts that broke off after their decision and removes the others; the names of the former."""
+    """Completes the inserts and enrichments that broke off after their decision and removes the others; the names of
+    the former."""
     with only_writer(store):
-        return _take_up(store)
+        done = _take_up(store)
+    with only_writer(store, _ENRICHER):
+        return done + _take_up(store, ENRICHMENTS)
 
 
-def _inserts(store: Store) -> str:
-    return f"{store.root.rstrip('/')}/_inserts"
+INSERTS, ENRICHMENTS, _ENRICHER = "_inserts", "_enrichments", "_enricher"
+_STAGED = ("documents", "document_tags", "enrichments")
 
 
-def _take_up(store: Store) -> list[str]:
+def _area(store: Store, area: str) -> str:
+    return f"{store.root.rstrip('/')}/{area}"
+
+
+def _take_up(store: Store, area: str = INSERTS) -> list[str]:
     done = []
-    for name in files.names(store.spark, _inserts(store)):
-        if files.read_json(store.spark, f"{_inserts(store)}/{name}/ready.json") is not None:
-            _publish(store, name)
+    for name in files.names(store.spark, _area(store, area)):
+        if files.read_json(store.spark, f"{_area(store, area)}/{name}/ready.json") is not None:
+            _publish(store, name, area)
             done.append(name)
         else:
-            files.delete(store.spark, f"{_inserts(store)}/{name}")
+            files.delete(store.spark, f"{_area(store, area)}/{name}")
     return done
 
 
+PAIR = ("source_id", "external_id")
+KEYS = (("dedupe_key",), PAIR)
+
+
+def filter_path(store: Store) -> str:
+    return f"{store.root.rstrip('/')}/key_filter"
+
+
+def rollup_path(store: Store) -> str:
+    return f"{store.root.rstrip('/')}/rollup"
+
+
+def possibly_stored(store: Store, incoming: DataFrame, last: int) -> tuple[DataFrame, DataFrame]:
+    """The incoming rows that may be stored, by the key filters, and the stored rows that may be theirs.
+
+    Ids count from 1 to `last`; all incoming rows and all stored ones where documents have been written without filters.
+    """
+    spark, path = store.spark, filter_path(store)
+    stored = store.read("documents")
+    if sum(p["rows"] for p in keyfilter.manifest(spark, path)["parts"]) != last:
+        return incoming, stored
+    hashed = incoming.withColumn("_h", keyfilter.key_hashes(*KEYS))
+    hits = cut_lineage(keyfilter.ask(spark, path, hashed.select(F.explode("_h").alias("h")).distinct()))
+    # one name for each part: few, whatever they hold
+    ranges = keyfilter.possible_ranges(spark, path, [r["part"] for r in hits.select("part").distinct().collect()])
+    near = F.lit(False)
+    for first, last in ranges:
+        near = near | F.col("id").between(first, last)
+    maybe = hashed.select(*incoming.columns, F.explode("_h").alias("_h")).join(
+        hits.select(F.col("h").alias("_h")).distinct(), "_h", "left_semi").drop("_h").distinct()
+    return maybe, stored.where(near)
+
+
+def _known(store: Store, incoming: DataFrame, last: int) -> DataFrame:
+    """Stored rows with a key of incoming ones, as (source_id, external_id, dedupe_key): what a new row must not equal."""
+    maybe, stored = possibly_stored(store, incoming, last)
+    maybe = cut_lineage(maybe.select("source_id", "external_id", "dedupe_key"))
+    by_key = stored_hits(maybe, stored, ["dedupe_key"])
+    by_pair = stored_hits(maybe, stored, list(PAIR))
+    return by_pair.unionByName(by_key, allowMissingColumns=True)
+
+
 def _insert(store: Store, docs: DataFrame, source_id: int, now: datetime, taxonomy: Taxonomy | None,
             index_path: str | None) -> int:
     incoming = stored_columns(docs).withColumn("source_id", F.lit(source_id).cast("long"))
-    stored = store.read("documents")
-    keys = ["source_id", "external_id", "dedupe_key"]
-    new = new_documents(
-        incoming.select("arrival", *keys), stored.select(*keys), [F.asc("arrival")], row_id="arrival"
-    )
-    last = stored.agg(F.max("id")).first()[0] or 0
+    keys = incoming.select("arrival", *PAIR, "dedupe_key")
+    last = store.read("documents").agg(F.max("id")).first()[0] or 0
+    new = new_documents(keys, _known(store, keys.drop("arrival"), last), [F.asc("arrival")], row_id="arrival")
     numbered, inserted = number_rows(new.select("arrival"), "arrival", last + 1)
     if inserted:
         rows = incoming.join(numbered, "arrival").withColumn("created_at", F.lit(now))
         name = new_part()
-        _stage(store, name, rows, now, taxonomy, index_path)
+        _stage(store, name, rows, (last + 1, last + inserted), now, taxonomy, index_path)
         _publish(store, name)
     return inserted
 
 
-def _stage(store: Store, name: str, rows: DataFrame, now: datetime, taxonomy: Taxonomy | None, index_path: str | None) -> None:
+def _stage(store: Store, name: str, rows: DataFrame, ids: tuple[int, int], now: datetime, taxonomy: Taxonomy | None,
+           index_path: str | None) -> None:
     """Writes all that an insert adds where no reader looks; `ready.json` comes last and decides."""
-    folder = f"{_inserts(store)}/{name}"
+    folder = f"{_area(store, INSERTS)}/{name}"
     store.write("documents", rows, f"{folder}/documents")
     # what follows is made of the written rows, not once more of their sources
-    own = store.spark.read.schema(store.read("documents").schema).parquet(f"{folder}/documents").select("id", "title", "body")
+    written = store.spark.read.schema(store.read("documents").schema).parquet(f"{folder}/documents")
+    own = written.select("id", "title", "body")
+    hashes = written.select(F.explode(keyfilter.key_hashes(*KEYS)).alias("h"))
+    keys = keyfilter.stage_filter(hashes, filter_path(store), name, *ids) | {"rows": ids[1] - ids[0] + 1}
     if taxonomy is not None:
         tags = tag_documents(own, taxonomy).dropDuplicates(_TAG_KEY).withColumn("created_at", F.lit(now))
         store.write("document_tags", tags, f"{folder}/document_tags")
-    part = None
+    parts = [(filter_path(store), keys),
+             (rollup_path(store), rollup.stage_rollup(rollup.of_documents(written), rollup_path(store), name))]
     if index_path is not None:
         index = build_index(own)
-        part = stage_part(index.postings, index.doc_stats, index_path, name)
-    files.write_json(store.spark, f"{folder}/ready.json", {"index_path": index_path, "part": part})
+        parts.append((index_path, stage_part(index.postings, index.doc_stats, index_path, name)))
+    files.write_json(store.spark, f"{folder}/ready.json", {"parts": parts})
+
+
+def insert_enrichments(store: Store, rows: DataFrame) -> None:
+    """Stores enrichments and their daily counts, all or nothing. `rows` are read twice."""
+    with only_writer(store, _ENRICHER):
+        _take_up(store, ENRICHMENTS)
+        name = new_part()
+        folder = f"{_area(store, ENRICHMENTS)}/{name}"
+        store.write("enrichments", rows, f"{folder}/enrichments")
+        counts = rollup.of_enrichments(store.read("documents"), rows, store.read("document_tags"))
+        part = rollup.stage_rollup(counts, rollup_path(store), name)
+        files.write_json(store.spark, f"{folder}/ready.json", {"parts": [(rollup_path(store), part)]})
+        _publish(store, name, ENRICHMENTS)
 
 
-def _publish(store: Store, name: str) -> None:
-    """Moves a decided insert to where readers look; a rerun does what is left to do."""
-    folder = f"{_inserts(store)}/{name}"
+def _publish(store: Store, name: str, area: str = INSERTS) -> None:
+    """Moves what is decided to where readers look; a rerun does what is left to do."""
+    folder = f"{_area(store, area)}/{name}"
     ready = files.read_json(store.spark, f"{folder}/ready.json")
-    for table in ("documents", "document_tags"):
+    for table in _STAGED:
         files.move_files(store.spark, f"{folder}/{table}", store.path(table))
-    if ready["part"] is not None:
-        commit_parts(store.spark, ready["index_path"], [ready["part"]])
+    for path, part in ready["parts"]:
+        commit_parts(store.spark, path, [part])
     files.delete(store.spark, folder)
 
 
-def maintain_index(store: Store, index_path: str) -> list[list[str]]:
-    """Merges parts of the text index while no insert is at work; the parts that went into each merge."""
+def maintain(store: Store, index_path: str | None = None) -> list[list[str]]:
+    """Merges parts of the key filters, daily counts and text index while no insert is at work; the index parts that were
+    merged."""
     with only_writer(store):
         _take_up(store)
-        return merge_index(store.spark, index_path)
+        rollup.merge_rollups(store.spark, rollup_path(store))
+        keyfilter.merge_filters(store.spark, filter_path(store), store.read("documents"), KEYS)
+        return [] if index_path is None else merge_index(store.spark, index_path)
 
 
 _TAG_KEY = ["document_id", "tag_type", "tag_value"]

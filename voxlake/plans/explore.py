@@ -15,9 +15,13 @@ from voxlake.operators.ranking import narrow
 
 
 def search_documents(corpus: Corpus, query: str | fulltext.Match, filters: Mapping[str, Any] | None = None, *,
-                     limit: int = 20, offset: int = 0, index: fulltext.Index | None = None) -> DataFrame:
+                     limit: int = 20, offset: int = 0, after: fulltext.Place | None = None,
+                     index: fulltext.Index | None = None) -> DataFrame:
     """One page of ranked search; without any word in the query, the latest documents.
 
+    `after` (see `fulltext.place_of`) goes on behind the last row of an earlier page; for deep pages it costs less than an
+    offset, for which all rows before it are sorted.
+
     Column filters reach the scan; scoring follows where the texts lie; joins and ranking then handle
     ids, times and scores only.
     """
@@ -31,7 +35,7 @@ def search_documents(corpus: Corpus, query: str | fulltext.Match, filters: Mappi
         scored = fulltext.score_texts(corpus.documents, found, match).select(*slim, "fts_score")
     else:
         scored = found.select(*slim).join(fulltext.score_index(index, match), "id")
-    return fulltext.ranked_page(apply_semi_joins(scored, corpus, chosen), corpus.documents, limit, offset)
+    return fulltext.ranked_page(apply_semi_joins(scored, corpus, chosen), corpus.documents, limit, offset, after)
 
 
 def documents_by_ids(documents: DataFrame, ids: Sequence[int]) -> DataFrame:

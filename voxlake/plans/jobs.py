@@ -17,7 +17,7 @@ from voxlake.functions.urls import canonical_url, is_blocked, normalize_url
 from voxlake.operators import enrich, ingest, normalize, pages as page_ops
 from voxlake.operators.ranking import keep_first
 from voxlake.operators.store import (
-    complete_run, cut_lineage, ensure_source, insert_documents, staging, start_run,
+    complete_run, cut_lineage, ensure_source, insert_documents, insert_enrichments, staging, start_run,
 )
 from voxlake.operators.tagging import Taxonomy
 from voxlake.sources.tables import Store
@@ -288,7 +288,7 @@ def _enrich(store: Store, scorer: enrich.Scorer | None, clock: Callable[[], date
             replies.select("status", "failed_batch")
         )
         stats = enrich.statistics(outcome).first().asDict()
-        store.append("enrichments", labelled.withColumn("created_at", F.lit(started)))
+        insert_enrichments(store, labelled.withColumn("created_at", F.lit(started)))
         status, message = "completed", None
         return stats
     except Exception as error:

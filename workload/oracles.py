@@ -356,6 +356,10 @@ UNION ALL SELECT 'feature_requests', printf('Feature request insight: %d feature
     "date_coalesced_day": _docs_where(_DAYS),
     "enrichment_promotion": _with(_ENRICH) + "SELECT document_id, label AS sentiment_label, category AS primary_issue_category, flag AS feature_request_flag FROM enrichments_c",
     "browse_page": _with(_DOCS) + f"SELECT {_SHOWN} FROM docs_t WHERE platform = 'reddit' ORDER BY event_time DESC, id DESC LIMIT 50 OFFSET 20",
+    "browse_after": _with(_DOCS) + f"SELECT {_SHOWN} FROM docs_t WHERE platform = 'reddit' ORDER BY event_time DESC, id DESC LIMIT 50 OFFSET 20",
+    "search_after_last": _search([word("anble"), word("inble")], "f0 > 0 OR f1 > 0", limit=25, offset=50),
+    "insights_from_rollup": _E + f"SELECT {day('event_time')} AS day, count(*) AS docs, {_COUNTS}, count(*) FILTER (WHERE flag) AS feature_requests FROM rows GROUP BY 1",
+    "features_from_rollup": _ET + _TOP_FEATURES,
     "fetch_by_ids": _with(_DOCS) + """SELECT id, title, url, position FROM documents_c
 JOIN (SELECT conv_id AS id, min(turn * 1000000 - conv_id) AS position FROM conversations GROUP BY 1) USING (id)""",
     "search_all": _search([word("anble"), word("inble")], "f0 > 0 AND f1 > 0"),
@@ -528,6 +532,9 @@ sizes AS (SELECT 1 AS k, 1 AS source_id, 'post' AS entity_type, (SELECT count(*)
   UNION ALL SELECT 3, 2, 'review', (SELECT count(*) FROM stored_reviews))
 SELECT CAST(source_id AS BIGINT) AS source_id, entity_type, docs, CAST(last_id - docs + 1 AS BIGINT) AS first_id, CAST(last_id AS BIGINT) AS last_id
 FROM (SELECT *, sum(docs) OVER (ORDER BY k) AS last_id FROM sizes)""",
+    "stream_ingest_end_to_end": _with(_POSTS) + f"""SELECT id AS external_id, title,
+  sha256({_CONTENT}) AS body_hash, subreddit,
+  list_contains({tokens('title')}, 'the') OR list_contains({tokens(_CONTENT)}, 'the') AS found FROM posts""",
     "web_ingest_end_to_end": _with(
         f"""found AS (SELECT page_id, {_CANONICAL} AS external_id, regexp_replace(lower({_NET}), '^www\\.', '') AS community_or_channel,
   lower({_PAGE_TITLE}) AS title, lower({_ARTICLE}) AS content FROM pages WHERE length({_ARTICLE}) >= 500 AND NOT {_EDITORIAL.format(t=_PAGE_TITLE)})""",

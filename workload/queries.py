@@ -15,14 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from voxlake import constants as K
 from voxlake.functions import dates, keys, labels, text, urls
-from voxlake.operators import dedupe, enrich, fulltext, ingest, normalize, pages, runs
+from voxlake.operators import dedupe, enrich, fulltext, ingest, normalize, pages, rollup, runs
 from voxlake.operators.filters import Corpus, DateMode, Filters, apply_filters
 from voxlake.operators.ranking import keep_first
 from voxlake.operators.tagging import tag_documents
-from voxlake.plans import answers, dashboard, explore, insights, jobs, snapshots
+from voxlake.plans import answers, dashboard, explore, insights, jobs, rollups, snapshots
 from voxlake.session import apply_runtime_conf, shared_dir
 from voxlake.sources import landing
 from voxlake.sources.tables import Store
+from voxlake.streaming.landing import ingest_new_files
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -270,6 +271,47 @@ def browse_page(spark, sf):
     )
 
 
+@query
+def browse_after(spark, sf):
+    """The same rows as browse_page shows, behind the last of the twenty before them."""
+    corpus, chosen = views.corpus(spark, sf), {"sources": ["reddit"]}
+    seen = explore.search_documents(corpus, "", chosen, limit=20).collect()
+    place = fulltext.place_of(seen[-1]) if seen else None
+    return explore.search_documents(corpus, "", chosen, limit=50, after=place).select("id", "source_id", "title", "url", "published_at")
+
+
+@query
+def search_after_last(spark, sf):
+    """The third page of a ranked search, by the last rows of the two before it."""
+    corpus, match, place = views.corpus(spark, sf), fulltext.match_any("anble inble"), None
+    for _ in range(2):
+        seen = explore.search_documents(corpus, match, limit=25, after=place).collect()
+        place = fulltext.place_of(seen[-1]) if seen else place
+    return _hits(explore.search_documents(corpus, match, limit=25, after=place))
+
+
+@query
+def insights_from_rollup(spark, sf):
+    """Daily figures from daily counts alone, which were written source by source and merged."""
+    path, corpus = f"{_scratch(spark)}/rollup", views.corpus(spark, sf, with_tags=True)
+    for i in (1, 2, 3):
+        docs = corpus.documents.where(F.col("source_id") == i)
+        rows = rollup.of_documents(docs).unionByName(rollup.of_enrichments(docs, corpus.enrichments, corpus.tags))
+        name = fulltext.new_part()
+        fulltext.commit_parts(spark, path, [rollup.stage_rollup(rows, path, name)])
+    rollup.merge_rollups(spark, path, fan=3)
+    return rollups.daily_metrics(rollup.read_rollup(spark, path), corpus.sources, period())
+
+
+@query
+def features_from_rollup(spark, sf):
+    path, corpus = f"{_scratch(spark)}/rollup", views.corpus(spark, sf, with_tags=True)
+    rows = rollup.of_enrichments(corpus.documents, corpus.enrichments, corpus.tags)
+    fulltext.commit_parts(spark, path, [rollup.stage_rollup(rows, path, fulltext.new_part())])
+    counts = rollup.read_rollup(spark, path)
+    return rollups.feature_requests_insight(counts, corpus.sources, period())["top_requested_features"]
+
+
 @query
 def fetch_by_ids(spark, sf):
     wanted = views.table(spark, sf, "conversations").select(
@@ -1023,3 +1065,25 @@ def enrich_end_to_end(spark, sf):
     jobs.refresh_platform(store, K.GOOGLE_PLAY, [("reviews", lambda: reviews)], clock=_clock)
     jobs.enrich_documents(store, None, clock=_clock, model_name="rules")
     return store.read("enrichments").groupBy("model_name", "sentiment_label").agg(F.count("*").alias("docs"))
+
+
+@query
+def stream_ingest_end_to_end(spark, sf):
+    """Posts that land in four files, of which the last repeats a third of the first three; the stream takes in file by
+    file. Each stored document, and whether the index that the stream wrote finds it by the word `the`."""
+    store = Store(spark, _scratch(spark))
+    landed, index = f"{store.root}/landed", f"{store.root}/index"
+    posts = conversation_posts(spark, sf)
+    for part in range(4):
+        own = F.col("arrival") % 3 == (part if part < 3 else 0)
+        posts.where(own).drop("arrival").coalesce(1).write.mode("append").json(landed)
+    taken = ingest_new_files(
+        store, K.REDDIT, landed, landing.schemas.SUBMISSION, normalize.submissions, clock=_clock, name=f"stream-{uuid.uuid4().hex}",
+        taxonomy=views.TAXONOMY, index_path=index, identity=tuple(c for c in posts.columns if c != "arrival"), delay="7 days",
+        merge_every=2, max_files=1)
+    taken.awaitTermination()
+    if taken.exception() is not None:
+        raise taken.exception()
+    hits = fulltext.score_index(fulltext.read_index(spark, index), fulltext.match_all("the")).select("id", F.lit(True).alias("found"))
+    return store.read("documents").join(hits, "id", "left").select(
+        "external_id", "title", F.sha2("body", 256).alias("body_hash"), "subreddit", F.coalesce("found", F.lit(False)).alias("found"))
