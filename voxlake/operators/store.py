@@ -168,6 +168,11 @@ def filter_path(store: Store) -> str:
     return f"{store.root.rstrip('/')}/key_filter"
 
 
+def rejected_path(store: Store, name: str) -> str:
+    """Where broken lines of a platform or stream are kept, as (file, line)."""
+    return f"{store.root.rstrip('/')}/rejected/{name}"
+
+
 def rollup_path(store: Store) -> str:
     return f"{store.root.rstrip('/')}/rollup"
 

@@ -17,7 +17,8 @@ from voxlake.functions.urls import canonical_url, is_blocked, normalize_url
 from voxlake.operators import enrich, ingest, normalize, pages as page_ops
 from voxlake.operators.ranking import keep_first
 from voxlake.operators.store import (
-    complete_run, cut_lineage, ensure_source, insert_documents, insert_enrichments, staging, start_run,
+    complete_run, cut_lineage, ensure_source, insert_documents, insert_enrichments, rejected_path, staging,
+    start_run,
 )
 from voxlake.operators.tagging import Taxonomy
 from voxlake.sources.tables import Store
@@ -26,24 +27,44 @@ Reader = Callable[[], DataFrame]
 
 
 # Documents of each platform -----------------------------------------------------------------------
-def grid_documents(raw: DataFrame, communities: Sequence[str], keywords: Sequence[str], *, start: int,
-                   end: int, include_recent: bool = True, per_query: int | None = None) -> DataFrame:
-    """Submissions found by a community and keyword grid.
+def grid_fetch(raw: DataFrame, communities: Sequence[str], keywords: Sequence[str], *, start: int, end: int,
+               include_recent: bool = True, per_query: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Submissions found by a community and keyword grid, and one row of figures about the queries.
 
     Communities without any hit fall back to their recent posts. A post found by several queries
-    stays once, at its first arrival.
+    stays once, at its first arrival. Hits and fallback are written once, as keys; documents and figures are made of them.
     """
     known = raw.where(F.col("subreddit").isin(*communities))
     window = ingest.in_epoch_window(known, start, end)
     slim = ["id", "subreddit", "created_utc", "arrival"]
-    hits = ingest.capped_hits(ingest.grid_hits(window, keywords).select(*slim, "keyword"), per_query)
+    hits = cut_lineage(ingest.capped_hits(ingest.grid_hits(window, keywords).select(*slim, "keyword"), per_query))
     quiet = window.join(hits.select("subreddit").distinct(), "subreddit", "left_anti")
-    recents = ingest.keyword_or_recent(quiet, keywords, include_recent=include_recent)
-    found = hits.select(*slim).unionByName(recents.select(*slim)).dropDuplicates(["arrival"])
+    recents = cut_lineage(ingest.keyword_or_recent(quiet, keywords, include_recent=include_recent).select(*slim))
+    found = hits.select(*slim).unionByName(recents).dropDuplicates(["arrival"])
     once = keep_first(found, ["id"], [F.asc("arrival")], row_id="arrival")
     # Posts were chosen on keys; their texts are read for the chosen ones alone.
     chosen = known.join(once.select("arrival"), "arrival", "left_semi")
-    return normalize.submissions(chosen, keep=("arrival",))
+    counts = ingest.query_counts(ingest.query_grid(raw.sparkSession, communities, keywords), hits)
+    fallback = recents.groupBy("subreddit").agg(F.count("*").alias("hits"))
+    return normalize.submissions(chosen, keep=("arrival",)), ingest.fetch_diagnostics(counts, fallback)
+
+
+def grid_documents(raw: DataFrame, communities: Sequence[str], keywords: Sequence[str], **options: Any) -> DataFrame:
+    """The documents of `grid_fetch`."""
+    return grid_fetch(raw, communities, keywords, **options)[0]
+
+
+def grid_source(read: Reader, communities: Sequence[str], keywords: Sequence[str], **options: Any) -> tuple[Reader, Callable[[], dict[str, Any]]]:
+    """A reader for `refresh_platform` and the fetch diagnostics of what it has read, which the ledger keeps."""
+    figures: dict[str, Any] = {}
+
+    def documents() -> DataFrame:
+        docs, found = grid_fetch(read(), communities, keywords, **options)
+        figures.clear()
+        figures.update(found.first().asDict())
+        return docs
+
+    return documents, lambda: figures
 
 
 def post_and_comment_documents(posts: DataFrame, comments: DataFrame, keywords: Sequence[str], *,
@@ -197,19 +218,23 @@ def first_available(chain: Sequence[tuple[str, Reader]], diagnostics: Diagnostic
 def refresh_platform(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], *,
                      clock: Callable[[], datetime], taxonomy: Taxonomy | None = None,
                      config: Mapping[str, Any] | None = None, must_have_rows: bool | None = None, index_path: str | None = None,
-                     fetch_diagnostics: Callable[[], Mapping[str, Any]] | None = None) -> dict[str, int]:
+                     fetch_diagnostics: Callable[[], Mapping[str, Any]] | None = None,
+                     broken: Reader | None = None) -> dict[str, int]:
     """Fetch, dedupe, insert and record one platform's documents.
 
+    `broken` gives the lines that are no records (`landing.broken_lines`); they are kept under `rejected/` in the store and
+    their number is in the ledger.
+
     Each reader of the chain returns canonical documents with their `arrival`. A run without new rows
     completes with zero, unless rows are asked for; a chain of several sources asks for them.
     """
     with staging(store.spark):
-        return _refresh(store, platform, chain, clock, taxonomy, config, must_have_rows, index_path, fetch_diagnostics)
+        return _refresh(store, platform, chain, clock, taxonomy, config, must_have_rows, index_path, fetch_diagnostics, broken)
 
 
 def _refresh(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], clock: Callable[[], datetime],
              taxonomy: Taxonomy | None, config: Mapping[str, Any] | None, must_have_rows: bool | None,
-             index_path: str | None, fetch_diagnostics: Callable[[], Mapping[str, Any]] | None) -> dict[str, int]:
+             index_path: str | None, fetch_diagnostics: Callable[[], Mapping[str, Any]] | None, broken: Reader | None) -> dict[str, int]:
     started = clock()
     report = Diagnostics(platform, backend_requested=chain[0][0] if chain else None, config=config or {})
     source_id = ensure_source(store, platform, now=started)
@@ -221,6 +246,8 @@ def _refresh(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], c
         docs = first_available(chain, report, must_have_rows=len(chain) > 1 if must_have_rows is None else must_have_rows)
         if fetch_diagnostics is not None:
             report.fetch = dict(fetch_diagnostics())
+        if broken is not None:
+            report.fetch["broken_lines"] = _keep_broken(store, platform, broken())
         step = "insert"
         fetched = docs.count()
         inserted = insert_documents(store, docs, source_id, now=started, taxonomy=taxonomy, index_path=index_path)
@@ -248,6 +275,14 @@ def _refresh(store: Store, platform: str, chain: Sequence[tuple[str, Reader]], c
         )
 
 
+def _keep_broken(store: Store, platform: str, lines: DataFrame) -> int:
+    lines = cut_lineage(lines)
+    n = lines.count()
+    if n:
+        lines.write.mode("append").parquet(rejected_path(store, platform))
+    return n
+
+
 # Enrichment ------------------------------------------------------------------------------------------
 def enrich_documents(store: Store, scorer: enrich.Scorer | None, *, clock: Callable[[], datetime],
                      model_name: str, prompt_version: str = "v1", limit: int | None = None,

@@ -1,7 +1,8 @@
 """Readers of landed files; every schema is given, nothing is inferred.
 
 `arrival` orders records as they came in: file time, file, place in the file. Readers keep it beside
-the record's own columns.
+the record's own columns. A line that is no JSON object is no record: readers leave it out, `broken_lines` gives these
+lines with their files. A record with a field of the wrong type stays, without that field.
 """
 
 from __future__ import annotations
@@ -27,8 +28,25 @@ def _with_arrival(df: DataFrame) -> DataFrame:
     )
 
 
+BROKEN = "_corrupt_record"
+
+
+def is_broken(line: Column) -> Column:
+    """Whether a line that did not fit its schema is no JSON object at all (nor a list of some); NULL lines are not."""
+    shaped = F.ltrim(line).startswith("{") | F.ltrim(line).startswith("[")
+    return line.isNotNull() & ~(shaped & F.try_parse_json(line).isNotNull())
+
+
 def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return _with_arrival(spark.read.schema(schema).json(path))
+    own = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    rows = _with_arrival(spark.read.schema(own).option("columnNameOfCorruptRecord", BROKEN).json(path))
+    return rows.where(~is_broken(F.col(BROKEN))).drop(BROKEN)
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of the lines under a path that readers leave out as broken; blank lines are none."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return lines.where((F.trim("line") != "") & is_broken(F.col("line")))
 
 
 def _objects(spark: SparkSession, path: str, envelope: str, items: str) -> DataFrame:

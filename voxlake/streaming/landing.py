@@ -15,9 +15,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from voxlake.operators.store import cut_lineage, ensure_source, insert_documents, maintain, staging
+from voxlake.operators.store import cut_lineage, ensure_source, insert_documents, maintain, rejected_path, staging
 from voxlake.operators.tagging import Taxonomy
 from voxlake.session import shared_dir
+from voxlake.sources import landing
 from voxlake.sources.tables import Store
 from voxlake.streaming.arrivals import first_arrivals, numbered
 
@@ -34,7 +35,7 @@ def ingest_new_files(store: Store, platform: str, path: str, schema: T.StructTyp
     document's keys are made of. Every `merge_every` batches parts of filters and index are merged.
     """
     spark = store.spark
-    broken = "_corrupt_record"
+    broken = landing.BROKEN
     source_id = ensure_source(store, platform, now=clock())
     records = (
         spark.readStream.format(file_format)
@@ -64,10 +65,10 @@ def ingest_new_files(store: Store, platform: str, path: str, schema: T.StructTyp
         rows = cut_lineage(batch.withColumn("arrival", arrival).drop("_time", "_file", "_start", "_row"))
         if rows.isEmpty():  # as when only the watermark moves on
             return
-        rejected = rows.where(F.col(broken).isNotNull()).select(F.col("arrival._file").alias("file"), F.col(broken).alias("line"))
+        rejected = rows.where(landing.is_broken(F.col(broken))).select(F.col("arrival._file").alias("file"), F.col(broken).alias("line"))
         if not rejected.isEmpty():
-            rejected.write.mode("append").parquet(f"{store.root.rstrip('/')}/rejected/{name}")
-        landed = rows.where(F.col(broken).isNull()).drop(broken)
+            rejected.write.mode("append").parquet(rejected_path(store, name))
+        landed = rows.where(~landing.is_broken(F.col(broken))).drop(broken)
         docs = cut_lineage(normalize(landed, keep=("arrival",)))
         insert_documents(store, docs, source_id, now=clock(), taxonomy=taxonomy, index_path=index_path)
 

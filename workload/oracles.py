@@ -526,12 +526,49 @@ FROM runs, (VALUES (1, 'fetch'), (2, 'normalize'), (3, 'dedupe'), (4, 'insert'),
   CASE WHEN source_name <> 'error' THEN records_inserted ELSE 0 END AS records_inserted, CASE WHEN source_name <> 'error' THEN 2 ELSE 1 END AS event_seq FROM runs""",
     "snapshot_latest_valid": f"""SELECT event_type AS module, CAST(user_id AS VARCHAR) AS cache_key, event_id AS snapshot_id, props AS payload, {ts('ts')} AS created_at
 FROM events WHERE ts >= TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1""",
-    "ingest_end_to_end": _STORED_REVIEWS + ", " + _STORED_POSTS + """,
+    "ingest_end_to_end": _STORED_REVIEWS + ", " + _STORED_POSTS + f""",
+stored AS (
+  SELECT 1 AS source_id, 'post' AS entity_type, id AS external_id, CAST(NULL AS VARCHAR) AS dedupe_key, title, {_CONTENT} AS body, subreddit,
+    subreddit AS community_or_channel, author, CAST(NULL AS BIGINT) AS rating, created_at AS published_at,
+    CASE WHEN id IN (SELECT id FROM grid) THEN CASE WHEN conv_id % 5 = 0 THEN 'https://reddit.com/full' ELSE 'https://reddit.com/r/' || subreddit || '/' || conv_id END
+      ELSE 'https://reddit.com/p/' || conv_id END AS url
+  FROM posts WHERE id IN (SELECT id FROM grid UNION ALL SELECT id FROM more)
+  UNION ALL SELECT 1, 'comment', id, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), body, subreddit, subreddit, author, CAST(NULL AS BIGINT),
+    created_at, CASE WHEN turn <> 2 THEN 'https://reddit.com/c/' || conv_id END FROM replies
+  UNION ALL SELECT 2, 'review', review_id, CASE WHEN review_id IS NULL THEN 'google_play:fallback:' || {_fallback('google_play', app='app_id', author='author', created=f"coalesce({iso('published_at')}, '')", text=prefix_text('text'))} END,
+    CAST(NULL AS VARCHAR), {strip('text')}, CAST(NULL AS VARCHAR), app_id, author, rating, published_at,
+    'https://play.google.com/store/apps/details?id=' || app_id || coalesce('&reviewId=' || review_id, '') FROM stored_reviews),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM stored), """ + _tags_view(
+        "stored_tags", "SELECT id, concat_ws(' ', nullif(title, ''), nullif(body, '')) AS text FROM numbered", ("product", "issue", "competitor", "feature")) + f"""
+SELECT CAST(source_id AS BIGINT) AS source_id, entity_type, external_id, dedupe_key, title, sha256(body) AS body_hash, subreddit, community_or_channel, author, rating,
+  {ts('published_at')} AS published_at, url,
+  coalesce((SELECT string_agg(tag_type || ':' || tag_value, ',' ORDER BY tag_type || ':' || tag_value) FROM stored_tags t WHERE t.document_id = n.id), '') AS tags
+FROM numbered n""",
+    "stored_ids": _STORED_REVIEWS + ", " + _STORED_POSTS + """,
 sizes AS (SELECT 1 AS k, 1 AS source_id, 'post' AS entity_type, (SELECT count(*) FROM grid) + (SELECT count(*) FROM more) AS docs
   UNION ALL SELECT 2, 1, 'comment', (SELECT count(*) FROM replies)
   UNION ALL SELECT 3, 2, 'review', (SELECT count(*) FROM stored_reviews))
 SELECT CAST(source_id AS BIGINT) AS source_id, entity_type, docs, CAST(last_id - docs + 1 AS BIGINT) AS first_id, CAST(last_id AS BIGINT) AS last_id
 FROM (SELECT *, sum(docs) OVER (ORDER BY k) AS last_id FROM sizes)""",
+    "fetch_diagnostics_ledger": _with(
+        _POSTS,
+        f"shown AS (SELECT id, subreddit, CASE WHEN subreddit = 'c0' THEN '-' || chr(10) || '-' ELSE {_POST_TEXT} END AS txt FROM posts)",
+        "grid AS (SELECT c.i * 3 + k.j AS seq, c.name AS subreddit, k.word FROM (VALUES (0, 'c0'), (1, 'c1'), (2, 'c2'), (3, 'nowhere')) c(i, name), (VALUES (0, 'the'), (1, 'que la'), (2, 'zzz')) k(j, word))",
+        "counts AS (SELECT g.seq, g.subreddit, g.word, count(p.id) AS hits FROM grid g LEFT JOIN shown p ON p.subreddit = g.subreddit AND contains(p.txt, g.word) GROUP BY 1, 2, 3)",
+        "found AS (SELECT subreddit, sum(hits) AS hits FROM counts GROUP BY 1)",
+        "fallback AS (SELECT p.id, p.subreddit FROM shown p JOIN found f ON f.subreddit = p.subreddit AND f.hits = 0)",
+    ) + """SELECT 'completed' AS status,
+  (SELECT count(DISTINCT p.id) FROM shown p JOIN grid g ON p.subreddit = g.subreddit AND contains(p.txt, g.word)) + (SELECT count(*) FROM fallback) AS records_inserted,
+  count(*) AS queries_attempted, count(*) FILTER (WHERE hits > 0) AS queries_with_hits, CAST(sum(hits) AS BIGINT) AS search_hits_total,
+  (SELECT count(DISTINCT subreddit) FROM (SELECT subreddit FROM counts WHERE hits > 0 UNION ALL SELECT subreddit FROM fallback)) AS subreddits_with_hits,
+  (SELECT count(*) FROM fallback) AS new_fallback_hits_total,
+  (SELECT string_agg(label, '|' ORDER BY seq) FROM (SELECT seq, 'r/' || subreddit || ' :: ' || word AS label FROM counts WHERE hits = 0 ORDER BY seq LIMIT 5)) AS failed_or_empty_queries_top5
+FROM counts""",
+    "empty_run_ledger": _with(_POSTS, "late AS (SELECT count(*) AS n FROM posts WHERE epoch > 2000000000)") + """SELECT stage_no, stage,
+  CASE stage WHEN 'enrich_trigger' THEN 'not_triggered' ELSE 'succeeded' END AS status, CASE WHEN stage = 'normalize' THEN n END AS count,
+  CASE WHEN stage = 'insert' THEN n END AS inserted, CASE WHEN stage = 'dedupe' THEN n END AS dedupe_skipped, CAST(NULL AS VARCHAR) AS error_class,
+  CAST(NULL AS VARCHAR) AS error_message, 'completed' AS run_status, n AS records_fetched, n AS records_inserted
+FROM late, (VALUES (1, 'fetch'), (2, 'normalize'), (3, 'dedupe'), (4, 'insert'), (5, 'enrich_trigger')) v(stage_no, stage)""",
     "stream_ingest_end_to_end": _with(_POSTS) + f"""SELECT id AS external_id, title,
   sha256({_CONTENT}) AS body_hash, subreddit,
   list_contains({tokens('title')}, 'the') OR list_contains({tokens(_CONTENT)}, 'the') AS found FROM posts""",
@@ -552,9 +589,12 @@ s1 AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY external_id,
 s2 AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY site, place) = 1)
 SELECT row_number() OVER (ORDER BY site, place) AS id, external_id, community_or_channel, title, sha256(content) AS body_hash,
   '2024-02-01 10:00:00.000000' AS published_at FROM s2""",
+    "landed_corrupt_rows": _with(_POSTS) + """SELECT 'completed' AS status, count(*) FILTER (WHERE conv_id % 10 <> 0) AS records_fetched,
+  count(*) FILTER (WHERE conv_id % 10 <> 0) AS records_inserted, count(*) FILTER (WHERE conv_id % 10 = 0) AS broken_lines,
+  count(*) FILTER (WHERE conv_id % 10 = 0) AS kept_lines FROM posts""",
     "enrich_end_to_end": _STORED_REVIEWS + f""",
-texts AS (SELECT {strip('text')} AS body, rating FROM stored_reviews),
-ready AS (SELECT length(body) < 15 AS is_short, body AS text, rating FROM texts)
-SELECT CASE WHEN is_short THEN 'fallback_rules' ELSE 'rules' END AS model_name, {_sentiment('text', 'rating')} AS sentiment_label, count(*) AS docs
-FROM ready GROUP BY 1, 2""",
+texts AS (SELECT *, {strip('text')} AS body FROM stored_reviews),
+ready AS (SELECT *, length(body) < 15 AS is_short, {_sentiment('body', 'rating')} AS label FROM texts)
+SELECT review_id AS external_id, CASE WHEN review_id IS NULL THEN 'google_play:fallback:' || {_fallback('google_play', app='app_id', author='author', created=f"coalesce({iso('published_at')}, '')", text=prefix_text('text'))} END AS dedupe_key,
+  sha256(body) AS body_hash, CASE WHEN is_short THEN 'fallback_rules' ELSE 'rules' END AS model_name, label AS sentiment_label, rating, label AS payload_label FROM ready""",
 }

@@ -18,6 +18,7 @@ from voxlake.functions import dates, keys, labels, text, urls
 from voxlake.operators import dedupe, enrich, fulltext, ingest, normalize, pages, rollup, runs
 from voxlake.operators.filters import Corpus, DateMode, Filters, apply_filters
 from voxlake.operators.ranking import keep_first
+from voxlake.operators.store import rejected_path
 from voxlake.operators.tagging import tag_documents
 from voxlake.plans import answers, dashboard, explore, insights, jobs, rollups, snapshots
 from voxlake.session import apply_runtime_conf, shared_dir
@@ -1019,6 +1020,19 @@ def _ingest(spark: SparkSession, sf: str, store: Store) -> None:
 
 @query
 def ingest_end_to_end(spark, sf):
+    """Every stored document with its keys, text and tags."""
+    store = Store(spark, _scratch(spark))
+    _ingest(spark, sf, store)
+    tags = store.read("document_tags").groupBy(F.col("document_id").alias("id")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "tag_type", "tag_value"))), ",").alias("tags"))
+    return store.read("documents").join(tags, "id", "left").select(
+        "source_id", "entity_type", "external_id", "dedupe_key", "title", F.sha2("body", 256).alias("body_hash"), "subreddit",
+        "community_or_channel", "author", "rating", "published_at", "url", F.coalesce("tags", F.lit("")).alias("tags"))
+
+
+@query
+def stored_ids(spark, sf):
+    """Ids of the stored documents are gapless, in the order of the runs and within them of arrival."""
     store = Store(spark, _scratch(spark))
     _ingest(spark, sf, store)
     return store.read("documents").groupBy("source_id", "entity_type").agg(
@@ -1026,6 +1040,57 @@ def ingest_end_to_end(spark, sf):
     )
 
 
+def _report(store: Store) -> DataFrame:
+    """The store's ledger: each run's state and its diagnostics as text."""
+    return runs.run_state(store.read("ingestion_runs"))
+
+
+@query
+def fetch_diagnostics_ledger(spark, sf):
+    """Figures of a run's own queries, read back from the ledger: `c0` finds nothing and falls back to its recent posts."""
+    store = Store(spark, _scratch(spark))
+    landed = f"{store.root}/landed"
+    posts = conversation_posts(spark, sf).drop("arrival")
+    quiet = F.col("subreddit") == "c0"
+    posts.withColumns({c: F.when(quiet, F.lit("-")).otherwise(F.col(c)) for c in ("title", "selftext")}).write.json(landed)
+    read, figures = jobs.grid_source(
+        lambda: landing.flat_submissions(spark, landed), ["c0", "c1", "c2", "nowhere"], ["the", "que la", "zzz"],
+        start=0, end=2_000_000_000)
+    jobs.refresh_platform(store, K.REDDIT, [("grid", read)], clock=_clock, fetch_diagnostics=figures)
+    names = ("queries_attempted", "queries_with_hits", "search_hits_total", "subreddits_with_hits", "new_fallback_hits_total")
+    d = F.from_json(F.get_json_object("error_message", "$.fetch_diagnostics"),
+                    ", ".join(f"{n} long" for n in names) + ", failed_or_empty_queries_top5 array<string>")
+    return _report(store).select("status", "records_inserted", d.alias("d")).select("status", "records_inserted", "d.*")
+
+
+@query
+def landed_corrupt_rows(spark, sf):
+    """Every tenth landed line is cut in its middle: it is no document, but counted in the ledger and kept with its text."""
+    store = Store(spark, _scratch(spark))
+    landed = f"{store.root}/landed"
+    posts = conversation_posts(spark, sf)
+    line = F.to_json(F.struct(*(c for c in posts.columns if c != "arrival")))
+    cut = F.when(F.col("arrival") % 10 == 0, F.substr(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
+    posts.select(cut.alias("value")).write.text(landed)
+    read = lambda: normalize.submissions(landing.flat_submissions(spark, landed), keep=("arrival",))
+    jobs.refresh_platform(store, K.REDDIT, [("posts", read)], clock=_clock, broken=lambda: landing.broken_lines(spark, landed))
+    kept = spark.read.schema("file string, line string").parquet(rejected_path(store, K.REDDIT))
+    number = F.get_json_object("error_message", "$.fetch_diagnostics.broken_lines").cast("long")
+    return _report(store).select("status", "records_fetched", "records_inserted", number.alias("broken_lines"),
+                                 kept.where(F.col("line") != "").agg(F.count("*")).scalar().alias("kept_lines"))
+
+
+@query
+def empty_run_ledger(spark, sf):
+    """A run over posts of which none is in its window completes with zeros, stage by stage."""
+    store = Store(spark, _scratch(spark))
+    late = normalize.submissions(conversation_posts(spark, sf).where("created_utc > 2000000000"), keep=("arrival",))
+    jobs.refresh_platform(store, K.REDDIT, [("posts", lambda: late)], clock=_clock)
+    state = _report(store)
+    return runs.stage_rows(state).join(state.select("run_id", F.col("status").alias("run_status"), "records_fetched", "records_inserted"),
+                                       "run_id").drop("run_id")
+
+
 @query
 def web_ingest_end_to_end(spark, sf):
     store = Store(spark, _scratch(spark))
@@ -1064,7 +1129,10 @@ def enrich_end_to_end(spark, sf):
     )
     jobs.refresh_platform(store, K.GOOGLE_PLAY, [("reviews", lambda: reviews)], clock=_clock)
     jobs.enrich_documents(store, None, clock=_clock, model_name="rules")
-    return store.read("enrichments").groupBy("model_name", "sentiment_label").agg(F.count("*").alias("docs"))
+    keys = store.read("documents").select(F.col("id").alias("document_id"), "external_id", "dedupe_key", F.sha2("body", 256).alias("body_hash"))
+    payload = F.get_json_object("metadata_json", "$.sentiment_label").alias("payload_label")
+    return store.read("enrichments").join(keys, "document_id").select(
+        "external_id", "dedupe_key", "body_hash", "model_name", "sentiment_label", "rating", payload)
 
 
 @query
