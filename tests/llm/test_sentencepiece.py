@@ -37,7 +37,7 @@ def _strings(model):
 
 
 def _ids(encoder, text):
-    return np.frombuffer(encoder.encode(text), np.int32)
+    return np.frombuffer(encoder.encode_all([text])[0], np.int32)
 
 
 @pytest.mark.parametrize("cache", [piece.CACHE, 7])
@@ -45,6 +45,14 @@ def test_encoding_equals_the_library(library, model, cache):
     encoder = piece.Encoder(model, cache)
     texts = list(_strings(model))[::1 if cache > 7 else 9]
     assert [_ids(encoder, t).tolist() for t in texts] == library.encode(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x in piece.Encoder(model, cache).encode_all(texts)] == library.encode(texts)
+
+
+def test_a_full_table_starts_anew(library, model):
+    encoder = piece.Encoder(model)
+    encoder.fits = piece.Fits(6)
+    texts = list(_strings(model))[:400]
+    assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode_all(texts)] == library.encode(texts)
 
 
 def test_a_sequence_is_right_if_and_only_if_its_neighbours_are(model):

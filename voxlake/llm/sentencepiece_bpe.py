@@ -6,6 +6,8 @@ encoder goes from left to right and takes the longest piece that starts at its p
 once over the text); a piece is compatible with the one before if re-merging their characters gives just these two. If
 not, its next shorter prefix is tried; if none is left, the place is marked in a bitfield as failed, so that nobody comes
 there again, and the piece before gives way. So each place is left at most once, and the work is linear in the text.
+The words of a batch that are new are read side by side: each step looks up what fits for all their (last piece, longest
+piece) at once, goes on where something does and back where nothing does.
 
 Spaces become U+2581, with one in front of the text. Where no piece has U+2581 behind another character (checked), texts
 are cut there into words, and short words that come again are looked up. Characters without a piece are their UTF-8
@@ -23,7 +25,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -35,6 +37,9 @@ from voxlake.llm.common import whole
 
 SPACE = "▁"
 CACHE = 500_000
+LENGTH_BITS = 8
+LENGTH = (1 << LENGTH_BITS) - 1
+NUMBER_BITS = 32
 LONG_WORD = 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 BPE = 2
@@ -101,14 +106,63 @@ class Model:
         letters = {c for p in self.ids for c in p}
         if not letters <= self.ids.keys():
             raise ValueError("a character of a piece is no piece itself")
-        self.parts = re.compile(f"[{re.escape(''.join(sorted(letters)))}]+|.", re.DOTALL)
+        own = f"[{re.escape(''.join(sorted(letters)))}]+"
+        self.pure, self.parts = re.compile(own), re.compile(f"{own}|.", re.DOTALL)
         apart = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words = re.compile(r".+" if apart else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for piece in self.ids:
-            self.automaton.add_word(piece)
+        self.names = dict(zip(self.ids.values(), self.ids))
+        # a piece as one number: its id, and in the low bits its length
+        self.numbers = {p: i << LENGTH_BITS | len(p) for p, i in self.ids.items()}
+        if max(map(len, self.ids)) >> LENGTH_BITS:
+            raise ValueError("a piece is too long")
+        # by id, the number of the longest piece that is a proper prefix
+        self.shorter = np.zeros(len(self.texts), np.int64)
+        for piece, number in self.ids.items():
+            self.shorter[number] = next((self.numbers[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), 0)
+        self.automaton = ahocorasick.Automaton()
+        for piece, number in self.numbers.items():
+            self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
 
+    def longest(self, text: str) -> list[int]:
+        """The number of the longest piece that starts at each place of a text, 0 for none."""
+        found = [0] * (len(text) + 1)
+        for end, number in self.automaton.iter(text):
+            found[end + 1 - (number & LENGTH)] = number  # ends rise, so the last one for a start is the longest
+        return found
+
+
+class Fits:
+    """A table of numbers by (last, piece), looked up for many at once; open addressing."""
+
+    def __init__(self, bits: int = 21):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def find(self, keys: np.ndarray, make: Callable[[int], int]) -> np.ndarray:
+        """The values of keys; make gives those that are not there yet."""
+        if self.used > len(self.keys) // 2:
+            self.keys.fill(-1)
+            self.used = 0
+        out = np.empty(len(keys), np.int64)
+        slot = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            held = self.keys[slot[left]]
+            hit, empty = held == keys[left], held < 0
+            out[left[hit]] = self.values[slot[left[hit]]]
+            for i in left[empty].tolist():
+                key, at = int(keys[i]), int(slot[i])
+                while self.keys[at] not in (-1, key):
+                    at = (at + 1) & (len(self.keys) - 1)
+                if self.keys[at] < 0:
+                    self.keys[at], self.values[at] = key, make(key)
+                    self.used += 1
+                out[i] = self.values[at]
+            left = left[~hit & ~empty]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+        return out
+
 
 class Encoder:
     """Encodes texts; what it has found out about words and pairs of pieces is kept up to a bound."""
@@ -117,22 +171,27 @@ class Encoder:
         self.model, self.cache = model, cache
         self.known: dict[str, bytes] = {}
         self.agree: dict[tuple[str, str], bool] = {}
-        self.fits: dict[tuple[str, str], int] = {}
+        self.fits = Fits()
 
-    def merged(self, text: str) -> list[str]:
-        """All merges within a text, the best first and of equals the leftmost. For two pieces at a time."""
+    def stay(self, last: str, piece: str) -> bool:
+        """Whether all merges of two pieces' characters, the best first and of equals the leftmost, end with these two."""
         rank, never = self.model.rank.get, len(self.model.rank)
-        parts = list(text)
-        order = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
+        text = last + piece
+        parts, border = list(text), len(last)  # so many parts lie before the border
+        order = [rank(text[i:i + 2], never) for i in range(len(text) - 1)]
         while order and (best := min(order)) < never:
             at = order.index(best)
+            if at < border:
+                border -= 1
+                if at == border:
+                    return False
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
             del order[at]
             if at < len(order):
                 order[at] = rank(parts[at] + parts[at + 1], never)
             if at:
                 order[at - 1] = rank(parts[at - 1] + parts[at], never)
-        return parts
+        return len(parts) == bool(last) + 1
 
     def compatible(self, last: str, piece: str) -> bool:
         """Whether two pieces (the first may be empty) stay as they are when their characters are merged anew."""
@@ -140,44 +199,32 @@ class Encoder:
         if found is None:
             if len(self.agree) >= self.cache:
                 self.agree.clear()
-            found = self.agree[last, piece] = self.merged(last + piece) == [p for p in (last, piece) if p]
+            found = self.agree[last, piece] = self.stay(last, piece)
         return found
 
-    def next_shorter(self, piece: str) -> int:
-        """The length of the longest piece that is a proper prefix of a piece, 0 for none."""
-        return next((n for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.model.ids), 0)
+    def next_shorter(self, piece: str) -> str:
+        """The longest piece that is a proper prefix of a piece, or nothing."""
+        return piece[:int(self.model.shorter[self.model.ids[piece]]) & LENGTH]
 
-    def fitting(self, last: str, piece: str) -> int:
-        """The length of the first of a piece and its ever shorter prefixes that is compatible with the last piece, or 0."""
-        if len(self.fits) >= self.cache:
-            self.fits.clear()
-        size = len(piece)
-        while size and not self.compatible(last, piece[:size]):
-            size = self.next_shorter(piece[:size])
-        self.fits[last, piece] = size
-        return size
+    def fitting(self, last: str, piece: str) -> str:
+        """The first of a piece and its ever shorter prefixes that is compatible with the last piece, or nothing."""
+        while piece and not self.compatible(last, piece):
+            piece = self.next_shorter(piece)
+        return piece
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text all of whose characters are pieces."""
-        total = len(text)
-        longest = [0] * (total + 1)
-        for end, size in self.model.automaton.iter(text):
-            longest[end + 1 - size] = size  # ends rise, so the last one for a start is the longest
-        known = self.fits.get
-        failed = bytearray(total // 8 + 1)
+        longest = [n & LENGTH for n in self.model.longest(text)]
+        failed = bytearray(len(text) // 8 + 1)
         out: list[str] = []
         at, piece, last = 0, text[:longest[0]], ""
-        while at < total:
-            size = known((last, piece))
-            if size is None:
-                size = self.fitting(last, piece)
-            while size and failed[(at + size) >> 3] >> ((at + size) & 7) & 1:
-                size = self.next_shorter(piece[:size])
-                size = size and self.fitting(last, piece[:size])
-            if size:
-                last = piece[:size]
-                out.append(last)
-                at += size
+        while at < len(text):
+            piece = self.fitting(last, piece)
+            while piece and failed[(at + len(piece)) >> 3] >> ((at + len(piece)) & 7) & 1:
+                piece = self.fitting(last, self.next_shorter(piece))
+            if piece:
+                out.append(piece)
+                at, last = at + len(piece), piece
                 piece = text[at:at + longest[at]]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
@@ -186,29 +233,97 @@ class Encoder:
                 last = out[-1] if out else ""
         return out
 
+    def _fit(self, key: int) -> int:
+        last, number = key >> NUMBER_BITS, key & ((1 << NUMBER_BITS) - 1)
+        names = self.model.names
+        piece = self.fitting(names[last - 1] if last else "", names[number >> LENGTH_BITS])
+        return self.model.numbers.get(piece, 0)
+
+    def learn(self, parts: list[str]) -> None:
+        """Finds the ids of parts without characters that are no pieces, all at once."""
+        size = np.array([len(p) for p in parts])
+        end = np.cumsum(size)
+        longest = np.array(self.model.longest("".join(parts)))
+        # no piece may reach beyond its part: where one does, the longest that does not
+        room = np.repeat(end, size) - np.arange(end[-1])
+        for i in np.flatnonzero((longest[:-1] & LENGTH) > room).tolist():
+            piece = self.model.names[int(longest[i]) >> LENGTH_BITS]
+            longest[i] = self.model.numbers[next(piece[:n] for n in range(int(room[i]), 0, -1) if piece[:n] in self.model.ids)]
+        rows = len(parts)
+        failed = np.zeros(len(longest), bool)  # by place; a part's end is the next one's start, which never fails
+        stack, depth = np.zeros((rows, int(size.max()) + 1), np.int64), np.zeros(rows, np.int64)
+        at, last = end - size, np.zeros(rows, np.int64)
+        piece = longest[at]
+        active = np.arange(rows)
+        while len(active):
+            found = self._fitting_free(at[active], last[active], piece[active], failed)
+            on, back = active[found > 0], active[found <= 0]
+            found = found[found > 0]
+            stack[on, depth[on]] = found
+            depth[on] += 1
+            at[on] += found & LENGTH
+            last[on] = (found >> LENGTH_BITS) + 1
+            piece[on] = longest[at[on]]
+            failed[at[back]] = True
+            depth[back] -= 1
+            piece[back] = stack[back, depth[back]]  # tried again, it finds its end failed and gives way to a shorter one
+            at[back] -= piece[back] & LENGTH
+            last[back] = np.where(depth[back] > 0, (stack[back, depth[back] - 1] >> LENGTH_BITS) + 1, 0)
+            active = active[at[active] < end[active]]
+        ids = (stack[np.arange(stack.shape[1]) < depth[:, None]] >> LENGTH_BITS).astype(np.int32).tobytes()
+        border = (4 * np.cumsum(depth)).tolist()
+        for part, a, b in zip(parts, [0, *border], border):
+            self.known[part] = ids[a:b]
+
+    def _fitting_free(self, at: np.ndarray, last: np.ndarray, piece: np.ndarray, failed: np.ndarray) -> np.ndarray:
+        """The first fitting prefix of each piece that does not end at a failed place, or 0."""
+        found = self.fits.find(last << NUMBER_BITS | piece, self._fit)
+        open_ = np.flatnonzero((found > 0) & failed[at + (found & LENGTH)])
+        while len(open_):
+            shorter = self.model.shorter[found[open_] >> LENGTH_BITS]
+            found[open_] = 0
+            open_, shorter = open_[shorter > 0], shorter[shorter > 0]
+            found[open_] = self.fits.find(last[open_] << NUMBER_BITS | shorter, self._fit)
+            open_ = open_[(found[open_] > 0) & failed[at[open_] + (found[open_] & LENGTH)]]
+        return found
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        return array("i", map(self.model.ids.__getitem__, pieces)).tobytes()
+
     def word(self, word: str) -> bytes:
-        """The ids of a word, as four bytes each."""
-        ids = array("i")
+        """The ids of a word, as four bytes each; its parts may be known."""
+        found = []
         for part in self.model.parts.findall(word):
             if part[0] in self.model.ids:
-                ids.extend(map(self.model.ids.__getitem__, self.pieces(part)))
+                found.append(self.known.get(part) or self._ids(self.pieces(part)))
             else:
-                ids.extend(map(self.model.byte_ids.__getitem__, part.encode("utf-8", "replace")))
-        found = ids.tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self.known) >= self.cache:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, as four bytes each."""
-        if not text:
-            return b""
-        known, word = self.known.get, self.word
-        spaced = text.replace(" ", SPACE)
-        words = self.model.words.findall(SPACE + spaced if self.model.prefix else spaced)
-        return b"".join([known(w) or word(w) for w in words])
+                found.append(array("i", map(self.model.byte_ids.__getitem__, part.encode("utf-8", "replace"))).tobytes())
+        return b"".join(found)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, as four bytes each."""
+        if len(self.known) >= self.cache:
+            self.known.clear()
+        known, model = self.known, self.model
+        cut = []
+        for text in texts:
+            spaced = text.replace(" ", SPACE)
+            cut.append(model.words.findall(SPACE + spaced if model.prefix and text else spaced))
+        new = {w for w in set().union(*cut).difference(known) if len(w) <= LONG_WORD}
+        mixed = [w for w in new if not model.pure.fullmatch(w)]
+        fresh = new.difference(mixed)
+        fresh.update(p for w in mixed for p in model.parts.findall(w) if p[0] in model.ids and p not in known)
+        if fresh:
+            self.learn(list(fresh))
+        for word in mixed:
+            known[word] = self.word(word)
+        return [self._joined(words) for words in cut]
+
+    def _joined(self, words: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:  # words that are too long to be kept
+            return b"".join([self.known.get(w) or self.word(w) for w in words])
 
 
 def byte_text(raw: bytes) -> str:
@@ -252,7 +367,7 @@ def _encoded(path: str, keep: int, end: bool):
         for part in parts:
             for at in range(0, part.num_rows, 512):
                 own = part.slice(at, 512)
-                found = [encoder.encode(text) + last for text in own.column("text").to_pylist()]
+                found = [ids + last for ids in encoder.encode_all(own.column("text").to_pylist())]
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
                 ids = np.frombuffer(b"".join(found), np.int32)
                 text = [decode(model, ids[a:b]) for a, b in zip(offsets, offsets[1:])]
