@@ -25,7 +25,7 @@ from voxlake.operators.fulltext import FAN, manifest, merge_tiers, new_part
 BLOCK_BITS = 15            # 32,768 bits a block
 KEYS_A_BLOCK = 2_500       # 13 bits a key
 PROBES = 7                 # at 13 bits a key: one false hit in 500
-RESIDUES = 256             # both sides meet by this many groups; a power of two
+FEW_TASKS = 256            # a part is written by this many tasks at most
 BLOCKS = "part string, blocks long, block long, bits binary"
 
 
@@ -83,7 +83,7 @@ def stage_filter(hashes: DataFrame, path: str, part: str, first: int, last: int)
     n = hashes.count()
     blocks = _blocks_for(n)
     block = F.col("h").bitwiseAND(blocks - 1)
-    hashes.repartition(min(blocks, RESIDUES), block).sortWithinPartitions(block).mapInArrow(
+    hashes.repartition(min(blocks, FEW_TASKS), block).sortWithinPartitions(block).mapInArrow(
         _filled(part, blocks), BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks/of={part}")
     return {"part": part, "n_docs": n, "first": first, "last": last}
 
@@ -112,11 +112,13 @@ def ask(spark: SparkSession, path: str, hashes: DataFrame) -> DataFrame:
     if not entries:
         return spark.createDataFrame([], "h long, part string")
     blocks = spark.read.schema(BLOCKS).parquet(*(f"{path}/blocks/of={p['part']}" for p in entries))
-    residue = F.col("h").bitwiseAND(RESIDUES - 1).cast("int")
+    # both sides meet by as many groups as a shuffle has partitions, or the next power of two
+    residues = 1 << (max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()
+    residue = F.col("h").bitwiseAND(residues - 1).cast("int")
     # a block of few is needed for several residues, a block of many for one
-    own = F.col("block").bitwiseAND(RESIDUES - 1)
-    needed = F.when(F.col("blocks") >= RESIDUES, F.array(own)).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.floor(RESIDUES / F.col("blocks")) - 1), lambda i: F.col("block") + i * F.col("blocks")))
+    own = F.col("block").bitwiseAND(residues - 1)
+    needed = F.when(F.col("blocks") >= residues, F.array(own)).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.floor(residues / F.col("blocks")) - 1), lambda i: F.col("block") + i * F.col("blocks")))
     dealt = blocks.withColumn("residue", F.explode(needed.cast("array<int>")))
     return hashes.withColumn("residue", residue).groupBy("residue").cogroup(dealt.groupBy("residue")).applyInPandas(
         _asked, "h long, part string")

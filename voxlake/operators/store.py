@@ -200,6 +200,8 @@ def possibly_stored(store: Store, incoming: DataFrame, last: int) -> tuple[DataF
 
 def _known(store: Store, incoming: DataFrame, last: int) -> DataFrame:
     """Stored rows with a key of incoming ones, as (source_id, external_id, dedupe_key): what a new row must not equal."""
+    if not last:
+        return store.read("documents").select(*PAIR, "dedupe_key")
     maybe, stored = possibly_stored(store, incoming, last)
     maybe = cut_lineage(maybe.select("source_id", "external_id", "dedupe_key"))
     by_key = stored_hits(maybe, stored, ["dedupe_key"])
