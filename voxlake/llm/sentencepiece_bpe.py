@@ -152,6 +152,9 @@ class Fits:
             hit, empty = held == keys[left], held < 0
             out[left[hit]] = self.values[slot[left[hit]]]
             for i in left[empty].tolist():
+                if self.used > len(self.keys) // 4 * 3:  # also within one call: what is lost is made again
+                    self.keys.fill(-1)
+                    self.used = 0
                 key, at = int(keys[i]), int(slot[i])
                 while self.keys[at] not in (-1, key):
                     at = (at + 1) & (len(self.keys) - 1)
