@@ -397,10 +397,10 @@ def search_after_insert(spark, sf):
 
 @query
 def search_after_merge(spark, sf):
-    """Ten inserts, merged three by three: the same scores as by an index of one part."""
+    """Seven inserts, merged three by three: the same scores as by an index of one part."""
     docs, path = views.documents(spark, sf), f"{_scratch(spark)}/index"
-    for i in range(10):
-        fulltext.write_index(fulltext.build_index(docs.where(F.col("id") % 10 == i)), path, append=True)
+    for i in range(7):
+        fulltext.write_index(fulltext.build_index(docs.where(F.col("id") % 7 == i)), path, append=True)
         fulltext.merge_index(spark, path, fan=3)
     match = fulltext.match_any("anble reble") & fulltext.match_none("inble")
     index = fulltext.read_index(spark, path)
