@@ -93,6 +93,7 @@ def test_preference_pairs(spark):
 
 def test_parroting_pairs(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 2, "user", "c"), (2, 0, "assistant", "x"), (3, 0, "user", "y"), (1, 1, "assistant", "b")]
+    rows += [(None, 0, "user", "q"), (None, 1, "assistant", "r"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["pair_id"]: ([t["text"] for t in r["chosen"]], [t["text"] for t in r["rejected"]]) for r in parroting_pairs(df).collect()}
     assert got == {1: (["a", "b", "b"], ["a", "b", "b"]), 2: (["x"], [""])}

@@ -9,7 +9,7 @@ import llm.brute as brute
 import llm.data as data
 from voxlake.llm import bpe, rule_ensemble
 from voxlake.llm.decontaminate import decontaminate
-from voxlake.llm.quality_rules import judge, quality_rules
+from voxlake.llm.quality_rules import judge, line_fails, quality_rules
 from voxlake.llm.queries import tokenizer_path
 
 
@@ -34,6 +34,39 @@ def test_lines_are_removed_and_bad_texts_rejected():
     assert judge("")[1:3] == (True, False)
 
 
+@pytest.mark.parametrize("line", [
+    "Paris - London", "- good morning", "* buy milk", "Yes - no", "• one more", "She baked cookies for the children.",
+    "The poem has no copyright today.", "He reads the newsletter of the town every week.", "I log in the forest with an axe.",
+    "La politique de confidentialité du journal a changé depuis longtemps.", "- He said - twice - that it was late, then left again.",
+    "The privacy policy debate went on for several weeks.", "Das Impressum der alten Zeitung wurde gefunden.", "3 - 2",
+])
+def test_clean_lines_stay(line):
+    assert line_fails(line, line.split()) is None
+
+
+@pytest.mark.parametrize("line, rule", [
+    ("We use cookies to make this site better.", "boilerplate"), ("Accept all cookies", "boilerplate"),
+    ("Privacy policy", "boilerplate"), ("Log in / Sign up", "boilerplate"), ("Copyright © 2024 Example Ltd.", "boilerplate"),
+    ("Copyright (c) Example", "boilerplate"), ("Subscribe to our newsletter for more", "boilerplate"),
+    ("Wir verwenden Cookies, um Inhalte zu zeigen", "boilerplate"), ("Alle Rechte vorbehalten", "boilerplate"),
+    ("Tous droits réservés.", "boilerplate"), ("Lire la suite", "boilerplate"),
+    ("Todos los derechos reservados", "boilerplate"), ("Leer más", "boilerplate"),
+    ("Home > News > Sport", "navigation"), ("Start | Über uns | Kontakt", "navigation"),
+    ("https://example.com/a", "navigation"), ("### $$$ %%%", "punctuation"),
+])
+def test_failing_lines_go(line, rule):
+    assert line_fails(line, line.split()) == rule
+
+
+def test_a_text_is_kept_if_it_loses_no_more_than_half_of_its_words():
+    for good, bad in ((10, 10), (10, 11), (30, 3), (12, 60)):
+        words = [f"w{i}" for i in range(good)]
+        notices = [f"Read more {i}" for i in range(bad // 3)] + ["Impressum"] * (bad % 3)
+        figures, base, kept, text, lost = judge("\n".join([" ".join(words), *notices]))
+        assert (figures[0], lost, text) == (good + bad, bad, " ".join(words))
+        assert kept == (not base and 2 * bad <= good + bad)
+
+
 def _library():
     from tokenizers import Tokenizer
 

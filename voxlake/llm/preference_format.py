@@ -1,8 +1,8 @@
 """Preference formatting: pairs of a chosen and a rejected conversation as prompt and masked completions.
 
 The longest common prefix of turns (equal role and text) is rendered once as the prompt. What follows in either
-conversation is a completion, with a mask in run lengths: for each turn its number of characters and 1 if the model
-is to learn it (assistant) or 0. One row holds one pair, which is the training record.
+conversation is a completion, with a mask in run lengths: for each turn its number of characters (its role line
+included) and 1 if the model is to learn it (assistant) or 0. One row holds one pair, which is the training record.
 
 Turns are ordered by turn, role and text, null turns first; repeated turns stay. Null roles and texts are rendered as
 empty and equal each other. Equal conversations give empty completions. All other columns are left out.
@@ -52,9 +52,11 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
 
 def parroting_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs for preference_pairs: each conversation up to its last assistant turn, against the same conversation in
-    which that turn only repeats what was said before it. Conversations without an assistant turn give none."""
+    which that turn only repeats what was said before it. Conversations without an assistant turn give none, and turns
+    without a conv_id belong to no conversation: they are left out before anything is shuffled."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), "role", "text")
-    turns = conversations.groupBy(F.col("conv_id").alias("pair_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    turns = conversations.filter("conv_id is not null").groupBy(F.col("conv_id").alias("pair_id")).agg(
+        F.array_sort(F.collect_list(turn)).alias("turns"))
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
     ended = turns.withColumn("last", last).filter("last is not null")
     answer = F.element_at("turns", F.col("last"))

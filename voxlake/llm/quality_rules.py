@@ -2,9 +2,11 @@
 
 Base figures of a text reject it at once: fewer than 10 words, or over a fifth of its words in repeated 5-word
 windows. Other texts are cleaned line by line. A line with words fails if it is
-- boilerplate: it names cookies, privacy, terms, log-in, copyright, subscription or script notices in a short line
-  (12 words or fewer),
-- navigation: a third or more of its words are separators such as |, > or bullets, or it is a link only,
+- boilerplate: a short line (12 words or fewer) holds a notice such as "accept cookies", "all rights reserved" or
+  "subscribe to our newsletter", or half or more of it is a title such as "privacy policy" or "log in"; both in English,
+  German, French and Spanish. A word such as cookies, copyright or newsletter alone is no sign,
+- navigation: it has two or more separators such as | or >, which are a third or more of its words (a bullet or dash in
+  front is none), or it is a link only,
 - punctuation: a third or more of its characters other than white space are neither letters, digits nor common
   sentence marks, or a half or more of its words carry ! twice or a symbol of #*$%&|<>.
 Failing lines are removed. A text that loses over half of its words this way is rejected; other texts are kept as
@@ -31,9 +33,20 @@ from voxlake.llm.common import whole
 MIN_WORDS, WINDOW, MAX_REPEATED, MAX_LOST = 10, 5, 20, 50
 SYMBOLS = b"#*$%&|<>"
 
-_BOILERPLATE = regex.compile(
-    r"\b(cookies?|privacy policy|terms (of|and) (use|service|conditions)|all rights reserved|copyright|log ?in|sign ?up|"
-    r"subscribe|newsletter|javascript|click here|read more|share this)\b|©|lorem ipsum")
+# what only notices say
+_NOTICE = regex.compile(
+    r"\b(accept (all )?cookies|(we|(this|our) (web)?site) uses? cookies|all rights reserved|copyright \d{4}|"
+    r"(subscribe|sign up) (to|for) our \w+|(enable|requires?) javascript|javascript is (disabled|required)|click here|"
+    r"(alle )?cookies (akzeptieren|zulassen)|(wir verwenden|diese (web)?seite verwendet) cookies|alle rechte vorbehalten|"
+    r"abonnieren sie unseren newsletter|accepter (tous )?les cookies|(nous utilisons|ce site utilise) des cookies|"
+    r"tous droits réservés|abonnez-vous à notre \w+|aceptar (todas )?las cookies|(utilizamos|este sitio utiliza) cookies|"
+    r"todos los derechos reservados|suscríbe(te|se) a nuestr[oa] \w+)\b|\bcopyright (©|\(c\))|© ?\d{4}|lorem ipsum dolor")
+# what a text may speak of as well
+_TITLE = regex.compile(
+    r"\b(privacy (policy|notice)|cookie (policy|settings)|terms (of|and) (use|service|conditions)|log ?in|sign ?(in|up)|"
+    r"read more|share this|subscribe|newsletter|datenschutz(erklärung)?|impressum|nutzungsbedingungen|anmelden|weiterlesen|"
+    r"politique de confidentialité|conditions d['’]utilisation|mentions légales|se connecter|lire la suite|"
+    r"política de (privacidad|cookies)|términos (y condiciones|de uso)|aviso legal|iniciar sesión|leer más)\b")
 _SEPARATORS = frozenset(("|", ">", "<", "»", "«", "•", "·", "/", "-", "–", "—", "*"))
 _LINK = regex.compile(r"\s*(https?://|www\.)\S+\s*")
 _ODD = regex.compile(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()«»“”‘’¿¡\-–—]+")
@@ -45,9 +58,15 @@ FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def line_fails(line: str, words: list[str]) -> str | None:
     """The rule that a line with words fails."""
     n = len(words)
-    if n <= 12 and _BOILERPLATE.search(line.lower()):
-        return "boilerplate"
-    if 3 * sum(w in _SEPARATORS for w in words) >= n and n >= 3 or _LINK.fullmatch(line):
+    if n <= 12:
+        low = line.lower()
+        if _NOTICE.search(low):
+            return "boilerplate"
+        titles = sum(len(m.group().replace(" ", "")) for m in _TITLE.finditer(low))
+        if titles and 2 * titles >= sum(map(len, words)):
+            return "boilerplate"
+    between = sum(w in _SEPARATORS for w in words[1:])
+    if between >= 2 and 3 * between >= n or _LINK.fullmatch(line):
         return "navigation"
     odd = sum(map(len, _ODD.findall(line)))
     if odd and 3 * odd >= sum(map(len, words)):
