@@ -99,7 +99,7 @@ def match_prefix(text: str, column: str | None = None) -> Match:
 
 
 # Scores ----------------------------------------------------------------------------------------
-def _matches(match: Match, weighted: Sequence[Column]) -> Column:
+def matches(match: Match, weighted: Sequence[Column]) -> Column:
     hit = [f > 0 for f in weighted]
     r, o = len(match.required), len(match.optional)
     ok = reduce(lambda a, b: a & b, hit[:r], F.lit(True))
@@ -108,7 +108,7 @@ def _matches(match: Match, weighted: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & ~b, hit[r + o:], ok)
 
 
-def _bm25(weighted: Sequence[Column], doc_length: Column, figures: Column) -> Column:
+def bm25(weighted: Sequence[Column], doc_length: Column, figures: Column) -> Column:
     """Negative BM25: lower is better."""
     n_docs = figures["n_docs"].cast("double")
     mean = figures["total_length"] / n_docs
@@ -180,10 +180,10 @@ def score_texts(documents: DataFrame, candidates: DataFrame, match: Match) -> Da
         .select(F.struct("*"))
         .scalar()
     )
-    hits = _with_frequencies(candidates, match).where(_matches(match, weighted))
+    hits = _with_frequencies(candidates, match).where(matches(match, weighted))
     return (
         hits.withColumn("_figures", figures)
-        .withColumn("fts_score", _bm25(weighted, F.col("_dl"), F.col("_figures")))
+        .withColumn("fts_score", bm25(weighted, F.col("_dl"), F.col("_figures")))
         .drop("_figures", "_dl", *[f"_f{i}" for i in range(len(match.units))])
     )
 
@@ -247,7 +247,7 @@ class Index:
     corpus: DataFrame      # one row: n_docs, total_length
 
 
-def _bucket(term: str) -> int:
+def bucket_of(term: str) -> int:
     """By the first letters, so that a prefix of at least so many opens one bucket like a word does."""
     return crc32(term[:BUCKET_LETTERS].encode()) % BUCKETS
 
@@ -411,7 +411,7 @@ def vacuum_index(spark: SparkSession, path: str) -> list[str]:
         if not name.startswith("."):
             named |= {p["part"] for p in files.read_json(spark, f"{path}/manifests/{name}")["parts"]}
     gone = []
-    for table in ("postings", "doc_stats"):
+    for table in ("postings", "doc_stats", "impacts", "impact_stats"):
         for folder in files.names(spark, f"{path}/{table}"):
             if folder.startswith("part=") and folder.removeprefix("part=") not in named:
                 files.delete(spark, f"{path}/{table}/{folder}")
@@ -425,11 +425,11 @@ def _needed(postings: DataFrame, match: Match) -> DataFrame:
     prefixes = [u.words[-1] for u in match.units if u.prefix]
     wanted = F.lit(False)
     if exact:
-        buckets = sorted({_bucket(w) for w in exact})
+        buckets = sorted({bucket_of(w) for w in exact})
         wanted = wanted | (F.col("bucket").isin(buckets) & F.col("term").isin(exact))
     for p in prefixes:
         own = F.col("term").startswith(p)
-        wanted = wanted | ((F.col("bucket") == _bucket(p)) & own if len(p) >= BUCKET_LETTERS else own)
+        wanted = wanted | ((F.col("bucket") == bucket_of(p)) & own if len(p) >= BUCKET_LETTERS else own)
     return postings.where(wanted)
 
 
@@ -476,9 +476,9 @@ def score_index(index: Index, match: Match) -> DataFrame:
     found = hits.agg(*_found_per_unit(weighted)).select(F.struct("*")).scalar()
     whole = index.corpus.select(F.struct("*")).scalar()
     return (
-        hits.where(_matches(match, weighted))
+        hits.where(matches(match, weighted))
         .join(index.doc_stats.withColumnRenamed("doc_id", "id"), "id")
         .withColumns({"_found": found, "_whole": whole})
         .withColumn("_figures", F.struct("_whole.*", "_found.*"))
-        .select("id", _bm25(weighted, F.col("dl"), F.col("_figures")).alias("fts_score"))
+        .select("id", bm25(weighted, F.col("dl"), F.col("_figures")).alias("fts_score"))
     )

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.operators import fulltext
+from voxlake.operators import fulltext, topk
 from voxlake.operators.filters import (
     Corpus, DateMode, Filters, apply_column_filters, apply_semi_joins,
 )
@@ -16,9 +16,12 @@ from voxlake.operators.ranking import narrow
 
 def search_documents(corpus: Corpus, query: str | fulltext.Match, filters: Mapping[str, Any] | None = None, *,
                      limit: int = 20, offset: int = 0, after: fulltext.Place | None = None,
-                     index: fulltext.Index | None = None) -> DataFrame:
+                     index: fulltext.Index | None = None, tiers_path: str | None = None) -> DataFrame:
     """One page of ranked search; without any word in the query, the latest documents.
 
+    `tiers_path` names the folder of a written index: a query of words then reads only the postings that can reach the page
+    (`operators/topk.py`); give `index` with it for phrases, prefixes and column scopes.
+
     `after` (see `fulltext.place_of`) goes on behind the last row of an earlier page; for deep pages it costs less than an
     offset, for which all rows before it are sorted.
 
@@ -31,6 +34,11 @@ def search_documents(corpus: Corpus, query: str | fulltext.Match, filters: Mappi
     slim = narrow(found, "id", "source_id", "published_at", "created_at")
     if not match.units:
         scored = fulltext.unscored(found.select(*slim))
+    elif tiers_path is not None and topk.supports(match):
+        impacts = topk.read_impacts(corpus.documents.sparkSession, tiers_path, match)
+        best = topk.best_rows(impacts, match, max(1, limit) + max(0, offset), lambda scores: apply_semi_joins(
+            found.select(*slim).join(scores, "id"), corpus, chosen), after)
+        return fulltext.ranked_page(best, corpus.documents, limit, offset, after)
     elif index is None:
         scored = fulltext.score_texts(corpus.documents, found, match).select(*slim, "fts_score")
     else:

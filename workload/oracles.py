@@ -373,6 +373,10 @@ JOIN (SELECT conv_id AS id, min(turn * 1000000 - conv_id) AS position FROM conve
         filters="published_at >= TIMESTAMP '2024-01-10' AND published_at <= TIMESTAMP '2024-02-20' AND platform IN ('reddit', 'web_reviews')"),
     "search_indexed": _search([word("anble"), word("reble"), word("inble")], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0"),
     "search_written_index": _search([word("anble"), word("reble"), word("inble")], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0"),
+    "search_top_k": _search([word("anble"), word("reble"), word("inble")], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0", limit=20),
+    "search_top_filtered": _search(
+        [word("anble"), word("inble")], "f0 > 0 OR f1 > 0", limit=30, offset=10,
+        filters="published_at >= TIMESTAMP '2024-01-10' AND published_at <= TIMESTAMP '2024-02-20' AND platform IN ('reddit', 'web_reviews')"),
     "search_after_merge": _search([word("anble"), word("reble"), word("inble")], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0"),
     "search_written_prefix": _search([prefix("anb")], "f0 > 0"),
     "search_after_insert": _search([phrase("the", "and")], "f0 > 0"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from voxlake import constants as K
 from voxlake.functions import dates, keys, labels, text, urls
-from voxlake.operators import dedupe, enrich, fulltext, ingest, normalize, pages, rollup, runs
+from voxlake.operators import dedupe, enrich, fulltext, ingest, normalize, pages, rollup, runs, topk
 from voxlake.operators.filters import Corpus, DateMode, Filters, apply_filters
 from voxlake.operators.ranking import keep_first
 from voxlake.operators.store import rejected_path
@@ -407,6 +407,29 @@ def search_after_merge(spark, sf):
     return _hits(explore.search_documents(Corpus(docs, views.sources(spark)), match, limit=200, index=index))
 
 
+@query
+def search_top_k(spark, sf):
+    """The first page, from the tiers of postings that can reach it."""
+    docs, path = views.documents(spark, sf), f"{_scratch(spark)}/index"
+    fulltext.write_index(fulltext.build_index(docs), path)
+    topk.add_impacts(spark, path)
+    match = fulltext.match_any("anble reble") & fulltext.match_none("inble")
+    return _hits(explore.search_documents(Corpus(docs, views.sources(spark)), match, limit=20, tiers_path=path))
+
+
+@query
+def search_top_filtered(spark, sf):
+    """A filtered later page; the last of three inserts has no tiers yet."""
+    docs, path = views.documents(spark, sf), f"{_scratch(spark)}/index"
+    for i in range(3):
+        if i == 2:
+            topk.add_impacts(spark, path)
+        fulltext.write_index(fulltext.build_index(docs.where(F.col("source_id") == i + 1)), path, append=True)
+    return _hits(explore.search_documents(
+        Corpus(docs, views.sources(spark)), fulltext.match_any("anble inble"), {**PERIOD, "sources": ["reddit", "web_reviews"]},
+        limit=30, offset=10, tiers_path=path))
+
+
 @query
 def index_terms(spark, sf):
     """Documents and occurrences per term of the index."""
