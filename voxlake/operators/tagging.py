@@ -1,7 +1,8 @@
 """Rule tagging against a taxonomy.
 
-The taxonomy is job configuration and travels inside the expression as a constant array; documents
-are tagged where they lie, without a shuffle and without Python.
+The taxonomy is job configuration. A small one travels inside the expression as a constant array, without Python; the work
+for a text grows with the aliases then. A large one is matched in one pass over each text (`tagmatch.py`), with the same
+results. Either way documents are tagged where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxlake import constants as K
 from voxlake.functions.text import blank_to_null, tagging_text
+from voxlake.operators.tagmatch import match_tags
+
+# Up to so many aliases are matched by a native expression.
+NATIVE_ALIASES = 200
 
 # Stand-ins for claimed characters. They keep the difference between word characters and others, so
 # that the word borders around a claim stay where they were.
@@ -122,18 +127,17 @@ def document_text() -> Column:
 
 
 def tag_documents(documents: DataFrame, taxonomy: Taxonomy, *, types: Sequence[str] = K.TAG_TYPES,
-                  text: Column | None = None, confidence: float | None = 1.0) -> DataFrame:
+                  text: Column | None = None, confidence: float | None = 1.0,
+                  native_aliases: int = NATIVE_ALIASES) -> DataFrame:
     """One row per document, tag type and value."""
     prepared = tagging_text(document_text() if text is None else text)
-    per_type = [_typed(t, matched_values(F.col("_text"), taxonomy, t)) for t in types]
-    return (
-        documents.select(F.col("id").alias("document_id"), prepared.alias("_text"))
-        .select("document_id", F.explode(F.concat(*per_type)).alias("tag"))
-        .select(
-            "document_id",
-            "tag.tag_type",
-            "tag.tag_value",
-            F.lit("rules").alias("tag_source"),
-            F.lit(confidence).cast("double").alias("confidence"),
-        )
+    texts = documents.select(F.col("id").alias("document_id"), prepared.alias("_text"))
+    if sum(t in types for t, _, _ in taxonomy.entries) > native_aliases:
+        tags = match_tags(texts, [(t, taxonomy.of_type(t)) for t in types])
+    else:
+        per_type = [_typed(t, matched_values(F.col("_text"), taxonomy, t)) for t in types]
+        tags = texts.select("document_id", F.explode(F.concat(*per_type)).alias("tag")).select("document_id", "tag.*")
+    return tags.select(
+        "document_id", "tag_type", "tag_value", F.lit("rules").alias("tag_source"),
+        F.lit(confidence).cast("double").alias("confidence"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from voxlake.functions.text import accents
-from workload.views import TAXONOMY
+from workload.views import PHRASES, TAXONOMY
 
 # White space as the library sees it, and word characters, spelled out for RE2.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -90,6 +90,20 @@ def _tags_view(name: str, rows: str, types: Sequence[str]) -> str:
     return f"{name}_text AS (SELECT id, {text} AS t FROM ({rows})), {name} AS ({branches})"
 
 
+def _claims() -> str:
+    """One step per phrase, longest first: the first place of each is marked, and gone for later ones."""
+    border = f"[^\\p{{L}}\\p{{N}}_]"
+    text = "concat_ws(' ', nullif(title, ''), nullif(body, ''))"
+    steps = [f"claims_0 AS (SELECT id, [] :: VARCHAR[] AS found, CASE WHEN {deleted(text)} THEN '' ELSE lower({clean(text)}) END AS t FROM documents_c)"]
+    for i, phrase in enumerate(sorted(PHRASES, key=len, reverse=True)):
+        pattern = f"(^|{border}){phrase}($|{border})"
+        steps.append(
+            f"claims_{i + 1} AS (SELECT id, CASE WHEN regexp_matches(t, '{pattern}') THEN list_append(found, '{phrase}') ELSE found END AS found, "
+            f"regexp_replace(t, '{pattern}', '\\1{'_' * len(phrase)}\\2') AS t FROM claims_{i})")
+    words = f"list_filter(list_distinct(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+')), lambda w: regexp_full_match(w, '[a-z]{{3}}'))"
+    return ", ".join(steps) + f", claims AS (SELECT id, unnest(list_concat(found, {words})) AS tag_value FROM claims_{len(PHRASES)})"
+
+
 _TAGS = _tags_view(
     "tags_c", "SELECT id, concat_ws(' ', nullif(title, ''), nullif(body, '')) AS text FROM documents_c",
     ("product", "issue", "competitor", "feature"),
@@ -399,6 +413,8 @@ FROM (SELECT * FROM scored ORDER BY fts_score, event_time DESC, id DESC LIMIT 40
   CASE WHEN turn > 0 THEN array_to_string(range(1, turn + 1), '|') ELSE '' END AS evidence_ids
 FROM (SELECT *, turn % 3 = 2 OR turn < 2 OR {strip('text')} = '' AS insufficient_evidence FROM conversations)""",
     "tag_all": _with(_DOCS, _TAGS) + "SELECT document_id, tag_type, tag_value, 'rules' AS tag_source, CAST(1.0 AS DOUBLE) AS confidence FROM tags_c",
+    "tag_overlapping": _with(_DOCS, _claims())
+    + "SELECT id AS document_id, 'feature' AS tag_type, tag_value, 'rules' AS tag_source, CAST(1.0 AS DOUBLE) AS confidence FROM claims",
     "tag_competitors": _with(_tags_view("t", "SELECT conv_id * 100 + turn AS id, text FROM conversations", ("competitor",)))
     + "SELECT document_id, tag_type, tag_value, 'rules' AS tag_source, CAST(NULL AS DOUBLE) AS confidence FROM t",
     "enrich_candidates": _WAITING + "SELECT id, title, platform, rating FROM waiting",

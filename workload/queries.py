@@ -472,6 +472,12 @@ def tag_all(spark, sf):
     return tag_documents(views.documents(spark, sf), views.TAXONOMY)
 
 
+@query
+def tag_overlapping(spark, sf):
+    """17,582 aliases in one pass; phrases and their words claim places from each other, longest first."""
+    return tag_documents(views.documents(spark, sf), views.large_taxonomy())
+
+
 @query
 def tag_competitors(spark, sf):
     rows = views.table(spark, sf, "conversations")

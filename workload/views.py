@@ -24,6 +24,15 @@ TAXONOMY = Taxonomy.of(
     }
 )
 
+# Phrases that share words with each other and with the single words: all words of three letters.
+PHRASES = ("the and the", "the and", "and the", "of the", "the of", "the the")
+
+
+def large_taxonomy() -> Taxonomy:
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c for a in letters for b in letters for c in letters]
+    return Taxonomy.of({"features": [*PHRASES, *words]})
+
 
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
