@@ -7,7 +7,7 @@ optimizer does that below its size threshold, and larger sides shuffle on the do
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from enum import Enum
 from functools import reduce
@@ -97,24 +97,41 @@ def date_predicates(filters: Filters, mode: DateMode) -> list[Column]:
     return out
 
 
-def month_predicates(filters: Filters) -> list[Column]:
-    """The same range on the partition column, so that whole months are left out of the scan."""
-    def month(text: str) -> Column:
-        return utc_text(iso_timestamp(F.lit(text))).substr(1, 7)
+def layout_predicates(filters: Filters, mode: DateMode, columns: Sequence[str]) -> list[Column]:
+    """What a stored layout knows of the range, in a form that reaches the files: whole months are left out of the scan,
+    and of a month those row groups whose event times lie outside. Rows that were stored without an event time stay in;
+    `date_predicates` decides in any case.
+    """
+    def instant(text: str) -> Column:
+        return iso_timestamp(F.lit(text))
 
+    def day_start(text: str, days: int) -> Column:
+        day = F.date_add(utc_wall(instant(text)).cast("date"), days)
+        return F.try_to_timestamp(F.concat(day.cast("string"), F.lit("T00:00:00Z")))
+
+    whole_days = mode is DateMode.COALESCED_DAY
     out = []
-    if filters.date_from:
-        out.append(F.col("event_month") >= month(filters.date_from))
-    if filters.date_to:
-        out.append(F.col("event_month") <= month(filters.date_to))
+    for text, later in ((filters.date_from, True), (filters.date_to, False)):
+        if not text:
+            continue
+        if "event_month" in columns:
+            month = utc_text(instant(text)).substr(1, 7)
+            out.append(F.col("event_month") >= month if later else F.col("event_month") <= month)
+        if "event_micros" in columns:
+            known = F.col("event_micros")
+            if later:
+                inside = known >= F.unix_micros(day_start(text, 0) if whole_days else instant(text))
+            elif whole_days:
+                inside = known < F.unix_micros(day_start(text, 1))
+            else:
+                inside = known <= F.unix_micros(instant(text))
+            out.append(known.isNull() | inside)
     return out
 
 
 def apply_column_filters(documents: DataFrame, filters: Filters, mode: DateMode) -> DataFrame:
     """Filters on the documents table alone."""
-    predicates = date_predicates(filters, mode)
-    if "event_month" in documents.columns:
-        predicates += month_predicates(filters)
+    predicates = date_predicates(filters, mode) + layout_predicates(filters, mode, documents.columns)
     for column, wanted in (
         ("subreddit", filters.subreddit),
         ("community_or_channel", filters.web_domain),

@@ -198,11 +198,12 @@ def articles(df: DataFrame, *, min_content_chars: int = K.MIN_ARTICLE_CHARS,
     )
 
 
-def stored_columns(docs: DataFrame) -> DataFrame:
+def stored_columns(docs: DataFrame, *, ingested_at: Column | None = None) -> DataFrame:
     """Canonical documents to the columns of the documents table.
 
-    The whole record goes to `raw_json`; the fields that queries filter on become columns.
+    The whole record goes to `raw_json`, with the time of its ingestion; the fields that queries filter on become columns.
     """
+    ingested = F.lit(None).cast("string") if ingested_at is None else iso_text(ingested_at)
     subreddit = F.when(F.col("platform") == K.REDDIT, F.col("community_or_channel"))
     return docs.select(
         "*",
@@ -216,6 +217,7 @@ def stored_columns(docs: DataFrame) -> DataFrame:
                 F.coalesce("entity_type", "doc_type").alias("entity_type"),
                 "community_or_channel",
                 "platform_metadata",
+                ingested.alias("ingestion_ts"),
                 "dedupe_key",
                 "raw_payload",
             ),

@@ -211,7 +211,7 @@ def _known(store: Store, incoming: DataFrame, last: int) -> DataFrame:
 
 def _insert(store: Store, docs: DataFrame, source_id: int, now: datetime, taxonomy: Taxonomy | None,
             index_path: str | None) -> int:
-    incoming = stored_columns(docs).withColumn("source_id", F.lit(source_id).cast("long"))
+    incoming = stored_columns(docs, ingested_at=F.lit(now)).withColumn("source_id", F.lit(source_id).cast("long"))
     keys = incoming.select("arrival", *PAIR, "dedupe_key")
     last = store.read("documents").agg(F.max("id")).first()[0] or 0
     new = new_documents(keys, _known(store, keys.drop("arrival"), last), [F.asc("arrival")], row_id="arrival")

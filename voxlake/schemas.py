@@ -21,7 +21,10 @@ DOCUMENTS = _struct(
     id=_L, source_id=_L, external_id=_S, title=_S, body=_S, author=_S, url=_S,
     published_at=_TS, created_at=_TS, raw_json=_S, dedupe_key=_S,
     subreddit=_S, community_or_channel=_S, rating=_L, entity_type=_S,
-    event_month=_S,  # partition folder, see filters.month_predicates
+    # Publication time, or the time of storage, in microseconds since 1970. Files are sorted by it, see
+    # filters.layout_predicates; a number has statistics in the files whatever way the session writes timestamps.
+    event_micros=_L,
+    event_month=_S,  # partition folder, see filters.layout_predicates
 )
 
 DOCUMENT_TAGS = _struct(

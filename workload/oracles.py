@@ -368,6 +368,10 @@ UNION ALL SELECT 'feature_requests', printf('Feature request insight: %d feature
     "date_strict_instant": _docs_where("published_at >= TIMESTAMP '2024-01-10' AND published_at <= TIMESTAMP '2024-02-20'"),
     "date_coalesced_instant": _docs_where("event_time >= TIMESTAMP '2024-02-20' AND event_time <= TIMESTAMP '2024-03-15'"),
     "date_coalesced_day": _docs_where(_DAYS),
+    "dates_from_store": _with(_DOCS) + f"""SELECT id, title, {ts('published_at')} AS published_at, mode FROM (
+  SELECT *, 'coalesced_day' AS mode FROM docs_t WHERE {_DAYS}
+  UNION ALL SELECT *, 'strict_instant' FROM docs_t WHERE published_at >= TIMESTAMP '2024-01-10' AND published_at <= TIMESTAMP '2024-02-20'
+  UNION ALL SELECT *, 'coalesced_instant' FROM docs_t WHERE event_time >= TIMESTAMP '2024-02-20' AND event_time <= TIMESTAMP '2024-03-15')""",
     "enrichment_promotion": _with(_ENRICH) + "SELECT document_id, label AS sentiment_label, category AS primary_issue_category, flag AS feature_request_flag FROM enrichments_c",
     "browse_page": _with(_DOCS) + f"SELECT {_SHOWN} FROM docs_t WHERE platform = 'reddit' ORDER BY event_time DESC, id DESC LIMIT 50 OFFSET 20",
     "browse_after": _with(_DOCS) + f"SELECT {_SHOWN} FROM docs_t WHERE platform = 'reddit' ORDER BY event_time DESC, id DESC LIMIT 50 OFFSET 20",

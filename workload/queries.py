@@ -246,6 +246,20 @@ def date_coalesced_day(spark, sf):
     return _filtered(spark, sf, PERIOD, DateMode.COALESCED_DAY)
 
 
+@query
+def dates_from_store(spark, sf):
+    """Whole days and instants, asked of a written store, where they reach the files."""
+    store = Store(spark, _scratch(spark))
+    store.append("documents", views.documents(spark, sf))
+    corpus = Corpus(store.read("documents"), views.sources(spark))
+    found = [
+        apply_filters(corpus, Filters.of(raw), mode).select("id", "title", "published_at", F.lit(mode.value).alias("mode"))
+        for raw, mode in ((PERIOD, DateMode.COALESCED_DAY), (PERIOD, DateMode.STRICT_INSTANT),
+                          ({"date_from": "2024-02-20", "date_to": "2024-03-15"}, DateMode.COALESCED_INSTANT))
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def enrichment_promotion(spark, sf):
     return enrich.promote(views.enrichments(spark, sf)).drop("competitor_mentions", "rating")
