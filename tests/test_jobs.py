@@ -222,3 +222,25 @@ def test_stream_state_and_index(spark, store, tmp_path, monkeypatch):
     assert [(r.external_id, r.title) for r in rows] == [("a", "watch a"), ("b", "watch b"), (None, "no id"), ("c", "watch c")]
     found = fulltext.score_index(fulltext.read_index(spark, index), fulltext.match_all("watch")).collect()
     assert sorted(r.id for r in found) == [1, 2, 4]
+
+
+def test_documents_by_themselves_are_cleaned_stored_and_tagged(spark, store, tmp_path):
+    from voxlake.operators import fulltext
+
+    index = str(tmp_path / "index")
+    taxonomy = Taxonomy.of({"issues": ["battery"]})
+    docs = canonical(spark, [(1, "a", None, " Low  battery", "x\n\n y "), (2, "b", None, None, " [deleted] "), (3, "a", None, "again", "battery")])
+    docs = docs.withColumn("url", F.lit("HTTPS://Example.com/a/?utm_source=x"))
+    assert jobs.ingest_documents(store, docs, "reddit", now=NOW, taxonomy=taxonomy, index_path=index) == 2
+    assert jobs.ingest_documents(store, docs, "reddit", now=NOW, taxonomy=taxonomy, index_path=index) == 0
+    rows = store.read("documents").orderBy("id").collect()
+    assert [(r.external_id, r.title, r.body) for r in rows] == [("a", "Low battery", "x y"), ("b", "", "")]
+    assert json.loads(rows[0].raw_json)["ingestion_ts"] == dates_iso(NOW)
+    assert [(r.document_id, r.tag_value) for r in store.read("document_tags").collect()] == [(1, "battery")]
+    hits = fulltext.score_index(fulltext.read_index(spark, index), fulltext.match_all("battery"))
+    assert [r.id for r in hits.collect()] == [1]
+    assert store.read("ingestion_runs").isEmpty()
+
+
+def dates_iso(at):
+    return at.strftime("%Y-%m-%dT%H:%M:%S+00:00")

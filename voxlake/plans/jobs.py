@@ -126,16 +126,26 @@ def article_documents(crawled: DataFrame, *, start: Column, end: Column,
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """Single-document ingest clean-up: title spacing, removed bodies, URL."""
+    """Clean-up of documents that come by themselves: spacing of title and body, removed bodies, URL."""
     return docs.withColumns(
         {
             "title": clean_whitespace(F.col("title")),
-            "content": F.when(is_deleted(F.col("content")), F.lit("")).otherwise(F.col("content")),
+            "content": F.when(is_deleted(F.col("content")), F.lit("")).otherwise(clean_whitespace(F.col("content"))),
             "url": normalize_url(F.col("url")),
         }
     )
 
 
+def ingest_documents(store: Store, docs: DataFrame, platform: str, *, now: datetime, taxonomy: Taxonomy,
+                     index_path: str | None = None) -> int:
+    """Cleans canonical documents (with their `arrival`), stores the new ones and tags them as they are stored, all or
+    nothing; how many were new. There is no ledger row: nothing was fetched."""
+    with staging(store.spark):
+        cleaned = cut_lineage(clean_documents(docs))
+        source_id = ensure_source(store, platform, now=now)
+        return insert_documents(store, cleaned, source_id, now=now, taxonomy=taxonomy, index_path=index_path)
+
+
 # Platform refresh ----------------------------------------------------------------------------------
 @dataclass
 class Diagnostics:

@@ -537,7 +537,7 @@ WHERE published_at IS NULL OR epoch(published_at) BETWEEN 1705276800 AND 1706745
   CASE WHEN {deleted('text')} THEN 0 ELSE length(lower({clean('text')})) END AS tagging_chars, {hits('text', ('the', 'que', 'und'))} AS hits FROM (
   SELECT doc_id AS id, text FROM documents UNION ALL
   SELECT -conv_id * 100 - turn - 1, CASE turn WHEN 3 THEN ' [Removed]' || chr(10) WHEN 4 THEN 'N/A' ELSE text END FROM conversations)""",
-    "clean_documents": f"""SELECT page_id, {clean(_TITLE)} AS title, sha256(CASE WHEN page_id % 4 = 0 THEN '' ELSE html END) AS content, {_NORMALIZED} AS url FROM pages""",
+    "clean_documents": f"""SELECT page_id, {clean(_TITLE)} AS title, sha256(CASE WHEN page_id % 4 = 0 THEN '' ELSE {clean('html')} END) AS content, {_NORMALIZED} AS url FROM pages""",
     "run_metrics": _RUNS + f"""SELECT source_name AS platform, CAST(sum(records_fetched) AS BIGINT) AS fetched, CAST(sum(records_inserted) AS BIGINT) AS inserted,
   count(*) FILTER (WHERE status = 'failed') AS errors, {ts('max(completed_at)')} AS last_completed_at FROM runs GROUP BY 1""",
     "recent_runs": _RUNS + f"SELECT run_id, source_name, {ts('completed_at')} AS completed_at, status, records_fetched, records_inserted FROM runs ORDER BY run_id DESC LIMIT 10",
@@ -550,6 +550,15 @@ FROM runs, (VALUES (1, 'fetch'), (2, 'normalize'), (3, 'dedupe'), (4, 'insert'),
   CASE WHEN source_name <> 'error' THEN records_inserted ELSE 0 END AS records_inserted, CASE WHEN source_name <> 'error' THEN 2 ELSE 1 END AS event_seq FROM runs""",
     "snapshot_latest_valid": f"""SELECT event_type AS module, CAST(user_id AS VARCHAR) AS cache_key, event_id AS snapshot_id, props AS payload, {ts('ts')} AS created_at
 FROM events WHERE ts >= TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "ingest_cleaned_tagged": _with(
+        _POSTS, f"""cleaned AS (SELECT id AS external_id, {clean('title')} AS title,
+  CASE WHEN conv_id % 4 = 0 OR {deleted(_CONTENT)} THEN '' ELSE {clean(_CONTENT)} END AS body FROM posts)""",
+        _tags_view("found", "SELECT external_id AS id, concat_ws(' ', nullif(title, ''), nullif(body, '')) AS text FROM cleaned",
+                   ("product", "issue", "competitor", "feature")),
+        """joined AS (SELECT document_id AS external_id, string_agg(tag_type || ':' || tag_value, ',' ORDER BY tag_type || ':' || tag_value) AS tags
+  FROM found GROUP BY 1)""",
+    ) + """SELECT external_id, title, sha256(body) AS body_hash, coalesce(tags, '') AS tags, '2024-03-15T12:00:00+00:00' AS ingestion_ts
+FROM cleaned LEFT JOIN joined USING (external_id)""",
     "ingest_end_to_end": _STORED_REVIEWS + ", " + _STORED_POSTS + f""",
 stored AS (
   SELECT 1 AS source_id, 'post' AS entity_type, id AS external_id, CAST(NULL AS VARCHAR) AS dedupe_key, title, {_CONTENT} AS body, subreddit,

@@ -1073,6 +1073,21 @@ def ingest_end_to_end(spark, sf):
         "community_or_channel", "author", "rating", "published_at", "url", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
+@query
+def ingest_cleaned_tagged(spark, sf):
+    """Posts that come by themselves: cleaned, stored and tagged in one call, the last half of them twice."""
+    store = Store(spark, _scratch(spark))
+    docs = normalize.submissions(conversation_posts(spark, sf), keep=("arrival",))
+    docs = docs.withColumn("content", F.when(F.col("arrival") % 4 == 0, " [Removed]\n").otherwise(F.col("content")))
+    for part in (docs, docs.where("arrival % 2 = 1")):
+        jobs.ingest_documents(store, part, K.REDDIT, now=_clock(), taxonomy=views.TAXONOMY)
+    tags = store.read("document_tags").groupBy(F.col("document_id").alias("id")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "tag_type", "tag_value"))), ",").alias("tags"))
+    return store.read("documents").join(tags, "id", "left").select(
+        "external_id", "title", F.sha2("body", 256).alias("body_hash"), F.coalesce("tags", F.lit("")).alias("tags"),
+        F.get_json_object("raw_json", "$.ingestion_ts").alias("ingestion_ts"))
+
+
 @query
 def stored_ids(spark, sf):
     """Ids of the stored documents are gapless, in the order of the runs and within them of arrival."""
