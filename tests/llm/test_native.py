@@ -2,8 +2,10 @@ import zlib
 from collections import defaultdict
 
 import llm.data as data
+import pytest
 from pyspark.sql import functions as F
 
+from voxlake.llm import sharding
 from voxlake.llm.preference_format import parroting_pairs, preference_pairs
 from voxlake.llm.queries import URL_RULES
 from voxlake.llm.sharding import shards
@@ -100,8 +102,12 @@ def test_parroting_pairs(spark):
     assert parroting_pairs(df.limit(0)).count() == 0
 
 
-def test_shards_are_even_and_gapless(spark):
+@pytest.mark.parametrize("most", [sharding.MAX_RANGES, 3])
+def test_shards_are_even_and_gapless(spark, monkeypatch, most):
+    """With few ranges for many rows, every range is sliced; the hot text's slice is dealt by row number."""
+    monkeypatch.setattr(sharding, "MAX_RANGES", most)
     pairs = data.rows() + [(5000 + i, "the same text " * 9) for i in range(700)] + [(7, "again")] * 300
+    pairs += [(9000 + i, f"one of many {i // 3}") for i in range(6000 if most == 3 else 0)]
     got = shards(data.frame(spark, pairs), n_shards=8, range_rows=50).collect()
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=str) == sorted(
         ((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in pairs), key=str)
@@ -110,6 +116,11 @@ def test_shards_are_even_and_gapless(spark):
         slots[r["shard"]].append(r["slot"])
         sizes[r["shard"]] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    places = defaultdict(list)
+    for n, r in enumerate(sorted(got, key=lambda r: (r["shard"], r["slot"]))):
+        places[r["text_crc32"]].append(n)
+    few = [p for p in places.values() if len(p) == 3]
+    assert most != 3 or sum(max(p) - min(p) == 2 for p in few) > 0.9 * len(few) > 1500  # copies stay neighbours but for chance
     share, largest = sum(sizes.values()) / 8, max(r["size"] for r in got)
     assert all(abs(s - share) <= largest for s in sizes.values())
     assert shards(data.frame(spark, [])).count() == 0

@@ -2,7 +2,8 @@
 
 Rows are ordered by a hash of their text and their id, so equal texts are neighbours. A sample that takes a row with
 a chance in proportion to its size gives quantiles of this key as splitters; they cut the rows into many fine ranges.
-Ranges with too many rows (many equal texts) are subdivided by row number. Exact totals of the ranges, one small row
+Ranges with too many rows (many equal texts, or more rows than MAX_RANGES ranges of RANGE_ROWS hold) are subdivided:
+into even slices of their keys, and a slice with too many rows (equal texts) by row number. Exact totals of the ranges, one small row
 each, and running totals within each range then give every row its place among all bytes, and the places at which
 shards begin: each shard's bytes are within one row of an equal share.
 
@@ -21,6 +22,7 @@ from voxlake.llm.common import cut, whole
 
 SHARDS, OVERHEAD = 40, 16
 RANGE_ROWS, SAMPLE_ROWS = 50_000, 100_000
+MAX_RANGES = 1024  # splitters stand in the plan, so their number must not grow with the rows; parts do
 
 
 def _range_of(key: Column, splitters: list[int]) -> Column:
@@ -40,7 +42,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, range_rows: int = RANGE_ROWS
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row")))
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = max(8 * n_shards, math.ceil(count / range_rows))
+    ranges = max(8 * n_shards, min(MAX_RANGES, math.ceil(count / range_rows)))
     chance = F.pmod(F.xxhash64("row", F.lit("sample")), F.lit(1 << 40)) / (1 << 40)
     sample = rows.filter(chance * F.lit(max(total, 1)) < F.col("size") * SAMPLE_ROWS)
     found = sample.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
@@ -49,8 +51,13 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, range_rows: int = RANGE_ROWS
     opaque = (F.monotonically_increasing_id() * 0).cast("int")
     dealt = cut(rows.withColumn("range", _range_of(F.col("key"), sorted(set(found or []))) + opaque))
 
-    sizes = dealt.groupBy("range").agg(F.ceil(F.count("*") / range_rows).alias("parts"))
-    dealt = dealt.join(sizes, "range").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    sizes = dealt.groupBy("range").agg(F.ceil(F.count("*") / range_rows).alias("slices"), F.min("key").cast("double").alias("low"),
+                                       F.max("key").cast("double").alias("high"))
+    along = (F.col("key").cast("double") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1.0))
+    dealt = dealt.join(sizes, "range").withColumn("slice", F.least(F.floor(along * F.col("slices")), F.col("slices") - 1))
+    parts = dealt.groupBy("range", "slice").agg(F.ceil(F.count("*") / range_rows).alias("parts"))
+    dealt = dealt.drop("slices", "low", "high").join(parts, ["range", "slice"]).withColumn(
+        "part", F.struct("slice", F.pmod(F.xxhash64("row"), F.col("parts")).alias("number"))).drop("slice", "parts")
     totals = dealt.groupBy("range", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("range", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
