@@ -112,6 +112,20 @@ def test_stage_drops_copies_that_differ_in_many_bits(spark):
     assert kept == set(roots)
 
 
+def test_stage_finds_copies_by_fingerprints_alone(spark, monkeypatch):
+    """Without any candidate of the min-hashes, op1's components are verified: copies go, texts below 0.8 stay."""
+    walked = near._walked
+    monkeypatch.setattr(near, "_walked", lambda dealt, walk: (
+        walked(dealt, walk).filter("a is null") if walk is near.agreeing else walked(dealt, walk)))
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(3000)}" for _ in range(400)]
+    texts = [" ".join(words), " ".join(["edited", *words[1:]]), " ".join([*words[:-1], "edited"]), "ab ab ab ab", "ab " * 9]
+    prints = brute.components([brute.fingerprint(t) for t in texts])
+    assert prints == [0, 0, 0, 3, 3] and _components(texts) == [0, 0, 0, 3, 4]
+    kept = {r["doc_id"] for r in near_dedup_stage(spark, data.frame(spark, list(enumerate(texts))), "").collect()}
+    assert kept == {0, 3, 4}
+
+
 def test_more_bits_than_the_keys_cover_are_refused(spark):
     with pytest.raises(ValueError):
         simhash_dedup(data.frame(spark, [(1, "a")]), bits=5)

@@ -13,7 +13,8 @@ meet the blocks again, so texts are sent once, and once more for each block of s
 
 Fewer than five words are one shingle, null and empty texts are a shingle without words. A component's id is its
 smallest doc_id; null ids come into account only where a component has no other. first_copies names one row of each
-component by its id and text: the smallest id, and of the texts that share it the one of the smallest hash.
+component by its id and text: the smallest id, and of the texts that share it the one of the smallest hash. Candidate
+links (a, b) of another method may join coarse groups; they are verified like the others.
 """
 
 from __future__ import annotations
@@ -178,7 +179,7 @@ def _in_blocks(once: DataFrame, sizes: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node), and nodes with their component's root and their smallest doc_id, least."""
     text = whole(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
@@ -189,7 +190,8 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = nodes.select(F.explode("bands").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = _dealt(keys.join(shared, "key"), F.ceil(F.col("n") / CAP)).select("key", "node")
-    coarse = components(_walked(members.join(nodes.select("node", "payload"), "node"), agreeing))
+    likely = _walked(members.join(nodes.select("node", "payload"), "node"), agreeing)
+    coarse = components(likely if candidates is None else likely.unionByName(candidates))
     # roots have no row of their own in components' result
     group = cut(coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct()).join(
         nodes.select("node", "least", "size"), "node"))
@@ -215,8 +217,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return rows.join(labels, "node").select("doc_id", "component_id")
 
 
-def first_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and node (the text's hash) of one row of each component; rows that are equal in both are one."""
-    _, linked = _labelled(docs)
+def first_copies(docs: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """doc_id and node (the text's hash) of one row of each component; rows that are equal in both are one.
+
+    `candidates` are links (a, b) of nodes that are verified beside those of the min-hashes."""
+    _, linked = _labelled(docs, candidates)
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
     return linked.groupBy("root").agg(first.alias("first")).select(F.col("first.least").alias("doc_id"), "first.node")

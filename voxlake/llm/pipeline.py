@@ -13,6 +13,7 @@ from voxlake.llm.decontaminate import decontaminate
 from voxlake.llm.near_copies import first_copies
 from voxlake.llm.quality_rules import quality_rules
 from voxlake.llm.queries import ids_sha256, tokenizer_path
+from voxlake.llm.simhash_dedup import text_links
 from voxlake.llm.substring_dedup import substring_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,8 +30,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies stays: that of the smallest id (null ids come last), and of several texts
-    or rows with this id that of the smallest hash, or of the smallest lang and source."""
-    first = first_copies(docs).withColumnsRenamed({"doc_id": "own", "node": "h"})
+    or rows with this id that of the smallest hash, or of the smallest lang and source.
+
+    Candidates are op1's components of fingerprints and those of min-hashes; links are kept where the shingles have a
+    Jaccard similarity of 0.8 or more."""
+    first = first_copies(docs, text_links(docs)).withColumnsRenamed({"doc_id": "own", "node": "h"})
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole(F.col("text"))).alias("node"), "text",
                       "lang", "source").join(first, F.expr("doc_id <=> own and node = h"), "left_semi")
     once = own.groupBy("doc_id", "node").agg(F.min(F.struct("lang", "source")).alias("of"), F.first("text").alias("text"))

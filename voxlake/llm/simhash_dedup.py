@@ -63,7 +63,8 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         found = np.array([fingerprint(t.as_buffer().to_pybytes()) for t in part.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(found.view(np.int64))],
+                                         names=["doc_id", "node", "fp"])
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,16 +214,31 @@ def near_links(nodes: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
         "key").mapInArrow(_links(bits), "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each row."""
+def _labelled(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node, fp), node being the text's hash, and fingerprints with their component's root and their
+    smallest doc_id, least."""
     if bits > BITS:
         raise ValueError(f"the keys find all links of {BITS} bits, not of {bits}")
-    found = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, fp long"))
+    text = whole(F.col("text"))
+    found = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"),
+                            text.alias("text")).mapInArrow(_fingerprints, "doc_id long, node long, fp long"))
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(nodes, bits))
-    linked = nodes.join(roots, nodes.fp == roots.node, "left").select(
+    return found, nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def text_links(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (a, b) of the hashes of different texts: each of a component with the component's smallest one."""
+    found, linked = _labelled(docs, bits)
+    nodes = found.select("node", "fp").distinct().join(linked.select("fp", "root"), "fp").select("node", "root")
+    first = nodes.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    return nodes.join(first, "root").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def simhash_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of each row."""
+    found, linked = _labelled(docs, bits)
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = linked.join(ids, "root").select("fp", "component_id")
     return found.join(labels, "fp").select(
