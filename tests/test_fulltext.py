@@ -2,6 +2,7 @@ import random
 import re
 import sqlite3
 
+import pyarrow as pa
 import pytest
 
 from voxlake.operators import fulltext as ft
@@ -170,3 +171,33 @@ def test_index_grows_with_inserts_and_prunes_buckets(spark, store, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
     ft.write_index(whole, path)
     assert ids(ft.match_all("skoda"), ft.read_index(spark, path)) == [1]
+
+
+def test_postings_of_odd_texts_in_small_batches(spark, monkeypatch):
+    """Made in Arrow batches, cut where a batch has many words; ids may be null or come twice, texts may be null or empty."""
+    from voxlake.functions.text import fold
+
+    rows = [(i, None if i % 5 == 0 else f"É{i % 3} the", " ".join(["the", "Café", f"w{i % 4}", "the"] * (i % 6))) for i in range(40)]
+    rows += [(None, "the", None), (7, "the the", "x"), (7, "the the", "x"), (8, "", " "), (9, "\U00010428\U00010428b", "½ 三三")]
+    docs = spark.createDataFrame(rows, "id long, title string, body string").coalesce(1)
+    want = []
+    for doc, *texts in rows:
+        for in_title, text in zip((True, False), texts, strict=True):
+            words = fold(text or "")
+            want += [(ft.bucket_of(w), w, doc, in_title, words.count(w), [i for i, x in enumerate(words) if x == w])
+                     for w in dict.fromkeys(words)]
+    index = ft.build_index(docs)
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "array_sort" not in plan
+    columns = [c.split()[0] for c in ft.POSTINGS.split(", ")]
+    got = [tuple(r) for r in index.postings.select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    held = [[d, *(None if t is None or not t.isascii() else t.lower() for t in texts),
+             *(None if t is not None and t.isascii() else fold(t or "") for t in texts)] for d, *texts in rows]
+    cut = pa.table([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (
+        pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())), strict=True)],
+        names=["doc_id", "title", "body", "title_words", "body_words"])
+    monkeypatch.setattr(ft, "BATCH_BYTES", 100)
+    parts = list(ft._postings(iter([*cut.to_batches(), *cut.slice(0, 0).to_batches()])))
+    again = [tuple(r[c] for c in columns) for p in parts for r in p.to_pylist()]
+    assert len(parts) > 3 and sorted(again, key=str) == sorted(want, key=str)

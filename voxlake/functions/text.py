@@ -96,14 +96,23 @@ def accents() -> tuple[str, str]:
 ACCENTED, UNACCENTED = accents()
 
 
-def tokens(c: Column) -> Column:
-    """Search tokens: case and accents folded, runs of letters and digits."""
+def folded(c: Column) -> Column:
+    """Case and accents folded; the empty text for NULL."""
     lowered = F.lower(F.coalesce(c, F.lit("")))
     # Plain ASCII texts need no accent table.
-    folded = F.when(
+    return F.when(
         F.octet_length(lowered) > F.length(lowered), F.translate(lowered, ACCENTED, UNACCENTED)
     ).otherwise(lowered)
-    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def words_of(c: Column) -> Column:
+    """Runs of letters and digits of a folded text."""
+    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def tokens(c: Column) -> Column:
+    """Search tokens: case and accents folded, runs of letters and digits."""
+    return words_of(folded(c))
 
 
 def fold(text: str) -> list[str]:

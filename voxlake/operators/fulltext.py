@@ -13,25 +13,32 @@ merged into one (`merge_index`), so that their number grows with the logarithm o
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections import defaultdict
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
+from itertools import chain
 from typing import Any
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from voxlake import constants as K
 from voxlake.functions.dates import event_time, utc_text
-from voxlake.functions.text import fold, tokens
+from voxlake.functions.text import fold, folded, tokens, words_of
 from voxlake.operators.ranking import add_columns, beyond, narrow, page
 from voxlake.sources import files
 
 BUCKETS, BUCKET_LETTERS = 256, 2
+BATCH_BYTES = 1 << 21      # of an Arrow batch, texts of so many bytes are cut and sorted at once
+_ASCII_WORD = re.compile("[A-Za-z0-9]+")
 _WEIGHTS = {
     None: (K.TITLE_WEIGHT, K.CONTENT_WEIGHT + K.REVIEW_WEIGHT),
     "title": (K.TITLE_WEIGHT, 0.0),
@@ -252,40 +259,57 @@ def bucket_of(term: str) -> int:
     return crc32(term[:BUCKET_LETTERS].encode()) % BUCKETS
 
 
+def _postings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, title, body, title_words, body_words) each word of a column with its places, rising."""
+    for whole in parts:
+        n_bytes = sum(np.asarray(pc.fill_null(size(whole.column(c)), 0), np.int64) * of for size, c, of in (
+            (pc.binary_length, "title", 1), (pc.binary_length, "body", 1), (pc.list_value_length, "title_words", 8),
+            (pc.list_value_length, "body_words", 8)))
+        steps = np.flatnonzero(np.diff(np.cumsum(n_bytes) // BATCH_BYTES, prepend=0)).tolist()
+        for first, end in zip([0, *steps], [*steps, whole.num_rows], strict=True):
+            if first < end:
+                yield _batch_postings(whole.slice(first, end - first))
+
+
+def _batch_postings(part: pa.RecordBatch) -> pa.RecordBatch:
+    texts = [_ASCII_WORD.findall(text) if words is None else words for c in ("title", "body") for text, words in zip(
+        part.column(c).to_pylist(), part.column(f"{c}_words").to_pylist(), strict=True)]
+    size = np.array([len(words) for words in texts], np.int64)
+    # a text is a column of a row: the titles of all rows, then the bodies
+    text = np.repeat(np.arange(len(size)), size)
+    position = (np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    words = pa.array(chain.from_iterable(texts), pa.string()).dictionary_encode()
+    key = text * len(words.dictionary) + np.asarray(words.indices, np.int64)
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    own, at = text[order[starts]], pa.array(order[starts])
+    ends = np.append(starts, len(order))
+    buckets = pa.array([bucket_of(w) for w in words.dictionary.to_pylist()], pa.int32())
+    found = words.indices.take(at)
+    return pa.RecordBatch.from_arrays(
+        [words.dictionary.take(found), part.column("doc_id").take(pa.array(own % part.num_rows)),
+         pa.array(own < part.num_rows), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[order])),
+         buckets.take(found), pa.array(np.diff(ends))],
+        names=["term", "doc_id", "in_title", "positions", "bucket", "tf"])
+
+
 def build_index(documents: DataFrame) -> Index:
     """Postings per (term, document, column) with positions, and document lengths.
 
-    All places of a word in a document lie in one row, so postings are made row by row, from the sorted
-    words; nothing is shuffled before the index is written.
+    All places of a word in a document lie in one row, so postings are made row by row, in Arrow batches
+    of the texts' words; nothing is shuffled before the index is written.
     """
-    cut = documents.select(
-        F.col("id").alias("doc_id"), tokens(F.col("title")).alias("t"), tokens(F.col("body")).alias("b")
-    )
-    doc_stats = cut.select("doc_id", (F.size("t") + 2 * F.size("b")).cast("long").alias("dl"))
-
-    def grouped(column: str, in_title: bool) -> Column:
-        places = F.array_sort(F.transform(column, lambda w, i: F.struct(w.alias("term"), i.alias("position"))))
-
-        def of_runs(words: Column, starts: Column) -> Column:
-            return F.transform(starts, lambda a, k: F.struct(
-                F.get(words, a)["term"].alias("term"), F.lit(in_title).alias("in_title"),
-                F.transform(F.slice(words, a + 1, F.coalesce(F.get(starts, k + 1), F.size(words)) - a),
-                            lambda w: w["position"]).alias("positions")))
-
-        def runs(words: Column) -> Column:
-            starts = F.filter(F.transform(words, lambda w, i: F.when(
-                (i == 0) | (F.get(words, i - 1)["term"] != w["term"]), i)), lambda i: i.isNotNull())
-            # bound once, like the words
-            return F.flatten(F.transform(F.array(starts), lambda own: of_runs(words, own)))
-
-        return F.flatten(F.transform(F.array(places), runs))
-
-    postings = (
-        cut.select("doc_id", F.inline(F.concat(grouped("t", True), grouped("b", False))))
-        .select("term", "doc_id", "in_title", "positions")
-        .withColumn("bucket", (F.crc32(F.encode(F.substring("term", 1, BUCKET_LETTERS), "UTF-8")) % BUCKETS).cast("int"))
-        .withColumn("tf", F.size("positions").cast("long"))
-    )
+    doc_id = F.col("id").alias("doc_id")
+    doc_stats = documents.select(
+        doc_id, (F.size(tokens(F.col("title"))) + 2 * F.size(tokens(F.col("body")))).cast("long").alias("dl"))
+    # ASCII texts are cut in the batches, others come as words
+    texts = documents.select(doc_id, folded(F.col("title")).alias("title"), folded(F.col("body")).alias("body"))
+    beyond_ascii = {c: F.octet_length(c) > F.length(c) for c in ("title", "body")}
+    cut = texts.select("doc_id", *(F.when(~own, F.col(c)).alias(c) for c, own in beyond_ascii.items()),
+                       *(F.when(own, words_of(F.col(c))).alias(f"{c}_words") for c, own in beyond_ascii.items()))
+    id_type = cut.schema["doc_id"].dataType.simpleString()
+    postings = cut.mapInArrow(
+        _postings, f"term string, doc_id {id_type}, in_title boolean, positions array<int>, bucket int, tf long")
     corpus = doc_stats.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_length"))
     return Index(postings, doc_stats, corpus)
 

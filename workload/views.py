@@ -67,7 +67,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id AS id",
         "1 + doc_id % 3 AS source_id",
         "cast(doc_id AS string) AS external_id",
-        "split_part(text, '\n', 1) AS title",
+        "substring_index(text, '\n', 1) AS title",
         "text AS body",
         "concat('user', doc_id % 97) AS author",
         f"concat('https://', {_PLATFORM}, '.example.com/reviews/', doc_id) AS url",
