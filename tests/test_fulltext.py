@@ -201,3 +201,30 @@ def test_postings_of_odd_texts_in_small_batches(spark, monkeypatch):
     parts = list(ft._postings(iter([*cut.to_batches(), *cut.slice(0, 0).to_batches()])))
     again = [tuple(r[c] for c in columns) for p in parts for r in p.to_pylist()]
     assert len(parts) > 3 and sorted(again, key=str) == sorted(want, key=str)
+
+
+def test_a_written_part_reads_each_text_once_for_postings(spark, monkeypatch, tmp_path):
+    """Nothing is sampled before the write; lengths come from Arrow batches and equal the number of words, the body twice."""
+    from voxlake.functions.text import fold
+
+    rows = [(i, None if i % 5 == 0 else f"É{i % 3} the-", " ".join(["the", "Café", f"-w{i % 4}", "the."] * (i % 6))) for i in range(40)]
+    rows += [(None, "the", None), (40, "", " "), (41, "\U00010428\U00010428b", "½ 三三"), (42, "x", "x"), (43, "-", "_")]
+    docs = spark.createDataFrame(rows, "id long, title string, body string").repartition(4)
+    seen, postings = tmp_path / "seen", ft._postings
+    seen.mkdir()
+
+    def counted(parts):
+        import uuid
+
+        for part in parts:
+            (seen / uuid.uuid4().hex).write_text(" ".join(map(str, part.column("doc_id").to_pylist())))
+            yield from postings(iter([part]))
+
+    monkeypatch.setattr(ft, "_postings", counted)
+    ft.write_index(ft.build_index(docs), str(tmp_path / "once"))
+    assert sorted(w for f in seen.iterdir() for w in f.read_text().split()) == sorted(str(r[0]) for r in rows)
+    index = ft.read_index(spark, str(tmp_path / "once"))
+    want = [(d, len(fold(t or "")) + 2 * len(fold(b or ""))) for d, t, b in rows]
+    assert sorted(map(tuple, index.doc_stats.collect()), key=str) == sorted(want, key=str)
+    n = sum(len(set(fold(t or ""))) + len(set(fold(b or ""))) for _, t, b in rows)
+    assert index.postings.count() == n

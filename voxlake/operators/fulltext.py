@@ -13,7 +13,6 @@ merged into one (`merge_index`), so that their number grows with the logarithm o
 
 from __future__ import annotations
 
-import re
 import time
 import uuid
 from collections import defaultdict
@@ -21,7 +20,6 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
-from itertools import chain
 from typing import Any
 from zlib import crc32
 
@@ -38,7 +36,7 @@ from voxlake.sources import files
 
 BUCKETS, BUCKET_LETTERS = 256, 2
 BATCH_BYTES = 1 << 21      # of an Arrow batch, texts of so many bytes are cut and sorted at once
-_ASCII_WORD = re.compile("[A-Za-z0-9]+")
+_ASCII_WORD = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 _WEIGHTS = {
     None: (K.TITLE_WEIGHT, K.CONTENT_WEIGHT + K.REVIEW_WEIGHT),
     "title": (K.TITLE_WEIGHT, 0.0),
@@ -271,45 +269,88 @@ def _postings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch_postings(whole.slice(first, end - first))
 
 
+def _ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs of letters and digits of ASCII texts (null: none), and of each the place of its text."""
+    texts = pc.fill_null(texts, "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return pa.array([], pa.string()), np.empty(0, np.int64)
+    letters = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    kept = _ASCII_WORD[letters]
+    opens = kept & ~np.concatenate(([False], kept[:-1]))
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    opens[first] = kept[first]
+    starts = np.flatnonzero(opens)
+    letters = letters[kept]
+    offsets = np.append(np.cumsum(kept, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
+    return (pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)),
+            np.searchsorted(ends[1:], starts, "right"))
+
+
 def _batch_postings(part: pa.RecordBatch) -> pa.RecordBatch:
-    texts = [_ASCII_WORD.findall(text) if words is None else words for c in ("title", "body") for text, words in zip(
-        part.column(c).to_pylist(), part.column(f"{c}_words").to_pylist(), strict=True)]
-    size = np.array([len(words) for words in texts], np.int64)
-    # a text is a column of a row: the titles of all rows, then the bodies
-    text = np.repeat(np.arange(len(size)), size)
-    position = (np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-    words = pa.array(chain.from_iterable(texts), pa.string()).dictionary_encode()
-    key = text * len(words.dictionary) + np.asarray(words.indices, np.int64)
-    order = np.argsort(key, kind="stable")
+    """Rows by bucket, term and place in the batch: the sort before the write finds long runs."""
+    # a text is a column of a row: title and body of the first row, of the second, ...
+    found, texts = [], []
+    for side, c in enumerate(("title", "body")):
+        own, listed = _ascii_words(part.column(c)), part.column(f"{c}_words")
+        found += [own[0], pc.list_flatten(listed).cast(pa.string())]
+        texts += [2 * own[1] + side, 2 * np.asarray(pc.list_parent_indices(listed), np.int64) + side]
+    words, text = pa.concat_arrays(found).dictionary_encode(), np.concatenate(texts)
+    openings = pc.utf8_slice_codeunits(words.dictionary, 0, BUCKET_LETTERS).dictionary_encode()
+    bucket = np.array([bucket_of(w) for w in openings.dictionary.to_pylist()], np.int32)[np.asarray(openings.indices)]
+    by_term = np.asarray(pc.sort_indices(words.dictionary), np.int64)
+    by_bucket = by_term[np.argsort(bucket[by_term], kind="stable")]
+    rank = np.empty(len(by_bucket), np.int64)
+    rank[by_bucket] = np.arange(len(by_bucket))
+    place = np.arange(len(text))
+    starts = np.flatnonzero(np.diff(text, prepend=-1))
+    position = (place - np.repeat(starts, np.diff(starts, append=len(text)))).astype(np.int32)
+    key = rank[np.asarray(words.indices)] * (2 * part.num_rows) + text
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits < 63:
+        order = np.sort(key << bits | place) & ((1 << bits) - 1)
+    else:
+        order = np.argsort(key, kind="stable")
     starts = np.flatnonzero(np.diff(key[order], prepend=-1))
     own, at = text[order[starts]], pa.array(order[starts])
     ends = np.append(starts, len(order))
-    buckets = pa.array([bucket_of(w) for w in words.dictionary.to_pylist()], pa.int32())
     found = words.indices.take(at)
     return pa.RecordBatch.from_arrays(
-        [words.dictionary.take(found), part.column("doc_id").take(pa.array(own % part.num_rows)),
-         pa.array(own < part.num_rows), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[order])),
-         buckets.take(found), pa.array(np.diff(ends))],
+        [words.dictionary.take(found), part.column("doc_id").take(pa.array(own // 2)), pa.array(own % 2 == 0),
+         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[order])),
+         pa.array(bucket).take(found), pa.array(np.diff(ends))],
         names=["term", "doc_id", "in_title", "positions", "bucket", "tf"])
 
 
+def _lengths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, title, body, beyond), beyond being the length of the columns that are null here, the whole length."""
+    for part in parts:
+        dl = np.array(part.column("beyond"), np.int64)
+        for c, weight in (("title", 1), ("body", 2)):
+            dl += weight * np.bincount(_ascii_words(part.column(c))[1], minlength=part.num_rows)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(dl)], names=["doc_id", "dl"])
+
+
 def build_index(documents: DataFrame) -> Index:
     """Postings per (term, document, column) with positions, and document lengths.
 
     All places of a word in a document lie in one row, so postings are made row by row, in Arrow batches
     of the texts' words; nothing is shuffled before the index is written.
     """
-    doc_id = F.col("id").alias("doc_id")
-    doc_stats = documents.select(
-        doc_id, (F.size(tokens(F.col("title"))) + 2 * F.size(tokens(F.col("body")))).cast("long").alias("dl"))
-    # ASCII texts are cut in the batches, others come as words
-    texts = documents.select(doc_id, folded(F.col("title")).alias("title"), folded(F.col("body")).alias("body"))
+    # ASCII texts are cut in the batches, others come as words, or as their number
+    texts = documents.select(
+        F.col("id").alias("doc_id"), folded(F.col("title")).alias("title"), folded(F.col("body")).alias("body"))
     beyond_ascii = {c: F.octet_length(c) > F.length(c) for c in ("title", "body")}
-    cut = texts.select("doc_id", *(F.when(~own, F.col(c)).alias(c) for c, own in beyond_ascii.items()),
-                       *(F.when(own, words_of(F.col(c))).alias(f"{c}_words") for c, own in beyond_ascii.items()))
+    ascii_texts = [F.when(~own, F.col(c)).alias(c) for c, own in beyond_ascii.items()]
+    cut = texts.select("doc_id", *ascii_texts, *(
+        F.when(own, words_of(F.col(c))).alias(f"{c}_words") for c, own in beyond_ascii.items()))
+    n_title, n_body = (F.when(own, F.size(words_of(F.col(c)))).otherwise(0) for c, own in beyond_ascii.items())
     id_type = cut.schema["doc_id"].dataType.simpleString()
     postings = cut.mapInArrow(
         _postings, f"term string, doc_id {id_type}, in_title boolean, positions array<int>, bucket int, tf long")
+    doc_stats = texts.select("doc_id", *ascii_texts, (n_title + 2 * n_body).cast("long").alias("beyond")).mapInArrow(
+        _lengths, f"doc_id {id_type}, dl long")
     corpus = doc_stats.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_length"))
     return Index(postings, doc_stats, corpus)
 
@@ -327,12 +368,13 @@ def new_part() -> str:
 def stage_part(postings: DataFrame, doc_stats: DataFrame, path: str, part: str) -> dict[str, Any]:
     """Writes a part that no manifest names yet, and returns its entry for one.
 
-    Buckets follow the term, so that a query opens only its own. Ranges are cut by document too: the
-    bucket of a common term becomes many even files, each sorted by term.
+    Buckets follow the term, so that a query opens only its own. Rows are dealt by bucket, and what is too
+    large of that is cut by size: the bucket of a common term becomes many even files, each sorted by term.
+    Nothing is sampled for this, so the postings are made once.
     """
     spark = doc_stats.sparkSession
     order = ["bucket", "term", "doc_id"]
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
+    postings.hint("rebalance", "bucket").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path}/postings/part={part}")
     doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats/part={part}")
     n, length = spark.read.schema(DOC_STATS).parquet(f"{path}/doc_stats/part={part}").agg(

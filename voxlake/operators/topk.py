@@ -81,7 +81,7 @@ def add_impacts(spark: SparkSession, path: str) -> list[str]:
         if name in there:
             continue
         made = _postings(fulltext.read_index(spark, path, [own]))
-        made.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
+        made.hint("rebalance", "bucket").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
             f"{path}/impacts/part={name}")
         _stats(spark.read.schema(POSTINGS).parquet(f"{path}/impacts/part={name}")).repartitionByRange(
             *order[:3]).sortWithinPartitions(*order[:3]).write.mode("overwrite").parquet(f"{path}/impact_stats/part={name}")
