@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,36 @@ def test_dense_bucket_and_chain(spark):
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+def test_keys_are_sorted_once_and_large_buckets_passed_on():
+    """Keys come in pieces; those with over cap fingerprints are handed on whole, the others linked as before."""
+    rnd = np.random.default_rng(5)
+    key = np.sort(np.concatenate([np.repeat([3, 900, 901], [700, 650, 40]), rnd.integers(0, 1000, 900)]))
+    fp = rnd.integers(0, 1 << 12, len(key)).astype(np.int64)
+    parts = [pa.RecordBatch.from_arrays([pa.array(key[i:i + 64]), pa.array(fp[i:i + 64])], names=["key", "fp"])
+             for i in range(0, len(key), 64)]
+    for rows in (200, 10_000):
+        whole = list(sim._whole_keys(iter(parts), 100, rows))
+        assert np.array_equal(np.concatenate([k for k, _ in whole]), key)
+        links, passed = set(), []
+        for batch in sim._links(4, 100, rows=rows)(iter(parts)):
+            for row in batch.to_pylist():
+                if row["key"] is None:
+                    links.add((row["a"], row["b"]))
+                else:
+                    passed.append((row["key"], row["a"]))
+        large = np.isin(key, [k for k, n in zip(*np.unique(key, return_counts=True)) if n > 100])
+        assert sorted(passed) == sorted(zip(key[large].tolist(), fp[large].tolist()))
+        left = [pa.RecordBatch.from_arrays([pa.array(key[~large]), pa.array(fp[~large])], names=["key", "fp"])]
+        assert links == {(r["a"], r["b"]) for b in sim._links(4)(iter(left)) for r in b.to_pylist()}
+
+
+def test_keys_are_neither_counted_nor_joined(spark):
+    nodes = spark.range(50).selectExpr("id as fp")
+    plan = sim.near_links(nodes)._jdf.queryExecution().executedPlan().toString()
+    # what is joined are fingerprints that were passed on, from the checkpoint
+    assert "MapInArrow _keys" not in plan and "Scan ExistingRDD" in plan
+
+
 def test_components_of_empty_and_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     links = [(i, 7) for i in range(50)] + [(100 + i, 101 + i) for i in range(40)] + [(3, 3)]

@@ -13,8 +13,9 @@ nearest codeword serves in the first and the other's in the second, and only tri
 them are needed. That is about 100 keys of 30 to 36 bits for each different fingerprint, so that chance companions
 stay rare. Fingerprints that share a key are compared, and links are kept from 4 bits down.
 
-A bucket of a key is walked breadth first in one task and gives links to its components' first members only,
-never pairs. A bucket with more than CAP fingerprints is dealt as pairs of blocks, so a task holds at most two.
+Keys are sorted once and never counted or joined, as most have one fingerprint only. A bucket of a key is walked
+breadth first in one task and gives links to its components' first members only, never pairs. A bucket with more than
+CAP fingerprints is passed on piece by piece and dealt as pairs of blocks, so a task holds at most two.
 
 Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are one node, so
 copies cost nothing beyond their fingerprint. A component's id is its smallest doc_id; null ids come into
@@ -155,13 +156,22 @@ def star_links(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[at], fp[root[at]]
 
 
-def _links(bits: int, small: int = 24):
+def _links(bits: int, cap: int | None = None, small: int = 24, rows: int = 200_000):
+    """Links (a, b) of the fingerprints of each key; of a key with over `cap` the fingerprints a, with their key."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp in _whole_keys(parts):
+        passed = None
+        for key, fp in _whole_keys(parts, cap, rows):
             links = [(fp[:0], fp[:0])]
             change = np.flatnonzero(np.diff(key)) + 1
             start = np.concatenate(([0], change))
             size = np.diff(np.concatenate((start, [len(key)])))
+            over = np.zeros(len(size), bool) if cap is None else (size > cap) | (key[start] == passed)
+            if over.any():
+                passed = key[start[over][-1]]
+                on = np.repeat(over, size)
+                yield _link_rows(fp[on], None, key[on])
+                key, fp, size = key[~on], fp[~on], size[~over]
+                start = np.cumsum(size) - size
             big = np.repeat(size > small, size)
             for step in range(1, min(small, len(key))):
                 at = np.flatnonzero((key[step:] == key[:-step]) & ~big[step:])
@@ -171,14 +181,22 @@ def _links(bits: int, small: int = 24):
                 links.append((fp[at + step], fp[at]))
             for s, n in zip(start[size > small].tolist(), size[size > small].tolist(), strict=True):
                 links.append(star_links(np.unique(fp[s:s + n]), bits))
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*links, strict=True))
+            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
             pairs = np.unique(np.stack((a, b)), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            yield _link_rows(pairs[0], pairs[1], None)
     return run
 
 
-def _whole_keys(parts: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches sorted by key, as arrays that hold all of a key's rows."""
+def _link_rows(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a.view(np.int64)), none if b is None else pa.array(b.view(np.int64)), none if key is None else pa.array(key)],
+        names=["a", "b", "key"])
+
+
+def _whole_keys(parts: Iterator[pa.RecordBatch], cap: int | None, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches sorted by key, as arrays that hold all of a key's rows; with a cap, a longer key may come in pieces, of
+    which the first is longer than the cap."""
     keys, fps = [], []
 
     def joined() -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +208,8 @@ def _whole_keys(parts: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterato
         if sum(map(len, keys)) >= rows:
             key, fp = joined()
             end = int(np.searchsorted(key, key[-1], "left"))
+            if cap is not None and len(key) - end > cap:
+                end = len(key)
             keys, fps = [key[end:]], [fp[end:].view(np.int64)]
             if end:
                 yield key[:end], fp[:end]
@@ -199,19 +219,22 @@ def _whole_keys(parts: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterato
 
 def near_links(nodes: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
     """Links (a, b) that connect all fingerprints `fp` of nodes within that many bits, without the pairs."""
+    def walked(rows: DataFrame, most: int | None) -> DataFrame:
+        return rows.select("key", "fp").repartition(partitions(nodes), "key").sortWithinPartitions("key").mapInArrow(
+            _links(bits, most), "a long, b long, key long")
+
     # few bytes become many keys: dealt evenly first, by an expression that the grouping before does not deal by
     keys = nodes.select("fp").repartition(partitions(nodes), F.xxhash64("fp")).mapInArrow(_keys, "key long, fp long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    first = cut(walked(keys, cap).distinct())
+    passed = first.filter("key is not null").select("key", F.col("a").alias("fp"))
     blocks = F.ceil(F.col("n") / cap).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    # a row of block i goes to the pairs (i, 0), (i, 1), ...; one block: to (0, 0)
+    # a row of block i goes to the pairs (i, 0), (i, 1), ...
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("own"), j) * F.col("blocks")
                         + F.greatest(F.col("own"), j))
-    dealt = keys.join(shared, "key").withColumn("blocks", blocks).withColumn("own", own).select(
-        "fp", F.col("key").alias("bucket"), F.explode(meets).alias("pair"))
-    return dealt.withColumn("key", F.when(F.col("pair") == 0, F.col("bucket")).otherwise(
-        F.xxhash64("bucket", "pair"))).select("key", "fp").repartition(partitions(nodes), "key").sortWithinPartitions(
-        "key").mapInArrow(_links(bits), "a long, b long")
+    dealt = passed.join(passed.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("blocks", blocks).withColumn(
+        "own", own).select("fp", "key", F.explode(meets).alias("pair")).withColumn("key", F.xxhash64("key", "pair"))
+    return first.filter("key is null").unionByName(walked(dealt, None)).select("a", "b")
 
 
 def _labelled(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
