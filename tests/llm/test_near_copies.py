@@ -129,3 +129,32 @@ def test_stage_finds_copies_by_fingerprints_alone(spark, monkeypatch):
 def test_more_bits_than_the_keys_cover_are_refused(spark):
     with pytest.raises(ValueError):
         simhash_dedup(data.frame(spark, [(1, "a")]), bits=5)
+
+
+def test_a_group_is_walked_as_a_whole(spark):
+    """Rows that a join has dealt by the same key are dealt for the walk nevertheless: the join's shuffle may be read in pieces."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = spark.createDataFrame([(1, 2, "a b"), (1, 3, "a b")], "key long, node long, payload string")
+        sizes = spark.createDataFrame([(1,)], "key long")
+        walked = near._walked(nodes.join(sizes, "key"), near.similar)
+        plan = walked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3 and "REPARTITION_BY_NUM" in plan
+        assert [tuple(r) for r in walked.collect()] == [(3, 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_of_a_stage_are_shuffled_once(spark):
+    """The rows that stay are dealt by their key for the join, and not again for leaving out equal rows."""
+    docs = spark.createDataFrame([(1, "a b", "en", "x"), (1, "a b", "de", "x"), (None, "c", "en", "y"), (None, "c", None, "y"), (2, None, "en", "z")],
+                                 "doc_id long, text string, lang string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near_dedup_stage(spark, docs, "")
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([
+            (1, "a b", "de", "x", 3), (None, "c", None, "y", 1), (2, None, "en", "z", None)], key=str)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(no_id" in plan and "hashpartitioning(doc_id" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

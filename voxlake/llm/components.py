@@ -19,12 +19,15 @@ def components(links: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # a > b in every edge; nothing is made distinct before the end of a round, so each step is one exchange
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+                            .alias("e")).select("e.a", "e.b")
         smallest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(smallest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(smallest, "a").select(
+            F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        edges = cut(small.filter("a <> b").distinct())
         before, state = state, _state(edges)
         if before == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

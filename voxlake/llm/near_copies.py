@@ -150,8 +150,10 @@ def _dealt(members: DataFrame, blocks: Column) -> DataFrame:
 
 
 def _walked(dealt: DataFrame, walk: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    # by an expression that no join before deals by: Spark drops a second dealing by the same key, and adaptive planning,
+    # which knows nothing of the walk, may then read the join's own shuffle piece by piece and part a key's rows
     return dealt.select("key", "node", F.col("payload").cast("binary").alias("payload")).repartition(
-        partitions(dealt), "key").sortWithinPartitions("key", "node").mapInArrow(_linked(walk), "a long, b long")
+        partitions(dealt), F.xxhash64("key")).sortWithinPartitions("key", "node").mapInArrow(_linked(walk), "a long, b long")
 
 
 def _in_blocks(once: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -179,6 +181,11 @@ def _in_blocks(once: DataFrame, sizes: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def with_id_key(rows: DataFrame, name: str) -> DataFrame:
+    """Adds an id that may be null as two columns that are not: no_id, and id (0 for null)."""
+    return rows.withColumns({"no_id": F.col(name).isNull(), "id": F.coalesce(name, F.lit(0).cast("long"))})
+
+
 def _labelled(docs: DataFrame, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node), and nodes with their component's root and their smallest doc_id, least."""
     text = whole(F.col("text"))
@@ -198,10 +205,9 @@ def _labelled(docs: DataFrame, candidates: DataFrame | None = None) -> tuple[Dat
     blocks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("size") / GROUP_BYTES)).cast("int")
     sizes = cut(group.groupBy("root").agg(blocks.alias("blocks")))
     # by node and id: the copies of a text are many rows, of which one is sent on
-    texts = rows.withColumnRenamed("doc_id", "least").join(
-        group.select("node", F.col("least").alias("own"), "root"),
-        F.expr("least <=> own") & (rows.node == group.node)).select(rows.node, "root", "text")
-    once = cut(texts.groupBy("node", "root").agg(F.first("text").alias("payload")))
+    key = ["no_id", "id", "node"]
+    texts = with_id_key(rows, "doc_id").select(*key, "text").join(with_id_key(group, "least").select(*key, "root"), key)
+    once = cut(texts.groupBy(*key, "root").agg(F.first("text").alias("payload")).select("node", "root", "payload"))
     small = once.join(sizes.filter("blocks = 1"), "root").withColumnRenamed("root", "key")
     links = _walked(small, similar).unionByName(_in_blocks(once, sizes.filter("blocks > 1")))
     roots = components(links)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxlake.llm.bpe import bpe_round_trip
 from voxlake.llm.common import cut, whole
 from voxlake.llm.decontaminate import decontaminate
-from voxlake.llm.near_copies import first_copies
+from voxlake.llm.near_copies import first_copies, with_id_key
 from voxlake.llm.quality_rules import quality_rules
 from voxlake.llm.queries import ids_sha256, tokenizer_path
 from voxlake.llm.simhash_dedup import text_links
@@ -34,11 +34,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Candidates are op1's components of fingerprints and those of min-hashes; links are kept where the shingles have a
     Jaccard similarity of 0.8 or more."""
-    first = first_copies(docs, text_links(docs)).withColumnsRenamed({"doc_id": "own", "node": "h"})
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole(F.col("text"))).alias("node"), "text",
-                      "lang", "source").join(first, F.expr("doc_id <=> own and node = h"), "left_semi")
-    once = own.groupBy("doc_id", "node").agg(F.min(F.struct("lang", "source")).alias("of"), F.first("text").alias("text"))
-    return _documents(once.select("doc_id", "text", "of.lang", "of.source"), F.col("text"))
+    # texts are dealt once: null ids have columns of their own, by which rows are joined and grouped alike
+    key = ["no_id", "id", "node"]
+    first = with_id_key(first_copies(docs, text_links(docs)), "doc_id").select(*key)
+    own = with_id_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole(F.col("text"))).alias("node"),
+                                  "text", "lang", "source"), "doc_id").drop("doc_id").join(first, key, "left_semi")
+    once = own.groupBy(*key).agg(F.min(F.struct("lang", "source")).alias("of"), F.first("text").alias("text"))
+    return _documents(once.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "text", "of.lang", "of.source"),
+                      F.col("text"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
