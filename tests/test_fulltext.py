@@ -228,3 +228,45 @@ def test_a_written_part_reads_each_text_once_for_postings(spark, monkeypatch, tm
     assert sorted(map(tuple, index.doc_stats.collect()), key=str) == sorted(want, key=str)
     n = sum(len(set(fold(t or ""))) + len(set(fold(b or ""))) for _, t, b in rows)
     assert index.postings.count() == n
+
+
+def _counted(docs, seen):
+    """The same documents; a file in `seen` for each batch that is read of them."""
+    seen.mkdir()
+
+    def noted(parts):
+        import uuid
+
+        for part in parts:
+            (seen / uuid.uuid4().hex).write_text(" ".join(map(str, part.column("id").to_pylist())))
+            yield part
+
+    return docs.mapInArrow(noted, docs.schema)
+
+
+def _read(seen):
+    return sorted(w for f in seen.iterdir() for w in f.read_text().split())
+
+
+ODD = [(i, None if i % 5 == 0 else f"É{i % 3} the-", " ".join(["the", "Café", f"-w{i % 4}", "the."] * (i % 6))) for i in range(40)]
+ODD += [(None, "the", None), (7, "the w1", "x"), (40, "", " "), (41, "\U00010428\U00010428b", "½ 三三"), (42, None, None), (43, "-", "_")]
+
+
+def test_a_written_part_reads_each_text_once_for_all_it_holds(spark, tmp_path):
+    """Lengths come out of the pass that makes the postings, and are not among these when they are read."""
+    from voxlake.functions.text import fold
+
+    docs = spark.createDataFrame(ODD, "id long, title string, body string").repartition(4)
+    path = str(tmp_path / "index")
+    ft.write_index(ft.build_index(_counted(docs, tmp_path / "seen")), path)
+    assert _read(tmp_path / "seen") == sorted(str(r[0]) for r in ODD)
+    index = ft.read_index(spark, path)
+    want = [(d, len(fold(t or "")) + 2 * len(fold(b or ""))) for d, t, b in ODD]
+    assert sorted(map(tuple, index.doc_stats.collect()), key=str) == sorted(want, key=str)
+    assert index.corpus.first()["total_length"] == sum(n for _, n in want)
+    assert index.postings.where("bucket < 0 or term is null").count() == 0
+    assert index.postings.count() == sum(len(set(fold(t or ""))) + len(set(fold(b or ""))) for _, t, b in ODD)
+    empty = str(tmp_path / "empty")
+    ft.write_index(ft.build_index(docs.where("id < 0")), empty)
+    assert ft.read_index(spark, empty).corpus.first()["n_docs"] == 0
+    assert ft.score_index(ft.read_index(spark, empty), ft.match_all("the")).collect() == []

@@ -19,7 +19,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 from zlib import crc32
 
@@ -35,6 +35,7 @@ from voxlake.operators.ranking import add_columns, beyond, narrow, page
 from voxlake.sources import files
 
 BUCKETS, BUCKET_LETTERS = 256, 2
+LENGTHS = -1               # the bucket of rows that hold a document's length as their tf, where these come with the postings
 BATCH_BYTES = 1 << 21      # of an Arrow batch, texts of so many bytes are cut and sorted at once
 _ASCII_WORD = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 _WEIGHTS = {
@@ -250,6 +251,7 @@ class Index:
     postings: DataFrame    # bucket, term, doc_id, in_title, tf, positions
     doc_stats: DataFrame   # doc_id, dl
     corpus: DataFrame      # one row: n_docs, total_length
+    made: DataFrame | None = None    # of an index that is not written: postings, and lengths in bucket LENGTHS, by one pass over the texts
 
 
 def bucket_of(term: str) -> int:
@@ -269,19 +271,26 @@ def _postings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch_postings(whole.slice(first, end - first))
 
 
-def _ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The runs of letters and digits of ASCII texts (null: none), and of each the place of its text."""
+def _ascii_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of ASCII texts (null: none) put together: the letters, which of them are of a word, where words start and where texts end."""
     texts = pc.fill_null(texts, "")
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
     if ends[0] == ends[-1]:
-        return pa.array([], pa.string()), np.empty(0, np.int64)
+        return np.empty(0, np.uint8), np.empty(0, bool), np.empty(0, np.int64), ends - ends[0]
     letters = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]:ends[-1]]
     ends = ends - ends[0]
     kept = _ASCII_WORD[letters]
     opens = kept & ~np.concatenate(([False], kept[:-1]))
     first = ends[:-1][ends[:-1] < ends[1:]]
     opens[first] = kept[first]
-    starts = np.flatnonzero(opens)
+    return letters, kept, np.flatnonzero(opens), ends
+
+
+def _ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs of letters and digits of ASCII texts (null: none), and of each the place of its text."""
+    letters, kept, starts, ends = _ascii_runs(texts)
+    if not len(letters):
+        return pa.array([], pa.string()), np.empty(0, np.int64)
     letters = letters[kept]
     offsets = np.append(np.cumsum(kept, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
     return (pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)),
@@ -323,36 +332,56 @@ def _batch_postings(part: pa.RecordBatch) -> pa.RecordBatch:
         names=["term", "doc_id", "in_title", "positions", "bucket", "tf"])
 
 
-def _lengths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc_id, title, body, beyond), beyond being the length of the columns that are null here, the whole length."""
+def _lengths(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Of the same rows the length of each document, as rows of the bucket LENGTHS."""
+    dl = np.zeros(part.num_rows, np.int64)
+    for c, weight in (("title", 1), ("body", 2)):
+        _, _, starts, ends = _ascii_runs(part.column(c))
+        listed = pc.fill_null(pc.list_value_length(part.column(f"{c}_words")), 0)
+        dl += weight * (np.diff(np.searchsorted(starts, ends)) + np.asarray(listed, np.int64))
+    n = part.num_rows
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(n, pa.string()), part.column("doc_id"), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.list_(pa.int32())),
+         pa.array(np.full(n, LENGTHS, np.int32)), pa.array(dl)],
+        names=["term", "doc_id", "in_title", "positions", "bucket", "tf"])
+
+
+def _made(postings: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+          parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        dl = np.array(part.column("beyond"), np.int64)
-        for c, weight in (("title", 1), ("body", 2)):
-            dl += weight * np.bincount(_ascii_words(part.column(c))[1], minlength=part.num_rows)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(dl)], names=["doc_id", "dl"])
+        yield from postings(iter([part]))
+        yield _lengths(part)
 
 
 def build_index(documents: DataFrame) -> Index:
     """Postings per (term, document, column) with positions, and document lengths.
 
     All places of a word in a document lie in one row, so postings are made row by row, in Arrow batches
-    of the texts' words; nothing is shuffled before the index is written.
+    of the texts' words; nothing is shuffled before the index is written. Lengths come out of the same batches:
+    who needs both reads `made`, so that the texts are read and cut once.
     """
-    # ASCII texts are cut in the batches, others come as words, or as their number
+    # ASCII texts are cut in the batches, others come as words
     texts = documents.select(
         F.col("id").alias("doc_id"), folded(F.col("title")).alias("title"), folded(F.col("body")).alias("body"))
     beyond_ascii = {c: F.octet_length(c) > F.length(c) for c in ("title", "body")}
-    ascii_texts = [F.when(~own, F.col(c)).alias(c) for c, own in beyond_ascii.items()]
-    cut = texts.select("doc_id", *ascii_texts, *(
-        F.when(own, words_of(F.col(c))).alias(f"{c}_words") for c, own in beyond_ascii.items()))
-    n_title, n_body = (F.when(own, F.size(words_of(F.col(c)))).otherwise(0) for c, own in beyond_ascii.items())
+    cut = texts.select(
+        "doc_id", *(F.when(~own, F.col(c)).alias(c) for c, own in beyond_ascii.items()),
+        *(F.when(own, words_of(F.col(c))).alias(f"{c}_words") for c, own in beyond_ascii.items()))
     id_type = cut.schema["doc_id"].dataType.simpleString()
-    postings = cut.mapInArrow(
-        _postings, f"term string, doc_id {id_type}, in_title boolean, positions array<int>, bucket int, tf long")
-    doc_stats = texts.select("doc_id", *ascii_texts, (n_title + 2 * n_body).cast("long").alias("beyond")).mapInArrow(
-        _lengths, f"doc_id {id_type}, dl long")
+    made = cut.mapInArrow(
+        partial(_made, _postings),
+        f"term string, doc_id {id_type}, in_title boolean, positions array<int>, bucket int, tf long")
+    return _of_rows(made)
+
+
+def _of_rows(made: DataFrame) -> Index:
+    doc_stats = _lengths_of(made)
     corpus = doc_stats.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_length"))
-    return Index(postings, doc_stats, corpus)
+    return Index(made.where(F.col("bucket") != LENGTHS), doc_stats, corpus, made)
+
+
+def _lengths_of(made: DataFrame) -> DataFrame:
+    return made.where(F.col("bucket") == LENGTHS).select("doc_id", F.col("tf").alias("dl"))
 
 
 POSTINGS = "bucket int, term string, doc_id long, in_title boolean, tf long, positions array<int>"
@@ -365,19 +394,24 @@ def new_part() -> str:
     return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
-def stage_part(postings: DataFrame, doc_stats: DataFrame, path: str, part: str) -> dict[str, Any]:
+def stage_part(index: Index, path: str, part: str) -> dict[str, Any]:
     """Writes a part that no manifest names yet, and returns its entry for one.
 
     Buckets follow the term, so that a query opens only its own. Rows are dealt by bucket, and what is too
     large of that is cut by size: the bucket of a common term becomes many even files, each sorted by term.
-    Nothing is sampled for this, so the postings are made once.
+    Nothing is sampled for this, so the postings are made once. Lengths that are made with them are written with them, as a
+    bucket of their own that no query opens, and copied from there.
     """
-    spark = doc_stats.sparkSession
+    spark = index.doc_stats.sparkSession
     order = ["bucket", "term", "doc_id"]
-    postings.hint("rebalance", "bucket").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{path}/postings/part={part}")
-    doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats/part={part}")
-    n, length = spark.read.schema(DOC_STATS).parquet(f"{path}/doc_stats/part={part}").agg(
+    postings, doc_stats = f"{path}/postings/part={part}", f"{path}/doc_stats/part={part}"
+    rows = index.postings if index.made is None else index.made
+    rows.hint("rebalance", "bucket").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(postings)
+    if index.made is None:
+        index.doc_stats.write.mode("overwrite").parquet(doc_stats)
+    else:
+        _lengths_of(spark.read.schema(POSTINGS).parquet(postings)).write.mode("overwrite").parquet(doc_stats)
+    n, length = spark.read.schema(DOC_STATS).parquet(doc_stats).agg(
         F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return {"part": part, "n_docs": n, "total_length": length}
 
@@ -414,7 +448,7 @@ def commit_parts(spark: SparkSession, path: str, added: Sequence[Mapping[str, An
 def write_index(index: Index, path: str, *, append: bool = False) -> None:
     """Writes a part of the index; without `append` it replaces all earlier ones. Readers see a part as a whole or
     not at all. Appended documents must be new ones."""
-    entry = stage_part(index.postings, index.doc_stats, path, new_part())
+    entry = stage_part(index, path, new_part())
     commit_parts(index.doc_stats.sparkSession, path, [entry], () if append else None)
 
 
@@ -429,7 +463,7 @@ def read_index(spark: SparkSession, path: str, parts: Sequence[Mapping[str, Any]
         return spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(*folders).drop("part")
 
     figures = (sum(p["n_docs"] for p in own), sum(p["total_length"] for p in own))
-    return Index(rows("postings", POSTINGS), rows("doc_stats", DOC_STATS),
+    return Index(rows("postings", POSTINGS).where(F.col("bucket") != LENGTHS), rows("doc_stats", DOC_STATS),
                  spark.createDataFrame([figures], "n_docs long, total_length long"))
 
 
@@ -464,8 +498,7 @@ def merge_tiers(spark: SparkSession, path: str, merged: Callable[[list[dict[str,
 def merge_index(spark: SparkSession, path: str, *, fan: int = FAN) -> list[list[str]]:
     """Merges parts of the index by tiers; the parts that went into each merge."""
     def merged(full: list[dict[str, Any]]) -> dict[str, Any]:
-        source = read_index(spark, path, full)
-        return stage_part(source.postings, source.doc_stats, path, new_part())
+        return stage_part(read_index(spark, path, full), path, new_part())
 
     return merge_tiers(spark, path, merged, fan=fan)
 

@@ -240,8 +240,7 @@ def _stage(store: Store, name: str, rows: DataFrame, ids: tuple[int, int], now:
     parts = [(filter_path(store), keys),
              (rollup_path(store), rollup.stage_rollup(rollup.of_documents(written), rollup_path(store), name))]
     if index_path is not None:
-        index = build_index(own)
-        parts.append((index_path, stage_part(index.postings, index.doc_stats, index_path, name)))
+        parts.append((index_path, stage_part(build_index(own), index_path, name)))
     files.write_json(store.spark, f"{folder}/ready.json", {"parts": parts})
 
 
