@@ -270,3 +270,14 @@ def test_a_written_part_reads_each_text_once_for_all_it_holds(spark, tmp_path):
     ft.write_index(ft.build_index(docs.where("id < 0")), empty)
     assert ft.read_index(spark, empty).corpus.first()["n_docs"] == 0
     assert ft.score_index(ft.read_index(spark, empty), ft.match_all("the")).collect() == []
+
+
+@pytest.mark.parametrize("match", [ft.match_any("the w1") & ft.match_none("w2"), ft.match_prefix("w"), ft.match_phrase("the cafe")])
+def test_a_search_without_a_written_index_reads_each_text_once(spark, tmp_path, match):
+    """Hits, found documents, lengths and corpus figures are of one pass; the scores are those of a written index."""
+    docs = spark.createDataFrame(ODD, "id long, title string, body string").repartition(4)
+    got = ft.score_index(ft.build_index(_counted(docs, tmp_path / "seen")), match).collect()
+    assert _read(tmp_path / "seen") == sorted(str(r[0]) for r in ODD)
+    ft.write_index(ft.build_index(docs), str(tmp_path / "index"))
+    want = ft.score_index(ft.read_index(spark, str(tmp_path / "index")), match).collect()
+    assert got and sorted((r.id, round(r.fts_score, 9)) for r in got) == sorted((r.id, round(r.fts_score, 9)) for r in want)

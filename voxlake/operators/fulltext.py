@@ -518,8 +518,7 @@ def vacuum_index(spark: SparkSession, path: str) -> list[str]:
     return sorted(set(gone))
 
 
-def _needed(postings: DataFrame, match: Match) -> DataFrame:
-    """Only postings a unit can use; words and prefixes prune the buckets, very short prefixes do not."""
+def _wanted(match: Match) -> Column:
     exact = sorted({w for u in match.units for w in (u.words[:-1] if u.prefix else u.words)})
     prefixes = [u.words[-1] for u in match.units if u.prefix]
     wanted = F.lit(False)
@@ -529,7 +528,23 @@ def _needed(postings: DataFrame, match: Match) -> DataFrame:
     for p in prefixes:
         own = F.col("term").startswith(p)
         wanted = wanted | ((F.col("bucket") == bucket_of(p)) & own if len(p) >= BUCKET_LETTERS else own)
-    return postings.where(wanted)
+    return wanted
+
+
+def _needed(postings: DataFrame, match: Match) -> DataFrame:
+    """Only postings a unit can use; words and prefixes prune the buckets, very short prefixes do not."""
+    return postings.where(_wanted(match))
+
+
+def _read_once(index: Index, match: Match) -> Index:
+    """What a query takes of an index that is not written, from one pass over the texts.
+
+    Hits, found documents, lengths and corpus figures would each make the index anew. The rows are kept in the
+    checkpoint folder, or by the executors if there is none.
+    """
+    rows = index.made.where(_wanted(match) | (F.col("bucket") == LENGTHS))
+    own = rows.localCheckpoint() if rows.sparkSession.sparkContext.getCheckpointDir() is None else rows.checkpoint()
+    return _of_rows(own)
 
 
 def _phrase_count(unit: Unit, places: dict[str, Column], tail: Column) -> Column:
@@ -546,6 +561,8 @@ def _phrase_count(unit: Unit, places: dict[str, Column], tail: Column) -> Column
 
 def score_index(index: Index, match: Match) -> DataFrame:
     """(id, fts_score) of all matching documents."""
+    if index.made is not None:
+        index = _read_once(index, match)
     none = F.array().cast("array<int>")
     terms = sorted({w for u in match.units for w in (u.words[:-1] if u.prefix else u.words)})
     names = {w: f"_w{i}" for i, w in enumerate(terms)}
