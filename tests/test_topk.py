@@ -126,3 +126,91 @@ def test_broken_and_gone_parts(spark, corpus, whole, tmp_path):
     assert len(topk.add_impacts(spark, out)) == 1
     assert not set(parts) & {n.removeprefix("part=") for n in files.names(spark, f"{out}/impact_stats")}
     assert _page(search_documents(corpus, match, limit=9, tiers_path=out)) == expected
+
+
+# Disk ----------------------------------------------------------------------------------------
+ODD = [(i, None if i % 5 == 0 else f"\u00c9{i % 3} the w{i % 7}", " ".join(["the", "Caf\u00e9", f"w{i % 4}", "the"] * (i % 6))) for i in range(60)]
+ODD += [(None, "the", "the w1"), (7, "the w1", "x"), (7, "the w1", "x"), (8, None, "the"), (60, "", " "), (61, None, None)]
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    """A part with ids that are null or come more than once, packed in small steps."""
+    path = str(tmp_path / "odd")
+    ft.write_index(ft.build_index(spark.createDataFrame(ODD, "id long, title string, body string").repartition(3)), path)
+    return path
+
+
+def _rows(frame, *columns):
+    return sorted((tuple(r) for r in frame.select(*columns).collect()), key=str)
+
+
+def test_packed_postings_come_back_as_they_were(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame(ODD, "id long, title string, body string").repartition(3)
+    columns = ["bucket", "term", "doc_id", "in_title", "tf", "positions", "f", "dl"]
+    want = _rows(ft.build_index(docs).postings, *columns)
+    for n_packed, n_unpacked in ((1, 1), (100, 7), (1 << 20, 1 << 14)):
+        monkeypatch.setattr(ft, "PACKED_ROWS", n_packed)
+        monkeypatch.setattr(ft, "UNPACKED_ROWS", n_unpacked)
+        path = str(tmp_path / f"i{n_packed}")
+        ft.write_index(ft.build_index(docs), path)
+        assert _rows(ft.read_index(spark, path).postings, *columns) == want
+
+
+def test_tiers_of_a_part_are_those_of_its_summed_postings(spark, odd):
+    """Of ids that are null or come twice too, of parts written before rows held weights, and of merged parts of both kinds."""
+    columns = [c.split()[0] for c in topk.POSTINGS.split(", ")]
+    index = ft.read_index(spark, odd)
+    want = _rows(topk._postings(index), *columns)
+    assert want and _rows(topk._whole_part(index), *columns) == want
+    early = ft.Index(index.postings.select(*[c.split()[0] for c in ft.POSTINGS.split(", ")]), index.doc_stats, index.corpus)
+    before = f"{odd}-before"
+    ft.write_index(early, before)
+    assert _rows(topk._whole_part(ft.read_index(spark, before)), *columns) == want
+    ft.write_index(ft.build_index(spark.createDataFrame([(900, "the", "w1 w2")], "id long, title string, body string")), before, append=True)
+    ft.commit_parts(spark, before, [ft.stage_part(ft.read_index(spark, before), before, "merged")], None)
+    merged = ft.read_index(spark, before)
+    assert merged.postings.where("doc_id = 900 AND f > 0").count() == 3
+    assert _rows(topk._whole_part(merged), *columns) == _rows(topk._postings(merged), *columns)
+
+
+def test_figures_of_tiers_that_are_cut_sum_up(spark, odd, monkeypatch):
+    monkeypatch.setitem(topk.RUN_CONF, "spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    assert len(topk.add_impacts(spark, odd)) == 1
+    match = ft.match_any("the w1 cafe")
+    impacts = topk.read_impacts(spark, odd, match)
+    assert impacts.stats.count() > impacts.stats.select("term", "tier").distinct().count()
+    again = topk.Impacts(impacts.postings, topk._stats(impacts.postings), impacts.n_docs, impacts.total_length)
+    assert topk.bounds_of(impacts, match) == topk.bounds_of(again, match)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "512"
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files by name."""
+    from pathlib import Path
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f: f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_index_and_tiers_take_little_disk_besides(spark, tmp_path):
+    """Postings are shuffled once, packed, and not for the tiers; what was shuffled goes when it is written."""
+    import time
+
+    rng = random.Random(5)
+    words = [f"{a}{b}{i}" for a in "abcdefgh" for b in "rst" for i in range(100)]
+    rows = [(i, " ".join(rng.choices(words, k=5)), " ".join(rng.choices(words, k=150))) for i in range(2000)]
+    docs, path = spark.createDataFrame(rows, "id long, title string, body string").repartition(4), str(tmp_path / "i")
+    index = ft.build_index(docs)
+    n = index.postings.count()
+    assert index.packed.selectExpr("sum(octet_length(rows))").first()[0] < 10 * n
+    before = _shuffled(spark)
+    ft.write_index(index, path)
+    topk.add_impacts(spark, path)
+    assert "Exchange" not in topk._whole_part(ft.read_index(spark, path))._jdf.queryExecution().executedPlan().toString()
+    for _ in range(40):
+        left = sum(size for f, size in _shuffled(spark).items() if f not in before)
+        if left < n:
+            break
+        time.sleep(0.25)
+    assert left < n

@@ -27,16 +27,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxlake import constants as K
 from voxlake.functions.dates import event_time, utc_text
 from voxlake.functions.text import fold, folded, tokens, words_of
 from voxlake.operators.ranking import add_columns, beyond, narrow, page
+from voxlake.session import holding
 from voxlake.sources import files
 
 BUCKETS, BUCKET_LETTERS = 256, 2
 LENGTHS = -1               # the bucket of rows that hold a document's length as their tf, where these come with the postings
 BATCH_BYTES = 1 << 21      # of an Arrow batch, texts of so many bytes are cut and sorted at once
+PACKED_ROWS = 1 << 18      # so many postings of a task are packed for the shuffle at once
+UNPACKED_ROWS = 1 << 14    # and come back in batches of about so many
+_PLAIN = ["doc_id", "in_title", "tf", "dl"]
+_COLUMNS = ["term", "doc_id", "in_title", "positions", "bucket", "tf", "f", "dl"]
 _ASCII_WORD = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 _WEIGHTS = {
     None: (K.TITLE_WEIGHT, K.CONTENT_WEIGHT + K.REVIEW_WEIGHT),
@@ -248,10 +254,11 @@ def unscored(candidates: DataFrame) -> DataFrame:
 # Search over a written index -----------------------------------------------------------------------
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame    # bucket, term, doc_id, in_title, tf, positions
+    postings: DataFrame    # bucket, term, doc_id, in_title, tf, positions; and what ROW_WEIGHTS says
     doc_stats: DataFrame   # doc_id, dl
     corpus: DataFrame      # one row: n_docs, total_length
     made: DataFrame | None = None    # of an index that is not written: postings, and lengths in bucket LENGTHS, by one pass over the texts
+    packed: DataFrame | None = None  # the same by one pass, as it is shuffled before a write
 
 
 def bucket_of(term: str) -> int:
@@ -324,12 +331,24 @@ def _batch_postings(part: pa.RecordBatch) -> pa.RecordBatch:
     starts = np.flatnonzero(np.diff(key[order], prepend=-1))
     own, at = text[order[starts]], pa.array(order[starts])
     ends = np.append(starts, len(order))
-    found = words.indices.take(at)
+    found, tf = words.indices.take(at), np.diff(ends)
+    # a word's title row comes right before its body row
+    first = np.flatnonzero(np.diff(key[order[starts]] // 2, prepend=-1))
+    n_words, dl = np.bincount(text, minlength=2 * part.num_rows), np.zeros(len(own), np.int64)
+    dl[first] = (n_words[::2] + 2 * n_words[1::2])[own[first] // 2]
     return pa.RecordBatch.from_arrays(
         [words.dictionary.take(found), part.column("doc_id").take(pa.array(own // 2)), pa.array(own % 2 == 0),
          pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[order])),
-         pa.array(bucket).take(found), pa.array(np.diff(ends))],
-        names=["term", "doc_id", "in_title", "positions", "bucket", "tf"])
+         pa.array(bucket).take(found), pa.array(tf), pa.array(_weights(own % 2 == 0, tf, first)), pa.array(dl)],
+        names=_COLUMNS)
+
+
+def _weights(in_title: np.ndarray, tf: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Weighted frequencies, at the first row of each word in a document."""
+    f, (title, body) = np.zeros(len(tf)), _WEIGHTS[None]
+    if len(tf):
+        f[first] = np.add.reduceat(np.where(in_title, title, body) * tf, first)
+    return f
 
 
 def _lengths(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -342,8 +361,9 @@ def _lengths(part: pa.RecordBatch) -> pa.RecordBatch:
     n = part.num_rows
     nowhere = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int32()))
     return pa.RecordBatch.from_arrays(
-        [pa.repeat("", n), part.column("doc_id"), pa.repeat(False, n), nowhere, pa.array(np.full(n, LENGTHS, np.int32)), pa.array(dl)],
-        names=["term", "doc_id", "in_title", "positions", "bucket", "tf"])
+        [pa.repeat("", n), part.column("doc_id"), pa.repeat(False, n), nowhere, pa.array(np.full(n, LENGTHS, np.int32)), pa.array(dl),
+         pa.array(np.zeros(n)), pa.array(dl)],
+        names=_COLUMNS)
 
 
 def _made(postings: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
@@ -353,6 +373,77 @@ def _made(postings: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
         yield _lengths(part)
 
 
+def _packed(postings: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+            parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `_made` makes, as one row for each bucket of a few batches, which holds that bucket's rows column by column, compressed.
+
+    Row by row a posting is shuffled as over 20 bytes, so as 9 or 10.
+    """
+    held, n = defaultdict(list), 0
+    for rows in _made(postings, parts):
+        bucket = np.asarray(rows.column("bucket"))
+        starts = np.flatnonzero(np.diff(bucket, prepend=LENGTHS - 1))
+        for of, start, end in zip(bucket[starts].tolist(), starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True):
+            held[of].append(rows.slice(start, end - start))
+        n += rows.num_rows
+        if n >= PACKED_ROWS:
+            yield _packs(held)
+            held, n = defaultdict(list), 0
+    if held:
+        yield _packs(held)
+
+
+def _packs(held: Mapping[int, list[pa.RecordBatch]]) -> pa.RecordBatch:
+    sizes, packs = [], []
+    for own in held.values():
+        pack = _pack(pa.concat_batches(own))
+        sizes.append(pack.size)
+        packs.append(pa.compress(pack, codec="zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(held), pa.int32()), pa.array(sizes, pa.int64()), pa.array(packs, pa.binary())], names=["bucket", "size", "rows"])
+
+
+def _pack(rows: pa.RecordBatch) -> pa.Buffer:
+    """Rows of a bucket as one row of lists; a term stands once for the rows that follow each other with it."""
+    runs = pc.run_end_encode(rows.column("term"))
+    times = pa.array(np.diff(np.asarray(runs.run_ends), prepend=0), pa.int32())
+    held = [runs.values, times, rows.column("positions").flatten(), *(rows.column(c) for c in _PLAIN)]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in held]
+    return pa.RecordBatch.from_arrays(lists, names=[str(i) for i in range(len(held))]).serialize()
+
+
+def _unpack(bucket: int, pack: pa.RecordBatch) -> pa.RecordBatch:
+    terms, times, places, *plain = (c.flatten() for c in pack.columns)
+    columns = dict(zip(_PLAIN, plain, strict=True))
+    n, tf = len(columns["tf"]), np.asarray(columns["tf"])
+    offsets = np.zeros(n + 1, np.int32)
+    if bucket != LENGTHS:
+        np.cumsum(tf, out=offsets[1:])
+        columns["f"] = _weights(np.asarray(columns["in_title"]), tf, np.flatnonzero(np.asarray(columns["dl"])))
+    else:
+        columns["f"] = np.zeros(n)
+    columns |= {"term": terms.take(pa.array(np.repeat(np.arange(len(terms)), np.asarray(times)))),
+                "positions": pa.ListArray.from_arrays(pa.array(offsets), places), "bucket": np.full(n, bucket, np.int32)}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in _COLUMNS], names=_COLUMNS)
+
+
+def _unpacked(id_type: pa.DataType, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that `_packed` has packed, a good number at once."""
+    kinds = [pa.string(), pa.int32(), pa.int32(), id_type, pa.bool_(), pa.int64(), pa.int64()]
+    schema = pa.schema([(str(i), pa.list_(t)) for i, t in enumerate(kinds)])
+    found, n = [], 0
+    for part in parts:
+        for bucket, size, own in zip(part.column("bucket").to_pylist(), part.column("size").to_pylist(), part.column("rows"), strict=True):
+            pack = pa.ipc.read_record_batch(pa.decompress(own.as_buffer(), size, codec="zstd"), schema)
+            found.append(_unpack(bucket, pack))
+            n += found[-1].num_rows
+            if n >= UNPACKED_ROWS:
+                yield pa.concat_batches(found)
+                found, n = [], 0
+    if found:
+        yield pa.concat_batches(found)
+
+
 def build_index(documents: DataFrame) -> Index:
     """Postings per (term, document, column) with positions, and document lengths.
 
@@ -370,14 +461,14 @@ def build_index(documents: DataFrame) -> Index:
     id_type = cut.schema["doc_id"].dataType.simpleString()
     made = cut.mapInArrow(
         partial(_made, _postings),
-        f"term string, doc_id {id_type}, in_title boolean, positions array<int>, bucket int, tf long")
-    return _of_rows(made)
+        f"term string, doc_id {id_type}, in_title boolean, positions array<int>, bucket int, tf long, {ROW_WEIGHTS}")
+    return _of_rows(made, cut.mapInArrow(partial(_packed, _postings), "bucket int, size long, rows binary"))
 
 
-def _of_rows(made: DataFrame) -> Index:
+def _of_rows(made: DataFrame, packed: DataFrame | None = None) -> Index:
     doc_stats = _lengths_of(made)
     corpus = doc_stats.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_length"))
-    return Index(made.where(F.col("bucket") != LENGTHS), doc_stats, corpus, made)
+    return Index(made.where(F.col("bucket") != LENGTHS), doc_stats, corpus, made, packed)
 
 
 def _lengths_of(made: DataFrame) -> DataFrame:
@@ -385,7 +476,16 @@ def _lengths_of(made: DataFrame) -> DataFrame:
 
 
 POSTINGS = "bucket int, term string, doc_id long, in_title boolean, tf long, positions array<int>"
+# of a word's first row in a document: its weighted frequency in all columns and the document's length; zeros in its second
+# row, null in parts that were written without them
+ROW_WEIGHTS = "f double, dl long"
 DOC_STATS = "doc_id long, dl long"
+# shuffle files go as soon as a write has ended; its tasks are small, as packed rows grow manifold before they are sorted
+WRITE_CONF = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.files.maxPartitionBytes": "16m",
+}
 FAN = 8            # so many parts of a tier become one of the next
 KEPT_MANIFESTS = 8
 
@@ -399,14 +499,20 @@ def stage_part(index: Index, path: str, part: str) -> dict[str, Any]:
 
     Buckets follow the term, so that a query opens only its own. Rows are dealt by bucket, and what is too
     large of that is cut by size: the bucket of a common term becomes many even files, each sorted by term.
-    Nothing is sampled for this, so the postings are made once. Lengths that are made with them are written with them, as a
-    bucket of their own that no query opens, and copied from there.
+    Nothing is sampled for this, so the postings are made once; those of texts are shuffled packed, which takes less than
+    half the disk. Lengths that are made with them are written with them, as a bucket of their own that no query opens, and
+    copied from there.
     """
     spark = index.doc_stats.sparkSession
     order = ["bucket", "term", "doc_id"]
     postings, doc_stats = f"{path}/postings/part={part}", f"{path}/doc_stats/part={part}"
-    rows = index.postings if index.made is None else index.made
-    rows.hint("rebalance", "bucket").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(postings)
+    with holding(spark, WRITE_CONF):
+        if index.packed is None:
+            rows = index.postings.hint("rebalance", "bucket")
+        else:
+            unpacked = partial(_unpacked, to_arrow_type(index.made.schema["doc_id"].dataType))
+            rows = index.packed.hint("rebalance", "bucket").mapInArrow(unpacked, index.made.schema)
+        rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(postings)
     if index.made is None:
         index.doc_stats.write.mode("overwrite").parquet(doc_stats)
     else:
@@ -463,7 +569,7 @@ def read_index(spark: SparkSession, path: str, parts: Sequence[Mapping[str, Any]
         return spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(*folders).drop("part")
 
     figures = (sum(p["n_docs"] for p in own), sum(p["total_length"] for p in own))
-    return Index(rows("postings", POSTINGS).where(F.col("bucket") != LENGTHS), rows("doc_stats", DOC_STATS),
+    return Index(rows("postings", f"{POSTINGS}, {ROW_WEIGHTS}").where(F.col("bucket") != LENGTHS), rows("doc_stats", DOC_STATS),
                  spark.createDataFrame([figures], "n_docs long, total_length long"))
 
 

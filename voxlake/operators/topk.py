@@ -17,23 +17,30 @@ Parts of the index that have no tiers yet (new inserts) get them for the query's
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxlake import constants as K
 from voxlake.functions.dates import event_time
 from voxlake.operators import fulltext
 from voxlake.operators.fulltext import Index, Match, Place
+from voxlake.session import holding
 from voxlake.sources import files
 
+FEW = 100_000      # so many ids are sent to all tasks
 STEPS = 2          # tiers to a doubling of length / f
 SEED = 4           # first read: so many postings for each row of the page
 GROWTH = 8         # and so many times more if they do not hold a page
 POSTINGS = "bucket int, term string, tier int, doc_id long, f double, dl long"
 STATS = "bucket int, term string, tier int, n_docs long, max_f double, min_ratio double"
+# tiers' narrow rows come to Python by their number; to ask for a batch's bytes at each row takes three times as long
+RUN_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(2**31 - 1)}
 _SLACK = 1e-9
 _EVERYTHING = math.inf
 _NOTHING = -math.inf
@@ -53,10 +60,47 @@ def _postings(index: Index, words: list[str] | None = None) -> DataFrame:
         own = own.where(F.col("bucket").isin(sorted({fulltext.bucket_of(w) for w in words})) & F.col("term").isin(words))
     weight = F.when(F.col("in_title"), K.TITLE_WEIGHT).otherwise(K.CONTENT_WEIGHT + K.REVIEW_WEIGHT)
     counted = own.groupBy("bucket", "term", "doc_id").agg(F.sum(weight * F.col("tf")).alias("f"))
-    return counted.join(index.doc_stats, "doc_id").select(
+    return _in_tiers(counted.join(index.doc_stats, "doc_id"))
+
+
+def _in_tiers(weighed: DataFrame) -> DataFrame:
+    return weighed.select(
         "bucket", "term", F.floor(STEPS * F.log2(F.col("dl") / F.col("f"))).cast("int").alias("tier"), "doc_id", "f", "dl")
 
 
+def _whole_part(index: Index) -> DataFrame:
+    """The same for all words of a written part, whose files are by bucket already.
+
+    Its rows hold what a tier needs, so nothing is shuffled but postings of ids that come more than once, which are summed up, and of
+    parts from before rows held it.
+    """
+    own = index.postings
+    if not own.where("f IS NULL").isEmpty():
+        return _postings(index).hint("rebalance", "bucket")
+    made = _in_tiers(own.where("f > 0 AND doc_id IS NOT NULL"))
+    again = index.doc_stats.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not (n := again.count()):
+        return made
+    again = F.broadcast(again) if n <= FEW else again
+    several = _postings(replace(index, postings=own.join(again, "doc_id", "left_semi")))
+    return made.join(again, "doc_id", "left_anti").select(*made.columns).unionByName(several.hint("rebalance", "bucket"))
+
+
+def _runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by bucket, term and tier the figures of rows that follow each other within one of these."""
+    for part in parts:
+        if not part.num_rows:
+            continue
+        keys = [part.column(c) for c in ("bucket", "term", "tier")]
+        differs = [pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False) for k in keys]
+        starts = np.flatnonzero(np.concatenate(([True], differs[0] | differs[1] | differs[2])))
+        f, dl = (np.asarray(part.column(c)) for c in ("f", "dl"))
+        yield pa.RecordBatch.from_arrays(
+            [*(k.take(pa.array(starts)) for k in keys), pa.array(np.diff(starts, append=part.num_rows)),
+             pa.array(np.maximum.reduceat(f, starts)), pa.array(np.minimum.reduceat(dl / f, starts))],
+            names=[c.split()[0] for c in STATS.split(", ")])
+
+
 def _stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("bucket", "term", "tier").agg(
         F.count("*").alias("n_docs"), F.max("f").alias("max_f"), F.min(F.col("dl") / F.col("f")).alias("min_ratio"))
@@ -80,11 +124,13 @@ def add_impacts(spark: SparkSession, path: str) -> list[str]:
         name = own["part"]
         if name in there:
             continue
-        made = _postings(fulltext.read_index(spark, path, [own]))
-        made.hint("rebalance", "bucket").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{path}/impacts/part={name}")
-        _stats(spark.read.schema(POSTINGS).parquet(f"{path}/impacts/part={name}")).repartitionByRange(
-            *order[:3]).sortWithinPartitions(*order[:3]).write.mode("overwrite").parquet(f"{path}/impact_stats/part={name}")
+        with holding(spark, fulltext.WRITE_CONF | RUN_CONF):
+            _whole_part(fulltext.read_index(spark, path, [own])).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
+                "bucket").option("compression", "zstd").parquet(f"{path}/impacts/part={name}")
+            # files are sorted, so a tier's rows are side by side; the readers of figures sum up what has been cut
+            spark.read.schema(POSTINGS).parquet(f"{path}/impacts/part={name}").drop("doc_id").mapInArrow(
+                _runs, STATS).sortWithinPartitions(*order[:3]).write.mode("overwrite").option("compression", "zstd").parquet(
+                f"{path}/impact_stats/part={name}")
         done.append(name)
     for old in there - {p["part"] for p in parts}:
         files.delete(spark, f"{path}/impact_stats/part={old}")

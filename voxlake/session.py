@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # Settings every query relies on; all can be changed on a running session.
@@ -23,6 +26,22 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def holding(spark: SparkSession, conf: Mapping[str, str]) -> Iterator[None]:
+    """Settings of a session for a while; afterwards they are as before."""
+    before = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def local_session(app: str = "voxlake", *, cores: int | str = "*", shuffle_partitions: int = 8,
                   checkpoint_dir: str | None = None) -> SparkSession:
     """A laptop session; on a cluster the session comes from spark-submit instead."""
